@@ -183,3 +183,32 @@ def equal_bins(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     return out.withColumn(
         name, F.floor((F.lit(bins) * (F.col("__r") + 1) - 1) / F.col("__n"))
     ).drop("__r", "__n")
+
+
+def carry(
+    df: DataFrame, keys: Sequence[str], rank: str, value: str, name: str, forward: bool = True
+) -> DataFrame:
+    """Last non-null ``value`` at or before the row (``forward``), or first at or after it."""
+    sign = 1 if forward else -1
+    blocked = df.withColumn("__b", F.floor(F.col(rank) / BLOCK))
+    inside = Window.partitionBy(*keys, "__b").orderBy(F.col(rank) * sign).rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    ends = blocked.where(F.col(value).isNotNull()).groupBy(*keys, "__b").agg(
+        (F.max_by if forward else F.min_by)(value, rank).alias("__end")
+    )
+    held = blocked.select(*keys, "__b").distinct()
+    held = join_on(held, ends, [*keys, "__b"])
+    earlier = Window.partitionBy(*keys, F.lit(0)).orderBy(F.col("__b") * sign).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    edges = held.select(*keys, "__b", F.last("__end", ignorenulls=True).over(earlier).alias("__edge"))
+    out = join_on(
+        blocked.withColumn("__own", F.last(value, ignorenulls=True).over(inside)), edges, [*keys, "__b"]
+    )
+    return out.withColumn(name, F.coalesce("__own", "__edge")).drop("__b", "__own", "__edge")
+
+
+def half_even(value: float) -> int:
+    """Round half to even, as Python does."""
+    return int(round(value))

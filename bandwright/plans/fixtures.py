@@ -46,12 +46,17 @@ def long_bands(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def pred_pair(spark: SparkSession, sf: str) -> DataFrame:
-    """id, grp, y_true, y_pred at larger row counts."""
-    return table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-        F.col("l_returnflag").alias("grp"),
-        F.col("l_extendedprice").alias("y_true"),
-        (F.col("l_quantity") * 1500.0).alias("y_pred"),
+    """id, grp, y_true, y_pred at larger row counts. Line numbers repeat within an order, so the lines
+    of one number are added up to make ids unique."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.min("l_returnflag").alias("grp"),
+        F.round(F.sum("l_extendedprice"), 2).alias("y_true"),
+        (F.sum("l_quantity") * 1500.0).alias("y_pred"),
+        F.max("l_discount").alias("discount"),
+        F.max("l_tax").alias("tax"),
+    )
+    return lines.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "grp", "y_true", "y_pred", "discount", "tax"
     )
 
 
@@ -124,9 +129,9 @@ test AS (SELECT * FROM spectra WHERE grp > 6)"""
 LONG_SQL = SPECTRA_SQL + """,
 bands AS (SELECT id, grp, seq, y, CAST(unnest(range(64)) AS BIGINT) AS band, unnest(x) AS v FROM spectra)"""
 PAIR_SQL = """pair AS (
-  SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS grp, l_extendedprice AS y_true,
-         l_quantity * 1500.0::DOUBLE AS y_pred
-  FROM lineitem)"""
+  SELECT l_orderkey * 10 + l_linenumber AS id, min(l_returnflag) AS grp, round(sum(l_extendedprice), 2) AS y_true,
+         sum(l_quantity) * 1500.0::DOUBLE AS y_pred, max(l_discount) AS discount, max(l_tax) AS tax
+  FROM lineitem GROUP BY l_orderkey * 10 + l_linenumber)"""
 CAND_SQL = (
     PAIR_SQL
     + ",\nspecs(candidate, g, o, s) AS (VALUES "
