@@ -29,9 +29,9 @@ def pool(sums: np.ndarray, weights: np.ndarray) -> np.ndarray:
         w.append(b)
         n.append(1)
         while len(s) > 1 and s[-2] / w[-2] > s[-1] / w[-1]:
-            s[-2] += s.pop()
-            w[-2] += w.pop()
-            n[-2] += n.pop()
+            for stack in (s, w, n):
+                last = stack.pop()
+                stack[-1] += last
     return np.asarray(n)
 
 

@@ -47,23 +47,23 @@ def ordinal(
     numbered = cut(
         df.repartitionByRange(*by)
         .sortWithinPartitions(*by)
-        .withColumn("__m", F.monotonically_increasing_id())
+        .withColumn("__om", F.monotonically_increasing_id())
     )
     numbered = (
-        numbered.withColumn("__p", F.shiftright("__m", 33))
-        .withColumn("__m", F.col("__m").bitwiseAND((1 << 33) - 1))
+        numbered.withColumn("__op", F.shiftright("__om", 33))
+        .withColumn("__om", F.col("__om").bitwiseAND((1 << 33) - 1))
     )
-    parts = numbered.groupBy("__p", *keys).agg(F.min("__m").alias("__first"), F.count("*").alias("__n"))
-    before = Window.partitionBy(*keys, F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = numbered.groupBy("__op", *keys).agg(F.min("__om").alias("__of"), F.count("*").alias("__on"))
+    before = Window.partitionBy(*keys, F.lit(0)).orderBy("__op").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
-        "__p",
+        "__op",
         *keys,
-        (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__offset"),
+        (F.coalesce(F.sum("__on").over(before), F.lit(0)) - F.col("__of")).alias("__oo"),
     )
     return (
-        join_on(numbered, pin_small(offsets), ["__p", *keys])
-        .withColumn(name, F.col("__m") + F.col("__offset"))
-        .drop("__m", "__p", "__offset")
+        join_on(numbered, pin_small(offsets), ["__op", *keys])
+        .withColumn(name, F.col("__om") + F.col("__oo"))
+        .drop("__om", "__op", "__oo")
     )
 
 
