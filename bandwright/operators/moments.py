@@ -161,7 +161,7 @@ def gram(
     src = df.select(
         key_col.cast("string").alias("k"),
         (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("w"),
-        F.array(*[F.col(c).cast("double") for c in targets]).alias("t"),
+        F.array(*[F.col(c) for c in targets]).cast("array<double>").alias("t"),
         F.col("x").alias("x"),
     ).coalesce(MAX_PARTIALS)
 

@@ -116,11 +116,15 @@ def _scan_queries(q: DataFrame, held: tuple, k: int, no_self: bool) -> DataFrame
         rid, r = shared.value
         for b in batches:
             if b.num_rows:
-                yield _batch(search(spectra_matrix(b.column("x")), b.column("id").to_numpy(), r, rid, k, no_self))
+                found = search(spectra_matrix(b.column("x")), b.column("id").to_numpy(), r, rid, k, no_self)
+                if len(found[0]) == 0:
+                    continue
+                run_starts = np.flatnonzero(np.r_[True, found[0][1:] != found[0][:-1]])
+                pos = np.arange(len(found[0])) - np.repeat(run_starts, np.diff(np.r_[run_starts, len(found[0])])) + 1
+                yield _batch(found).append_column("pos", pa.array(pos.astype(np.int32)))
 
-    found = q.mapInArrow(run, OUT)
-    # every query sits in one row of one partition, so its k rows are complete here
-    return found.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("d", "rid")))
+    # a query is searched whole in one task, in order, so its rows can be numbered there
+    return q.mapInArrow(run, OUT + ", pos int")
 
 
 def _scan_refs(r: DataFrame, held: tuple, k: int, no_self: bool) -> DataFrame:
