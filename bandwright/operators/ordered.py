@@ -83,10 +83,10 @@ def previous(df: DataFrame, keys: Sequence[str], rank: str, value: str, name: st
 def running_sum(df: DataFrame, keys: Sequence[str], rank: str, value: str, name: str) -> DataFrame:
     """Sum of ``value`` up to and including the row, in rank order within the group."""
     blocked = df.withColumn("__b", F.floor(F.col(rank) / BLOCK))
-    totals = blocked.groupBy(*keys, "__b").agg(F.sum(value).alias("__t"))
+    totals = blocked.groupBy(*keys, "__b").agg(F.sum(value).alias("__ord_t"))
     earlier = Window.partitionBy(*keys, F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "__b", F.coalesce(F.sum("__t").over(earlier), F.lit(0.0)).alias("__offset")
+        *keys, "__b", F.coalesce(F.sum("__ord_t").over(earlier), F.lit(0.0)).alias("__offset")
     )
     w = Window.partitionBy(*keys, "__b").orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
     out = join_on(blocked.withColumn("__own", F.sum(value).over(w)), offsets, [*keys, "__b"])
@@ -101,18 +101,18 @@ def quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, as columns ``q0, q1, ..``. Rows at the needed
     ranks are picked out of a distributed sort, so no task holds the values of a group."""
-    present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    ranked = ordinal(present, keys, ["__v"], "__r")
-    sized = with_stats(ranked, keys, F.count("*").alias("__n"))
-    where = [((F.col("__n") - 1) * p, j) for j, p in enumerate(probs)]
+    present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__ord_v"))
+    ranked = ordinal(present, keys, ["__ord_v"], "__ord_r")
+    sized = with_stats(ranked, keys, F.count("*").alias("__ord_n"))
+    where = [((F.col("__ord_n") - 1) * p, j) for j, p in enumerate(probs)]
     hit = None
     for h, _ in where:
-        c = (F.col("__r") == F.floor(h)) | (F.col("__r") == F.ceil(h))
+        c = (F.col("__ord_r") == F.floor(h)) | (F.col("__ord_r") == F.ceil(h))
         hit = c if hit is None else hit | c
     aggs = []
     for h, j in where:
-        lo = F.max(F.when(F.col("__r") == F.floor(h), F.col("__v")))
-        hi = F.max(F.when(F.col("__r") == F.ceil(h), F.col("__v")))
+        lo = F.max(F.when(F.col("__ord_r") == F.floor(h), F.col("__ord_v")))
+        hi = F.max(F.when(F.col("__ord_r") == F.ceil(h), F.col("__ord_v")))
         part = F.max(h - F.floor(h))
         aggs.append((lo + (hi - lo) * part).alias(f"{prefix}{j}"))
     return sized.where(hit).groupBy(*keys).agg(*aggs)
@@ -138,25 +138,25 @@ def with_quantiles(
 
 def group_position(df: DataFrame, grp: str, seq: str, name: str) -> DataFrame:
     """(seq - min) / max(width, 1) within the group."""
-    out = with_stats(df, [grp], F.min(seq).alias("__lo"), F.max(seq).alias("__hi"))
+    out = with_stats(df, [grp], F.min(seq).alias("__ord_lo"), F.max(seq).alias("__ord_hi"))
     return out.withColumn(
-        name, (F.col(seq) - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1.0))
-    ).drop("__lo", "__hi")
+        name, (F.col(seq) - F.col("__ord_lo")) / F.greatest(F.col("__ord_hi") - F.col("__ord_lo"), F.lit(1.0))
+    ).drop("__ord_lo", "__ord_hi")
 
 
 def rank_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
     """Ordinal rank / (n - 1) within the group; 0 for a group of one."""
-    out = with_stats(ordinal(df, keys, order, "__r"), keys, F.count("*").alias("__n"))
-    return out.withColumn(name, F.col("__r") / F.greatest(F.col("__n") - 1, F.lit(1))).drop("__r", "__n")
+    out = with_stats(ordinal(df, keys, order, "__ord_r"), keys, F.count("*").alias("__ord_n"))
+    return out.withColumn(name, F.col("__ord_r") / F.greatest(F.col("__ord_n") - 1, F.lit(1))).drop("__ord_r", "__ord_n")
 
 
 def tie_rank(
     df: DataFrame, value: str, tie: str, name: str, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Rank from 1 with ties averaged. Ties are averaged by a partial aggregate over equal values."""
-    ranked = ordinal(df, keys, [value, tie], "__r")
-    shared = ranked.groupBy(*keys, value).agg((F.avg("__r") + 1).alias(name))
-    return join_on(ranked, pin_small(shared), [*keys, value]).drop("__r")
+    ranked = ordinal(df, keys, [value, tie], "__ord_r")
+    shared = ranked.groupBy(*keys, value).agg((F.avg("__ord_r") + 1).alias(name))
+    return join_on(ranked, pin_small(shared), [*keys, value]).drop("__ord_r")
 
 
 def percent_rank(
@@ -164,25 +164,25 @@ def percent_rank(
 ) -> DataFrame:
     """``average``: tie-averaged rank / n. ``ordinal``: rank / (n - 1). ``minmax``: scaled value."""
     if flavour == "average":
-        out = with_stats(tie_rank(df, value, tie, "__t", keys), keys, F.count("*").alias("__n"))
-        return out.withColumn(name, F.col("__t") / F.col("__n")).drop("__t", "__n")
+        out = with_stats(tie_rank(df, value, tie, "__ord_t", keys), keys, F.count("*").alias("__ord_n"))
+        return out.withColumn(name, F.col("__ord_t") / F.col("__ord_n")).drop("__ord_t", "__ord_n")
     if flavour == "ordinal":
         return rank_position(df, keys, [value, tie], name)
     if flavour == "minmax":
-        out = with_stats(df, keys, F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-        width = F.col("__hi") - F.col("__lo")
+        out = with_stats(df, keys, F.min(value).alias("__ord_lo"), F.max(value).alias("__ord_hi"))
+        width = F.col("__ord_hi") - F.col("__ord_lo")
         return out.withColumn(
-            name, F.when(width <= 1e-12, F.lit(0.0)).otherwise((F.col(value) - F.col("__lo")) / width)
-        ).drop("__lo", "__hi")
+            name, F.when(width <= 1e-12, F.lit(0.0)).otherwise((F.col(value) - F.col("__ord_lo")) / width)
+        ).drop("__ord_lo", "__ord_hi")
     raise ValueError(f"unknown flavour {flavour}")
 
 
 def equal_bins(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bins: int, name: str) -> DataFrame:
     """Bins cut at floor(n * i / bins); unlike ntile the spare rows do not go to the first bins."""
-    out = with_stats(ordinal(df, keys, order, "__r"), keys, F.count("*").alias("__n"))
+    out = with_stats(ordinal(df, keys, order, "__ord_r"), keys, F.count("*").alias("__ord_n"))
     return out.withColumn(
-        name, F.floor((F.lit(bins) * (F.col("__r") + 1) - 1) / F.col("__n"))
-    ).drop("__r", "__n")
+        name, F.floor((F.lit(bins) * (F.col("__ord_r") + 1) - 1) / F.col("__ord_n"))
+    ).drop("__ord_r", "__ord_n")
 
 
 def carry(
