@@ -50,18 +50,19 @@ def _group_sums(long: DataFrame) -> DataFrame:
         F.avg("anchor").alias("mb"),
         F.var_pop("pred").alias("vp"),
         F.var_pop("anchor").alias("vb"),
-        F.covar_pop("pred", "anchor").alias("c"),
+        F.var_pop(diff()).alias("vd"),
+        F.covar_pop(diff(), F.col("anchor")).alias("c"),
         F.min("pred").alias("lo"),
         F.max("pred").alias("hi"),
         F.sum((F.col("pred") < 0).cast("bigint")).alias("neg"),
     )
 
 
-def _aligned_mse(vp: Column, vb: Column, c: Column) -> Column:
-    """Mean square of (scaled and centred prediction) - (centred anchor), from variances."""
-    sp = F.greatest(F.sqrt(vp), F.lit(1e-12))
-    ratio = F.sqrt(vb) / sp
-    return F.greatest(ratio * ratio * vp + vb - ratio * c * 2, F.lit(0.0))
+def _aligned_mse(vp: Column, vb: Column, vd: Column, c: Column) -> Column:
+    """Mean square of (scaled and centred prediction) - (centred anchor). Written with the variance of the
+    change and its covariance with the anchor, which stay exact when the change is small."""
+    r = F.sqrt(vb) / F.greatest(F.sqrt(vp), F.lit(1e-12))
+    return F.greatest(r * r * vd + (r - 1) * (r - 1) * vb + r * (r - 1) * c * 2, F.lit(0.0))
 
 
 def drift_table(long: DataFrame) -> DataFrame:
@@ -74,8 +75,8 @@ def drift_table(long: DataFrame) -> DataFrame:
         (F.sum(w * F.col("mp")) / n).alias("pm"),
         (F.sum(w * F.col("mb")) / n).alias("bm"),
         F.max(F.abs(F.col("mp") - F.col("mb"))).alias("max_group_shift"),
-        F.sqrt(F.sum(w * F.greatest(F.col("vp") + F.col("vb") - F.col("c") * 2, F.lit(0.0))) / n).alias("group_mean_rmse"),
-        F.sqrt(F.sum(w * _aligned_mse(F.col("vp"), F.col("vb"), F.col("c"))) / n).alias("group_mean_std_rmse"),
+        F.sqrt(F.sum(w * F.col("vd")) / n).alias("group_mean_rmse"),
+        F.sqrt(F.sum(w * _aligned_mse(*map(F.col, ("vp", "vb", "vd", "c")))) / n).alias("group_mean_std_rmse"),
         F.min("lo").alias("pred_min"),
         F.max("hi").alias("pred_max"),
         F.sum("neg").alias("pred_neg"),
@@ -85,22 +86,22 @@ def drift_table(long: DataFrame) -> DataFrame:
     spread = both.groupBy(*KEY).agg(
         (F.sum(w * (F.col("vp") + dp * dp)) / F.max("n_all")).alias("vp"),
         (F.sum(w * (F.col("vb") + db * db)) / F.max("n_all")).alias("vb"),
-        (F.sum(w * (F.col("c") + dp * db)) / F.max("n_all")).alias("c"),
+        (F.sum(w * (F.col("vd") + (dp - db) * (dp - db))) / F.max("n_all")).alias("vd"),
+        (F.sum(w * (F.col("c") + (dp - db) * db)) / F.max("n_all")).alias("c"),
     )
     out = join_on(whole, spread, KEY)
     bias = F.col("pm") - F.col("bm")
-    centred = F.greatest(F.col("vp") + F.col("vb") - F.col("c") * 2, F.lit(0.0))
     flat = (F.col("vp") <= 1e-24) | (F.col("vb") <= 1e-24)
     return out.select(
         *KEY,
-        F.sqrt(centred + bias * bias).alias("raw_diff_rmse"),
+        F.sqrt(F.col("vd") + bias * bias).alias("raw_diff_rmse"),
         bias.alias("bias"),
-        F.sqrt(centred).alias("mean_rmse"),
-        F.sqrt(_aligned_mse(F.col("vp"), F.col("vb"), F.col("c"))).alias("mean_std_rmse"),
+        F.sqrt("vd").alias("mean_rmse"),
+        F.sqrt(_aligned_mse(*map(F.col, ("vp", "vb", "vd", "c")))).alias("mean_std_rmse"),
         "group_mean_rmse",
         "group_mean_std_rmse",
         "max_group_shift",
-        F.when(~flat, F.col("c") / F.sqrt(F.col("vp") * F.col("vb"))).alias("corr_to_anchor"),
+        F.when(~flat, (F.col("c") + F.col("vb")) / F.sqrt(F.col("vp") * F.col("vb"))).alias("corr_to_anchor"),
         F.col("pm").alias("pred_mean"),
         "pred_min",
         "pred_max",

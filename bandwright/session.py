@@ -55,3 +55,12 @@ def pin_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     if held.num_rows > limit:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(held, df.schema))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a written table, inside the shared checkpoint folder."""
+    import uuid
+
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
