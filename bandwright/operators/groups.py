@@ -261,7 +261,8 @@ def region_table(scored: DataFrame, keep: int = 10) -> DataFrame:
 
 def sequence_profile(df: DataFrame, keys: Sequence[str], seq: str = "seq", value: str = "value") -> DataFrame:
     """Per group: correlations with order, slope, share of falls, adjacent deltas, first and last."""
-    ranked = ordinal(df.select(*keys, seq, value), keys, [seq], "__o")
+    cols = list(dict.fromkeys([*keys, seq, value]))
+    ranked = ordinal(df.select(*cols), keys, [seq], "__o")
     ranked = tie_rank(ranked, value, "__o", "__rv", keys)
     stepped = previous(ranked, keys, "__o", value, "__p").withColumn("__d", F.col(value) - F.col("__p"))
     base = stepped.groupBy(*keys).agg(

@@ -6,10 +6,11 @@ neighbouring blocks, with chunk borders moved every round, until no neighbours a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +20,66 @@ from .ordered import carry, join_on, ordinal, previous, quantile_values, with_st
 CHUNK = 50_000
 
 
-def pool(sums: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Lengths of the pooled runs of a non-decreasing fit."""
-    s: list[float] = []
-    w: list[float] = []
-    n: list[int] = []
-    for a, b in zip(sums, weights):
-        s.append(a)
-        w.append(b)
-        n.append(1)
-        while len(s) > 1 and s[-2] / w[-2] > s[-1] / w[-1]:
-            for stack in (s, w, n):
-                last = stack.pop()
-                stack[-1] += last
-    return np.asarray(n)
+def pool(sums: np.ndarray, weights: np.ndarray, held: list | None = None) -> list[list[float]]:
+    """Pooled runs [sum, weight, rows] of a non-decreasing fit; ``held`` continues an earlier call."""
+    runs = [] if held is None else held
+    for a, b in zip(sums.tolist(), weights.tolist()):
+        run = [a, b, 1]
+        while runs and runs[-1][0] * run[1] > run[0] * runs[-1][1]:
+            last = runs.pop()
+            run = [run[0] + last[0], run[1] + last[1], run[2] + last[2]]
+        runs.append(run)
+    return runs
+
+
+def _starts(cols: list[pa.Array]) -> np.ndarray:
+    """Places in a batch where the key columns differ from the row before."""
+    new = np.zeros(len(cols[0]), dtype=bool)
+    for c in cols:
+        same = pc.equal(c.slice(1), c.slice(0, len(c) - 1))
+        both_null = pc.and_(pc.is_null(c.slice(1)), pc.is_null(c.slice(0, len(c) - 1)))
+        new[1:] |= ~pc.or_kleene(same, both_null).fill_null(False).to_numpy(zero_copy_only=False)
+    return new
+
+
+def _pool_sorted(keys: Sequence[str]):
+    """Task function: rows sorted by (keys, __c, __lo) in, pooled blocks out. One group's runs are held at
+    a time, so groups may be many or long."""
+    names = [*keys, "__c"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: pa.RecordBatch | None = None
+        los: list[int] = []
+        runs: list = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not runs:
+                return
+            at = np.concatenate([[0], np.cumsum([r[2] for r in runs])[:-1]]).astype(int)
+            lo = np.concatenate(los)[at]
+            cols = [pa.array([key.column(k)[0].as_py()] * len(runs), key.column(k).type) for k in keys]
+            cols += [pa.array(lo), pa.array([r[0] for r in runs]), pa.array([r[1] for r in runs])]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keys, "__lo", "__s", "__w"])
+
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            new = _starts([b.column(k) for k in names])
+            first = b.slice(0, 1)
+            new[0] = key is None or any(key.column(k)[0].as_py() != first.column(k)[0].as_py() for k in names)
+            cuts = np.flatnonzero(np.r_[new, True])
+            if not new[0]:
+                cuts = np.r_[0, cuts]
+            lo, s, w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("__lo", "__s", "__w"))
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if new[i]:
+                    yield from flush()
+                    key, los, runs = b.slice(i, 1), [], []
+                los.append(lo[i:j])
+                pool(s[i:j], w[i:j], runs)
+        yield from flush()
+
+    return run
 
 
 def isotonic(
@@ -50,26 +97,16 @@ def isotonic(
         w.alias("__w"),
     )
     schema = rows.drop("__b").schema
-    names = [f.name for f in schema.fields]
-
-    def pool_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__lo", ignore_index=True)
-        run = pool(pdf["__s"].to_numpy(), pdf["__w"].to_numpy())
-        starts = np.concatenate([[0], np.cumsum(run)[:-1]]).astype(int)
-        out = pdf.iloc[starts][names].reset_index(drop=True)
-        out["__s"] = np.add.reduceat(pdf["__s"].to_numpy(), starts)
-        out["__w"] = np.add.reduceat(pdf["__w"].to_numpy(), starts)
-        return out
 
     def pooled(blocks: DataFrame, shift: int) -> DataFrame:
-        part = blocks.withColumn("__c", F.floor((F.col("__b") + shift) / chunk))
-        return part.groupBy(*keys, "__c").applyInPandas(pool_chunk, schema)
+        part = blocks.withColumn("__c", F.floor((F.col("__b") + shift) / chunk)).drop("__b")
+        spread = part.repartition(*[F.col(k) for k in keys], "__c").sortWithinPartitions(*keys, "__c", "__lo")
+        return spread.mapInArrow(_pool_sorted(keys), schema)
 
     largest = rows.agg(F.max("__b").alias("m")).first()["m"] or 0
     blocks = pooled(rows, 0)
     shift = chunk // 2
-    single = largest < chunk
-    while not single:
+    while largest >= chunk:
         ordered = ordinal(blocks, keys, ["__lo"], "__b").withColumn("__m", F.col("__s") / F.col("__w"))
         broken = previous(ordered, keys, "__b", "__m", "__p").where(F.col("__p") > F.col("__m"))
         if not broken.limit(1).count():

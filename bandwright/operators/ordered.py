@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, pin_small
+from ..session import cut, looks_small, pin_small
 
 BLOCK = 100_000
 
@@ -42,7 +42,11 @@ def with_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
 def ordinal(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "rank"
 ) -> DataFrame:
-    """0-based position within ``keys`` by ``order``; ``order`` must be unique for stable results."""
+    """0-based position within ``keys`` by ``order``; ``order`` must be unique for stable results. A small
+    input takes a plain window; the rest is sorted by range."""
+    if looks_small(df):
+        w = Window.partitionBy(*keys, F.lit(0)).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(w).cast("bigint") - 1)
     by = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
     numbered = cut(
         df.repartitionByRange(*by)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Rows a side may hold before a broadcast of it is given up for a shuffle join.
 BROADCAST_ROW_LIMIT = 50_000
+# Estimated bytes up to which a plain window or broadcast is used without looking at the data.
+SMALL_PLAN_BYTES = 32 << 20
 
 
 def build_session(app: str = "bandwright", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,14 +45,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder and continue from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once to a table in the checkpoint folder and continue from there. Unlike
+    ``checkpoint`` this runs one job, and later readers open only the columns they use."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def looks_small(df: DataFrame, share: int = 1) -> bool:
+    """Whether Catalyst's size estimate (file sizes through the plan) is under the limit. Costs no job;
+    joins and unknown sources are over-estimated, which only leads to the distributed way."""
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()
+    except AttributeError:
+        return False
+    return int(size) <= SMALL_PLAN_BYTES // share
 
 
 def pin_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """A lookup table for joins. Up to ``limit`` rows it is read once, kept as a local relation and
-    broadcast; a larger one stays distributed and is joined by shuffle."""
+    """A lookup table for joins. When its plan is small it is broadcast as it is. Otherwise up to
+    ``limit`` rows are read once, kept as a local relation and broadcast; a larger table stays
+    distributed and is joined by shuffle."""
+    if looks_small(df, 4):
+        return F.broadcast(df)
     held = df.limit(limit + 1).toArrow()
     if held.num_rows > limit:
         return df
