@@ -92,27 +92,27 @@ def isotonic(
     rows = df.select(
         *keys,
         F.col(rank).cast("long").alias("__lo"),
-        F.col(rank).cast("long").alias("__b"),
+        F.col(rank).cast("long").alias("__at"),
         (F.col(value).cast("double") * w * sign).alias("__s"),
         w.alias("__w"),
     )
-    schema = rows.drop("__b").schema
+    schema = rows.drop("__at").schema
 
     def pooled(blocks: DataFrame, shift: int) -> DataFrame:
-        part = blocks.withColumn("__c", F.floor((F.col("__b") + shift) / chunk)).drop("__b")
+        part = blocks.withColumn("__c", F.floor((F.col("__at") + shift) / chunk)).drop("__at")
         spread = part.repartition(*[F.col(k) for k in keys], "__c").sortWithinPartitions(*keys, "__c", "__lo")
         return spread.mapInArrow(_pool_sorted(keys), schema)
 
-    largest = rows.agg(F.max("__b").alias("m")).first()["m"] or 0
+    largest = rows.agg(F.max("__at").alias("m")).first()["m"] or 0
     blocks = pooled(rows, 0)
     shift = chunk // 2
     while largest >= chunk:
-        ordered = ordinal(blocks, keys, ["__lo"], "__b").withColumn("__m", F.col("__s") / F.col("__w"))
-        broken = previous(ordered, keys, "__b", "__m", "__p").where(F.col("__p") > F.col("__m"))
+        ordered = ordinal(blocks, keys, ["__lo"], "__at").withColumn("__mean", F.col("__s") / F.col("__w"))
+        broken = previous(ordered, keys, "__at", "__mean", "__before").where(F.col("__before") > F.col("__mean"))
         if not broken.limit(1).count():
-            blocks = ordered.drop("__b", "__m")
+            blocks = ordered.drop("__at", "__mean")
             break
-        blocks = pooled(ordered.drop("__m"), shift)
+        blocks = pooled(ordered.drop("__mean"), shift)
         shift = chunk // 2 - shift
     fits = blocks.select(*keys, F.col("__lo").alias(rank), (F.col("__s") / F.col("__w") * sign).alias("__fit"))
     return carry(join_on(df, fits, [*keys, rank]), keys, rank, "__fit", name).drop("__fit")
