@@ -434,6 +434,11 @@ def cv_1(spark, sf):
     return per.where("f = 1").agg(F.sum("c").alias("n"), F.count("*").alias("groups"))
 
 
+@query("CV-1-folds")
+def cv_1_folds(spark, sf):
+    return Cv.group_kfold(spectra(spark, sf), 5).select("id", "fold_id")
+
+
 @query(
     "CV-2",
     f"WITH {SPECTRA_SQL} SELECT id, {i('dense_rank() OVER (ORDER BY grp) - 1', 'fold_id')} FROM spectra",
@@ -500,7 +505,7 @@ def cv_8(spark, sf):
 @query("CV-9")
 def cv_9(spark, sf):
     """Out-of-fold predictions of a branch given as a rule on the matrix."""
-    df = Cv.group_kfold(train(spark, sf), 5)
+    df = Cv.leave_one_group(train(spark, sf))
     return Cv.out_of_fold(df, lambda g: So.pls(g, 3)).select("id", "fold_id", "y_pred")
 
 

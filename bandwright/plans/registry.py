@@ -47,3 +47,10 @@ def d(expr: str, name: str, digits: int = 6) -> str:
 def i(expr: str, name: str) -> str:
     """SQL for a 64-bit integer column."""
     return f"CAST({expr} AS BIGINT) AS {name}"
+
+
+def check(name: str, sql: str) -> None:
+    """Add the checking SQL of a query registered without one."""
+    if name in ORACLES:
+        raise ValueError(f"{name} already has its SQL")
+    ORACLES[name] = sql.strip()
