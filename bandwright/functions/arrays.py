@@ -21,7 +21,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def doubles(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """Array literal, parsed in one go; Catalyst folds it to a single constant."""
+    held = [float(v) for v in values]
+    if held and np.isfinite(held).all():
+        return F.expr(f"array({', '.join(f'{v!r}D' for v in held)})")
+    return F.array(*[F.lit(v) for v in held]).cast("array<double>")
 
 
 # ---- sums ------------------------------------------------------------------------------

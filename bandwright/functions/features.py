@@ -35,25 +35,17 @@ def split_points(n: int, bins: int) -> list[tuple[int, int]]:
 # ---- windows ---------------------------------------------------------------------------
 
 
-def _axis(width: int) -> list[float]:
-    return [k - (width - 1) / 2 for k in range(width)]
+def window_stat(block: Column, width: Column | int, stat: str) -> Column:
+    """One statistic of a window. The width may be a column, so one expression serves all windows."""
+    w = (F.lit(width) if isinstance(width, int) else width).cast("double")
 
-
-def _curve(width: int) -> list[float]:
-    squares = [a * a for a in _axis(width)]
-    level = sum(squares) / width
-    return [s - level for s in squares]
-
-
-def window_stat(block: Column, width: int, stat: str) -> Column:
-    """One statistic of a window of known width."""
-
-    def projected(weights: list[float]) -> Column:
-        norm = max(sum(w * w for w in weights), A.EPS)
-        return A.dot(block, A.doubles([w / norm for w in weights]))
+    def projected(weight, norm: Column) -> Column:
+        """sum of weight(k - middle) * block[k] over the sum of squared weights."""
+        terms = F.zip_with(block, F.sequence(F.lit(0), F.size(block) - 1), lambda v, k: v * weight(k - (w - 1) / 2))
+        return A.total(terms) / F.greatest(norm, F.lit(A.EPS))
 
     if stat == "mean":
-        return A.total(block) / width
+        return A.total(block) / w
     if stat == "std":
         return A.spread(block)
     if stat == "min":
@@ -63,13 +55,13 @@ def window_stat(block: Column, width: int, stat: str) -> Column:
     if stat == "range":
         return F.array_max(block) - F.array_min(block)
     if stat == "slope":
-        return projected(_axis(width))
+        return projected(lambda a: a, w * (w * w - 1) / 12)
     if stat == "curvature":
-        return projected(_curve(width))
+        return projected(lambda a: a * a - (w * w - 1) / 12, w * (w * w - 1) * (w * w - 4) / 180)
     if stat == "edge":
         return F.element_at(block, -1) - F.element_at(block, 1)
     if stat == "center_minus_mean":
-        return F.get(block, F.lit(width // 2)) - A.total(block) / width
+        return F.get(block, F.floor(w / 2).cast("int")) - A.total(block) / w
     raise ValueError(f"unknown statistic {stat}")
 
 
@@ -84,38 +76,42 @@ def window_grid(n: int) -> list[tuple[int, int]]:
     return list(dict.fromkeys(span for w in WINDOW_WIDTHS for span in windows(n, w, w)))
 
 
+def span_table(spans: Sequence[tuple[int, int]]) -> Column:
+    """The windows as an array literal of (s, e)."""
+    return F.expr("array(" + ", ".join(f"named_struct('s', {a}, 'e', {b})" for a, b in spans) + ")")
+
+
 def window_features(x: Column, spans: Sequence[tuple[int, int]], stats: Sequence[str]) -> Column:
-    """Array of statistics, window by window."""
+    """Array of statistics, window by window. The plan does not grow with the number of windows."""
 
-    def block(r: Column, s: int, e: int) -> Column:
-        return A.let(
-            A.band_interval(r, s, e),
-            lambda b: F.array(*[window_stat(b, e - s, t) for t in stats]),
-        )
+    def block(r: Column, s: Column) -> Column:
+        width = s["e"] - s["s"]
+        return A.let(F.slice(r, s["s"] + 1, width), lambda b: F.array(*[window_stat(b, width, t) for t in stats]))
 
-    return A.let(x, lambda r: F.flatten(F.array(*[block(r, s, e) for s, e in spans])))
+    return A.let(x, lambda r: F.flatten(F.transform(span_table(spans), lambda s: block(r, s))))
 
 
 def window_rows(x: Column, spans: Sequence[tuple[int, int]], stats: Sequence[str]) -> Column:
     """Array of (win_start, win_end, stat, v) structs, ready for ``inline``."""
 
-    def block(r: Column, s: int, e: int) -> Column:
+    def block(r: Column, s: Column) -> Column:
+        width = s["e"] - s["s"]
         return A.let(
-            A.band_interval(r, s, e),
+            F.slice(r, s["s"] + 1, width),
             lambda b: F.array(
                 *[
                     F.struct(
-                        F.lit(s).cast("bigint").alias("win_start"),
-                        F.lit(e).cast("bigint").alias("win_end"),
+                        s["s"].cast("bigint").alias("win_start"),
+                        s["e"].cast("bigint").alias("win_end"),
                         F.lit(t).alias("stat"),
-                        window_stat(b, e - s, t).cast("double").alias("v"),
+                        window_stat(b, width, t).cast("double").alias("v"),
                     )
                     for t in stats
                 ]
             ),
         )
 
-    return A.let(x, lambda r: F.flatten(F.array(*[block(r, s, e) for s, e in spans])))
+    return A.let(x, lambda r: F.flatten(F.transform(span_table(spans), lambda s: block(r, s))))
 
 
 def segment_means(x: Column, spans: Sequence[tuple[int, int]]) -> Column:

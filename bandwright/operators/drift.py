@@ -273,8 +273,11 @@ def candidate_gate(table: DataFrame, limits: dict = Q5_GATE) -> DataFrame:
 def candidate_similarity(long: DataFrame, names: Sequence[str], top: int = 20) -> DataFrame:
     """Correlation, Jaccard of changed rows and top overlap for every pair of named candidates. The
     changes of one id become one short array, so pairs come out of a small matrix, not of a self-join."""
-    cols = [F.coalesce(F.max(F.when(F.col("candidate") == F.lit(n), diff())), F.lit(0.0)) for n in names]
-    wide = long.groupBy("id").agg(F.array(*cols).alias("x"))
+    per = F.map_from_entries(F.collect_list(F.struct("candidate", diff())))
+    held = long.where(F.col("candidate").isin(list(names))).groupBy("id").agg(per.alias("m"))
+    wide = held.select(
+        "id", F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.coalesce(F.try_element_at("m", n), F.lit(0.0))).alias("x")
+    )
     g = gram(wide, None, [])[None]
     h = gram(wide.withColumn("x", F.transform("x", lambda v: (F.abs(v) > 1e-12).cast("double"))), None, [])[None]
     sd = np.sqrt(np.maximum(np.diag(g.sxx), 0.0))

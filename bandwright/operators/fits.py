@@ -22,7 +22,7 @@ from . import neighbours as Nb
 from . import select as P
 from . import solvers as So
 from . import targets as T
-from .folds import out_of_fold, predict, predict_by
+from .folds import predict, predict_by, predict_many
 from .groups import centroids
 from .moments import Gram, gram, held_out, spectra_matrix
 from .ordered import join_on, quantile_values
@@ -451,18 +451,15 @@ def routed_selection(
         by_cluster.setdefault(c, {})[f] = g
     whole = {c: M.total(parts) for c, parts in by_cluster.items()}
     everything = M.total(whole)
-    scored = fit.withColumn("__k", key)
+    models: dict[str, dict] = {}
     for name, rule in rules.items():
-        models = {}
+        models[name] = {}
         for c, parts in by_cluster.items():
             for f in parts:
                 rest = whole[c] - parts[f]
-                models[f"{c}|{f}"] = rule(rest if rest.n >= min_rows else everything - parts[f])
-        scored = predict_by(scored, models, "__k", f"__p_{name}")
-    long = scored.select(
-        cluster_col, group, "y",
-        F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"__p_{n}").alias("p")) for n in rules])).alias("s"),
-    ).select(cluster_col, group, "y", "s.*")
+                models[name][f"{c}|{f}"] = rule(rest if rest.n >= min_rows else everything - parts[f])
+    long = predict_many(fit.withColumn("__k", key), models, "__k", [cluster_col, group, "y"])
+    long = long.withColumnsRenamed({"spec": "rule", "y_pred": "p"})
     e = F.col("p") - F.col("y")
     per = long.groupBy(cluster_col, "rule", group).agg(F.sum(e * e).alias("sse"), F.sum(e).alias("se"), F.count("*").alias("n"))
     table = per.groupBy(cluster_col, "rule").agg(

@@ -8,21 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..session import pin_small
+from ..session import BROADCAST_ROW_LIMIT, pin_small
 from . import solvers as So
 from .moments import Gram, gram, held_out
 from .ordered import join_on, ordinal
 
 
+# Groups the greedy assignment accepts.
+MAX_GROUPS = 1_000_000
+
+
 def _attach(df: DataFrame, table: list[tuple], group: str) -> DataFrame:
     kind = df.schema[group].dataType.simpleString()
     small = df.sparkSession.createDataFrame(table, f"`{group}` {kind}, fold_id long")
-    return join_on(df, F.broadcast(small), [group])
+    return join_on(df, F.broadcast(small) if len(table) <= BROADCAST_ROW_LIMIT else small, [group])
 
 
 def group_kfold(df: DataFrame, n: int = 5, group: str = "grp", seen: str = "id") -> DataFrame:
-    """Groups by size (largest first, then first seen) into the smallest fold so far (lowest number)."""
-    counts = df.groupBy(group).agg(F.count("*").alias("c"), F.min(seen).alias("s")).collect()
+    """Groups by size (largest first, then first seen) into the smallest fold so far (lowest number). The
+    assignment is sequential over group counts, so their number is checked."""
+    counts = df.groupBy(group).agg(F.count("*").alias("c"), F.min(seen).alias("s")).limit(MAX_GROUPS + 1).collect()
+    if len(counts) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups; number them by hash instead")
     counts.sort(key=lambda r: (-r["c"], r["s"]))
     sizes = [0] * min(n, len(counts))
     table = []
@@ -100,6 +107,22 @@ def predict_by(df: DataFrame, models: dict, key: str, name: str = "y_pred", x: s
     return joined.withColumn(name, A.dot(F.col(x), F.col("__w")) + F.col("__b")).drop("__mk", "__w", "__b")
 
 
+def predict_many(df: DataFrame, models: dict[str, dict], key: str, keep: Sequence[str], x: str = "x") -> DataFrame:
+    """Rows (keep.., spec, y_pred): every row scored by the models of its key under all specs. One
+    broadcast row per key holds the coefficients of all specs."""
+    rows: dict[str, list] = {}
+    for spec, by_key in models.items():
+        for k, m in by_key.items():
+            rows.setdefault(str(k), []).append((spec, [float(v) for v in m.coef], float(m.intercept)))
+    ddl = "__mk string, __m array<struct<spec: string, w: array<double>, b: double>>"
+    table = F.broadcast(df.sparkSession.createDataFrame(list(rows.items()), ddl))
+    joined = df.join(table, df[key].cast("string") == table["__mk"], "left")
+    scored = F.transform(
+        "__m", lambda m: F.struct(m["spec"].alias("spec"), (A.dot(F.col(x), m["w"]) + m["b"]).alias("y_pred"))
+    )
+    return joined.select(*keep, F.inline(scored))
+
+
 def out_of_fold(
     df: DataFrame, fit: Callable[[Gram], So.Linear], fold: str = "fold_id", name: str = "y_pred", y: str | Sequence[str] = "y"
 ) -> DataFrame:

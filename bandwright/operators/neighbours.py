@@ -171,14 +171,16 @@ def _cells(q: DataFrame, r: DataFrame, k: int, no_self: bool) -> DataFrame:
         refs.mapInArrow(nearest, ddl).select("cell", "dc", "id")
         .withColumn("n", F.row_number().over(by_dist)).where(F.col("n") <= want).select("cell", "dc").collect()
     )
-    closest: dict[int, list[float]] = {}
+    closest = np.full((len(pivots), want), np.inf)
+    filled = np.zeros(len(pivots), dtype=int)
     for row in near:
-        closest.setdefault(row["cell"], []).append(row["dc"])
+        closest[row["cell"], filled[row["cell"]]] = row["dc"]
+        filled[row["cell"]] += 1
     between = _to_pivots(pivots, pivots)
     reach, q_count = {}, {}
     for row in q_stats:
-        upper = sorted(row["u"] + between[row["cell"], j] + s for j, ss in closest.items() for s in ss)
-        theta = upper[want - 1] if len(upper) >= want else math.inf
+        upper = (row["u"] + between[row["cell"]][:, None] + closest).ravel()
+        theta = float(np.partition(upper, want - 1)[want - 1])
         reach[row["cell"]] = (row["u"] + theta) * (1 + 1e-9) + 1e-9
         q_count[row["cell"]] = row["n"]
     cells = np.asarray(sorted(reach))

@@ -265,10 +265,8 @@ def grid(train: DataFrame, names: Sequence[str], fold: str = "fold_id") -> DataF
     for pre, specs in by_pre.items():
         rows = get_preprocessor(pre).transform(train)
         rest = held_out(gram(rows, fold))
-        for s in specs:
-            rows = Cv.predict_by(rows, {k: get_predictor(s.predictor).rule(g) for k, g in rest.items()}, fold, s.name)
-        pairs = F.array(*[F.struct(F.lit(s.name).alias("experiment"), F.col(s.name).alias("y_pred")) for s in specs])
-        long = rows.select(F.col("y").alias("y_true"), F.explode(pairs).alias("s")).select("y_true", "s.*")
+        models = {s.name: {k: get_predictor(s.predictor).rule(g) for k, g in rest.items()} for s in specs}
+        long = Cv.predict_many(rows.withColumn("y_true", F.col("y")), models, fold, ["y_true"]).withColumnRenamed("spec", "experiment")
         part = G.metrics(long, ["experiment"])
         out = part if out is None else out.unionByName(part)
     return out

@@ -519,15 +519,10 @@ def grid_scores(df, fold="fold_id"):
     """Every (feature set, model) pair by group folds; all fits share one matrix per fold and all
     predictions one scan."""
     rest = M.held_out(M.gram(df, fold))
-    out, names = df, []
-    for s, pick in GRID_SETS.items():
-        for m, fit in GRID_MODELS.items():
-            out = Cv.predict_by(out, {k: fit(g, pick(g)) for k, g in rest.items()}, fold, f"{s}__{m}")
-            names.append(f"{s}__{m}")
-    long = out.select(
-        "grp", F.col("y").alias("y_true"),
-        F.explode(F.array(*[F.struct(F.lit(n).alias("spec"), F.col(n).alias("y_pred")) for n in names])).alias("s"),
-    ).select("grp", "y_true", "s.*")
+    models = {
+        f"{s}__{m}": {k: fit(g, pick(g)) for k, g in rest.items()} for s, pick in GRID_SETS.items() for m, fit in GRID_MODELS.items()
+    }
+    long = Cv.predict_many(df.withColumn("y_true", F.col("y")), models, fold, ["grp", "y_true"])
     whole = G.metrics(long, ["spec"]).select("spec", "rmse")
     scored = whole.join(G.worst_group(long, ["spec"]), "spec")
     return scored.withColumn("guard", Cv.guard_score(F.col("rmse"), F.col("worst_rmse"), F.col("worst_bias")))
