@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from . import q_compare, q_fits, q_neighbours, q_order, q_runs  # noqa: F401  (register the queries first)
-from .fixtures import SPECTRA_SQL, TRAIN_SQL
+from .fixtures import CAND_SQL, SPECTRA_SQL, TRAIN_SQL
 from .q_arrays import REF_CTE, SNV0
 from .q_compare import LATEST_SQL
 from .q_fits import TR_LONG_SQL
@@ -259,3 +259,134 @@ src AS (SELECT p.experiment AS k, q.x, q.y FROM ok p JOIN ok q ON p.experiment <
 pr AS (SELECT ok.experiment, ok.y, {scored('ok.x')} AS p FROM ok JOIN sysm ON sysm.k = ok.experiment JOIN sol ON sol.k = ok.experiment)
 SELECT experiment, {d('y', 'measured', 4)}, {d('p', 'estimate', 4)}, {d('p - y', 'error', 4)} FROM pr"""),
 )
+
+# ---- principal components --------------------------------------------------------------
+
+SQUARINGS = 14
+
+
+def pca(comps: int, scaled: bool = False) -> str:
+    """Leading eigenvectors pc(k, c, v, lam) of sysm by repeated squaring and deflation; the largest
+    loading of each is positive. Unscaled components undo the scaling of ``a`` first."""
+    start = "a" if scaled else "list_transform(a, lambda row, g: list_transform(row, lambda v, h: v * s[g] * s[h]))"
+    turn = SQUARINGS + 1
+    return f"""eg AS (SELECT k, 0 AS it, {start} AS a, {start} AS b, [0.0::DOUBLE] AS v, 0.0::DOUBLE AS lam FROM sysm
+  UNION ALL SELECT k, it + 1, CASE WHEN sq THEN a ELSE list_transform(a, lambda row, g: list_transform(row, lambda u, h: u - lam * v[g] * v[h])) END,
+    CASE WHEN sq THEN list_transform(b2, lambda row: list_transform(row, lambda u: u / tr)) ELSE list_transform(a, lambda row, g: list_transform(row, lambda u, h: u - lam * v[g] * v[h])) END, v, lam FROM (
+    SELECT k, it, a, sq, b2, v, CASE WHEN sq THEN 0 ELSE {DOT}(v, list_transform(a, lambda row: {DOT}(row, v))) END AS lam,
+      CASE WHEN sq THEN list_sum(list_transform(b2, lambda row, g: row[g])) END AS tr FROM (
+      SELECT k, it, a, sq, b2, CASE WHEN sq THEN v0 ELSE list_transform(cv, lambda u: u / sqrt({DOT}(cv, cv)) * sign(cv[list_position(list_transform(cv, lambda t: abs(t)), list_max(list_transform(cv, lambda t: abs(t))))])) END AS v FROM (
+        SELECT k, it, a, v AS v0, it % {turn} < {SQUARINGS} AS sq, CASE WHEN it % {turn} < {SQUARINGS} THEN list_transform(b, lambda row: list_transform(b, lambda col: {DOT}(row, col))) END AS b2,
+          b[list_position(list_transform(b, lambda row, g: row[g]), list_max(list_transform(b, lambda row, g: row[g])))] AS cv FROM eg WHERE it < {comps * turn})))),
+pc AS (SELECT k, it // {turn} AS c, v, lam FROM eg WHERE it > 0 AND it % {turn} = 0)"""
+
+
+SRC_TRAIN = "src AS (SELECT 1 AS k, x, y FROM train)"
+CENTRED = "list_transform(x, lambda v, h: v - m[h])"
+
+check(
+    "TGT-7",
+    rec(f"""{TRAIN_SQL}, {SRC_TRAIN}, {moments(64)}, {pca(5)}
+SELECT id, {i('c - 1', 'k')}, {d(f'{DOT}({CENTRED}, pc.v)', 'v')} FROM spectra, sysm, pc"""),
+)
+check(
+    "AGG-28-scores",
+    rec(f"""{TRAIN_SQL}, {SRC_TRAIN}, {moments(64)}, {pca(3)}, sc AS (SELECT id, grp, c, {DOT}({CENTRED}, pc.v) AS t FROM spectra, sysm, pc)
+SELECT grp, CASE WHEN grp <= 6 THEN 'train' ELSE 'test' END AS domain, {i('count(*) // 3', 'n')}, {', '.join(d(f'avg(CASE WHEN c = {c} THEN t END)', f'pc{c}') for c in (1, 2, 3))} FROM sc GROUP BY grp"""),
+)
+_DROP = f"""sc AS (SELECT id, grp, y, c, any_value(pc.v) AS l, any_value(lam) AS lam, any_value({DOT}({CENTRED}, pc.v)) AS t FROM spectra, sysm, pc GROUP BY id, grp, y, c)"""
+_LEFT = f"""rm AS (SELECT id, any_value(x) AS x, list(l ORDER BY c) AS ls, list(t ORDER BY c) AS ts FROM (SELECT s.id, s.x, sc.c, sc.l, sc.t FROM spectra s JOIN sc ON sc.id = s.id WHERE sc.c IN (SELECT c FROM gone)) GROUP BY id)
+SELECT id, {i('unnest(range(64))', 'k')}, {d('unnest(list_transform(x, lambda v, h: v - list_sum(list_transform(ts, lambda t, g: t * ls[g][h]))))', 'v')} FROM rm"""
+check(
+    "TGT-12",
+    rec(f"""{TRAIN_SQL}, {SRC_TRAIN}, {moments(64)}, {pca(10)}, {_DROP},
+gone AS (SELECT c FROM (SELECT c, abs(corr(t, y)) AS r FROM sc WHERE grp <= 6 GROUP BY c) ORDER BY r, c LIMIT 3), {_LEFT}"""),
+)
+check(
+    "TGT-13",
+    rec(f"""{TRAIN_SQL}, src AS (SELECT 1 AS k, x, y FROM spectra), {moments(64)}, {pca(10)}, {_DROP},
+sf AS (SELECT c, abs(avg(CASE WHEN grp > 6 THEN t END) - avg(CASE WHEN grp <= 6 THEN t END)) / sqrt(any_value(lam) / (count(*) - 1)) AS sh, abs(corr(CASE WHEN grp <= 6 THEN t END, CASE WHEN grp <= 6 THEN y END)) AS r FROM sc GROUP BY c),
+gone AS (SELECT c FROM sf ORDER BY sh / greatest(r, 1e-3) DESC, c LIMIT 2), {_LEFT}"""),
+)
+check(
+    "MOD-7",
+    rec(f"""{TRAIN_SQL}, {SRC_TRAIN}, {moments(64)}, {pca(25, scaled=True)},
+wt AS (SELECT list(pc.v ORDER BY c) AS vs, list({DOT}(pc.v, b) / (lam + 300) ORDER BY c) AS ws, any_value(m) AS m, any_value(s) AS s, any_value(ym) AS ym FROM pc, sysm)
+SELECT id, {d(f"ym + list_sum(list_transform(vs, lambda u, c: ws[c] * {DOT}(u, {SCALED.format(x='x')})))", 'y_pred')} FROM test, wt"""),
+)
+_PICK5 = f"list_transform({picked(5)}, lambda b: x[b])"
+check(
+    "MOD-4",
+    rec(f"""{TR_LONG_SQL}, {TOP}, src AS (SELECT 1 AS k, {_PICK5} AS x, y FROM train), {moments(5)}, {pca(5, scaled=True)},
+al AS (SELECT unnest([3.0, 10.0, 30.0, 100.0, 300.0, 1000.0]::DOUBLE[]) AS al), zr AS (SELECT id, y, {SCALED.format(x='x')} AS z, ym, n FROM (SELECT id, y, {_PICK5} AS x FROM train), sysm),
+lo AS (SELECT al, id, any_value(zr.y) - any_value(zr.ym) - sum({DOT}(z, pc.v) * {DOT}(pc.v, b) / (lam + al)) AS e, 1.0 / any_value(zr.n) + sum({DOT}(z, pc.v) ** 2 / (lam + al)) AS h FROM zr, pc, sysm, al GROUP BY al, id),
+best AS (SELECT al FROM lo GROUP BY al ORDER BY sum((e / (1 - h)) ** 2), al LIMIT 1),
+tz AS (SELECT id, {SCALED.format(x='x')} AS z, ym, b FROM (SELECT id, {_PICK5} AS x FROM test), sysm)
+SELECT id, {d(f'any_value(ym) + sum({DOT}(z, pc.v) * {DOT}(pc.v, b) / (lam + al))', 'y_pred')} FROM tz, pc, best GROUP BY id"""),
+)
+_DIFF1 = "list_transform(range(1, 64), lambda k: x[k + 1] - x[k])"
+_DIFF2 = "list_transform(range(1, 63), lambda k: x[k + 2] - 2 * x[k + 1] + x[k])"
+_ABS = "list_transform({}, lambda u: abs(u))"
+check(
+    "TGT-11",
+    rec(f"""{TRAIN_SQL}, {SRC_TRAIN}, {moments(64)}, {pca(18)}, q AS (SELECT id, grp, x, {_DIFF1} AS g, {_DIFF2} AS h FROM spectra),
+sh AS (SELECT id, grp, [list_avg(g), list_stddev_pop(g), list_max({_ABS.format('g')}), list_avg({_ABS.format('h')}), list_stddev_pop(h), list_max({_ABS.format('h')}), list_avg(x[1:16]), list_avg(x[17:32]), list_avg(x[33:48]), list_avg(x[49:64])]
+  || list_transform(range(0, 4), lambda q: (CASE WHEN q = 0 THEN sqrt(1 / 64.0) ELSE sqrt(2 / 64.0) END) * list_sum(list_transform(range(0, 64), lambda j: x[j + 1] * cos(pi() * (2 * j + 1) * q / 128.0)))) AS f FROM q),
+fu AS (SELECT id, grp, unnest(range(14)) AS j, unnest(f) AS u FROM sh), fs AS (SELECT j, avg(u) AS fm, stddev_pop(u) AS fd FROM fu WHERE grp <= 6 GROUP BY j)
+SELECT id, {i('c - 1', 'k')}, {d(f'{DOT}({CENTRED}, pc.v)', 'v')} FROM spectra, sysm, pc UNION ALL SELECT id, {i('18 + j', 'k')}, {d('0.5 * (u - fm) / fd', 'v')} FROM fu JOIN fs USING (j)"""),
+)
+check(
+    "DRF-6-gate",
+    f"""WITH {CAND_SQL}, t AS (SELECT *, pred - anchor AS df, y_true - anchor AS rs, CASE WHEN id % 3 = 0 THEN 100.0 ELSE 0 END AS pr, CASE WHEN id % 5 = 0 THEN anchor / 1000 ELSE 0 END AS ic FROM cand),
+b AS (SELECT candidate, CASE WHEN stddev_pop(df) <= 1e-9 THEN 0 ELSE corr(df, ic) END AS icc, CASE WHEN stddev_pop(df) <= 1e-9 THEN 0 ELSE corr(df, pr) END AS pc, sum((abs(df) > 1e-12)::INT) AS ch, sqrt(avg(df ** 2)) AS rm, max(abs(df)) AS mx,
+  sum((pred < 0)::INT) AS ng, sum((abs(df) > 1e-12 AND abs(df) >= 1000 - 1e-12)::INT) AS cs, sqrt(avg((greatest(pred, 0) - y_true) ** 2)) - sqrt(avg((anchor - y_true) ** 2)) AS od,
+  sum((abs(df) > 1e-12 AND abs(ic) <= 1e-12)::INT) AS nw, sum((abs(df) > 1e-12 AND abs(ic) > 1e-12)::INT) / greatest(sum((abs(df) > 1e-12)::INT), 1) AS ov FROM t GROUP BY candidate),
+gt AS (SELECT candidate, CASE WHEN count(*) FILTER (abs(df) > 1e-12) = 0 OR stddev_pop(df) FILTER (abs(df) > 1e-12) <= 1e-9 THEN 0 ELSE corr(df, rs) FILTER (abs(df) > 1e-12) END AS gc FROM t GROUP BY candidate),
+g AS (SELECT candidate, max(abs(s)) AS sh, max(c) AS mc, sum((dl < 0)::INT) AS im FROM (SELECT candidate, grp, avg(df) AS s, sum((abs(df) > 1e-12)::INT) AS c, sqrt(avg((greatest(pred, 0) - y_true) ** 2)) - sqrt(avg((anchor - y_true) ** 2)) AS dl FROM t GROUP BY candidate, grp) GROUP BY candidate),
+tp AS (SELECT candidate, max(c) AS tc FROM (SELECT candidate, grp, count(*) AS c FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY abs(df) DESC, id DESC) AS rn FROM t) WHERE rn <= 10 GROUP BY ALL) GROUP BY candidate),
+rr AS (SELECT *, concat_ws('|', CASE WHEN ng > 0 THEN 'negative' END, CASE WHEN NOT ch BETWEEN 16 AND 28 THEN 'changed_count' END, CASE WHEN NOT rm BETWEEN 0.006 AND 0.020 THEN 'slot1_diff_range' END, CASE WHEN mx > 0.16 THEN 'max_diff' END,
+  CASE WHEN sh > 0.008 THEN 'species_shift' END, CASE WHEN mc > 6 THEN 'species_concentration' END, CASE WHEN tc > 3 THEN 'top10_species' END, CASE WHEN cs > 0 THEN 'clip_saturation' END, CASE WHEN od > -0.0035 THEN 'weak_oof' END,
+  CASE WHEN im < 9 THEN 'weak_groups' END, CASE WHEN gc < 0.30 THEN 'bad_signal_corr' END, CASE WHEN nw < 6 THEN 'too_few_q5_new_rows' END, CASE WHEN abs(icc) > 0.80 THEN 'q5_corr' END, CASE WHEN ov > 0.65 THEN 'q5_overlap' END,
+  CASE WHEN abs(pc) > 0.75 THEN 'prior_corr' END) AS rt FROM b JOIN gt USING (candidate) JOIN g USING (candidate) JOIN tp USING (candidate))
+SELECT candidate, {d('gc', 'gate_corr', 4)}, {d('icc', 'increment_corr', 4)}, {d('pc', 'prior_corr', 4)}, rt AS reject_reasons, CASE WHEN rt = '' THEN 'pass' ELSE 'reject' END AS submit_gate FROM rr""",
+)
+
+# ---- quantile-normal scores ------------------------------------------------------------
+
+
+def normal_quantile(p: str) -> str:
+    """The rational approximation of ``functions.scalars`` as SQL."""
+    from ..functions.scalars import _A, _B, _C, _D
+
+    def horner(coef, t: str) -> str:
+        out = repr(coef[0])
+        for c in coef[1:]:
+            out = f"({out} * {t} + {c!r})"
+        return out
+
+    def tail(q: str) -> str:
+        t = f"sqrt(-2 * ln({q}))"
+        return f"{horner(_C, t)} / {horner(_D, t)}"
+
+    u = f"({p} - 0.5)"
+    core = f"{horner(_A, f'({u} * {u})')} * {u} / {horner(_B, f'({u} * {u})')}"
+    return f"CASE WHEN {p} < 0.02425 THEN {tail(p)} WHEN {p} > 1 - 0.02425 THEN -({tail(f'(1 - {p})')}) ELSE {core} END"
+
+
+def placed(v: str, m: str) -> str:
+    """Share of the way through the quantile list q, cut at 1e-7."""
+    j = f"len(list_filter(q, lambda u: u <= {v}))"
+    return f"greatest(1e-7, least(1 - 1e-7, CASE WHEN {v} <= q[1] THEN 0 WHEN {v} >= q[-1] THEN 1 ELSE ({j} - 1 + ({v} - q[{j}]) / (q[{j} + 1] - q[{j}])) / ({m} - 1) END))"
+
+
+_PROBS = "[" + ", ".join(repr(k / 99.0) for k in range(100)) + "]"
+check(
+    "TGT-6",
+    f"""WITH {TR_LONG_SQL}, qt AS (SELECT band, quantile_cont(v, {_PROBS}) AS q FROM tb GROUP BY band), pl AS (SELECT id, band, {placed('v', '100.0')} AS p FROM bands JOIN qt USING (band))
+SELECT id, {i('band', 'k')}, {d(normal_quantile('p'), 'v')} FROM pl""",
+)
+check(
+    "TGT-6-target",
+    f"""WITH {SPECTRA_SQL}, qt AS (SELECT list(y ORDER BY y) AS q FROM spectra), pl AS (SELECT id, {placed('y', 'len(q)::DOUBLE')} AS p FROM spectra, qt)
+SELECT id, {d(normal_quantile('p'), 't')} FROM pl""",
+)
