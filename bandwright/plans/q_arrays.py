@@ -139,7 +139,7 @@ def arr_14(spark, sf):
     return unroll(spectra(spark, sf).withColumn("x", A.scatter_correct(F.col("x"), A.doubles(ref))))
 
 
-@query("ARR-15", digits=4)
+@query("ARR-15", digits=2)
 def arr_15(spark, sf):
     ref = mean_spectrum(train(spark, sf))
     return unroll(spectra(spark, sf).withColumn("x", A.extended_scatter_correct(F.col("x"), ref, 1)))

@@ -87,7 +87,7 @@ dsg AS (SELECT f, list_transform(range(0, 64), lambda k: -1 + 2 * k / 63.0) AS t
   [[{DOT}(f, f), list_sum(f), {DOT}(f, t)], [list_sum(f), 64.0, list_sum(t)], [{DOT}(f, t), list_sum(t), {DOT}(t, t)]] AS a, [{DOT}(f, x), list_sum(x), {DOT}(t, x)] AS b FROM spectra, dsg),
 {cg('(SELECT k, a, b FROM sysm)', 6)},
 r AS (SELECT k AS id, list_transform(x, lambda v, h: (v - w[2] - w[3] * t[h]) / CASE WHEN abs(w[1]) < 1e-12 THEN 1 ELSE w[1] END) AS o FROM sysm JOIN sol USING (k))
-SELECT id, {i('unnest(range(64))', 'k')}, {d('unnest(o)', 'v', 4)} FROM r"""),
+SELECT id, {i('unnest(range(64))', 'k')}, {d('unnest(o)', 'v', 2)} FROM r"""),
 )
 
 MSC_SQL = f"""{TRAIN_SQL}{REF_CTE},
