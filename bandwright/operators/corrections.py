@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import scalars as S
-from ..session import pin_small
 from . import fits as Fi
 from . import neighbours as Nb
 from . import targets as T
@@ -126,7 +125,7 @@ def nearest_group_bias(fit: DataFrame, df: DataFrame, pred: str = "p", true: str
     value = F.col(pred) + F.coalesce("__bias", F.lit(0.0))
     if clip:
         value = S.clip(value, *Fi.y_range(fit, true))
-    return join_on(df, pin_small(table), ["grp"]).withColumn(name, value).drop("__bias")
+    return join_on(df, table, ["grp"]).withColumn(name, value).drop("__bias")
 
 
 def align_means(fit: DataFrame, df: DataFrame, weight: float) -> DataFrame:
@@ -139,7 +138,7 @@ def align_means(fit: DataFrame, df: DataFrame, weight: float) -> DataFrame:
 def cluster_bias(fit: DataFrame, df: DataFrame, clusters: int, shrink: float, clip: float, value: str = "r", name: str = "corr") -> DataFrame:
     """Shrunk, clipped mean residual of the row's cluster; clusters come from the fit rows."""
     means = Fi.cluster(fit, fit, clusters).groupBy("cluster").agg(F.avg(value).alias("__v"))
-    out = join_on(Fi.cluster(fit, df, clusters), pin_small(means), ["cluster"])
+    out = join_on(Fi.cluster(fit, df, clusters), means, ["cluster"])
     return out.withColumn(name, S.clip(F.coalesce("__v", F.lit(0.0)) * shrink, -clip, clip)).drop("__v")
 
 

@@ -63,7 +63,7 @@ def detector_scores(fit: DataFrame, df: DataFrame | None, label: str, fold: str
     def fit_predict(a: DataFrame, b: DataFrame) -> DataFrame:
         mean, sd = T.standardise_fit(a)
         scaled = lambda d: d.withColumn("x", T.standardise(F.col("x"), mean, sd))
-        return classify(scaled(a), scaled(b), label, model, name)
+        return classify(scaled(a), scaled(b), label, model, name, c=0.2)
 
     return out_of_fold_refit(fit, fit_predict, fold), None if df is None else fit_predict(fit, df)
 

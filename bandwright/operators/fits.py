@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import features as X
 from ..functions import scalars as S
-from ..session import pin_small
 from . import moments as M
 from . import neighbours as Nb
 from . import select as P
@@ -38,7 +37,7 @@ def fold_models(df: DataFrame, fold: str = "fold_id", y: str = "y", bands: DataF
 
 
 def one_band_oof(df: DataFrame, fold: str = "fold_id", y: str = "y", name: str = "y_pred") -> DataFrame:
-    models = pin_small(fold_models(df, fold, y).select(fold, "band", "slope", "intercept"))
+    models = fold_models(df, fold, y).select(fold, "band", "slope", "intercept")
     out = join_on(df, models, [fold])
     return out.withColumn(name, F.col("intercept") + F.col("slope") * F.get("x", F.col("band")))
 
@@ -131,7 +130,7 @@ def nearest_group_fit(fit: DataFrame, df: DataFrame, name: str = "y_pred") -> Da
     """Every test group predicted by the model of its nearest train group, clipped."""
     models = group_band_models(fit).withColumnRenamed("grp", "train_grp")
     table = nearest_group_map(fit, df).join(models, "train_grp").withColumnRenamed("test_grp", "grp")
-    out = join_on(df, pin_small(table), ["grp"])
+    out = join_on(df, table, ["grp"])
     value = F.col("intercept") + F.col("slope") * F.get("x", F.col("band"))
     return out.withColumn(name, S.clip(value, *y_range(fit)))
 
@@ -321,14 +320,14 @@ def _tree_fit(model, fit: DataFrame, df: DataFrame, name: str) -> DataFrame:
 
 def boosted(fit: DataFrame, df: DataFrame, bands: Sequence[int], rounds: int = 160, step: float = 0.04, name: str = "y_pred") -> DataFrame:
     cut_ = lambda d: d.withColumn("__x", F.col("x")).withColumn("x", A.pick(F.col("x"), bands))
-    gbt = GBTRegressor(maxDepth=3, stepSize=step, maxIter=rounds, seed=42)
+    gbt = GBTRegressor(maxDepth=3, stepSize=step, maxIter=rounds, minInstancesPerNode=20, seed=42)
     out = _tree_fit(gbt, cut_(fit).drop("__x"), cut_(df), name)
     return out.withColumn("x", F.col("__x")).drop("__x")
 
 
 def boosted_on_pls(fit: DataFrame, df: DataFrame, k: int, rounds: int = 160, step: float = 0.04, name: str = "y_pred") -> DataFrame:
     z = So.pls_latent(gram(fit)[None], k)
-    gbt = GBTRegressor(maxDepth=3, stepSize=step, maxIter=rounds, seed=42)
+    gbt = GBTRegressor(maxDepth=3, stepSize=step, maxIter=rounds, minInstancesPerNode=20, seed=42)
     return _tree_fit(gbt, T.scores(fit, z), T.scores(df, z), name)
 
 
@@ -408,7 +407,7 @@ def prototype_fit(
         return pd.DataFrame({"cluster": [int(pdf["qid"].iloc[0])], "w": [list(m.coef)], "b": [m.intercept]})
 
     lines = rows.select("qid", "x", "y", "w").groupBy("qid").applyInPandas(run, "cluster long, w array<double>, b double")
-    where = asked.select("id", "cluster").join(pin_small(lines), "cluster")
+    where = asked.select("id", "cluster").join(lines, "cluster")
     out = df.join(where, "id")
     return out.withColumn(name, A.dot(F.col("x"), F.col("w")) + F.col("b")).drop("w", "b")
 

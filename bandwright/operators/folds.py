@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..session import BROADCAST_ROW_LIMIT, pin_small
 from . import solvers as So
 from .moments import Gram, gram, held_out
 from .ordered import join_on, ordinal
@@ -21,7 +20,7 @@ MAX_GROUPS = 1_000_000
 def _attach(df: DataFrame, table: list[tuple], group: str) -> DataFrame:
     kind = df.schema[group].dataType.simpleString()
     small = df.sparkSession.createDataFrame(table, f"`{group}` {kind}, fold_id long")
-    return join_on(df, F.broadcast(small) if len(table) <= BROADCAST_ROW_LIMIT else small, [group])
+    return join_on(df, small, [group])
 
 
 def group_kfold(df: DataFrame, n: int = 5, group: str = "grp", seen: str = "id") -> DataFrame:
@@ -43,7 +42,7 @@ def group_kfold(df: DataFrame, n: int = 5, group: str = "grp", seen: str = "id")
 def leave_one_group(df: DataFrame, group: str = "grp") -> DataFrame:
     """Fold number = place of the group in sorted order."""
     groups = df.select(group).distinct()
-    return join_on(df, pin_small(ordinal(groups, [], [group], "fold_id")), [group])
+    return join_on(df, ordinal(groups, [], [group], "fold_id"), [group])
 
 
 def repeated_leave_one_group(df: DataFrame, repeats: int, seed: int = 42, group: str = "grp") -> DataFrame:
@@ -53,7 +52,7 @@ def repeated_leave_one_group(df: DataFrame, repeats: int, seed: int = 42, group:
     numbered = ordinal(groups, ["repeat"], [key, group], "fold_id").withColumn(
         "fold_id", F.col("fold_id") + F.col("repeat") * groups.select(group).distinct().count()
     )
-    return join_on(df, pin_small(numbered), [group])
+    return join_on(df, numbered, [group])
 
 
 def target_stratified(df: DataFrame, k: int = 5, y: str = "y", tie: str = "id") -> DataFrame:
@@ -100,22 +99,22 @@ def predict(df: DataFrame, model: So.Linear, name: str = "y_pred", x: str = "x")
 
 
 def predict_by(df: DataFrame, models: dict, key: str, name: str = "y_pred", x: str = "x") -> DataFrame:
-    """Score each row with the model of its key; the models are one broadcast row per key."""
+    """Score each row with the model of its key; the models are one row per key."""
     rows = [(str(k), [float(v) for v in m.coef], float(m.intercept)) for k, m in models.items()]
-    table = F.broadcast(df.sparkSession.createDataFrame(rows, "__mk string, __w array<double>, __b double"))
+    table = df.sparkSession.createDataFrame(rows, "__mk string, __w array<double>, __b double")
     joined = df.join(table, df[key].cast("string") == table["__mk"], "left")
     return joined.withColumn(name, A.dot(F.col(x), F.col("__w")) + F.col("__b")).drop("__mk", "__w", "__b")
 
 
 def predict_many(df: DataFrame, models: dict[str, dict], key: str, keep: Sequence[str], x: str = "x") -> DataFrame:
     """Rows (keep.., spec, y_pred): every row scored by the models of its key under all specs. One
-    broadcast row per key holds the coefficients of all specs."""
+    row per key holds the coefficients of all specs."""
     rows: dict[str, list] = {}
     for spec, by_key in models.items():
         for k, m in by_key.items():
             rows.setdefault(str(k), []).append((spec, [float(v) for v in m.coef], float(m.intercept)))
     ddl = "__mk string, __m array<struct<spec: string, w: array<double>, b: double>>"
-    table = F.broadcast(df.sparkSession.createDataFrame(list(rows.items()), ddl))
+    table = df.sparkSession.createDataFrame(list(rows.items()), ddl)
     joined = df.join(table, df[key].cast("string") == table["__mk"], "left")
     scored = F.transform(
         "__m", lambda m: F.struct(m["spec"].alias("spec"), (A.dot(F.col(x), m["w"]) + m["b"]).alias("y_pred"))
@@ -165,5 +164,5 @@ def nested_coefficients(df: DataFrame, fold: str, signal: str, residual: str, lo
 
 def nested_correction(df: DataFrame, fold: str, signal: str, residual: str, name: str = "corr") -> DataFrame:
     """Correction of every row by the coefficient of the other folds."""
-    out = join_on(df, pin_small(nested_coefficients(df, fold, signal, residual)), [fold])
+    out = join_on(df, nested_coefficients(df, fold, signal, residual), [fold])
     return out.withColumn(name, F.col("beta") * F.col(signal))

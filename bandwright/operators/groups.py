@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import moments as M
+from ..session import cut
 from .ordered import (
     equal_bins, join_on, ordinal, previous, quantiles, running_sum, tie_rank, with_quantiles, with_stats,
 )
@@ -380,8 +381,27 @@ def precision_at(df: DataFrame, score: str, label: str, size: str, frac: float,
 # ---- clusters --------------------------------------------------------------------------
 
 
-def cluster_quality(df: DataFrame, silhouette: float = 0.0, min_train: int = 10) -> DataFrame:
-    """Rows (cluster, grp, domain): purity, concentration, mixed coverage and the clean score."""
+def silhouette(df: DataFrame, cluster: str = "cluster", x: str = "x") -> DataFrame:
+    """One row with the mean silhouette on squared distances. A row's mean squared distance to a cluster follows
+    from the cluster's mean, mean squared norm and size, so no pair of rows is formed."""
+    norm = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
+    per_band = df.select(cluster, F.posexplode(x).alias("k", "v")).groupBy(cluster, "k").agg(F.avg("v").alias("m"))
+    # One entry per cluster and band: both are parameters of the model, not of the data.
+    mean = per_band.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("mu"))
+    size = df.groupBy(cluster).agg(F.avg(norm).alias("sq"), F.count("*").alias("n"))
+    held = mean.join(size, cluster).agg(F.collect_list(F.struct(F.col(cluster).alias("c"), "mu", "sq", "n")).alias("__all"))
+    rows = join_on(df.select(cluster, F.col(x).alias("__x"), norm.alias("__nx")), held, [])
+    dot = lambda mu: F.aggregate(F.zip_with("__x", mu, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    away = lambda s: F.col("__nx") - 2 * dot(s["mu"]) + s["sq"]
+    own = F.get(F.transform(F.filter("__all", lambda s: s["c"] == F.col(cluster)), lambda s: F.when(s["n"] > 1, away(s) * s["n"] / (s["n"] - 1))), 0)
+    other = F.array_min(F.transform(F.filter("__all", lambda s: s["c"] != F.col(cluster)), away))
+    rows = rows.select(own.alias("a"), other.alias("b"))
+    value = F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
+    return rows.agg(F.coalesce(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(value)), F.lit(0.0)).alias("silhouette"))
+
+
+def cluster_quality(df: DataFrame, min_train: int = 10) -> DataFrame:
+    """Rows (cluster, grp, domain, x): purity, concentration, mixed coverage, silhouette and the clean score."""
     counts = df.groupBy("domain", "cluster", "grp").agg(F.count("*").alias("c"))
     test, train = counts.where("domain = 'test'"), counts.where("domain = 'train'")
 
@@ -399,13 +419,13 @@ def cluster_quality(df: DataFrame, silhouette: float = 0.0, min_train: int = 10)
         )
     )
     out = share(test, "cluster", "test_purity")
-    for other in (share(test, "grp", "test_concentration"), share(train, "cluster", "train_purity"), covered):
+    for other in (share(test, "grp", "test_concentration"), share(train, "cluster", "train_purity"), covered, silhouette(df)):
         out = join_on(out, other, [])
     clean = (
         F.col("test_purity") * 0.35
         + F.col("test_concentration") * 0.35
         + F.col("mixed_coverage") * 0.20
-        + F.lit(max(0.0, min(1.0, (silhouette + 0.1) / 0.6))) * 0.10
+        + F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("silhouette") + 0.1) / 0.6)) * 0.10
     )
     return out.withColumn("clean_score", clean)
 
@@ -473,27 +493,34 @@ def bucket_summary(df: DataFrame, keys: Sequence[str], pred: str, score: str, ch
 
 
 def subset_null(df: DataFrame, value: str, marked: str, tie: str = "id", reps: int = 2000, seed: int = 42) -> DataFrame:
-    """Mean over the marked rows against ``reps`` random subsets of the same size. Each repeat draws
-    row positions in its own task and joins them, so the rows are never copied per repeat."""
-    base = df.select(tie, value, marked)
-    head = base.agg(
-        F.count("*").alias("n"),
-        F.sum(F.col(marked).cast("bigint")).alias("m"),
-        F.avg(F.when(F.col(marked), F.col(value))).alias("observed"),
-    ).first()
-    n, m = head["n"], head["m"] or 0
-    placed = ordinal(base, [], [tie], "pos").select("pos", value)
+    """Mean over the marked rows against ``reps`` random subsets of the same size. How many rows of a subset lie in
+    each partition is a hypergeometric draw from the partitions' row counts, which every task repeats from the
+    seed; a task then draws its own share and returns one sum per repeat. Rows never leave their partition."""
+    # Written, so that partitions hold the same rows when they are counted and when they are drawn from.
+    base = cut(df.select(F.col(value).cast("double").alias("v"), F.col(marked).alias("m")).where("v IS NOT NULL"))
+    counts = {r.p: r.n for r in base.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
+    head = base.agg(F.count("*").alias("n"), F.sum(F.col("m").cast("bigint")).alias("m"), F.avg(F.when(F.col("m"), F.col("v"))).alias("observed")).first()
+    m = head["m"] or 0
+    parts = sorted(counts)
+    sizes = np.array([counts[p] for p in parts], dtype=np.int64)
 
     def draw(batches):
-        for pdf in batches:
-            for rep in pdf["id"]:
-                rng = np.random.default_rng([seed, int(rep)])
-                picks = rng.choice(n, size=m, replace=False) if m * 20 > n else _distinct(rng, n, m)
-                for s in range(0, len(picks), 65536):
-                    yield pd.DataFrame({"rep": int(rep), "pos": picks[s : s + 65536]})
-
-    draws = df.sparkSession.range(0, reps).mapInPandas(draw, "rep long, pos long")
-    means = draws.join(placed, "pos").groupBy("rep").agg(F.avg(value).alias("m"))
+        from pyspark import TaskContext
+
+        held = [pdf["v"].to_numpy() for pdf in batches]
+        p = TaskContext.get().partitionId()
+        if not held or p not in counts:
+            return
+        v = np.concatenate(held)
+        sums = np.empty(reps)
+        for rep in range(reps):
+            share = np.random.default_rng([seed, rep]).multivariate_hypergeometric(sizes, m, method="marginals")[parts.index(p)]
+            own = np.random.default_rng([seed, rep, p])
+            sums[rep] = v[own.choice(len(v), size=share, replace=False, shuffle=False)].sum()
+        yield pd.DataFrame({"rep": np.arange(reps), "s": sums})
+
+    means = base.mapInPandas(draw, "rep long, s double").groupBy("rep").agg((F.sum("s") / max(m, 1)).alias("m"))
+    means = cut(means)
     edges = quantiles(means, "m", [0.05, 0.95]).select(F.col("q0").alias("null_p05"), F.col("q1").alias("null_p95"))
     null = means.agg(F.avg("m").alias("null_mean"), F.stddev_pop("m").alias("null_sd"))
     out = join_on(null, edges, []).withColumn("observed", F.lit(head["observed"]))
@@ -502,13 +529,6 @@ def subset_null(df: DataFrame, value: str, marked: str, tie: str = "id", reps: i
     )
 
 
-def _distinct(rng: np.random.Generator, n: int, m: int) -> np.ndarray:
-    """m distinct positions under n without building n numbers."""
-    got = np.unique(rng.integers(0, n, size=m))
-    while len(got) < m:
-        got = np.unique(np.concatenate([got, rng.integers(0, n, size=m - len(got))]))
-    return got
-
 
 def seed_spread(df: DataFrame, id_col: str = "id", pred: str = "pred") -> DataFrame:
     """Deviation over seeds per row, then mean and largest."""

@@ -152,13 +152,16 @@ def gram(
     targets: Sequence[str] = ("y",),
     weight: str | None = None,
 ) -> dict[str | None, Gram]:
-    """MOM-2: one Gram per value of ``key``. Each task adds up its rows; the partial matrices are
+    """MOM-2: one Gram per value of ``key``; rows without a spectrum or a target are left out. Each task adds up its rows; the partial matrices are
     shuffled by (key, matrix row) and added again, and the driver receives one matrix per key."""
     about = np.asarray(any_spectrum(df))
     d, t = len(about), len(targets)
     p = 1 + d + t
     key_col = F.lit("") if key is None else (F.col(key) if isinstance(key, str) else key)
-    src = df.select(
+    usable = F.col("x").isNotNull()
+    for c in targets:
+        usable = usable & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    src = df.where(usable).select(
         key_col.cast("string").alias("k"),
         (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("w"),
         F.array(*[F.col(c) for c in targets]).cast("array<double>").alias("t"),

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, looks_small, pin_small
+from ..session import cut
 
 BLOCK = 100_000
 
@@ -36,17 +36,14 @@ def with_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
     if not keys:
         row = df.agg(*aggs).first()
         return df.withColumns({n: F.lit(row[n]) for n in row.asDict()})
-    return join_on(df, pin_small(df.groupBy(*keys).agg(*aggs)), keys)
+    return join_on(df, df.groupBy(*keys).agg(*aggs), keys)
 
 
 def ordinal(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "rank"
 ) -> DataFrame:
-    """0-based position within ``keys`` by ``order``; ``order`` must be unique for stable results. A small
-    input takes a plain window; the rest is sorted by range."""
-    if looks_small(df):
-        w = Window.partitionBy(*keys, F.lit(0)).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w).cast("bigint") - 1)
+    """0-based position within ``keys`` by ``order``; ``order`` must be unique for stable results. The same
+    range sort at every size."""
     by = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
     numbered = cut(
         df.repartitionByRange(*by)
@@ -65,7 +62,7 @@ def ordinal(
         (F.coalesce(F.sum("__on").over(before), F.lit(0)) - F.col("__of")).alias("__oo"),
     )
     return (
-        join_on(numbered, pin_small(offsets), ["__op", *keys])
+        join_on(numbered, offsets, ["__op", *keys])
         .withColumn(name, F.col("__om") + F.col("__oo"))
         .drop("__om", "__op", "__oo")
     )
@@ -134,7 +131,7 @@ def with_quantiles(
     if not keys:
         vals = quantile_values(df, value, probs)
         return df.withColumns({f"{prefix}{j}": F.lit(v) for j, v in enumerate(vals)})
-    return join_on(df, pin_small(quantiles(df, value, probs, keys, prefix)), keys)
+    return join_on(df, quantiles(df, value, probs, keys, prefix), keys)
 
 
 # ---- positions and percentile ranks ----------------------------------------------------
@@ -160,7 +157,7 @@ def tie_rank(
     """Rank from 1 with ties averaged. Ties are averaged by a partial aggregate over equal values."""
     ranked = ordinal(df, keys, [value, tie], "__ord_r")
     shared = ranked.groupBy(*keys, value).agg((F.avg("__ord_r") + 1).alias(name))
-    return join_on(ranked, pin_small(shared), [*keys, value]).drop("__ord_r")
+    return join_on(ranked, shared, [*keys, value]).drop("__ord_r")
 
 
 def percent_rank(

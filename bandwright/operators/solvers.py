@@ -229,16 +229,18 @@ def lasso_by_criterion(g: Gram, criterion: str = "bic", steps: int = 60, t: int
 
 
 def bayes_ridge(g: Gram, t: int = 0, iters: int = 300, tol: float = 1e-3) -> Linear:
-    """Evidence maximisation for one weight and one noise precision (vague priors 1e-6)."""
+    """Evidence maximisation for one weight and one noise precision (vague priors 1e-6), on scaled bands."""
     prior = 1e-6
-    e, v = np.linalg.eigh(g.sxx)
+    sd = scales(g)
+    xx, xy = g.sxx / np.outer(sd, sd), g.sxy(t) / sd
+    e, v = np.linalg.eigh(xx)
     e = np.maximum(e, 0.0)
-    vy = v.T @ g.sxy(t)
+    vy = v.T @ xy
     noise, weight = 1.0 / max(g.syy(t) / g.n, 1e-12), 1.0
     coef = np.zeros(g.d)
     for _ in range(iters):
         new = v @ (vy / (e + weight / noise))
-        rss = max(g.syy(t) - 2 * new @ g.sxy(t) + new @ g.sxx @ new, 0.0)
+        rss = max(g.syy(t) - 2 * new @ xy + new @ xx @ new, 0.0)
         gamma = float((noise * e / (weight + noise * e)).sum())
         weight = (gamma + 2 * prior) / (float(new @ new) + 2 * prior)
         noise = (g.n - gamma + 2 * prior) / (rss + 2 * prior)
@@ -246,7 +248,7 @@ def bayes_ridge(g: Gram, t: int = 0, iters: int = 300, tol: float = 1e-3) -> Lin
         coef = new
         if done:
             break
-    return expand(g, None, v @ (vy / (e + weight / noise)), t)
+    return expand(g, None, v @ (vy / (e + weight / noise)) / sd, t)
 
 
 def ard(g: Gram, t: int = 0, iters: int = 300, tol: float = 1e-3, prune: float = 1e4) -> Linear:

@@ -291,7 +291,7 @@ def random_features(df: DataFrame, d: int, width: int, seed: int, kind: str = "f
         b = rng.uniform(0.0, 2 * math.pi, size=width)
     elif kind == "tanh":
         w = rng.normal(0.0, 1.0 / math.sqrt(d), size=(d, width))
-        b = rng.normal(0.0, 1.0, size=width)
+        b = rng.normal(0.0, 0.5, size=width)
     else:
         raise ValueError(f"unknown kind {kind}")
     shared = df.sparkSession.sparkContext.broadcast((w, b))

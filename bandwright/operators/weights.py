@@ -152,15 +152,15 @@ def domain_classifier(train: DataFrame, test: DataFrame, k: int = 10, model: str
     return classify(low, low, "label", model, name).drop("label")
 
 
-def classify(fit: DataFrame, df: DataFrame, label: str, model: str = "logistic", name: str = "score", reg: float = 0.01, trees: int = 80, depth: int = 3, leaf: int = 20) -> DataFrame:
-    """Probability of the positive label, classes balanced by weight."""
+def classify(fit: DataFrame, df: DataFrame, label: str, model: str = "logistic", name: str = "score", c: float = 0.5, trees: int = 80, depth: int = 3, leaf: int = 20) -> DataFrame:
+    """Probability of the positive label, classes balanced by weight. The penalty is 1 / (c * rows)."""
     sizes = fit.agg(F.count("*").alias("n"), F.sum(label).alias("p")).first()
     n, p = sizes["n"], float(sizes["p"] or 0)
     if p in (0.0, float(n)):
         return df.withColumn(name, F.lit(p / max(n, 1)))
     w = F.when(F.col(label) > 0, F.lit(n / (2 * p))).otherwise(F.lit(n / (2 * (n - p))))
     if model == "logistic":
-        clf = LogisticRegression(regParam=reg, weightCol="__cw", maxIter=100)
+        clf = LogisticRegression(regParam=1.0 / (c * n), weightCol="__cw", maxIter=100)
     elif model == "forest":
         clf = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, weightCol="__cw", seed=42)
     else:

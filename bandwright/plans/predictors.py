@@ -265,11 +265,11 @@ def _quantile(fit: DataFrame, df: DataFrame) -> DataFrame:
 
 
 def _boosted(k: int) -> FitPredict:
-    return lambda fit, df: _clip_to(fit, Fi.boosted(fit, df, So.top_bands(gram(fit)[None], k)))
+    return _monotone(lambda fit, df: _clip_to(fit, Fi.boosted(fit, df, So.top_bands(gram(fit)[None], k), rounds=180)))
 
 
 def _boosted_pls(k: int) -> FitPredict:
-    return lambda fit, df: _clip_to(fit, Fi.boosted_on_pls(fit, df, k))
+    return _monotone(lambda fit, df: _clip_to(fit, Fi.boosted_on_pls(fit, df, k)))
 
 
 def _top_huber(fit: DataFrame, df: DataFrame) -> DataFrame:

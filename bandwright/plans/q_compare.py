@@ -96,7 +96,7 @@ def drf_4(spark, sf):
 
 @query(
     "DRF-5",
-    f"""WITH {CAND_SQL}, bad AS (SELECT id, pred - anchor AS bd FROM cand WHERE candidate = 'gain'), l AS (SELECT cand.*, pred - anchor AS df, bd FROM cand JOIN bad USING (id) WHERE candidate <> 'same'),
+    f"""WITH {CAND_SQL}, bad AS (SELECT id, pred - anchor AS bd FROM cand WHERE candidate = 'gain'), l AS (SELECT cand.*, pred - anchor AS df, bd FROM cand JOIN bad USING (id)),
 b AS (SELECT candidate, sqrt(avg(df ** 2)) AS rm, max(abs(df)) AS mx, CASE WHEN stddev_pop(df) <= 1e-9 THEN 0 ELSE coalesce(corr(df, bd), 0) END AS bc, CASE WHEN stddev_pop(df) <= 1e-9 THEN 0 ELSE coalesce(corr(df, id), 0) END AS oc,
   (max(pred) - min(pred)) / (max(anchor) - min(anchor)) AS rr, sum((pred < 0)::INT) AS ng FROM l GROUP BY candidate),
 s AS (SELECT candidate, max(abs(m)) AS sh FROM (SELECT candidate, grp, avg(df) AS m FROM l GROUP BY ALL) GROUP BY candidate),
@@ -111,7 +111,7 @@ FROM b JOIN s USING (candidate) JOIN g USING (candidate) JOIN t USING (candidate
 def drf_5(spark, sf):
     long = candidates(spark, sf)
     bad = long.where("candidate = 'gain'").select("id", F.expr("pred - anchor").alias("bad_diff"))
-    out = D.failure_guard(long.where("candidate <> 'same'"), bad)
+    out = D.failure_guard(long, bad)
     return out.select("candidate", "bad_corr", "range_ratio", "group_shift", "decile_gap", "top_group_count", "risk")
 
 
@@ -305,7 +305,7 @@ def cmp_5(spark, sf):
 def cmp_6(spark, sf):
     """Ranked table of the full cascade."""
     df = estimated(spark, sf, proxy=True).withColumn("denied", K.denied(F.col("name"), F.col("predictor")))
-    return K.ranked(df, 25).select("experiment", "name", "estimate", "source", "denied", "leave_one_species")
+    return K.ranked(df).select("experiment", "name", "estimate", "source", "denied", "leave_one_species")
 
 
 @query("CMP-7", digits=4)
@@ -360,9 +360,8 @@ def wgt_3(spark, sf):
 
 @query("WGT-4", digits=5)
 def wgt_4(spark, sf):
-    """Leverage on all twelve components of twelve bands."""
-    cut_ = lambda df: df.withColumn("x", F.slice("x", 1, 12))
-    return W.leverage(cut_(train(spark, sf)), cut_(spectra(spark, sf)), 12).select("id", "lev")
+    """Leverage on all components of all bands."""
+    return W.leverage(train(spark, sf), spectra(spark, sf), 64).select("id", "lev")
 
 
 @query("WGT-5", digits=4)
@@ -468,4 +467,4 @@ def det_3_lof(spark, sf):
 
 @query("DET-3", digits=4)
 def det_3(spark, sf):
-    return De.outlier_score(train(spark, sf), test(spark, sf), 10, 20, 20, 50)
+    return De.outlier_score(train(spark, sf), test(spark, sf))

@@ -269,7 +269,7 @@ def cor_16(spark, sf):
 
 @query(
     "COR-17",
-    f"""WITH {CAND_SQL}, dd AS (SELECT id, pred - anchor AS df FROM cand WHERE candidate <> 'same'),
+    f"""WITH {CAND_SQL}, dd AS (SELECT id, pred - anchor AS df FROM cand),
 v AS (SELECT id, sum((df > 1e-12)::INT) AS up, sum((df < -1e-12)::INT) AS dn, median(df) FILTER (df > 0) AS mu, median(df) FILTER (df < 0) AS md, count(*) AS n FROM dd GROUP BY id),
 s AS (SELECT id, coalesce(CASE WHEN up >= dn THEN mu ELSE md END, 0) AS sg, greatest(up, dn) AS ag, n FROM v),
 k AS (SELECT *, row_number() OVER (ORDER BY abs(sg) * ag / n DESC, id) AS rn FROM s WHERE ag >= 3)
@@ -277,7 +277,7 @@ SELECT id, {d('sg', 'signal', 4)}, {i('ag', 'agree')}, {d('abs(sg) * ag / n', 's
     digits=4,
 )
 def cor_17(spark, sf):
-    long = candidates(spark, sf).where("candidate <> 'same'").select("candidate", "id", F.expr("pred - anchor").alias("diff"))
+    long = candidates(spark, sf).select("candidate", "id", F.expr("pred - anchor").alias("diff"))
     return C.vote_blend(long, 3, 500, 0.5, 400.0)
 
 

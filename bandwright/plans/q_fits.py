@@ -236,17 +236,17 @@ def mod_13(spark, sf):
 def mod_14(spark, sf):
     df = train(spark, sf)
     bands = So.top_bands(M.gram(df)[None], 12)
-    return Fi.boosted(df, test(spark, sf), bands, rounds=20).select("id", "y_pred")
+    return Fi.boosted(df, test(spark, sf), bands).select("id", "y_pred")
 
 
 @query("MOD-14-pls", digits=3)
 def mod_14_pls(spark, sf):
-    return Fi.boosted_on_pls(train(spark, sf), test(spark, sf), 4, rounds=20).select("id", "y_pred")
+    return Fi.boosted_on_pls(train(spark, sf), test(spark, sf), 4).select("id", "y_pred")
 
 
 @query("MOD-15", digits=3)
 def mod_15(spark, sf):
-    return Fi.forest(train(spark, sf), test(spark, sf), trees=50).select("id", "y_pred")
+    return Fi.forest(train(spark, sf), test(spark, sf)).select("id", "y_pred")
 
 
 @query("MOD-19")
@@ -343,7 +343,7 @@ def tgt_5(spark, sf):
 
 @query("TGT-6")
 def tgt_6(spark, sf):
-    return unroll(T.quantile_normal_bands(train(spark, sf), spectra(spark, sf), 100))
+    return unroll(T.quantile_normal_bands(train(spark, sf), spectra(spark, sf)))
 
 
 @query("TGT-6-target")
@@ -409,14 +409,21 @@ def tgt_13_mean(spark, sf):
     return unroll(T.remove(df, dirs, M.total(by).mean))
 
 
+def latent(spark, sf):
+    """Train and test rows with ten principal scores in place of the bands."""
+    tr, te = train(spark, sf), test(spark, sf)
+    z = T.fit_pca(tr, 10, scale=True)
+    return T.scores(tr, z), T.scores(te, z)
+
+
 @query("TGT-14")
 def tgt_14(spark, sf):
-    return T.random_feature_fit(train(spark, sf), test(spark, sf), 64, 10.0, (1, 2), "fourier", 0.01)
+    return T.random_feature_fit(*latent(spark, sf), 64, 10.0, (1, 2, 3), "fourier", 0.01)
 
 
 @query("TGT-15")
 def tgt_15(spark, sf):
-    return T.random_feature_fit(train(spark, sf), test(spark, sf), 64, 10.0, (1, 2), "tanh")
+    return T.random_feature_fit(*latent(spark, sf), 64, 10.0, (1, 2, 3, 4, 5), "tanh")
 
 
 # ---- CV --------------------------------------------------------------------------------

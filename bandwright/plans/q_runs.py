@@ -154,7 +154,7 @@ def snk_4(spark, sf):
     "SNK-5",
     f"""WITH {PAIR_SQL}, r AS (SELECT id, y_true / 1000 AS m, y_pred / 1000 AS g, discount * 1000 AS l, tax * 1000 AS q FROM pair)
 SELECT CAST(id AS VARCHAR) AS experiment_name, CASE WHEN abs(g - m) <= abs(l - m) AND abs(g - m) <= abs(q - m) THEN 'group_species_rmse' WHEN abs(l - m) <= abs(q - m) THEN 'leave_one_species_rmse' ELSE 'random_rmse' END AS best_local_metric,
-  {d('m - CASE WHEN abs(g - m) <= abs(l - m) AND abs(g - m) <= abs(q - m) THEN g WHEN abs(l - m) <= abs(q - m) THEN l ELSE q END', 'local_public_gap')} FROM r""",
+  {d('abs(m - CASE WHEN abs(g - m) <= abs(l - m) AND abs(g - m) <= abs(q - m) THEN g WHEN abs(l - m) <= abs(q - m) THEN l ELSE q END)', 'local_public_gap')} FROM r""",
 )
 def snk_5(spark, sf):
     path = scratch_path(spark, "scorelog")

@@ -214,9 +214,9 @@ SELECT id, {i('fold', 'fold_id')} FROM spectra JOIN g USING (grp)"""),
 
 check(
     "WGT-4",
-    rec(f"""{TRAIN_SQL}, src AS (SELECT 1 AS k, x[1:12] AS x, y FROM train), {moments(12)},
-zz AS (SELECT id AS k, list_transform(a, lambda row: list_transform(row, lambda v: v / n)) AS a, {SCALED.format(x='x[1:12]')} AS b FROM spectra, sysm),
-{cg('(SELECT k, a, b FROM zz)', 24)}
+    rec(f"""{TRAIN_SQL}, src AS (SELECT 1 AS k, x, y FROM train), {moments(64)},
+zz AS (SELECT id AS k, list_transform(a, lambda row: list_transform(row, lambda v: v / n)) AS a, {SCALED.format(x='x')} AS b FROM spectra, sysm),
+{cg('(SELECT k, a, b FROM zz)', 100)}
 SELECT k AS id, {d(f'{DOT}(w, b)', 'lev', 5)} FROM zz JOIN sol USING (k)"""),
 )
 
@@ -379,10 +379,14 @@ def placed(v: str, m: str) -> str:
     return f"greatest(1e-7, least(1 - 1e-7, CASE WHEN {v} <= q[1] THEN 0 WHEN {v} >= q[-1] THEN 1 ELSE ({j} - 1 + ({v} - q[{j}]) / (q[{j} + 1] - q[{j}])) / ({m} - 1) END))"
 
 
-_PROBS = "[" + ", ".join(repr(k / 99.0) for k in range(100)) + "]"
+# As many quantiles as the operator takes: 1000, or the train rows where they are fewer.
 check(
     "TGT-6",
-    f"""WITH {TR_LONG_SQL}, qt AS (SELECT band, quantile_cont(v, {_PROBS}) AS q FROM tb GROUP BY band), pl AS (SELECT id, band, {placed('v', '100.0')} AS p FROM bands JOIN qt USING (band))
+    f"""WITH {TR_LONG_SQL}, size AS (SELECT least(1000, count(*)) AS m FROM (SELECT DISTINCT id FROM tb)),
+srt AS (SELECT band, list(v ORDER BY v) AS s, count(*) AS n FROM tb GROUP BY band),
+qt AS (SELECT band, m, list_transform(range(m), lambda j: s[CAST(floor((n - 1) * j / (m - 1.0)) AS INT) + 1]
+  + (s[CAST(ceil((n - 1) * j / (m - 1.0)) AS INT) + 1] - s[CAST(floor((n - 1) * j / (m - 1.0)) AS INT) + 1]) * ((n - 1) * j / (m - 1.0) - floor((n - 1) * j / (m - 1.0)))) AS q FROM srt, size),
+pl AS (SELECT id, band, {placed('v', 'm::DOUBLE')} AS p FROM bands JOIN qt USING (band))
 SELECT id, {i('band', 'k')}, {d(normal_quantile('p'), 'v')} FROM pl""",
 )
 check(

@@ -11,7 +11,6 @@ from ..operators import moments as M
 from ..operators import select as P
 from ..operators import sets as U
 from ..operators.ordered import quantile_values, with_stats
-from ..session import pin_small
 from .fixtures import (
     ANCHOR_BANDS, CAND_SQL, LONG_SQL, N_BANDS, PAIR_SQL, RUNS_SQL, SEQ_SQL, SPECTRA_SQL, TRAIN_SQL,
     candidates, events_seq, long_bands, pred_pair, runs, spectra, table, test, train,
@@ -220,7 +219,7 @@ def fn_1(spark, sf):
 FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON s_nationkey = n_nationkey""",
 )
 def fn_2(spark, sf):
-    names = pin_small(table(spark, sf, "nation").where("n_nationkey % 2 = 0"))
+    names = table(spark, sf, "nation").where("n_nationkey % 2 = 0")
     joined = table(spark, sf, "supplier").join(names, F.col("s_nationkey") == F.col("n_nationkey"), "left")
     return joined.select("s_suppkey", S.group_label(F.col("s_nationkey"), F.col("n_name")).alias("label"))
 
@@ -292,11 +291,11 @@ def fn_8(spark, sf):
 
 @query(
     "FN-9",
-    f"""WITH {SPECTRA_SQL}, e AS (SELECT id, list_transform(x[1:5], lambda v: exp(v - list_max(x[1:5]))) AS e FROM spectra)
-SELECT id, {i('unnest(range(5))', 'k')}, {d('unnest(list_transform(e, lambda v: v / list_sum(e)))', 'p')} FROM e""",
+    f"""WITH {SPECTRA_SQL}, e AS (SELECT id, list_transform(x, lambda v: exp(v - list_max(x))) AS e FROM spectra)
+SELECT id, {i('unnest(range(64))', 'k')}, {d('unnest(list_transform(e, lambda v: v / list_sum(e)))', 'p')} FROM e""",
 )
 def fn_9(spark, sf):
-    return spectra(spark, sf).select("id", F.posexplode(S.softmax_array(F.slice("x", 1, 5))).alias("k", "p"))
+    return spectra(spark, sf).select("id", F.posexplode(S.softmax_array(F.col("x"))).alias("k", "p"))
 
 
 @query(
@@ -707,8 +706,8 @@ def clustered(spark, sf):
 
 
 CLUSTER_SQL = SPECTRA_SQL + """,
-cl AS (SELECT id, grp, CASE WHEN grp <= 6 THEN 'train' ELSE 'test' END AS domain, list_position(m, list_max(m)) - 1 AS cluster
-  FROM (SELECT id, grp, list_transform(range(0, 4), lambda k: list_avg(x[k * 16 + 1 : k * 16 + 16])) AS m FROM spectra))"""
+cl AS (SELECT id, grp, x, CASE WHEN grp <= 6 THEN 'train' ELSE 'test' END AS domain, list_position(m, list_max(m)) - 1 AS cluster
+  FROM (SELECT id, grp, x, list_transform(range(0, 4), lambda k: list_avg(x[k * 16 + 1 : k * 16 + 16])) AS m FROM spectra))"""
 
 
 @query(
@@ -717,9 +716,14 @@ cl AS (SELECT id, grp, CASE WHEN grp <= 6 THEN 'train' ELSE 'test' END AS domain
 tp AS (SELECT sum(m) / sum(t) AS v FROM (SELECT max(c) AS m, sum(c) AS t FROM c WHERE domain = 'test' GROUP BY cluster)),
 tc AS (SELECT sum(m) / sum(t) AS v FROM (SELECT max(c) AS m, sum(c) AS t FROM c WHERE domain = 'test' GROUP BY grp)),
 rp AS (SELECT sum(m) / sum(t) AS v FROM (SELECT max(c) AS m, sum(c) AS t FROM c WHERE domain = 'train' GROUP BY cluster)),
-mc AS (SELECT sum(CASE WHEN tr >= 10 THEN te ELSE 0 END) / sum(te) AS v FROM (SELECT cluster, sum((domain = 'test')::INT) AS te, sum((domain = 'train')::INT) AS tr FROM cl GROUP BY cluster))
-SELECT {d('tp.v', 'test_purity')}, {d('tc.v', 'test_concentration')}, {d('rp.v', 'train_purity')}, {d('mc.v', 'mixed_coverage')},
-  {d('0.35 * tp.v + 0.35 * tc.v + 0.2 * mc.v + 0.1 * (0.1 / 0.6)', 'clean_score')} FROM tp, tc, rp, mc""",
+mc AS (SELECT sum(CASE WHEN tr >= 10 THEN te ELSE 0 END) / sum(te) AS v FROM (SELECT cluster, sum((domain = 'test')::INT) AS te, sum((domain = 'train')::INT) AS tr FROM cl GROUP BY cluster)),
+mu AS (SELECT cluster, k, avg(x[k]) AS m FROM (SELECT cluster, x, unnest(range(1, 65)) AS k FROM cl) GROUP BY ALL), cm AS (SELECT cluster, list(m ORDER BY k) AS mu FROM mu GROUP BY cluster),
+cs AS (SELECT cluster, mu, avg(list_dot_product(x, x)) AS sq, count(*) AS n FROM cl JOIN cm USING (cluster) GROUP BY ALL),
+ds AS (SELECT cl.id, cl.cluster = cs.cluster AS own, n, list_dot_product(x, x) - 2 * list_dot_product(x, mu) + sq AS dd FROM cl, cs),
+ab AS (SELECT id, max(CASE WHEN own AND n > 1 THEN dd * n / (n - 1) END) AS a, min(CASE WHEN NOT own THEN dd END) AS b FROM ds GROUP BY id),
+si AS (SELECT avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) <= 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS v FROM ab)
+SELECT {d('tp.v', 'test_purity')}, {d('tc.v', 'test_concentration')}, {d('rp.v', 'train_purity')}, {d('mc.v', 'mixed_coverage')}, {d('si.v', 'silhouette')},
+  {d('0.35 * tp.v + 0.35 * tc.v + 0.2 * mc.v + 0.1 * greatest(0, least(1, (si.v + 0.1) / 0.6))', 'clean_score')} FROM tp, tc, rp, mc, si""",
 )
 def agg_25(spark, sf):
     return G.cluster_quality(clustered(spark, sf))
@@ -771,7 +775,7 @@ def agg_29(spark, sf):
 @query("AGG-30", digits=3)
 def agg_30(spark, sf):
     df = wide(spark, sf).withColumn("marked", F.col("anchor") >= 74000)
-    return G.subset_null(df, "y_true", "marked", reps=200)
+    return G.subset_null(df, "y_true", "marked")
 
 
 @query(

@@ -1,16 +1,10 @@
-"""Session helpers: settings, checkpoints and size-checked broadcasts."""
+"""Session helpers: settings and written tables."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows a side may hold before a broadcast of it is given up for a shuffle join.
-BROADCAST_ROW_LIMIT = 50_000
-# Estimated bytes up to which a plain window or broadcast is used without looking at the data.
-SMALL_PLAN_BYTES = 32 << 20
 
 
 def build_session(app: str = "bandwright", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,32 +46,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def looks_small(df: DataFrame, share: int = 1) -> bool:
-    """Whether the stored inputs of a plan are small together, by Catalyst's sizes of its leaves. Costs no
-    job. The joins of this package look rows up and its explodes are bounded by the number of bands,
-    so a plan grows with its inputs; a source of unknown size counts as large."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-    except AttributeError:
-        return False
-    size = 0
-    while leaves.hasNext():
-        size += int(str(leaves.next().stats().sizeInBytes()))
-    return size <= SMALL_PLAN_BYTES // share
-
-
-def pin_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """A lookup table for joins. When its plan is small it is broadcast as it is. Otherwise up to
-    ``limit`` rows are read once, kept as a local relation and broadcast; a larger table stays
-    distributed and is joined by shuffle."""
-    if looks_small(df, 4):
-        return F.broadcast(df)
-    held = df.limit(limit + 1).toArrow()
-    if held.num_rows > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(held, df.schema))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table, inside the shared checkpoint folder."""
     import uuid

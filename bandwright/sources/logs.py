@@ -53,22 +53,26 @@ LOCAL_METRICS = ("group_species_rmse", "leave_one_species_rmse", "random_rmse")
 
 
 def with_closest_metric(df: DataFrame, metrics: Sequence[str] = LOCAL_METRICS) -> DataFrame:
-    """Local metric nearest to the measured score, its value and the gap (measured - local)."""
+    """Local metric nearest to the measured score, its value and the absolute gap."""
     pairs = F.array(*[F.struct(F.abs(F.col(m) - F.col("public_score")).alias("gap"), F.lit(k).alias("k"), F.lit(m).alias("metric"), F.col(m).alias("score")) for k, m in enumerate(metrics)])
     best = F.array_min(F.filter(pairs, lambda s: s["gap"].isNotNull()))
     return df.withColumn("__b", best).withColumns(
         {
             "best_local_metric": F.coalesce(F.col("__b.metric"), F.lit("")),
             "best_local_score": F.col("__b.score"),
-            "local_public_gap": F.col("public_score") - F.col("__b.score"),
+            "local_public_gap": F.abs(F.col("public_score") - F.col("__b.score")),
         }
     ).drop("__b")
 
 
-def append_score_log(df: DataFrame, path: str) -> None:
+def append_score_log(df: DataFrame, path: str) -> list[float] | None:
+    """Append measured scores and fit the proxy anew on the whole log; None while it has too few rows."""
+    from ..operators.compare import fit_proxy
+
     if "timestamp" not in df.columns:
         df = df.withColumn("timestamp", utc_stamp())
     conform(with_closest_metric(df), SCORE_LOG).write.mode("append").parquet(path)
+    return fit_proxy(read_score_log(df.sparkSession, path), LOCAL_METRICS, "public_score")
 
 
 def read_score_log(spark: SparkSession, path: str) -> DataFrame:

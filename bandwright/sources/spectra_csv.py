@@ -52,9 +52,10 @@ def check_columns(train: Sequence[str], test: Sequence[str]) -> None:
 
 
 def raw_scan(spark: SparkSession, path: str, encoding: str = ENCODING) -> DataFrame:
-    """Every cell as text, under an explicit schema taken from the header line."""
+    """Every cell as text, under an explicit schema taken from the header line; a file of the folder with other
+    columns, or in another order, is an error."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header(spark, path, encoding)])
-    return spark.read.csv(path, header=True, schema=schema, encoding=encoding)
+    return spark.read.csv(path, header=True, schema=schema, encoding=encoding, enforceSchema=False)
 
 
 def read_spectra(spark: SparkSession, path: str, encoding: str = ENCODING, features: Sequence[str] | None = None) -> DataFrame:

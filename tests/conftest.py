@@ -20,11 +20,3 @@ def spark():
     )
     yield session
     session.stop()
-
-
-@pytest.fixture
-def spread_out(monkeypatch):
-    """Treat every input as large, so that the distributed ways run."""
-    from bandwright import session
-
-    monkeypatch.setattr(session, "SMALL_PLAN_BYTES", -1)

@@ -384,3 +384,28 @@ def test_missing_parts_of_the_composite(spark):
 def test_cut_weights_have_mean_one(skewed):
     out = W.final_weights(W.cap_groups(skewed.withColumn("w", F.col("v") / 7), "w", 1.1), "w")
     assert abs(out.agg(F.avg("w")).first()[0] - 1) < 1e-9
+
+
+def test_alignment_refuses_ids_repeated_on_both_sides(spark):
+    twice = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 3.0)], "id long, v double")
+    once = spark.createDataFrame([(1, 1.0), (2, 3.0)], "id long, w double")
+    with pytest.raises(ValueError):
+        U.align(twice, twice.withColumnRenamed("v", "w"))
+    assert U.align(once.withColumnRenamed("w", "v"), once).count() == 2
+    assert [tuple(r) for r in U.unmatched(once, once.where("id = 1")).collect()] == [(2, "left")]
+
+
+def test_rows_without_target_or_spectrum_do_not_enter_a_fit(spark):
+    rows = [(float(k), [float(k), float(k * k)]) for k in range(6)]
+    schema = "y double, x array<double>"
+    whole = gram(spark.createDataFrame(rows, schema))[None]
+    held = gram(spark.createDataFrame(rows + [(None, [1.0, 2.0]), (3.0, None), (float("nan"), [1.0, 1.0])], schema))[None]
+    assert held.n == whole.n and np.allclose(held.sxx, whole.sxx) and np.allclose(held.sxy(), whole.sxy())
+
+
+def test_silhouette_of_two_tight_clusters(spark):
+
+    rows = [(0, [0.0, 0.0]), (0, [0.0, 1.0]), (1, [10.0, 0.0]), (1, [10.0, 1.0])]
+    value = G.silhouette(spark.createDataFrame(rows, "cluster int, x array<double>")).first()[0]
+    own, other = 1.0, (100.0 + 101.0) / 2
+    assert abs(value - (other - own) / other) < 1e-9

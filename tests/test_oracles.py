@@ -19,11 +19,6 @@ def test_matches_sql(spark, con, name):
     assert compare(QUERIES[name](spark, SF), con, SQL[name]) == ""
 
 
-@pytest.mark.parametrize("name", ["AGG-6-seq", "AGG-8", "AGG-11", "AGG-18", "AGG-24", "WIN-1", "WIN-2", "WIN-3", "WIN-4", "WIN-6", "TOP-5", "TOP-10", "COR-10", "DRF-1"])
-def test_distributed_ways_match_sql(spark, con, name, spread_out):
-    assert compare(QUERIES[name](spark, SF), con, SQL[name]) == ""
-
-
 @pytest.mark.parametrize("name", ["AGG-30", "ARR-35", "JN-13", "MOD-8", "MOD-12", "MOD-22", "TGT-3", "TGT-6", "TOP-14", "WGT-4", "CMP-6", "GRD-2", "UDF-3"])
 def test_runs_without_sql(spark, name):
     table = QUERIES[name](spark, SF).toArrow()
