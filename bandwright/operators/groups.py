@@ -213,10 +213,12 @@ def transfer_scores(train: DataFrame, test: DataFrame) -> DataFrame:
     te = test.join(fit, "feature").withColumn("z", z)
     shift = te.groupBy("feature").agg(F.avg("z").alias("test_global_shift"))
     groups = te.groupBy("feature", "grp").agg(F.avg("z").alias("c"), F.var_pop("z").alias("v"))
-    centres = tr.groupBy("feature").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    near = groups.join(centres, "feature").withColumn(
-        "dist", F.array_min(F.transform("cs", lambda c: F.abs(c - F.col("c"))))
-    )
+    # Nearest train group: both kinds of group means in one order, the train mean before and after carried over.
+    line = groups.select("feature", "grp", "c", "v", F.lit(None).cast("double").alias("t")).unionByName(tr.select("feature", "grp", "c", F.lit(None).cast("double").alias("v"), F.col("c").alias("t")))
+    order = Window.partitionBy("feature").orderBy("c")
+    below = F.last("t", True).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    above = F.first("t", True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    near = line.withColumn("dist", F.least(F.col("c") - below, above - F.col("c"))).where("t IS NULL")
     per = near.groupBy("feature").agg(
         F.avg("dist").alias("mean_nearest_distance"),
         F.when(F.count("*") <= 1, F.lit(0.0))

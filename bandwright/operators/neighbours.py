@@ -28,6 +28,10 @@ BROADCAST_BYTES = 128 << 20
 CELL_ROWS = 20_000
 BLOCK_ROWS = 8_192
 MAX_PIVOTS = 1_024
+# Rows of a tile of queries and of references in one search.
+QUERY_TILE, REF_TILE = 256, 8_192
+# Groups whose samples meet in one task.
+GROUP_BLOCK = 32
 
 OUT = "qid long, rid long, d double"
 OUT_SCHEMA = pa.schema([("qid", pa.int64()), ("rid", pa.int64()), ("d", pa.float64())])
@@ -35,32 +39,47 @@ OUT_SCHEMA = pa.schema([("qid", pa.int64()), ("rid", pa.int64()), ("d", pa.float
 
 def search(q: np.ndarray, qid: np.ndarray, r: np.ndarray, rid: np.ndarray, k: int, no_self: bool) -> tuple:
     """k nearest references of each query by (distance, id). A matrix product finds the candidates and
-    their distances are then computed directly, so equal vectors get equal distances."""
+    their distances are then computed directly, so equal vectors get equal distances. Queries and references
+    are taken in tiles; a distance tile never exceeds ``QUERY_TILE * REF_TILE`` numbers, and the best k so far
+    are carried from tile to tile."""
     out_q, out_r, out_d = [], [], []
     if len(r) == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    r2 = (r * r).sum(1)
-    for s in range(0, len(q), 256):
-        part, ids = q[s : s + 256], qid[s : s + 256]
-        q2 = (part * part).sum(1)
-        near = q2[:, None] + r2[None, :] - 2.0 * (part @ r.T)
-        if no_self:
-            near[ids[:, None] == rid[None, :]] = np.inf
-        kk = min(k, near.shape[1])
-        edge = np.partition(near, kk - 1, axis=1)[:, kk - 1]
-        slack = 1e-9 * (q2 + r2.max()) + 1e-12
-        for j in range(len(part)):
-            cand = np.flatnonzero(near[j] <= edge[j] + slack[j])
-            cand = cand[np.isfinite(near[j][cand])]
-            diff = r[cand] - part[j]
-            dist = np.sqrt((diff * diff).sum(1))
-            order = np.lexsort((rid[cand], dist))[:k]
-            out_q.append(np.full(len(order), ids[j]))
-            out_r.append(rid[cand[order]])
-            out_d.append(dist[order])
+    for s in range(0, len(q), QUERY_TILE):
+        part, ids = q[s : s + QUERY_TILE], qid[s : s + QUERY_TILE]
+        best = [(np.empty(0, np.int64), np.empty(0))] * len(part)
+        for t in range(0, len(r), REF_TILE):
+            best = _merge_tile(part, ids, r[t : t + REF_TILE], rid[t : t + REF_TILE], k, no_self, best)
+        for j, (who, dist) in enumerate(best):
+            out_q.append(np.full(len(who), ids[j]))
+            out_r.append(who)
+            out_d.append(dist)
     return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_d)
 
 
+def _merge_tile(part: np.ndarray, ids: np.ndarray, r: np.ndarray, rid: np.ndarray, k: int, no_self: bool, best: list) -> list:
+    """The best k of each query after one more tile of references."""
+    q2, r2 = (part * part).sum(1), (r * r).sum(1)
+    near = q2[:, None] + r2[None, :] - 2.0 * (part @ r.T)
+    if no_self:
+        near[ids[:, None] == rid[None, :]] = np.inf
+    kk = min(k, near.shape[1])
+    edge = np.partition(near, kk - 1, axis=1)[:, kk - 1]
+    slack = 1e-9 * (q2 + r2.max()) + 1e-12
+    out = []
+    for j, (who, held) in enumerate(best):
+        limit = edge[j] + slack[j]
+        if len(held) >= k:
+            limit = min(limit, held[-1] * held[-1] + slack[j])
+        cand = np.flatnonzero(near[j] <= limit)
+        cand = cand[np.isfinite(near[j][cand])]
+        diff = r[cand] - part[j]
+        who, dist = np.concatenate([who, rid[cand]]), np.concatenate([held, np.sqrt((diff * diff).sum(1))])
+        order = np.lexsort((who, dist))[:k]
+        out.append((who[order], dist[order]))
+    return out
+
+
 def _batch(found: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())],
@@ -319,50 +338,34 @@ PAIR_DDL = "a long, b long, s double, n long"
 
 
 def _cross_sums(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Sum and count of distances per (left group, right group). Right rows arrive in blocks of
-    checked size; each block is broadcast and the left rows are scanned."""
-    first = right.first()
-    rows_max = BROADCAST_BYTES // (8 * max(1, len(first["x"]) if first else 1))
-    n_right = right.count()
-    blocks = max(1, math.ceil(n_right / max(1, rows_max // 2)))
-    parts = []
-    for b in range(blocks):
-        part = right.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("x", F.col("grp").cast("long"))
-        t = part.toArrow().combine_chunks()
-        if t.num_rows == 0:
-            continue
-        col = t.column("x")
-        held = left.sparkSession.sparkContext.broadcast(
-            (t.column("grp").to_numpy(), spectra_matrix(col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col))
-        )
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pd.DataFrame]:
-            g, x = held.value
+    """Sum and count of distances per (left group, right group). Every pair of groups is asked for; groups are
+    dealt into blocks and each pair of blocks meets in one task on the executors."""
+    sides = []
+    blocks = [max(1, math.ceil(side.select("grp").distinct().count() / GROUP_BLOCK)) for side in (left, right)]
+    for own, mine, other, name in ((left, blocks[0], blocks[1], ("lb", "rb")), (right, blocks[1], blocks[0], ("rb", "lb"))):
+        rows = own.select("x", F.col("grp").cast("long").alias("grp"))
+        rows = rows.withColumn(name[0], F.pmod(F.xxhash64("grp"), F.lit(mine))).withColumn(name[1], F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+        sides.append(rows.select(F.col("lb").cast("int"), F.col("rb").cast("int"), "grp", "x").groupBy("lb", "rb"))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = {"a": [], "b": [], "s": [], "n": []}
+        if a.num_rows and b.num_rows:
+            x, g = spectra_matrix(b.column("x").combine_chunks()), b.column("grp").to_numpy()
             names, codes = np.unique(g, return_inverse=True)
-            count = np.bincount(codes, minlength=len(names))
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                rows = spectra_matrix(batch.column("x"))
-                own = batch.column("grp").to_numpy()
-                sums: dict[int, np.ndarray] = {}
-                size: dict[int, int] = {}
-                for v, a in zip(rows, own):
-                    d = np.sqrt(((x - v) ** 2).sum(1))
-                    part = np.bincount(codes, weights=d, minlength=len(names))
-                    sums[a] = sums.get(a, 0.0) + part
-                    size[a] = size.get(a, 0) + 1
-                for a, s in sums.items():
-                    yield pa.RecordBatch.from_pydict(
-                        {"a": np.full(len(names), a), "b": names, "s": s, "n": count * size[a]},
-                        schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("s", pa.float64()), ("n", pa.int64())]),
-                    )
-
-        parts.append(left.select("x", F.col("grp").cast("long")).mapInArrow(run, PAIR_DDL))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("a", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+            count = np.bincount(codes)
+            sums: dict[int, np.ndarray] = {}
+            size: dict[int, int] = {}
+            for v, own in zip(spectra_matrix(a.column("x").combine_chunks()), a.column("grp").to_pylist()):
+                part = np.bincount(codes, weights=np.sqrt(((x - v) ** 2).sum(1)))
+                sums[own] = sums.get(own, 0.0) + part
+                size[own] = size.get(own, 0) + 1
+            for own, s in sums.items():
+                for to, value, n in zip(names.tolist(), s.tolist(), (count * size[own]).tolist()):
+                    for key, held in zip(out, (own, to, value, n)):
+                        out[key].append(held)
+        return pa.table(out, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("s", pa.float64()), ("n", pa.int64())]))
+
+    return sides[0].cogroup(sides[1]).applyInArrow(meet, PAIR_DDL)
 
 
 def _spread(sample: DataFrame) -> DataFrame:
@@ -377,8 +380,21 @@ def _spread(sample: DataFrame) -> DataFrame:
     return sample.select(F.col("grp").cast("long").alias("grp"), "x").groupBy("grp").applyInPandas(run, "g long, spread double")
 
 
+def _group_facts(df: DataFrame, key: str, size: str, centre: str, y: str | None = None) -> DataFrame:
+    """Size, mean spectrum and, with ``y``, target mean and sd of every group, over all rows."""
+    rows = df.select(F.col("grp").cast("long").alias(key), "x", (F.col(y) if y else F.lit(None)).cast("double").alias("__y"))
+    per = rows.select(key, F.posexplode("x").alias("k", "v")).groupBy(key, "k").agg(F.avg("v").alias("m"))
+    mean = per.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias(centre))
+    facts = [F.count("*").alias(size)]
+    if key == "train_grp":
+        facts += [F.avg("__y").alias("y_mean"), F.stddev_pop("__y").alias("y_sd")]
+    return rows.groupBy(key).agg(*facts).join(mean, key)
+
+
 def energy_distance(test: DataFrame, train: DataFrame, limit: int = 120, n: int | None = 8, skip_same: bool = False) -> DataFrame:
-    """max(0, 2 cross - within - within) between groups, on evenly spaced samples; n best per group."""
+    """max(0, 2 cross - within - within) between groups, on evenly spaced samples; n best per group by energy, then
+    cosine distance of the centroids. ``n_test`` and ``n_train`` are group sizes, ``y_mean`` and ``y_sd`` the
+    train group's target (null where ``train`` has no ``y``)."""
     te, tr = cut(evenly_spaced(test, limit)), cut(evenly_spaced(train, limit))
     cross = _cross_sums(te, tr).select(F.col("a").alias("test_grp"), F.col("b").alias("train_grp"), (F.col("s") / F.col("n")).alias("cross"))
     if skip_same:
@@ -388,7 +404,11 @@ def energy_distance(test: DataFrame, train: DataFrame, limit: int = 120, n: int
     out = out.select(
         "test_grp", "train_grp", F.greatest(F.lit(0.0), F.col("cross") * 2 - F.col("sa") - F.col("sb")).alias("energy"), "cross"
     )
-    w = Window.partitionBy("test_grp").orderBy("energy", "train_grp")
+    out = out.join(_group_facts(test, "test_grp", "n_test", "cu"), "test_grp").join(_group_facts(train, "train_grp", "n_train", "cv", "y" if "y" in train.columns else None), "train_grp")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
+    scale = F.greatest(F.sqrt(dot("cu", "cu") * dot("cv", "cv")), F.lit(1e-12))
+    out = out.withColumn("cosine_distance", 1 - dot("cu", "cv") / scale).drop("cu", "cv")
+    w = Window.partitionBy("test_grp").orderBy("energy", "cosine_distance", "train_grp")
     ranked = out.withColumn("pos", F.row_number().over(w))
     return ranked if n is None else ranked.where(F.col("pos") <= n)
 

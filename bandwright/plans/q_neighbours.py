@@ -119,34 +119,40 @@ def jn_10(spark, sf):
     return Nb.proximity(spectra(spark, sf), test(spark, sf).where("y >= 76"), 5)
 
 
-# Evenly spaced samples of 30 rows per group, then mean distances inside and across.
+# Evenly spaced samples of 120 rows per group, all rows where there are no more, then mean distances inside and across.
 ENERGY_SQL = SPECTRA_SQL + """,
 nr AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY id) - 1 AS r, count(*) OVER (PARTITION BY grp) AS n FROM spectra),
-smp AS (SELECT id, grp, x FROM nr WHERE r IN (SELECT CAST(round_even(unnest(range(30)) * (n - 1) / 29.0, 0) AS BIGINT))),
+smp AS (SELECT id, grp, x FROM nr WHERE n <= 120 OR r IN (SELECT CAST(round_even(unnest(range(120)) * (n - 1) / 119.0, 0) AS BIGINT))),
 dd AS (SELECT a.grp AS ga, b.grp AS gb, a.id AS ia, b.id AS ib, sqrt(list_sum(list_transform(range(1, 65), lambda k: (a.x[k] - b.x[k]) ** 2))) AS dist FROM smp a, smp b),
 spr AS (SELECT ga AS g, avg(dist) AS s FROM dd WHERE ga = gb AND ia <> ib GROUP BY ga),
 cr AS (SELECT ga, gb, avg(dist) AS c FROM dd GROUP BY ga, gb),
 en AS (SELECT ga AS test_grp, gb AS train_grp, c, greatest(0, 2 * c - p.s - q.s) AS energy FROM cr JOIN spr p ON p.g = ga JOIN spr q ON q.g = gb)"""
 
+COSINE_SQL = """mu AS (SELECT grp, k, avg(x[k]) AS m FROM (SELECT grp, x, unnest(range(1, 65)) AS k FROM spectra) GROUP BY ALL), cm AS (SELECT grp, list(m ORDER BY k) AS mu FROM mu GROUP BY grp),
+cosine AS (SELECT a.grp AS test_grp, b.grp AS train_grp, 1 - list_dot_product(a.mu, b.mu) / sqrt(list_dot_product(a.mu, a.mu) * list_dot_product(b.mu, b.mu)) AS cd FROM cm a, cm b)"""
+
 
 @query(
     "JN-11",
-    f"""WITH {ENERGY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY test_grp ORDER BY energy, train_grp) AS pos FROM en WHERE test_grp > 6 AND train_grp <= 6)
-SELECT test_grp, train_grp, {d('energy', 'energy')}, {d('c', 'cross')}, {i('pos', 'pos')} FROM r WHERE pos <= 8""",
+    f"""WITH {ENERGY_SQL}, {COSINE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY test_grp ORDER BY energy, cd, train_grp) AS pos FROM en JOIN cosine USING (test_grp, train_grp) WHERE test_grp > 6 AND train_grp <= 6),
+gs AS (SELECT grp, count(*) AS n, avg(y) AS ym, stddev_pop(y) AS ys FROM spectra GROUP BY grp)
+SELECT test_grp, train_grp, {d('energy', 'energy')}, {d('c', 'cross')}, {i('pos', 'pos')}, {i('p.n', 'n_test')}, {i('q.n', 'n_train')}, {d('q.ym', 'y_mean')}, {d('q.ys', 'y_sd')},
+  {d('cd', 'cosine_distance')}
+FROM r JOIN gs p ON p.grp = test_grp JOIN gs q ON q.grp = train_grp WHERE pos <= 8""",
 )
 def jn_11(spark, sf):
-    return Nb.energy_distance(test(spark, sf), train(spark, sf), limit=30)
+    return Nb.energy_distance(test(spark, sf), train(spark, sf))
 
 
 @query(
     "JN-12",
-    f"""WITH {ENERGY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY test_grp ORDER BY energy, train_grp) AS pos FROM en WHERE test_grp <= 6 AND train_grp <= 6 AND test_grp <> train_grp),
+    f"""WITH {ENERGY_SQL}, {COSINE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY test_grp ORDER BY energy, cd, train_grp) AS pos FROM en JOIN cosine USING (test_grp, train_grp) WHERE test_grp <= 6 AND train_grp <= 6 AND test_grp <> train_grp),
 t AS (SELECT grp, avg(y) AS m, stddev_pop(y) AS s FROM spectra GROUP BY grp)
 SELECT test_grp AS held_out, train_grp AS matched, {d('energy', 'energy')}, {d('b.m - a.m', 'mean_gap')}, {d('b.s - a.s', 'sd_gap')}
 FROM r JOIN t a ON a.grp = test_grp JOIN t b ON b.grp = train_grp WHERE pos = 1""",
 )
 def jn_12(spark, sf):
-    return Nb.pseudo_alignment(train(spark, sf), limit=30)
+    return Nb.pseudo_alignment(train(spark, sf))
 
 
 @query("JN-13")
@@ -156,7 +162,7 @@ def jn_13(spark, sf):
     out = None
     for name, fn in views.items():
         te, tr = (df.withColumn("x", fn(F.col("x"))) for df in (test(spark, sf), train(spark, sf)))
-        part = Nb.energy_distance(te, tr, limit=30, n=3).withColumn("view", F.lit(name))
+        part = Nb.energy_distance(te, tr, n=3).withColumn("view", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return Nb.vote_consensus(out)
 

@@ -226,7 +226,10 @@ def _energy_view(name: str, expr: str, dim: int) -> str:
     sql = ENERGY_SQL[len(SPECTRA_SQL) :].replace("range(1, 65)", f"range(1, {dim + 1})").replace("FROM spectra", f"FROM v_{name}")
     for t in ("nr", "smp", "dd", "spr", "cr", "en"):
         sql = re.sub(rf"(\n|FROM |JOIN |, ){t}( |\)|$)", rf"\g<1>{t}_{name}\g<2>", sql)
-    return f",\nv_{name} AS (SELECT id, grp, {expr} AS x FROM spectra)" + sql
+    cosine = f""",
+mu_{name} AS (SELECT grp, k, avg(x[k]) AS m FROM (SELECT grp, x, unnest(range(1, {dim + 1})) AS k FROM v_{name}) GROUP BY ALL), cm_{name} AS (SELECT grp, list(m ORDER BY k) AS mu FROM mu_{name} GROUP BY grp),
+co_{name} AS (SELECT a.grp AS test_grp, b.grp AS train_grp, 1 - list_dot_product(a.mu, b.mu) / greatest(sqrt(list_dot_product(a.mu, a.mu) * list_dot_product(b.mu, b.mu)), 1e-12) AS cd FROM cm_{name} a, cm_{name} b)"""
+    return f",\nv_{name} AS (SELECT id, grp, {expr} AS x FROM spectra)" + sql + cosine
 
 
 _views = {
@@ -234,7 +237,7 @@ _views = {
 }
 _votes = SPECTRA_SQL + "".join(_energy_view(n, e, k) for n, (e, k) in _views.items())
 _all = " UNION ALL ".join(
-    f"SELECT test_grp, train_grp, row_number() OVER (PARTITION BY test_grp ORDER BY energy, train_grp) AS pos FROM en_{n} WHERE test_grp > 6 AND train_grp <= 6" for n in _views
+    f"SELECT test_grp, train_grp, row_number() OVER (PARTITION BY test_grp ORDER BY energy, cd, train_grp) AS pos FROM en_{n} JOIN co_{n} USING (test_grp, train_grp) WHERE test_grp > 6 AND train_grp <= 6" for n in _views
 )
 check(
     "JN-13",

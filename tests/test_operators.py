@@ -44,15 +44,14 @@ def spectra(spark):
 # ---- order -----------------------------------------------------------------------------
 
 
-def test_ordinal_two_ways(skewed, spread_out, monkeypatch):
+def test_ordinal_numbers_rows_of_a_group(skewed):
     far = O.ordinal(skewed, ["grp"], ["v", "id"], "r").select("id", "r").toPandas().set_index("id")["r"]
-    monkeypatch.undo()
     pdf = skewed.toPandas().sort_values(["grp", "v", "id"])
     want = pdf.assign(r=pdf.groupby("grp").cumcount()).set_index("id")["r"]
     assert (far.sort_index() == want.sort_index()).all()
 
 
-def test_quantiles_equal_numpy(skewed, spread_out):
+def test_quantiles_equal_numpy(skewed):
     got = O.quantiles(skewed, "v", [0.0, 0.1, 0.5, 0.93, 1.0], ["grp"]).collect()
     pdf = skewed.toPandas()
     for r in got:
@@ -409,3 +408,18 @@ def test_silhouette_of_two_tight_clusters(spark):
     value = G.silhouette(spark.createDataFrame(rows, "cluster int, x array<double>")).first()[0]
     own, other = 1.0, (100.0 + 101.0) / 2
     assert abs(value - (other - own) / other) < 1e-9
+
+
+def test_search_in_tiles_equals_one_tile(monkeypatch):
+    """Distance tiles stay within their bound and give the neighbours of the whole matrix, ties by id."""
+    rng = np.random.default_rng(4)
+    q, r = rng.integers(0, 4, (70, 3)).astype(float), rng.integers(0, 4, (900, 3)).astype(float)
+    qid, rid = np.arange(70), rng.permutation(900)
+    whole = Nb.search(q, qid, r, rid, 7, True)
+    monkeypatch.setattr(Nb, "REF_TILE", 50)
+    monkeypatch.setattr(Nb, "QUERY_TILE", 16)
+    for a, b in zip(whole, Nb.search(q, qid, r, rid, 7, True)):
+        assert np.array_equal(a, b)
+    dist = np.sqrt(((q[0] - r) ** 2).sum(1)) + np.where(rid == 0, np.inf, 0)
+    order = np.lexsort((rid, dist))[:7]
+    assert np.array_equal(whole[1][:7], rid[order])
