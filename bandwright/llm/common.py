@@ -28,14 +28,24 @@ def alnum_words(text: bytes | None) -> list[bytes]:
     return text.translate(ALNUM).split() if text else []
 
 
+# Rows of a batch that are worked on at a time, so that a task never holds the texts of a batch decoded at once.
+SLICE = 1024
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in short pieces, without empty ones."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], schema: dict[str, pa.DataType]) -> DataFrame:
     """``mapInArrow`` with a function from a batch to columns of the given types."""
     arrow = pa.schema(list(schema.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(fn(batch), schema=arrow)
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_pydict(fn(batch), schema=arrow)
 
     return df.mapInArrow(run, from_arrow_schema(arrow))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM
+from .common import ALNUM, slices
 
 BITS = 20
 SYMBOLS = b"#*$%&|<>"
@@ -44,7 +44,7 @@ class _Slots(dict):
 
 
 def _level(name: str, share: float) -> bytes:
-    return f"f:{name}:{min(int(share * 10), 10)}".encode()
+    return f"f:{name}:{min(int(share * 25), 25)}".encode()
 
 
 def features(text: bytes, slots: _Slots) -> np.ndarray:
@@ -87,7 +87,7 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x >= 0 else (e := math.exp(x)) / (1 + e)
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, l1: float = 3.0, rounds: int = 300, least: int = 5, levels: int = 3) -> Model:
+def fit(rows: list[np.ndarray], grades: np.ndarray, l1: float = 2.0, rounds: int = 300, least: int = 5, levels: int = 3) -> Model:
     """Weights and thresholds of the smallest penalised loss. Features of fewer than ``least`` rows stay out.
     Grades without rows get half a row, so thresholds are finite."""
     if not len(rows):
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _Slots()
-        for batch in batches:
+        for batch in slices(batches):
             found = [features(t or b"", slots) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("rated_id"), pa.array(found, pa.list_(pa.int32()))], names=["grade", "id", "items"])
 
@@ -164,7 +164,7 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, least: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, model = _Slots(), Model(*held.value)
-        for batch in batches:
+        for batch in slices(batches):
             tails = [model.tails(features(t or b"", slots)) for t in batch.column("text").to_pylist()]
             fair, good = zip(*tails) if tails else ((), ())
             yield pa.RecordBatch.from_arrays(
@@ -183,7 +183,7 @@ def select(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, least: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, model = _Slots(), Model(*held.value)
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array([model.tails(features(t or b"", slots))[1] >= least for t in texts], pa.bool_()))

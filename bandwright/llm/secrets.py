@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import arrow_type, map_rows
+from .common import arrow_type, map_rows, slices
 
 # The base patterns, by kind in listed order.
 ASSIGN = re.compile(
@@ -211,7 +211,7 @@ def redact(docs: DataFrame, fdr: float = 0.1, mark: str = "[SECRET]") -> DataFra
     put = mark.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             for i, text in enumerate(texts):
