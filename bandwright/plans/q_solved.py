@@ -11,7 +11,7 @@ import re
 from . import q_compare, q_fits, q_neighbours, q_order, q_runs  # noqa: F401  (register the queries first)
 from .fixtures import CAND_SQL, SPECTRA_SQL, TRAIN_SQL
 from .q_arrays import REF_CTE, SNV0
-from .q_compare import LATEST_SQL
+from .q_compare import LATEST_SQL, NAMED_SQL
 from .q_fits import TR_LONG_SQL
 from .q_neighbours import ENERGY_SQL
 from .registry import check, d, i
@@ -255,6 +255,22 @@ check(
 pr AS (SELECT experiment, {scored('[coalesce(leave_one_species, 0), coalesce(group_species, 0), coalesce(random, 0)]')} AS p FROM local_, sysm JOIN sol USING (k))
 SELECT experiment, {d('CASE WHEN p BETWEEN 5 AND 50 THEN p END', 'fitted', 4)} FROM pr"""),
 )
+_INPUTS = "[coalesce(leave_one_species, 0), coalesce(group_species, 0), coalesce(random, 0)]"
+check(
+    "CMP-6",
+    rec(f"""{NAMED_SQL}, src AS (SELECT 1 AS k, {_INPUTS} AS x, measured AS y FROM named
+  WHERE measured IS NOT NULL AND coalesce(leave_one_species, group_species, random) IS NOT NULL), {moments(3)}, {cg('(SELECT k, a, b FROM sysm)', 6)},
+pr AS (SELECT experiment, {scored(_INPUTS)} AS p FROM (SELECT experiment, leave_one_species, group_species, random FROM named) u, sysm JOIN sol USING (k) WHERE coalesce(leave_one_species, group_species, random) IS NOT NULL),
+e AS (SELECT named.*, CASE WHEN w IS NOT NULL THEN CASE WHEN qf.a * w * w + qf.b * w + qf.c > 0 THEN sqrt(qf.a * w * w + qf.b * w + qf.c) END END AS quad, CASE WHEN p BETWEEN 5 AND 50 THEN p END AS fitted,
+  CASE WHEN predictor LIKE 'single%' AND preprocessor = 'spectral_snv_diff1' THEN 'estimated_anchor_snv_diff1' WHEN predictor = 'single_feature_linear' THEN 'estimated_simple_linear'
+    WHEN predictor = 'topk_ridge' THEN 'estimated_complex' ELSE 'estimated_median' END AS fam FROM named LEFT JOIN qf ON true LEFT JOIN pr USING (experiment)),
+f AS (SELECT *, CASE fam WHEN 'estimated_anchor_snv_diff1' THEN [0.55, 0.25, 0.20] WHEN 'estimated_simple_linear' THEN [0.35, 0.35, 0.30] ELSE [0.15, 0.35, 0.50] END AS kw FROM e),
+v AS (SELECT *, CASE WHEN fam = 'estimated_median' THEN list_median(list_filter([leave_one_species, group_species, random], lambda t: t IS NOT NULL)) ELSE
+  (coalesce(kw[1] * leave_one_species, 0) + coalesce(kw[2] * group_species, 0) + coalesce(kw[3] * random, 0))
+  / nullif(CASE WHEN leave_one_species IS NULL THEN 0 ELSE kw[1] END + CASE WHEN group_species IS NULL THEN 0 ELSE kw[2] END + CASE WHEN random IS NULL THEN 0 ELSE kw[3] END, 0) END AS fv FROM f)
+SELECT experiment, name, {d('coalesce(measured, quad, fitted, fv)', 'estimate', 4)}, CASE WHEN measured IS NOT NULL THEN 'measured' WHEN quad IS NOT NULL THEN 'public_feedback_quadratic' WHEN fitted IS NOT NULL THEN 'fitted'
+  WHEN fv IS NOT NULL THEN fam ELSE 'missing' END AS source, regexp_matches(lower(name || ' ' || predictor), 'group_curve|meta_monotonic|topk_quantile|clip|lowtail|low_tail') AS denied, {d('leave_one_species', 'leave_one_species', 4)} FROM v"""),
+)
 check(
     "CMP-7",
     rec(f"""{LATEST_SQL}, ok AS (SELECT experiment, [leave_one_species, group_species, random] AS x, measured AS y FROM local_ WHERE measured IS NOT NULL AND leave_one_species IS NOT NULL AND group_species IS NOT NULL AND random IS NOT NULL),
