@@ -1,14 +1,17 @@
 """Exact n-gram Jaccard join with set relations.
 
-A document is the set of its word shingles. Copies (equal sets) are one set. Sets that reach the similarity share
-a token among their first few in a common order of all tokens; rare tokens come first, so that frequent
-passages hardly ever are such keys. The order uses counts over all documents (tokens frequent in some task);
-any order gives the same links. Tokens held by one set only are told by a count and dropped by a bitmap of fixed size
-before rows are moved. ``linking`` compares the sets that are left.
+A document is the set of its word shingles. Copies (equal sets) are one set. Take the first tokens of each set in a
+common order of all tokens: as a similar set lacks at most p - 1 of a set's tokens, two similar sets share one of
+their first p tokens, and p + 1 (p of the smaller) of their first 2p. So a set is left out at once unless that many
+of its first 2p tokens occur in other sets; a count of those tokens over all sets tells. The order puts rare tokens first, from
+counts over all documents (tokens frequent in some task), so frequent passages hardly ever count; any order gives
+the same links. Rows are dropped by a bitmap of fixed size before they are moved, and exactly after it.
+``linking`` compares the sets that are left, by keys among their first p tokens.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import linking
-from .common import LOWER, WordHashes, bitmap, fingerprint, in_bitmap, shingles
+from .common import LOWER, WordHashes, bitmap, fingerprint, in_bitmap, shingles, slices
 
 # Tokens seen this often in one chunk of a task are counted; the most frequent are kept for the order.
 CHUNK, LOCAL_LEAST, ORDERED = 1 << 21, 4, 1 << 19
@@ -44,7 +47,7 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             keep = c >= LOCAL_LEAST
             return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], names=["h", "c"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 held.append(_set(text, k, hashes))
                 n += len(held[-1])
@@ -61,31 +64,42 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], rank[order]
 
 
-def prefix(items: np.ndarray, common: tuple[np.ndarray, np.ndarray], num: int, den: int) -> np.ndarray:
-    """The tokens of which a similar set shares one: as many as a set may lack, plus one, rarest first."""
-    n = len(items)
-    p = n + (-num * n // den) + 1
-    if not n or not len(common[0]):
-        return items[:p]
+def needed(n: int, num: int, den: int) -> int:
+    """p: one more than the tokens that a similar set may lack."""
+    return n + (-num * n // den) + 1 if n else 0
+
+
+def least(n: int, num: int, den: int) -> int:
+    """How many of the first 2p tokens any similar set shares, within its own first 2p: 2p (or all) less p plus
+    one, for the smallest size that can be similar."""
+    m = -(-num * n // den)
+    p = needed(m, num, den)
+    return min(2 * p, m) - p + 1
+
+
+def prefix(items: np.ndarray, common: tuple[np.ndarray, np.ndarray], length: int) -> np.ndarray:
+    """The first tokens in the common order: rare ones by hash, then frequent ones by count."""
+    if not len(items) or not len(common[0]):
+        return items[:length]
     at = np.minimum(np.searchsorted(common[0], items), len(common[0]) - 1)
     often = common[0][at] == items
     rare = items[~often]
-    if len(rare) >= p:
-        return rare[:p]
-    frequent_ = items[often][np.argsort(common[1][at[often]], kind="stable")]
-    return np.concatenate([rare, frequent_[: p - len(rare)]])
+    if len(rare) >= length:
+        return rare[:length]
+    rest = items[often][np.argsort(common[1][at[often]], kind="stable")]
+    return np.concatenate([rare, rest[: length - len(rare)]])
 
 
 def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``doc_id, n, f1, f2, keys``: size, fingerprint and key tokens of every row."""
+    """``doc_id, n, f1, f2, keys``: size, fingerprint and first tokens of every row."""
     common = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [_set(t, k, hashes) for t in batch.column("text").to_pylist()]
             f1, f2 = zip(*map(fingerprint, sets)) if sets else ((), ())
-            keys = [prefix(s, common.value, num, den).view(np.int64) for s in sets]
+            keys = [prefix(s, common.value, 2 * needed(len(s), num, den)).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "n", "f1", "f2", "keys"],
@@ -94,49 +108,48 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return cut(_bytes(docs).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>"))
 
 
-def _shared_keys(sets: DataFrame) -> DataFrame:
-    """``key, id, n, pos`` for keys held by two different sets or more; equal sets are one, by their smallest id."""
-    shared = cut(
-        sets.select(F.explode("keys").alias("key"), "f1").groupBy("key")
-        .agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("key")
-    )
-    held = sets.sparkSession.sparkContext.broadcast(bitmap(shared, "key"))
+def _shared_keys(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``key, id, n, pos``: those of the first p tokens that occur twice or more, of sets with enough shared ones
+    among their first 2p. Equal sets are one, by their smallest id."""
+    twice = cut(sets.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"))
+    held = sets.sparkSession.sparkContext.broadcast(bitmap(twice, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys = batch.column("keys")
             flat = keys.flatten().to_numpy(zero_copy_only=False)
-            offsets = keys.offsets.to_numpy().astype(np.int64)
-            offsets = offsets - offsets[0]
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            pos = np.arange(len(flat)) - offsets[:-1][owner] if len(flat) else np.empty(0, np.int64)
-            hit = np.flatnonzero(in_bitmap(held.value, flat)) if len(flat) else np.empty(0, np.int64)
-            take = pa.array(owner[hit])
+            length = keys.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(batch.num_rows), length)
+            pos = np.arange(len(flat)) - (length.cumsum() - length)[owner]
+            hit = in_bitmap(held.value, flat) if len(flat) else np.empty(0, bool)
+            n = batch.column("n").to_pylist()
+            enough = np.bincount(owner[hit], minlength=batch.num_rows) >= np.array([max(1, least(x, num, den)) for x in n])
+            p = np.array([needed(x, num, den) for x in n])
+            take = np.flatnonzero(hit & (enough[owner]) & (pos < p[owner]))
+            rows = pa.array(owner[take])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[hit], pa.int64()), *(batch.column(c).take(take) for c in ("doc_id", "n", "f1", "f2")), pa.array(pos[hit], pa.int64())],
+                [pa.array(flat[take], pa.int64()), *(batch.column(c).take(rows) for c in ("doc_id", "n", "f1", "f2")), pa.array(pos[take], pa.int64())],
                 names=["key", "doc_id", "n", "f1", "f2", "pos"],
             )
 
     rows = sets.mapInArrow(run, "key long, doc_id long, n long, f1 long, f2 long, pos long")
-    one = rows.groupBy("key", "f1", "f2", "n", "pos").agg(F.min("doc_id").alias("id"))
-    return cut(one.join(shared, "key").select("key", "id", "n", "pos"))
+    one = rows.groupBy("key", "f1", "f2").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("pos").alias("pos"))
+    return cut(one.where("id IS NOT NULL").select("key", "id", "n", "pos"))
 
 
-def _items(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``id, items`` of the wanted documents: texts stay where they are, a bitmap of the ids picks the rows."""
+def _items(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, items`` of the wanted documents, and of a few others: texts stay where they are, a bitmap of the
+    ids picks the rows. Items are the compressed words, smaller than their hashes."""
     held = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("id").alias("h")), "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            hit = pa.array(np.flatnonzero(in_bitmap(held.value, batch.column("h").to_numpy(zero_copy_only=False))))
-            own = batch.take(hit)
-            items = [_set(t, k, hashes).tobytes() for t in own.column("text").to_pylist()]
+        for batch in slices(batches):
+            own = batch.take(pa.array(np.flatnonzero(in_bitmap(held.value, batch.column("h").to_numpy(zero_copy_only=False)))))
+            items = [zlib.compress(t or b"") for t in own.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(items, pa.binary())], names=["id", "items"])
 
     rows = _bytes(docs).where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id"))
-    found = rows.mapInArrow(run, "id long, items binary")
-    return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return rows.mapInArrow(run, "id long, items binary")
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -149,7 +162,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     are not read.
     """
     sets = _sets(docs, k, num, den)
-    edges = linking.links(_shared_keys(sets), lambda ids: _items(docs, ids, k), num, den)
+    edges = linking.links(_shared_keys(sets, num, den), lambda ids: _items(docs, ids), lambda b, seen=WordHashes(): _set(zlib.decompress(b), k, seen), num, den)
     groups = linking.components(edges)
     # Copies: the smallest id of each set, then the component of that id.
     least = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")

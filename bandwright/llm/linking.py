@@ -1,10 +1,11 @@
 """Exact links between similar sets that share keys, without a row per pair.
 
 Sets come with keys (tokens of which similar sets share one). The members of a key's list are not paired.
-Every set takes a home, the leader of its longest list, and is compared with that leader first. Sets of one home
-are split into blocks of a bounded size; two blocks are compared when some key has members in both, except
-blocks whose sets all link to the same leader: they are connected already. So a group of near copies costs
-rows in proportion to its size, and only what does not link to its leader is compared further.
+Every set takes a home, found through the leader of its longest list. The sets of a home are split into blocks of a bounded
+size. A block is compared with the leader and, as far as sets do not link to it, within itself. After that two
+blocks are compared when some key has members in both, except those parts of one home that link to the leader:
+they are connected already. So a group of near copies costs rows in proportion to its size, and only what does
+not link to its leader is compared further.
 
 Inside a comparison of blocks the sets are held once and each set's overlaps with all others are counted by
 index lists; where a set is highly similar to the one before, its counts are derived from those by the lists of
@@ -14,27 +15,24 @@ reach the similarity is skipped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 
 # Sets and set elements in one block; what a task compares at once is two of these.
-BLOCK_SETS, BLOCK_ITEMS = 128, 1 << 19
+BLOCK_SETS, BLOCK_ITEMS = 512, 1 << 19
 
 
 def similar(common: int, a: int, b: int, num: int, den: int) -> bool:
     return den * common >= num * (a + b - common)
 
 
-def link_sets(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+def link_sets(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges of a forest that connects all linked sets. Pairs within a side are left out where there are two
-    sides. Sets are arrays of distinct 64-bit values."""
+    sides, and those of two ``joined`` sets, which are connected already. Sets hold distinct 64-bit values."""
     m = len(sets)
     order = sorted(range(m), key=lambda i: (len(sets[i]), sets[i][:1].tolist()))
     sizes = np.array([len(sets[i]) for i in order])
@@ -61,6 +59,10 @@ def link_sets(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) ->
         return np.bincount(lists[at], minlength=m)
 
     up = list(range(m))
+    done = np.zeros(m, bool) if joined is None else joined[order]
+    if done.any():
+        for i in np.flatnonzero(done).tolist():
+            up[i] = int(np.flatnonzero(done)[0])
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -71,16 +73,16 @@ def link_sets(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) ->
     out = []
     counts, before = np.zeros(m, np.int64), np.empty(0, np.int64)
     for y in range(m):
+        # Only sets up to y: sizes below the bound cannot reach the similarity.
+        low = int(np.searchsorted(sizes, -(-num * int(sizes[y]) // den)))
+        if low >= y or done[y] and done[low:y].all():
+            continue
         gone, new = np.setdiff1d(before, mine[y], True), np.setdiff1d(mine[y], before, True)
         if len(gone) + len(new) < len(mine[y]):
             counts = counts - counted(gone) + counted(new)
         else:
             counts = counted(mine[y])
         before = mine[y]
-        # Only sets up to y: sizes below the bound cannot reach the similarity.
-        low = int(np.searchsorted(sizes, -(-num * int(sizes[y]) // den)))
-        if low >= y:
-            continue
         common = counts[low:y]
         hit = den * common >= num * (sizes[low:y] + sizes[y] - common)
         if two:
@@ -92,67 +94,78 @@ def link_sets(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) ->
     return out
 
 
-def _homes(keys: DataFrame, block_sets: int, block_items: int) -> DataFrame:
-    """``id, leader, parts``: the leader of the longest list of each set, and in how many blocks the home falls."""
-    lists = cut(
-        keys.groupBy("key")
-        .agg(F.count("*").alias("m"), F.sum("n").alias("mass"), F.min(F.struct("pos", "id")).alias("lead"))
-        .where("m > 1").select("key", "m", "mass", F.col("lead.id").alias("leader"))
-    )
-    parts = F.greatest(F.ceil(F.col("m") / block_sets), F.ceil(F.col("mass") / block_items)).alias("parts")
-    found = keys.join(lists.select("key", parts, "leader"), "key")
-    best = found.groupBy("id").agg(F.max(F.struct("parts", (-F.col("leader")).alias("l"))).alias("best"))
-    return cut(best.select("id", (-F.col("best.l")).alias("leader"), F.col("best.parts").alias("parts")))
+def _listed(keys: DataFrame) -> DataFrame:
+    """The keys of two sets or more, with length and leader of their list."""
+    lists = keys.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("pos", "id")).alias("lead")).where("m > 1").select("key", "m", F.col("lead.id").alias("leader"))
+    return cut(keys.select("key", "id", "n").join(cut(lists), "key"))
 
 
-def _with_leader(homes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Adds ``settled``: whether the set links to its leader."""
-    mine = homes.join(sets, "id")
-    lead = sets.select(F.col("id").alias("leader"), F.col("items").alias("lead_items"))
+def _homes(listed: DataFrame, block_sets: int, block_items: int) -> DataFrame:
+    """``id, leader, block``: a set follows the leader of its longest list, and that one's leader, twice; so the
+    many lists of one group end in few homes. A home falls into as many blocks as its size asks for."""
+    best = listed.groupBy("id").agg(F.max(F.struct("m", (-F.col("leader")).alias("l"))).alias("best"), F.max("n").alias("n"))
+    homes = cut(best.select("id", "n", (-F.col("best.l")).alias("leader")))
+    for _ in range(2):
+        up = homes.select(F.col("id").alias("leader"), F.col("leader").alias("next"))
+        homes = cut(homes.join(up, "leader", "left").select("id", "n", F.coalesce("next", "leader").alias("leader")))
+    size = homes.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_items)).alias("parts"))
+    return cut(homes.join(size, "leader").select("id", "leader", F.xxhash64("leader", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, leaders = batch.column("id").to_pylist(), batch.column("leader").to_pylist()
-            settled, last, held = [], None, None
-            for i, l, a, b in zip(ids, leaders, batch.column("items").to_pylist(), batch.column("lead_items").to_pylist()):
-                if l != last:
-                    last, held = l, np.frombuffer(b, np.uint64)
-                mine = np.frombuffer(a, np.uint64)
-                settled.append(i == l or similar(len(np.intersect1d(mine, held, True)), len(mine), len(held), num, den))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("leader"), batch.column("parts"), pa.array(settled, pa.bool_())], names=["id", "leader", "parts", "settled"])
 
-    return cut(mine.join(lead, "leader").select("id", "leader", "parts", "items", "lead_items").mapInArrow(run, "id long, leader long, parts long, settled boolean"))
+FOUND = "id long, other long, settled boolean"
 
 
-def links(keys: DataFrame, sets_of, num: int, den: int, block_sets: int = BLOCK_SETS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def links(keys: DataFrame, sets_of, decode, num: int, den: int, block_sets: int = BLOCK_SETS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """Edges ``a, b`` (longs) that connect every pair of linked sets, perhaps through others.
 
     ``keys``: ``key, id, n, pos``, one row per set and key. ``sets_of(ids)`` gives ``id, items`` for a table of
-    ids, the items as bytes of distinct 64-bit values.
+    ids, possibly with more ids and repeated rows; ``decode(items)`` an array of distinct 64-bit values.
     """
-    homes = _homes(keys, block_sets, block_items)
+    listed = _listed(keys)
+    homes = _homes(listed, block_sets, block_items)
     sets = cut(sets_of(homes.select("id")))
-    known = _with_leader(homes, sets, num, den)
-    of_block = lambda *more: F.xxhash64("leader", "parts", "settled", *more)
-    placed = cut(known.withColumn("block", of_block(F.pmod(F.xxhash64("id"), F.col("parts")))).select("id", "leader", "settled", "block"))
-    seen = keys.select("key", "id").join(placed, "id").select("key", "block", F.when(F.col("settled"), F.col("leader")).alias("under")).distinct()
-    other = seen.select("key", F.col("block").alias("block2"), F.col("under").alias("under2"))
-    apart = seen.join(other, "key").where("block < block2 AND NOT coalesce(under = under2, false)").select("block", "block2").distinct()
-    alone = placed.where("NOT settled").groupBy("block").agg(F.count("*").alias("c")).where("c > 1").select("block", F.col("block").alias("block2"))
-    todo = cut(apart.union(alone).withColumn("pair", F.xxhash64("block", "block2")))
-    members = placed.select("id", "block").join(sets, "id")
-    left = todo.select("pair", "block")
-    right = todo.where("block <> block2").select("pair", F.col("block2").alias("block"))
-    rows = left.union(right).join(members, "block").select("pair", "block", "id", "items")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy()
-        found = link_sets([np.frombuffer(b, np.uint64) for b in pdf["items"]], pdf["block"].to_numpy(), num, den)
-        return pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]}, dtype="int64")
 
-    compared = rows.groupBy("pair").applyInPandas(compare, "a long, b long")
-    star = placed.where("settled AND id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
-    return cut(star.union(compared))
+    def decoded(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[np.ndarray]]:
+        pdf = pdf.drop_duplicates("id")
+        return pdf, [decode(b) for b in pdf["items"]]
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One block with its leader: who links to the leader, and all other links inside."""
+        own = set(pdf["id"][pdf["member"]])
+        pdf, held = decoded(pdf)
+        ids, leader = pdf["id"].to_numpy(), int(pdf["leader"].iloc[0])
+        lead = held[int(np.flatnonzero(ids == leader)[0])] if leader in ids else np.empty(0, np.uint64)
+        settled = np.array([i == leader or similar(len(np.intersect1d(x, lead, True)), len(x), len(lead), num, den) for i, x in zip(ids, held)])
+        out = [(i, leader if s else i, s) for i, s in zip(ids, settled) if i in own]
+        if not settled.all():
+            out += [(ids[x], ids[y], None) for x, y in link_sets(held, np.zeros(len(held)), num, den, settled)]
+        return pd.DataFrame(out, columns=["id", "other", "settled"])
+
+    members = homes.join(sets, "id").select("block", "leader", "id", "items", F.lit(True).alias("member"))
+    lead = homes.select("block", "leader").distinct().join(sets.withColumnRenamed("id", "leader"), "leader").select("block", "leader", F.col("leader").alias("id"), "items", F.lit(False).alias("member"))
+    inside = cut(members.union(lead).groupBy("block").applyInPandas(within, FOUND))
+    known = inside.where("settled IS NOT NULL").groupBy("id").agg(F.max("settled").alias("settled"))
+    placed = cut(homes.join(known, "id").select("id", "leader", F.col("block").alias("home"), F.xxhash64("block", "settled").alias("block"), F.when(F.col("settled"), F.col("leader")).alias("under")))
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Two blocks: links between them."""
+        sides = dict(zip(pdf["id"], pdf["block"]))
+        pdf, held = decoded(pdf)
+        ids = pdf["id"].to_numpy()
+        found = link_sets(held, np.array([sides[i] for i in ids]), num, den)
+        return pd.DataFrame([(ids[x], ids[y], None) for x, y in found], columns=["id", "other", "settled"])
+
+    # Blocks of one home meet whole; of two homes only the sets that have a key in the other.
+    seen = cut(listed.select("key", "id").join(placed, "id").select("key", "id", "block", "leader", "under"))
+    other = seen.select("key", F.col("block").alias("block2"), F.col("leader").alias("leader2"), F.col("under").alias("under2")).distinct()
+    far = seen.join(other, "key").where("leader <> leader2 AND NOT coalesce(under = under2, false)").select("id", "block", "block2").distinct()
+    parts = placed.select("leader", "home", "block", "under").distinct()
+    same = parts.join(parts.select("leader", F.col("home").alias("home2"), F.col("block").alias("block2"), F.col("under").alias("under2")), "leader")
+    same = cut(same.where("home <> home2 AND NOT coalesce(under = under2, false)").select("block", "block2"))
+    near = placed.select("id", "block").join(same, "block").select("id", "block", "block2")
+    named = cut(far.union(near).select(F.xxhash64(F.least("block", "block2"), F.greatest("block", "block2")).alias("pair"), "block", "id"))
+    apart = named.join(sets, "id").groupBy("pair").applyInPandas(across, FOUND)
+    return cut(inside.union(apart).where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
