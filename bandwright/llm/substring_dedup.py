@@ -6,7 +6,8 @@ keys come from MinHash values; paragraphs of different documents that collide in
 (Jaccard), and clusters of linked paragraphs are the components. The first place of a cluster is kept.
 
 Only keys that occur in two documents matter. They are counted first; a second pass over the texts writes just
-the paragraphs with such a key (bitmap of fixed size, exact join after it).
+the places of paragraphs with such a key (bitmap of fixed size, exact join after it), and a third the shingles of
+those that have another to be compared with.
 """
 
 from __future__ import annotations
@@ -21,13 +22,17 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import linking
-from .common import ALNUM, WordHashes, bitmap, in_bitmap, mix, shingles
+from .common import ALNUM, WordHashes, bitmap, in_bitmap, mix, shingles, slices
 
 # Words as usual; sentence ends and line ends become a full stop.
 SENTENCES = bytes(46 if c in b".!?\n" else ALNUM[c] for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
+# Paragraph ids that a task remembers having sent.
+SEEN = 1_000_000
+
+
 def tune(similarity: float, recall: float, most: int = 64) -> tuple[int, int]:
     """(bands, rows) with the fewest band keys whose collision chance at ``similarity`` reaches ``recall``."""
     for bands in range(1, most + 1):
@@ -63,6 +68,8 @@ class Paragraphs:
         padded = np.append(self.items, np.uint64(0))
         total = np.add.reduceat(mix(padded), cuts)[::2]
         self.ids = mix(total + (self.end - self.first).astype(np.uint64))
+        if not bands:
+            return
         keys = []
         top = np.append(self.items, np.uint64(2**64 - 1))
         for b in range(bands):
@@ -74,11 +81,11 @@ class Paragraphs:
         self.keys = np.stack(keys, 1)
 
 
-def _offsets(text: bytes, first: np.ndarray, end: np.ndarray) -> tuple[list[int], list[int]]:
+def _offsets(text: bytes, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the first word's start and the last word's end."""
     at = np.array([m.span() for m in WORD.finditer(text)], np.int64)
     lead = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
-    return lead[at[first, 0]].tolist(), lead[at[end - 1, 1]].tolist()
+    return lead[at[first, 0]], lead[at[end - 1, 1]]
 
 
 def spans(docs: DataFrame, unit_words: int = 25, k: int = 5, num: int = 80, den: int = 100, recall: float = 0.998) -> DataFrame:
@@ -95,7 +102,7 @@ def spans(docs: DataFrame, unit_words: int = 25, k: int = 5, num: int = 80, den:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             ids, held = batch.column("doc_id").to_pylist(), []
             for text in batch.column("text").to_pylist():
                 held.append(np.unique(Paragraphs(text or b"", unit_words, k, bands, rows, hashes).keys))
@@ -110,25 +117,46 @@ def spans(docs: DataFrame, unit_words: int = 25, k: int = 5, num: int = 80, den:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+        for batch in slices(batches):
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 p = Paragraphs(text or b"", unit_words, k, bands, rows, hashes)
                 hit = np.flatnonzero(in_bitmap(held_bits.value, p.keys.ravel()).reshape(p.keys.shape).any(1))
-                if not len(hit):
-                    continue
-                a, b = _offsets(text, p.first[hit], p.end[hit])
-                for j, i in enumerate(hit.tolist()):
-                    items = np.unique(p.items[p.first[i] : p.end[i] - k + 1])
-                    for c, v in zip(out, (doc, a[j], b[j], int(p.ids[i].astype(np.int64)), len(items), p.keys[i].view(np.int64), items.tobytes())):
+                if len(hit):
+                    first, end = p.first[hit], p.end[hit]
+                    for c, v in zip(out, (np.full(len(hit), doc), *_offsets(text, first, end), p.ids[hit].view(np.int64), end - first - k + 1, p.keys[hit].view(np.int64).ravel())):
                         c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["doc_id", "start", "end", "id", "n", "keys", "items"])
+            flat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat[5]) + 1, bands), pa.int32()), pa.array(flat[5]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in flat[:5]), keys], names=["doc_id", "start", "end", "id", "n", "keys"])
 
-    places = cut(texts.mapInArrow(found, "doc_id long, start long, end long, id long, n long, keys array<long>, items binary"))
+    places = cut(texts.mapInArrow(found, "doc_id long, start long, end long, id long, n long, keys array<long>"))
     exploded = places.select("id", "n", F.explode("keys").alias("key")).groupBy("key", "id", "n").count().select("key", "id", "n", F.lit(0).cast("long").alias("pos"))
     keys = cut(exploded.join(shared, "key"))
-    edges = linking.links(keys, lambda ids: places.select("id", "items").join(ids, "id", "left_semi").dropDuplicates(["id"]), num, den)
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """Shingles of the wanted paragraphs, by a scan of the texts; few repeat within a task."""
+        wanted = spark.sparkContext.broadcast(bitmap(ids, "id"))
+
+        def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, seen = WordHashes(), set()
+            for batch in slices(batches):
+                got, held = [], []
+                for text in batch.column("text").to_pylist():
+                    p = Paragraphs(text or b"", unit_words, k, 0, 0, hashes)
+                    for i in np.flatnonzero(in_bitmap(wanted.value, p.ids)).tolist() if len(p.ids) else ():
+                        who = int(p.ids[i].astype(np.int64))
+                        if who not in seen:
+                            seen.add(who)
+                            got.append(who)
+                            held.append(np.unique(p.items[p.first[i] : p.end[i] - k + 1]).tobytes())
+                if len(seen) > SEEN:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array(held, pa.binary())], names=["id", "items"])
+
+        return texts.mapInArrow(items, "id long, items binary")
+
+    edges = linking.links(keys, sets_of, lambda b: np.frombuffer(b, np.uint64), num, den)
     groups = linking.components(edges).withColumnRenamed("id", "node")
     rows_ = places.select("doc_id", "start", "end", "id").join(groups, F.col("id") == F.col("node"), "left")
     rows_ = cut(rows_.select("doc_id", "start", "end", F.coalesce("component", "id").alias("cluster_id")))
