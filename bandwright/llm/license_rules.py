@@ -1,14 +1,17 @@
 """License scans: ordered signature rules with a keyword prefilter, in DataFrame functions only.
 
 Texts are read as words. A rule is a regular expression over the words from a keyword on, and applies only where
-its keyword stands; a text without any of the prefilter's strings is not cut into words at all. All rules of a
-keyword are tried at each of its places. A detection inside another of the same or a better priority is
-suppressed; what is left gives labels and score.
+its keyword stands; a text without any of the prefilter's strings is not cut into words at all. Both are derived
+from the rules: keywords are all words a rule can begin with, and every match of a rule holds a prefilter string,
+whatever separates its words. All rules of a keyword are tried at each of its places. A detection inside another
+of the same or a better priority is suppressed; what is left gives labels and score.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,13 +21,15 @@ from .common import text_column
 # Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Strings of which a text with any detection has one, in lower case.
-PREFILTER = (
-    "licen", "copyright", "copyleft", "spdx", "public domain", "permission", "redistribution", "creative commons", "all rights reserved", "cc0", "cc by", "cc-by",
-    "gpl", "without warranty", "warranties",
+# Strings to look for before a text is cut into words; ``prefilter`` takes them, or others, so that every rule needs one.
+PREFERRED = (
+    "licen", "copyright", "permission", "redistribution", "domain", "commons", "reserved", "unauthorized", "gpl", "bsd", "spdx", "warranty", "unencumbered", "apache", "cc0",
+    "cc by", "mpl 1", "mpl 2", "epl 1", "epl 2", "gfdl", "cddl", "eupl", "cecill", "bsl", "wtfpl", "odbl", "sspl", "rail", "attribution",
 )
 CONTEXT = 48
 PRIORITIES = 5
+# What stands between words, over lower-case letters.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Score of a detection by priority: grant text, licensed-under sentence, identifier, name, hint.
 SCORES = (1.0, 0.95, 0.9, 0.75, 0.4)
 
@@ -137,7 +142,7 @@ VERBS = ("licensed", "licenced", "released", "distributed", "available", "publis
 
 
 def rules() -> list[tuple[str, str, str, int]]:
-    """(keyword, regex, label, priority), in order. The keyword is the first word the regex can begin with."""
+    """(keyword, regex, label, priority), in order, one for each word the regex can begin with."""
     out = []
     for label, body in GRANTS:
         out += [(w, body, label, 1) for w in _first_words(body)]
@@ -152,18 +157,95 @@ def rules() -> list[tuple[str, str, str, int]]:
     return [(k, rf"^(?:{body})(?= |$)", label, p) for k, body, label, p in out]
 
 
+def _alternatives(body: str) -> list[str]:
+    """The parts of a pattern between the ``|`` outside its groups."""
+    out, depth = [""], 0
+    for c in body:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def _atoms(body: str) -> Iterator[tuple[str, bool]]:
+    """The groups, classes and characters of a pattern without alternatives, and whether each must be there."""
+    at = 0
+    while at < len(body):
+        end = at + 1
+        if body[at] == "(":
+            depth = 1
+            while depth:
+                depth += (body[end] == "(") - (body[end] == ")")
+                end += 1
+        elif body[at] == "[":
+            end = body.index("]", at) + 1
+        elif body[at] == "\\":
+            end += 1
+        atom = body[at:end]
+        times = re.compile(r"[?+]|\{0,\d+\}|").match(body, end)[0]
+        yield atom, times in ("", "+")
+        at = end + len(times)
+
+
 def _first_words(body: str) -> list[str]:
-    """The words a pattern can begin with; its first group of alternatives may be optional."""
-    if body.startswith("(?:"):
-        group, _, rest = body[3:].partition(")")
-        words = [w for alt in group.split("|") for w in _first_words(alt)]
-        if rest.startswith("?"):
-            words += _first_words(rest[1:].lstrip())
-        return list(dict.fromkeys(words))
-    word = body.split(" ")[0].split("(")[0].rstrip("?")
-    if "[cs]" in word:
-        return [word.replace("[cs]", c) for c in "cs"]
-    return [word] if word else []
+    """All words a pattern can begin with."""
+    return list(dict.fromkeys(w for w, _ in _heads(body)))
+
+
+def _heads(body: str) -> list[tuple[str, bool]]:
+    """All starts of a pattern up to its first space, and whether that space is there."""
+    out = []
+    for part in _alternatives(body):
+        heads = [("", False)]
+        for atom, must in _atoms(part):
+            if all(ended for _, ended in heads):
+                break
+            if atom.startswith("(?:"):
+                more = _heads(atom[3:-1])
+            elif atom.startswith("["):
+                more = [(c, False) for c in atom[1:-1]]
+            elif atom == " ":
+                more = [("", True)]
+            elif atom.isalnum():
+                more = [(atom, False)]
+            else:
+                raise ValueError(f"no list of first words: {body}")
+            more = more + [("", False)] * (not must)
+            heads = list(dict.fromkeys(h if h[1] else (h[0] + m[0], m[1]) for h in heads for m in more))
+        out += heads
+    return out
+
+
+def _needed(body: str) -> list[tuple[str, ...]]:
+    """For each way through the groups that must be there: the strings, with spaces, that any match has."""
+    out = []
+    for part in _alternatives(body):
+        ways = [("",)]
+        for atom, must in _atoms(part):
+            if must and atom.startswith("(?:"):
+                ways = [(*w[:-1], w[-1] + m[0], *m[1:]) for w in ways for m in _needed(atom[3:-1])]
+            elif must and (atom == " " or atom.isalnum()):
+                ways = [(*w[:-1], w[-1] + atom) for w in ways]
+            else:
+                ways = [(*w, "") for w in ways]
+        out += ways
+    return list(dict.fromkeys(out))
+
+
+def prefilter() -> list[str]:
+    """Strings of which every match of every rule has one: a part of a word, or several words where all are short."""
+    out = dict.fromkeys(())
+    for body in dict.fromkeys(regex.removeprefix("^(?:").removesuffix(")(?= |$)") for _, regex, _, _ in rules()):
+        for way in _needed(body):
+            words = [w for run in way for w in run.split()]
+            preferred = [s for s in PREFERRED if any(s in run for run in way)]
+            longest = max(words, key=len)
+            if not preferred and len(longest) < 3:
+                longest = max((run.strip() for run in way), key=len)
+            out[(preferred or [longest])[0]] = None
+    return [s for s in out if not any(t != s and t in s for t in out)]
 
 
 def _let(value: Column, body) -> Column:
@@ -173,7 +255,7 @@ def _let(value: Column, body) -> Column:
 
 def _words(text: Column) -> Column:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    bare = F.trim(F.regexp_replace(F.translate(text, upper, upper.lower()), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    bare = F.trim(F.regexp_replace(F.translate(text, upper, upper.lower()), SEPARATORS, " "))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, " "))
 
 
@@ -242,8 +324,10 @@ def scan(docs: DataFrame) -> DataFrame:
     body = text_column()
     low = F.lower(body)
     gate = F.lit(False)
-    for s in PREFILTER:
-        gate = gate | F.contains(low, F.lit(s))
+    for s in prefilter():
+        first, *more = s.split(" ")
+        hit = F.contains(low, F.lit(first))
+        gate = gate | (hit & F.rlike(low, F.lit(SEPARATORS.join((first, *more)))) if more else hit)
     # Base phrases may have any separators between their words; each holds "licen" and passes the prefilter.
     rows = docs.select("doc_id", F.regexp_count(body, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"), F.when(gate, body).alias("text"))
     whole = lambda w: F.struct(_base(w).alias("base"), _unsuppressed(_detections(w)).alias("own"))

@@ -61,6 +61,60 @@ def test_license_rules_are_many():
     assert len(license_rules.rules()) > 500 and all(k for k, *_ in license_rules.rules())
 
 
+def example(rng, regex):
+    """A random string that a rule's regular expression matches."""
+    from re import _parser
+
+    def drawn(tree):
+        out = ""
+        for op, value in tree:
+            kind = str(op)
+            if kind == "LITERAL":
+                out += chr(value)
+            elif kind == "BRANCH":
+                out += drawn(rng.choice(value[1]))
+            elif kind == "SUBPATTERN":
+                out += drawn(value[3])
+            elif kind == "MAX_REPEAT":
+                out += "".join(drawn(value[2]) for _ in range(rng.randint(value[0], min(value[1], value[0] + 1))))
+            elif kind == "IN":
+                out += str(rng.randrange(10)) if str(value[0][0]) == "CATEGORY" else chr(rng.choice(value)[1])
+            else:
+                assert kind in ("ANY", "AT", "ASSERT"), kind
+                out += " " * (kind == "ANY")
+        return out
+
+    return " ".join(drawn(_parser.parse(regex)).split())
+
+
+def test_license_rules_alone_in_a_text(spark):
+    """Texts that hold a rule's words and nothing else, with any separators; no rule is lost by its keywords or the prefilter."""
+    import random
+    import re
+
+    rng, rules, want = random.Random(2), license_rules.rules(), {}
+    for regex, label, priority in dict.fromkeys((r, label, p) for _, r, label, p in rules):
+        for _ in range(4):
+            words = example(rng, regex)
+            if re.search(regex, words):
+                want[rng.choice(("\n", " - ", "-", "/")).join(words.upper().split(" "))] = (label, priority)
+    assert {r for r, *_ in want.values()} == {label for _, _, label, _ in rules}
+    got = license_rules.scan(spark.createDataFrame([(k, t) for k, t in enumerate(want)], "doc_id long, text string").repartition(4)).collect()
+    texts = list(want)
+    bad = [(texts[r.doc_id], want[texts[r.doc_id]], r.labels) for r in got if want[texts[r.doc_id]][0] not in r.labels.split(",") or r.score < license_rules.SCORES[want[texts[r.doc_id]][1] - 1]]
+    assert not bad
+
+
+@pytest.mark.parametrize("text, label", [
+    ("Apache-2.0", "apache-2.0"), ("released under the BSD 3-Clause", "bsd-3-clause"), ("WTFPL", "wtfpl"), ("MPL 2.0", "mpl-2.0"), ("CeCILL", "cecill"), ("0BSD", "0bsd"), ("FreeBSD", "bsd-2-clause"),
+    ("3-clause BSD", "bsd-3-clause"), ("GPL3", "gpl-3.0"), ("OpenRAIL", "openrail"), ("provided 'as is', without any express or\nimplied warranty", ""), ("public\ndomain", "public-domain"),
+    ("This software is provided 'as-is', without any express or implied\nwarranty", "zlib"), ("All rights\nreserved", "proprietary"), ("Unauthorized copying of this file is strictly prohibited", "proprietary"),
+    ("CC\nBY 4.0", "cc-by"), ("Creative\nCommons Zero", "cc0"),
+])
+def test_license_named_alone(spark, text, label):
+    assert label in license_rules.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels.split(",")
+
+
 def whole_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
