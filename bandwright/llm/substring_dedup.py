@@ -5,6 +5,11 @@ passage that repeats is found wherever it stands in a line or document. Its set
 keys come from MinHash values; paragraphs of different documents that collide in a band are compared exactly
 (Jaccard), and clusters of linked paragraphs are the components. The first place of a cluster is kept.
 
+Punctuation does not decide alone: a passage is a window of ``unit_words`` words anywhere in a text, taken where its
+hash is the least among ``unit_words + 2`` neighbouring windows. So every run of over 2 x ``unit_words`` words that
+two documents share word for word holds a passage that both have taken, whatever the sentences and lines around it.
+Passages are compared by equality, that is by id: with one word changed inside, so short a set is below the similarity.
+
 Only keys that occur in two documents matter. They are counted first; a second pass over the texts writes just
 the places of paragraphs with such a key (bitmap of fixed size, exact join after it), and a third the shingles of
 those that have another to be compared with.
@@ -42,8 +47,35 @@ def tune(similarity: float, recall: float, most: int = 64) -> tuple[int, int]:
     raise ValueError("recall out of reach")
 
 
+def _reach(x: np.ndarray, width: int, take) -> np.ndarray:
+    """The least or greatest (``take``) of each ``width`` neighbouring values."""
+    n = 1
+    while n < width:
+        step = min(n, width - n)
+        x = take(x[:-step], x[step:])
+        n += step
+    return x
+
+
+def chosen(values: np.ndarray, width: int) -> np.ndarray:
+    """Places of which every ``width`` neighbouring ones hold one with their least value; of equal values few."""
+    if len(values) < width:
+        return np.empty(0, np.int64)
+    low = _reach(values, width, np.minimum)
+    pad = np.zeros(width - 1, values.dtype)
+    at = np.flatnonzero(values == _reach(np.concatenate([pad, low, pad]), width, np.maximum))
+    if not (values[at[1:]] == values[at[:-1]]).any():
+        return at
+    own, out, last = values.tolist(), [], -1
+    for j, v in enumerate(low.tolist()):
+        if last < j or own[last] != v:
+            last = next(q for q in range(j + width - 1, j - 1, -1) if own[q] == v)
+            out.append(last)
+    return np.array(out, np.int64)
+
+
 class Paragraphs:
-    """The paragraphs of one document as places in its words, with ids and band keys."""
+    """The paragraphs of one document as places in its words, with ids and band keys; and its passages."""
 
     def __init__(self, text: bytes, unit_words: int, k: int, bands: int, rows: int, hashes: WordHashes) -> None:
         words: list[bytes] = []
@@ -59,6 +91,8 @@ class Paragraphs:
         fit = at < len(ends)
         self.first, self.end = first[fit], ends[np.minimum(at, max(len(ends) - 1, 0))[fit]] if len(ends) else ends
         self.items = shingles(words, k, hashes)
+        if bands:
+            self._passages(len(words), unit_words, k)
         if not len(self.first):
             self.ids = np.empty(0, np.uint64)
             self.keys = np.empty((0, bands), np.uint64)
@@ -80,6 +114,15 @@ class Paragraphs:
             keys.append(key)
         self.keys = np.stack(keys, 1)
 
+    def _passages(self, words: int, unit_words: int, k: int) -> None:
+        """First words, ids and keys of the passages. Ids are those of paragraphs of the same words."""
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(self.items), dtype=np.uint64)))
+        n = unit_words - k + 1
+        ids = mix(sums[n:] - sums[:-n] + np.uint64(unit_words)) if words >= unit_words else np.empty(0, np.uint64)
+        self.passages = chosen(ids, unit_words + 2)
+        self.passage_ids = ids[self.passages]
+        self.passage_keys = mix(self.passage_ids ^ np.uint64(0xD1B54A32D192ED03))
+
 
 def _offsets(text: bytes, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the first word's start and the last word's end."""
@@ -89,11 +132,11 @@ def _offsets(text: bytes, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
 
 
 def spans(docs: DataFrame, unit_words: int = 25, k: int = 5, num: int = 80, den: int = 100, recall: float = 0.998) -> DataFrame:
-    """``doc_id, start, end, cluster_id, kept``: every paragraph whose cluster has places in two documents or more.
+    """``doc_id, start, end, cluster_id, kept``: every paragraph or passage whose cluster has places in two documents or more.
 
     Places are code points [start, end) of the text. One place of each cluster, the first by doc_id and start,
     is kept; the others are to be removed. Paragraphs need ``unit_words`` words, so shorter texts, and null or
-    empty ones, have none. A sentence that is longer is one paragraph. Rows that repeat a doc_id are one
+    empty ones, have none. A sentence that is longer is one paragraph; passages lie in it as in any other text. Rows that repeat a doc_id are one
     document; rows without one are not read. Columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
@@ -105,7 +148,8 @@ def spans(docs: DataFrame, unit_words: int = 25, k: int = 5, num: int = 80, den:
         for batch in slices(batches):
             ids, held = batch.column("doc_id").to_pylist(), []
             for text in batch.column("text").to_pylist():
-                held.append(np.unique(Paragraphs(text or b"", unit_words, k, bands, rows, hashes).keys))
+                p = Paragraphs(text or b"", unit_words, k, bands, rows, hashes)
+                held.append(np.unique(np.concatenate((p.keys.ravel(), p.passage_keys))))
             n = [len(h) for h in held]
             flat = np.concatenate(held).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(ids, np.int64), n))], names=["key", "doc_id"])
@@ -118,16 +162,22 @@ def spans(docs: DataFrame, unit_words: int = 25, k: int = 5, num: int = 80, den:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            out: list[list[np.ndarray]] = [[] for _ in range(7)]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 p = Paragraphs(text or b"", unit_words, k, bands, rows, hashes)
                 hit = np.flatnonzero(in_bitmap(held_bits.value, p.keys.ravel()).reshape(p.keys.shape).any(1))
-                if len(hit):
-                    first, end = p.first[hit], p.end[hit]
-                    for c, v in zip(out, (np.full(len(hit), doc), *_offsets(text, first, end), p.ids[hit].view(np.int64), end - first - k + 1, p.keys[hit].view(np.int64).ravel())):
+                more = np.flatnonzero(in_bitmap(held_bits.value, p.passage_keys))
+                # A passage that is a paragraph too is one place.
+                more = more[~np.isin(p.passages[more], p.first[hit][p.end[hit] - p.first[hit] == unit_words])]
+                if len(hit) or len(more):
+                    first = np.concatenate((p.first[hit], p.passages[more]))
+                    end = np.concatenate((p.end[hit], p.passages[more] + unit_words))
+                    ids = np.concatenate((p.ids[hit], p.passage_ids[more])).view(np.int64)
+                    n_keys = np.repeat((bands, 0), (len(hit), len(more)))
+                    for c, v in zip(out, (np.full(len(first), doc), *_offsets(text, first, end), ids, end - first - k + 1, n_keys, p.keys[hit].view(np.int64).ravel())):
                         c.append(v)
             flat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat[5]) + 1, bands), pa.int32()), pa.array(flat[5]))
+            keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], flat[5].cumsum())), pa.int32()), pa.array(flat[6]))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in flat[:5]), keys], names=["doc_id", "start", "end", "id", "n", "keys"])
 
     places = cut(texts.mapInArrow(found, "doc_id long, start long, end long, id long, n long, keys array<long>"))

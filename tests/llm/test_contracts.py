@@ -275,6 +275,41 @@ def test_substring_dedup(docs):
     assert copies <= {r.doc_id for r in got}
 
 
+def test_substring_dedup_without_punctuation(spark):
+    """Every run of 51 words that two documents share has a unit of one cluster inside it in both, wherever it begins."""
+    import random
+    import re
+
+    rng = random.Random(9)
+    draw = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    bodies = [draw(rng.randrange(60, 300)) for _ in range(40)]
+    for _ in range(30):
+        passage = draw(51)
+        for body in rng.sample(bodies, rng.choice((2, 2, 3))):
+            at = rng.randrange(len(body))
+            body[at:at] = passage
+    bodies += [draw(20) + ["again", "and"] * 60 + draw(20), draw(9) + ["again", "and"] * 45 + draw(33)]
+    marks = (" ", " ", " ", ", ", "\n", ". ")
+    # Half of the texts have no sentences; in the others they end at other words in every text.
+    texts = [" ".join(b) if i % 2 else "".join(w + rng.choice(marks) for w in b) for i, b in enumerate(bodies)]
+    got = substring_dedup.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    units = collections.defaultdict(list)
+    for r in got:
+        first = len(brute.alnum(texts[r.doc_id][: r.start]))
+        units[r.doc_id].append((first, first + len(brute.alnum(texts[r.doc_id][r.start : r.end])), r.cluster_id))
+        assert re.match(r"w|a", texts[r.doc_id][r.start :])
+    assert len(got) == len({(r.doc_id, r.start, r.end) for r in got})
+    runs = collections.defaultdict(list)
+    for i, b in enumerate(bodies):
+        for at in range(len(b) - 50):
+            runs[tuple(b[at : at + 51])].append((i, at))
+    shared = [places for places in runs.values() if len({i for i, _ in places}) > 1]
+    assert len(shared) > 20
+    for places in shared:
+        inside = [{c for a, b, c in units[i] if at <= a and b <= at + 51} for i, at in places]
+        assert set.intersection(*inside)
+
+
 def test_bands_reach_recall():
     bands, rows = substring_dedup.tune(0.8, 0.998)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.998
