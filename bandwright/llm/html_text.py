@@ -3,7 +3,8 @@
 For every node of the page's tree: characters per tag, adjusted for characters and tags inside links. The node
 with the largest sum of its children's densities is the core; the smallest density on the way from the body to
 it is the threshold for what may be joined to it. Elements that are never article text (menus, forms, scripts,
-notices, adverts, comments) are cut out of the tree before densities are taken.
+notices, adverts, comments) are cut out of the tree before densities are taken. Names and class words of elements
+that hold the page's content (most of its text outside links, or its only article) are passed over.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from .common import arrow_type, map_rows
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr img".split())
-NEVER = frozenset("head title nav aside form script style noscript template iframe object embed svg canvas audio video button select option textarea input dialog menu footer".split())
+NEVER = frozenset("head title script style noscript template iframe object embed svg canvas audio video button select option textarea input".split())
+# Not the article, unless they are around all of it.
+APART = frozenset("nav aside form dialog menu footer".split())
 ARTICLE = frozenset(("article", "main"))
 # Words in class, id or role that mark what is not the article.
 MARKED = frozenset(
@@ -29,6 +32,8 @@ MARKED = frozenset(
     " comment comments respond reply replies disqus sidebar widget widgets menu navbar nav navigation breadcrumb breadcrumbs footer masthead share sharing"
     " social related recommended newsletter subscribe signup login search pagination pager skip toolbar complementary contentinfo".split()
 )
+# Marks of what is cut out: by a name or word that may stand on a wrapper of the content too, or for good.
+PART, GONE = 1, 2
 # A marked word after one of these says what an element has or lacks, not what it is.
 NOT_ITSELF = frozenset(("no", "has", "with", "without"))
 # Start tags that end an open element of the given names.
@@ -44,10 +49,11 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "kids", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total", "plain", "holds", "inside")
 
-    def __init__(self, tag: str, up: Node | None, marked: bool) -> None:
+    def __init__(self, tag: str, up: Node | None, marked: int) -> None:
         self.tag, self.up, self.marked, self.kids = tag, up, marked, []
+        self.inside = tag in ARTICLE or up is not None and up.inside
 
 
 class Tree(HTMLParser):
@@ -55,7 +61,7 @@ class Tree(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", None, False)
+        self.root = self.at = Node("#root", None, 0)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "body" or tag == "html":
@@ -98,29 +104,56 @@ class Tree(HTMLParser):
             node = node.up
 
 
-def _inside_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in ARTICLE:
-            return True
-        node = node.up
-    return False
-
-
-def _marked(tag: str, attrs: list, up: Node) -> bool:
-    if tag in NEVER or tag == "header" and not _inside_article(up):
-        return True
-    if tag in ("html", "body") or tag in ARTICLE:
-        return False
-    for name, value in attrs:
+def _marked(tag: str, attrs: list, up: Node) -> int:
+    if tag in NEVER:
+        return GONE
+    fixed = tag in ("html", "body") or tag in ARTICLE
+    mark = PART if tag in APART or tag == "header" and not up.inside else 0
+    for name, value in () if fixed else attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return GONE
         if name in ("class", "id", "role") and value:
             before = ""
             for word in SPLIT.split(value.lower()):
-                if before not in NOT_ITSELF and (word in MARKED or word == "header" and not _inside_article(up)):
-                    return True
+                if before not in NOT_ITSELF and (word in MARKED or word == "header" and not up.inside):
+                    mark = PART
                 before = word
-    return False
+    return mark
+
+
+def _unmark_wrappers(root: Node) -> None:
+    """Takes the mark from elements with more than half of the page's text outside links; and, as long as no text
+    of an article is left in the tree, from those around one."""
+    nodes = [root]
+    for n in nodes:
+        nodes += [k for k in n.kids if isinstance(k, Node) and k.marked != GONE]
+    for n in reversed(nodes):
+        n.plain, n.holds = 0, n.tag in ARTICLE
+        for k in n.kids:
+            if isinstance(k, str):
+                n.plain += len("".join(k.split()))
+            elif k.marked != GONE:
+                n.plain += 0 if k.tag == "a" else k.plain
+                n.holds = n.holds or k.holds
+    for n in nodes:
+        if n.marked and 2 * n.plain > root.plain:
+            n.marked = 0
+    todo = [root]
+    while todo:
+        around, found = [], False
+        for n in todo:
+            for k in n.kids:
+                if isinstance(k, str):
+                    found = found or n.inside and bool(k.strip())
+                elif not k.marked:
+                    todo.append(k)
+                elif k.marked == PART and k.holds:
+                    around.append(k)
+        if found:
+            return
+        for n in around:
+            n.marked = 0
+        todo = around
 
 
 def _sorted_nodes(root: Node) -> list[Node]:
@@ -193,6 +226,7 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    _unmark_wrappers(tree.root)
     nodes = _sorted_nodes(tree.root)
     _measure(nodes)
     if not nodes[0].chars:

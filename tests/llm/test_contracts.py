@@ -343,6 +343,28 @@ def test_html(body, text):
     assert html_text.main_text(PAGE % body) == text
 
 
+LONG = "<h1>Head</h1><p>" + "Some words of text here, and more of them follow. " * 6 + "</p><p>More words, then an end.</p>"
+LONG_TEXT = "Head " + "Some words of text here, and more of them follow. " * 6 + "More words, then an end."
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<form id=aspnetForm>%s</form>", "<div class='content-sidebar-wrap'>%s</div>", "<div class='page-with-left-sidebar'>%s</div>", "<div class='social-science'>%s</div>",
+    "<section class='related-work'>%s</section>", "<div id='search-results'>%s</div>", "<form><div class=widget><div id=banner>%s</div></div></form>",
+])
+@pytest.mark.parametrize("inner", ["%s", "<article>%s</article>", "<div class=sidebar><p>Side</p></div><main>%s</main>"])
+def test_html_wrappers_are_no_marks(wrapper, inner):
+    assert html_text.main_text(PAGE % (wrapper % (inner % LONG))) == LONG_TEXT
+    assert html_text.main_text(wrapper % (PAGE % (inner % LONG))) == LONG_TEXT
+
+
+def test_html_wrapper_of_a_short_article():
+    """The only article is kept though most of the text is elsewhere; a teaser or comment beside one is not."""
+    other = "<div class=comments>" + "<div class=comment><p>Long words of someone.</p></div>" * 50 + "</div>"
+    assert html_text.main_text(PAGE % ("<form><div class=widget><article><p>Short.</p></article></div></form>" + other)) == "Short."
+    teaser = "<div class=related><article><p>Another one.</p></article></div>"
+    assert html_text.main_text(PAGE % ("<main><article><p>Short text.</p></article>" + teaser + "</main>")) == "Short text."
+
+
 def test_html_rows(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "plain text only"), (4, "u", "<p>a<p>" + "<div>" * 5000 + "deep"), (4, "u", "<p>a<p>" + "<div>" * 5000 + "deep"), (None, None, "<p")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
