@@ -6,7 +6,8 @@ alphabet, runs above and below the alphabet's middle, and correlation of neighbo
 them. Short strings give the tests little power, so the share of non-random strings among those that pass is
 controlled per encoding and length: where random strings are uniform in p, twice the count above one half
 estimates how many there are, and the threshold is the smallest one whose estimated share of others stays
-within ``fdr``. The counts cover all documents and are a bounded table (encodings x lengths x bins).
+within ``fdr``. Where too few strings pass for such an estimate, a fixed level by length is the threshold, so that a
+lone secret does not depend on its half of the p-values. The counts cover all documents and are a bounded table (encodings x lengths x bins).
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ ALPHABETS = {
     "base64": b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 BINS = 50
+# Fewer strings than this at or above the level of their length tell no share of random ones; then the level holds.
+THIN = 20
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, int]]:
@@ -119,6 +122,12 @@ def stratum(name: str, length: int) -> str:
     return f"{name}-{length.bit_length()}"
 
 
+def level(name: str) -> float:
+    """The p a string of a stratum needs where counts tell nothing: random strings fail that often. The tests gain
+    power with length, so less is asked of longer ones."""
+    return {5: 0.24, 6: 0.1}.get(int(name.rpartition("-")[2]), 1 / BINS)
+
+
 def candidates(text: bytes) -> list[tuple[int, int, str, float]]:
     """(start, end, stratum, p) in bytes."""
     out = []
@@ -157,7 +166,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def thresholds(scanned: DataFrame, fdr: float = 0.1) -> dict[str, float]:
-    """Smallest passing p per stratum; a stratum without one passes nothing (2.0)."""
+    """Smallest passing p per stratum; one with many strings and none that fits passes nothing (2.0)."""
     held = (
         scanned.select(F.explode("tested").alias("t"))
         .groupBy(F.col("t.stratum").alias("s"), F.least(F.floor(F.col("t.p") * BINS), F.lit(BINS - 1)).cast("int").alias("b"))
@@ -175,6 +184,8 @@ def thresholds(scanned: DataFrame, fdr: float = 0.1) -> dict[str, float]:
         fit = np.flatnonzero((share <= fdr) & (above > 0))
         # At the lowest fitting bin: below 1 / BINS a random string falls once in BINS.
         out[s] = float(fit[0]) / BINS if len(fit) else 2.0
+        if above[round(level(s) * BINS)] < THIN:
+            out[s] = level(s)
     return out
 
 

@@ -190,6 +190,23 @@ def test_randomness_battery():
     assert secrets.battery(b"justplainlowercaseletters") is None
 
 
+@pytest.mark.parametrize("n", [18, 36, 48, 240])
+def test_lone_secret_in_any_table(spark, n):
+    """A random string below the middle of the p-values is found alone, and among many strings that are not random."""
+    import base64
+    import random
+
+    rng = random.Random(n)
+    lone = next(s for s in iter(lambda: base64.b64encode(rng.randbytes(n)), None) if 0.3 < secrets.battery(s)[1] < 0.45).decode()
+    plain = "a1" * (len(lone) // 2)
+    assert secrets.battery(plain.encode())[1] < 0.02
+    for others in (0, 300):
+        docs = spark.createDataFrame([(0, f"see {lone} there")] + [(i, f"see {'Zz9' + plain[3:]} there") for i in range(1, others + 1)], "doc_id long, text string")
+        got = {r.doc_id: r.n_random for r in secrets.find_secrets(docs).collect()}
+        assert got.pop(0) == 1 and not any(got.values())
+        assert "[SECRET]" in secrets.redact(docs).where("doc_id = 0").first().text
+
+
 def test_redaction_keeps_columns(docs):
     out = secrets.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
