@@ -9,8 +9,8 @@ not link to its leader is compared further.
 
 Inside a comparison of blocks the sets are held once and each set's overlaps with all others are counted by
 index lists; where a set is highly similar to the one before, its counts are derived from those by the lists of
-the tokens in which the two differ. Lists are ordered by set size, and the part outside the sizes that can
-reach the similarity is skipped.
+the tokens in which the two differ. Lists are read whole; of the counts only those of sets whose size can reach
+the similarity are looked at.
 """
 
 from __future__ import annotations
