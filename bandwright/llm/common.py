@@ -132,3 +132,19 @@ def in_bitmap(held: np.ndarray, keys: np.ndarray, bits: int = BITMAP_BITS) -> np
     """Whether each 64-bit key may be among those of the bitmap."""
     slots = keys.view(np.uint64) >> np.uint64(64 - bits)
     return ((held[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+# ---- joins with frequent keys ----------------------------------------------------------
+
+# A key with more than one part in SHARE of the rows is frequent; there can be no more than SHARE such keys.
+SHARE = 4096
+
+
+def split_join(rows: DataFrame, table: DataFrame, key: str, total: int, share: int = SHARE) -> DataFrame:
+    """Inner join of ``rows`` with a table that has each key once and, in ``n``, how many rows have it. The
+    frequent keys, at most ``share`` by their definition, are broadcast; the others meet in a shuffle in which no
+    key has more than one part in ``share`` of the rows. ``n`` is not returned."""
+    often = F.col("n") * share > total
+    hot = table.where(often).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(~often).drop("n"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checking_sql, decontamination, html_text, jaccard_join, license_rules, ordinal_quality, packing, quality_rules, secrets, sharding, substring_dedup
+from . import checking_sql, decontamination, html_text, jaccard_join, license_rules, ordinal_quality, packing, quality_rules, secrets, sharding, substring_dedup, url_model
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -64,12 +64,16 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_model.judge(read(spark, sf, "pages")).drop("score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     ops = (
         op1_decontamination, op2_substring_dedup, op3_license_scan, op4_packing, op5_secret_scan, op6_html_extraction, op7_jaccard_join, op8_quality_rules,
-        op9_quality_classifier, op10_sharding,
+        op9_quality_classifier, op10_sharding, op13_url_filter,
     )
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
