@@ -75,4 +75,33 @@ SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM ruled r JOIN verdict v ON r.source IS NOT DISTINCT FROM v.source
 """
 
-SQL = {"op1_decontamination": OP1, "op7_jaccard_join": OP7, "op8_quality_rules": OP8}
+# Every group and language against every kept term, absent ones included.
+OP12 = r"""
+WITH doc AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS d,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), tok AS (SELECT lang, source, d, unnest(w) AS term FROM doc
+), kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM tok GROUP BY lang, term HAVING count(DISTINCT d) >= 3
+), own AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM tok JOIN kept USING (lang, term) GROUP BY lang, source, term
+), grp AS (
+  SELECT g.lang, g.source, coalesce(t.total, 0) AS total FROM (SELECT DISTINCT lang, source FROM doc) g
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM own GROUP BY lang, source) t ON t.lang = g.lang AND t.source = g.source
+), voc AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), share AS (
+  SELECT grp.lang, grp.source, kept.term, coalesce(own.n, 0) AS n, CAST(1 + 1000000000 * (coalesce(own.n, 0) + 1) // CAST(grp.total + voc.v AS HUGEINT) AS BIGINT) AS p,
+    CAST(1 + 1000000000 * (kept.n + 1) // CAST(voc.total + voc.v AS HUGEINT) AS BIGINT) AS q
+  FROM grp JOIN voc USING (lang) JOIN kept USING (lang) LEFT JOIN own ON own.lang = grp.lang AND own.source = grp.source AND own.term = kept.term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), part AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM share WHERE n > 0 AND p > q
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM part)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+SQL = {"op1_decontamination": OP1, "op7_jaccard_join": OP7, "op8_quality_rules": OP8, "op12_source_divergence": OP12}
