@@ -75,6 +75,38 @@ SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM ruled r JOIN verdict v ON r.source IS NOT DISTINCT FROM v.source
 """
 
+# All phrases of up to three words, every cut, and every longer phrase around a pair.
+OP11 = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS p
+  FROM documents
+), line AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece
+), gram AS (
+  SELECT lang, 1 AS k, unnest(w) AS g FROM line
+  UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) FROM line
+  UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) FROM line
+), f AS (SELECT lang, k, g, CAST(count(*) AS HUGEINT) AS n, string_split(g, ' ') AS w FROM gram GROUP BY lang, k, g
+), cuts AS (
+  SELECT c.lang, c.g, c.k, c.n AS a, j, array_to_string(c.w[1:j], ' ') AS head, array_to_string(c.w[j + 1:], ' ') AS tail
+  FROM f c, (SELECT unnest([1, 2]) AS j) WHERE c.k > 1 AND c.n >= 10 AND j < c.k
+), valued AS (
+  SELECT cuts.*, x.n AS l, y.n AS r, 1000000 * a * a // (x.n * y.n) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.g = head AND x.k = j JOIN f y ON y.lang = cuts.lang AND y.g = tail AND y.k = cuts.k - j
+), lowest AS (
+  SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1
+), inside AS (
+  SELECT lang, array_to_string(w[1:2], ' ') AS g, n FROM f WHERE k = 3 AND n >= 10
+  UNION ALL SELECT lang, array_to_string(w[2:3], ' '), n FROM f WHERE k = 3 AND n >= 10
+), longest AS (SELECT lang, g, max(n) AS m FROM inside GROUP BY lang, g
+), kept AS (
+  SELECT v.* FROM lowest v LEFT JOIN longest e ON e.lang = v.lang AND e.g = v.g AND v.k = 2 WHERE e.m IS NULL OR 100 * e.m < 50 * v.a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept
+), total AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT lang, rank, g AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(total.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 # Every group and language against every kept term, absent ones included.
 OP12 = r"""
 WITH doc AS (
@@ -104,4 +136,4 @@ WITH doc AS (
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
-SQL = {"op1_decontamination": OP1, "op7_jaccard_join": OP7, "op8_quality_rules": OP8, "op12_source_divergence": OP12}
+SQL = {"op1_decontamination": OP1, "op7_jaccard_join": OP7, "op8_quality_rules": OP8, "op11_collocations": OP11, "op12_source_divergence": OP12}

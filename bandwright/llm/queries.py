@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checking_sql, decontamination, divergence, html_text, jaccard_join, license_rules, ordinal_quality, packing, quality_rules, secrets, sharding, substring_dedup, url_model
+from . import checking_sql, collocations, decontamination, divergence, html_text, jaccard_join, license_rules, ordinal_quality, packing, quality_rules, secrets, sharding, substring_dedup, url_model
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.mine(read(spark, sf, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.audit(read(spark, sf, "documents"))
 
@@ -77,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     ops = (
         op1_decontamination, op2_substring_dedup, op3_license_scan, op4_packing, op5_secret_scan, op6_html_extraction, op7_jaccard_join, op8_quality_rules,
-        op9_quality_classifier, op10_sharding, op12_source_divergence, op13_url_filter,
+        op9_quality_classifier, op10_sharding, op11_collocations, op12_source_divergence, op13_url_filter,
     )
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
