@@ -1,9 +1,10 @@
 """Phrase collocations from count streams in prefix and suffix order.
 
-Counting. A phrase of two or three words can only be frequent if its pairs of words are, so a first scan counts
-pairs by hash and leaves a bitmap of those that may be frequent; a second scan counts single words, those pairs
-and the triples both of whose pairs are among them. Within a task words are numbers and counts come from sorted
-arrays; what leaves a task is one row per phrase.
+Counting. A phrase of two or three words can only be frequent if its pairs of words are. A first scan counts pairs
+by hash and leaves a bitmap of those that may be frequent; a second one counts the triples both of whose pairs are
+among them, and notes the words of these pairs; a third one counts the words, pairs and triples that are left as
+text. Hashes only keep phrases out that cannot be frequent: a collision lets one more through to the exact counts.
+Within a task words are numbers and counts come from sorted arrays.
 
 Estimation. The counts of all orders are one stream, sorted by words from the left: each word stands before its
 pairs and each pair before its triples, so one pass over the stream knows, for every phrase, the counts of its
@@ -33,8 +34,10 @@ PIECES = bytes(BREAK if chr(c) in ".,;:!?\n\x0b\x0c\r" else LOWER[c] for c in ra
 # Bits of a word's number in a task, so that three numbers fit 63 bits, and words that are numbered at a time: a
 # task passes its counts on before it has more numbers than these bits hold.
 NUMBERS, WORDS = 21, 1 << 19
-# Bytes of text that are counted at a time; a task holds a few times as many counts.
-CHUNK = 1 << 21
+# Bytes of text that are counted at a time, and counts a task holds before it merges them or passes them on.
+CHUNK, LOOSE = 1 << 21, 1 << 22
+# Bytes of a hash that are counted.
+KEY = 5
 # Rows of a range of the sorted stream, and keys that are drawn to place the borders, per range.
 RANGE_ROWS, DRAWN = 200_000, 64
 
@@ -60,6 +63,14 @@ def _pair_hashes(a: np.ndarray, b: np.ndarray, lang: int) -> np.ndarray:
     return mix(mix(a + np.uint64(lang)) + b)
 
 
+def _triple_hashes(pair: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mix(pair + mix(c))
+
+
+def _word_hashes(a: np.ndarray, lang: int) -> np.ndarray:
+    return mix(a ^ np.uint64(lang))
+
+
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]]]:
     for batch in slices(batches):
         texts: dict[str, list[bytes]] = {}
@@ -91,7 +102,7 @@ class _Held:
         self.keys.append(k)
         self.counts.append(c)
         self.loose += len(k)
-        if self.loose > 4 * CHUNK:
+        if self.loose > LOOSE:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
@@ -105,31 +116,58 @@ class _Held:
         return sum(map(len, self.keys))
 
 
-def _pair_counts(parts: int, enough: int):
-    """Hashes of pairs with counts up to ``enough``, as one packed row per task and part of the hash range."""
-    schema = pa.schema([("part", pa.int32()), ("h", pa.binary()), ("n", pa.binary())])
+PACKED = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("ones", pa.binary()), ("more", pa.binary()), ("n", pa.binary())])
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """The leading KEY bytes of 64-bit hashes."""
+    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY, 8), np.uint8)
+    out[:, :KEY] = np.frombuffer(data, np.uint8).reshape(-1, KEY)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def _packed_counts(parts: int, enough: int, pairs: Broadcast | None):
+    """Leading bytes of hashes with counts up to ``enough``, one packed row per task, kind and part of the hash range.
+    Without ``pairs``: kind 0, every pair. With it: kind 0, triples of two such pairs; kind 1, words of such pairs."""
+    top = np.uint64((1 << 64) - (1 << (64 - 8 * KEY)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = WordHashes(), _Held()
+        hashes, held = WordHashes(), [_Held(), _Held()]
         pending: dict[str, list[bytes]] = {}
         size = 0
 
         def count(lang: str, texts: list[bytes]) -> None:
             words = b"\xff".join(texts).translate(PIECES).replace(b"\xff", b" \xff ").split()
-            h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+            h, seed = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), _language(lang)
             inside = h != np.uint64(hashes[b"\xff"])
-            both = inside[1:] & inside[:-1]
-            held.add(_pair_hashes(h[:-1][both], h[1:][both], _language(lang)))
-
-        def packed() -> pa.RecordBatch:
-            key, n = held.merge()
-            n = np.minimum(n, enough)
-            # Wide enough for the threshold; sums are made where the parts meet.
-            n = n.astype(np.uint8 if enough < 256 else np.int64)
-            edge = np.searchsorted(key >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
-            rows = [(p, key[a:b].tobytes(), n[a:b].tobytes()) for p, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
-            held.__init__()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=schema)
+            at = np.flatnonzero(inside[1:] & inside[:-1])
+            pair = _pair_hashes(h[at], h[at + 1], seed)
+            if pairs is None:
+                held[0].add(pair & top)
+                return
+            some = in_bitmap(pairs.value, pair)
+            at, pair = at[some], pair[some]
+            next_too = np.flatnonzero(at[1:] == at[:-1] + 1)
+            held[0].add(_triple_hashes(pair[next_too], h[at[next_too] + 2]) & top)
+            held[1].add(_word_hashes(np.append(h[at], h[at + 1]), seed) & top)
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            for kind in range(2):
+                key, n = held[kind].merge()
+                # A word of a pair is wanted whatever its count in this task.
+                n = np.minimum(n, enough) if kind == 0 else np.full(len(n), enough)
+                edge = np.searchsorted(key >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
+                for p, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
+                    if b > a:
+                        once = n[a:b] == 1
+                        wide = np.uint8 if enough < 256 else np.int64
+                        row = [kind, p, _pack(key[a:b][once]), _pack(key[a:b][~once]), n[a:b][~once].astype(wide).tobytes()]
+                        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, PACKED)], schema=PACKED)
+                held[kind] = _Held()
 
         for texts in _by_language(batches):
             for lang, some in texts.items():
@@ -139,42 +177,41 @@ def _pair_counts(parts: int, enough: int):
                 for lang, some in pending.items():
                     count(lang, some)
                 pending, size = {}, 0
-                if held.size() > 4 * CHUNK:
-                    yield packed()
+                if sum(x.size() for x in held) > LOOSE:
+                    yield from packed()
         for lang, some in pending.items():
             count(lang, some)
-        if held.size():
-            yield packed()
+        yield from packed()
 
     return run
 
 
 def _reaching(enough: int):
-    """Packed rows of a part to the hashes of the pairs that reach ``enough``."""
-    kind = np.uint8 if enough < 256 else np.int64
+    """Packed rows of a part to the hashes that reach ``enough``."""
+    wide = np.uint8 if enough < 256 else np.int64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: dict[int, list[np.ndarray]] = {}
-        counts: dict[int, list[np.ndarray]] = {}
+        keys: dict[tuple[int, int], list[np.ndarray]] = {}
+        counts: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
-            for part, h, n in zip(batch.column("part").to_pylist(), batch.column("h"), batch.column("n")):
-                keys.setdefault(part, []).append(np.frombuffer(h.as_buffer(), np.uint64).copy())
-                counts.setdefault(part, []).append(np.frombuffer(n.as_buffer(), kind).astype(np.int64))
-        for part in list(keys):
-            key, n = _merged(keys.pop(part), counts.pop(part))
+            for kind, part, ones, more, n in zip(*(c.to_pylist() for c in batch.columns)):
+                keys.setdefault((kind, part), []).extend((_unpack(ones), _unpack(more)))
+                counts.setdefault((kind, part), []).extend((np.ones(len(ones) // KEY, np.int64), np.frombuffer(n, wide).astype(np.int64)))
+        for at in list(keys):
+            key, n = _merged(keys.pop(at), counts.pop(at))
             key = key[n >= enough].view(np.int64)
-            for at in range(0, len(key), 1 << 16):
-                yield pa.RecordBatch.from_pydict({"h": key[at : at + (1 << 16)]})
+            for i in range(0, len(key), 1 << 16):
+                some = key[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_pydict({"kind": np.full(len(some), at[0], np.int32), "h": some})
 
     return run
 
 
-def frequent_pairs(texts: DataFrame, enough: int) -> np.ndarray:
-    """Bitmap over the leading bits of pair hashes: set for every pair with ``enough`` occurrences, and for few
-    others. The hash range is cut into as many parts as the session has shuffle partitions."""
+def _hashes(texts: DataFrame, enough: int, pairs: Broadcast | None) -> DataFrame:
+    """Hashes that reach ``enough``, written. The range of hashes is cut into the session's shuffle partitions."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hashes = texts.mapInArrow(_pair_counts(parts, enough), "part int, h binary, n binary").repartition(parts, "part").mapInArrow(_reaching(enough), "h long")
-    return bitmap(hashes, "h")
+    packed = texts.mapInArrow(_packed_counts(parts, enough, pairs), "kind int, part int, ones binary, more binary, n binary")
+    return cut(packed.repartition(parts, "kind", "part").mapInArrow(_reaching(enough), "kind int, h long"))
 
 
 GRAMS = pa.schema([("lang", pa.string()), ("w1", pa.string()), ("w2", pa.string()), ("w3", pa.string()), ("n", pa.int64())])
@@ -189,6 +226,7 @@ class _Language:
         self.hashes = np.zeros(1 << 12, np.uint64)
         self.hashed = 1
         self.held = [_Held(), _Held(), _Held()]
+        self.words = 0
 
     def word_hashes(self) -> np.ndarray:
         from xxhash import xxh3_64_intdigest
@@ -201,22 +239,30 @@ class _Language:
             self.hashed = len(self.numbers)
         return self.hashes
 
-    def count(self, texts: list[bytes], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def count(self, texts: list[bytes], may: "tuple[np.ndarray, ...]") -> Iterator[pa.RecordBatch]:
         words = b"\xff".join(texts).translate(PIECES).replace(b"\xff", b" \xff ").split()
         # Two words more than are counted, for the phrases that begin at the last ones.
         for at in range(0, len(words), WORDS):
-            if len(self.numbers) > WORDS or sum(x.size() for x in self.held) > 4 * CHUNK:
+            if len(self.numbers) > WORDS or sum(x.size() for x in self.held) > LOOSE:
                 yield from self.rows()
             some = words[at : at + WORDS + 2]
-            self._count(np.fromiter(map(self.numbers.__getitem__, some), np.int64, len(some)), frequent)
+            self._count(np.fromiter(map(self.numbers.__getitem__, some), np.int64, len(some)), may)
 
-    def _count(self, w: np.ndarray, frequent: np.ndarray) -> None:
+    def _count(self, w: np.ndarray, may: "tuple[np.ndarray, ...]") -> None:
+        words, pairs, triples = may
         h, u = self.word_hashes()[w], w.astype(np.uint64)
         inside = w > 0
-        self.held[0].add(u[:WORDS][inside[:WORDS]])
+        self.words += int(inside[:WORDS].sum())
+        # Which numbers are words of pairs, looked up once per number.
+        wanted = in_bitmap(words, _word_hashes(self.hashes[: len(self.numbers)], self.seed))
+        self.held[0].add(u[:WORDS][inside[:WORDS] & wanted[w[:WORDS]]])
         pair = np.flatnonzero(inside[1:] & inside[:-1])
-        pair = pair[in_bitmap(frequent, _pair_hashes(h[pair], h[pair + 1], self.seed))]
-        three = pair[:-1][pair[1:] == pair[:-1] + 1]
+        hashed = _pair_hashes(h[pair], h[pair + 1], self.seed)
+        some = in_bitmap(pairs, hashed)
+        pair, hashed = pair[some], hashed[some]
+        next_too = np.flatnonzero(pair[1:] == pair[:-1] + 1)
+        three = pair[next_too]
+        three = three[in_bitmap(triples, _triple_hashes(hashed[next_too], h[three + 2]))]
         pair, three = pair[pair < WORDS], three[three < WORDS]
         shift = np.uint64(NUMBERS)
         self.held[1].add((u[pair] << shift) | u[pair + 1])
@@ -232,10 +278,12 @@ class _Language:
                 cols = [words.take(pa.array(((k >> np.uint64(NUMBERS * j)) & mask).astype(np.int64) - 1)).cast(pa.string()) for j in range(order, -1, -1)]
                 cols += [pa.array([""] * size, pa.string())] * (2 - order)
                 yield pa.RecordBatch.from_arrays([pa.array([self.lang] * size, pa.string()), *cols, pa.array(n[at : at + 50_000], pa.int64())], schema=GRAMS)
+        # A row without words has the number of all words.
+        yield pa.RecordBatch.from_arrays([*(pa.array([x]) for x in (self.lang, "", "", "")), pa.array([self.words], pa.int64())], schema=GRAMS)
         self.__init__(self.lang)
 
 
-def _phrase_counts(frequent: Broadcast):
+def _phrase_counts(may: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages: dict[str, _Language] = {}
         pending: dict[str, list[bytes]] = {}
@@ -245,10 +293,10 @@ def _phrase_counts(frequent: Broadcast):
                 pending.setdefault(lang, []).extend(some)
                 size[lang] = size.get(lang, 0) + sum(map(len, some))
                 if size[lang] > CHUNK:
-                    yield from languages.setdefault(lang, _Language(lang)).count(pending.pop(lang), frequent.value)
+                    yield from languages.setdefault(lang, _Language(lang)).count(pending.pop(lang), may.value)
                     size[lang] = 0
         for lang, some in pending.items():
-            yield from languages.setdefault(lang, _Language(lang)).count(some, frequent.value)
+            yield from languages.setdefault(lang, _Language(lang)).count(some, may.value)
         for held in languages.values():
             yield from held.rows()
 
@@ -256,13 +304,15 @@ def _phrase_counts(frequent: Broadcast):
 
 
 def phrase_counts(docs: DataFrame, enough: int) -> DataFrame:
-    """``lang, w1, w2, w3, n``: all single words, and the phrases of two and three words with ``enough`` occurrences;
-    absent words are empty strings. Written once."""
+    """``lang, w1, w2, w3, n``: the phrases of two and three words with ``enough`` occurrences and the words of such
+    pairs, absent words as empty strings; a row without words holds the number of words. Written once."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_column().alias("text"))
-    held = spark.sparkContext.broadcast(frequent_pairs(texts, enough))
-    parts = texts.mapInArrow(_phrase_counts(held), "lang string, w1 string, w2 string, w3 string, n long")
-    return cut(parts.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")).where((F.col("w2") == "") | (F.col("n") >= enough)))
+    pairs = bitmap(_hashes(texts, enough, None), "h")
+    second = _hashes(texts, enough, spark.sparkContext.broadcast(pairs))
+    may = spark.sparkContext.broadcast((bitmap(second.where("kind = 1"), "h"), pairs, bitmap(second.where("kind = 0"), "h")))
+    parts = texts.mapInArrow(_phrase_counts(may), "lang string, w1 string, w2 string, w3 string, n long")
+    return cut(parts.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")).where((F.col("w1") == "") | (F.col("n") >= enough)))
 
 
 # ---- the stream in one order -----------------------------------------------------------
@@ -391,7 +441,7 @@ def mine(docs: DataFrame, enough: int = 10, cover: int = 50, top: int = 2000, ra
     are read. ``ranges`` bounds the ranges that the streams are dealt out in; their size does not bound memory.
     """
     counts = phrase_counts(docs, enough)
-    often = counts.where(F.col("n") >= enough)
+    often = counts.where("w1 <> ''")
     none = F.lit(None).cast("long")
     forward = often.select("lang", F.col("w1").alias("k1"), F.col("w2").alias("k2"), F.col("w3").alias("k3"), "n", none.alias("near0"), none.alias("far0"), none.alias("ext"))
     left = _ordered(forward, ranges).select(
@@ -402,7 +452,11 @@ def mine(docs: DataFrame, enough: int = 10, cover: int = 50, top: int = 2000, ra
     parts = _ordered(backward, ranges).mapInArrow(_scored, "lang string, phrase string, a long, l long, r long, score long, ext long")
     # Only pairs whose phrases span ranges have more than one row here.
     whole = parts.groupBy("lang", "phrase").agg(*[F.max(c).alias(c) for c in ("a", "l", "r", "score", "ext")])
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = whole.where("ext IS NULL OR 100 * ext < %d * a" % cover).withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
-    sizes = counts.where("w2 = ''").groupBy("lang").agg(F.sum("n").alias("n"))
+    by = (F.desc("score"), F.desc("a"), "phrase")
+    alone = whole.where("ext IS NULL OR 100 * ext < %d * a" % cover)
+    # The best of each of 64 parts of a language first, so that no task ranks a language's phrases.
+    salt = F.pmod(F.xxhash64("phrase"), F.lit(64))
+    some = alone.withColumn("part", salt).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*by))).where(F.col("rank") <= top)
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by)).cast("long")).where(F.col("rank") <= top)
+    sizes = counts.where("w1 = ''").select("lang", "n")
     return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
