@@ -34,8 +34,9 @@ PIECES = bytes(BREAK if chr(c) in ".,;:!?\n\x0b\x0c\r" else LOWER[c] for c in ra
 # Bits of a word's number in a task, so that three numbers fit 63 bits, and words that are numbered at a time: a
 # task passes its counts on before it has more numbers than these bits hold.
 NUMBERS, WORDS = 21, 1 << 19
-# Bytes of text that are counted at a time, and counts a task holds before it merges them or passes them on.
-CHUNK, LOOSE = 1 << 21, 1 << 22
+# Bytes of text that are counted at a time; counts a task holds before it passes them on, and before it merges the
+# latest into the others. A task needs about 100 bytes for each count it holds.
+CHUNK, HELD, LOOSE = 1 << 21, 2 << 20, 1 << 19
 # Bytes of a hash that are counted.
 KEY = 5
 # Rows of a range of the sorted stream, and keys that are drawn to place the borders, per range.
@@ -83,8 +84,12 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[b
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts."""
     key, count = np.concatenate(keys), np.concatenate(counts)
+    keys.clear()
+    counts.clear()
     order = np.argsort(key, kind="stable")
-    key, count = key[order], count[order]
+    key = key[order]
+    count = count[order]
+    del order
     at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
     return key[at], np.add.reduceat(count, at) if len(at) else count
 
@@ -173,11 +178,11 @@ def _packed_counts(parts: int, enough: int, pairs: Broadcast | None):
             for lang, some in texts.items():
                 pending.setdefault(lang, []).extend(some)
                 size += sum(map(len, some))
-            if size > 4 * CHUNK:
+            if size > CHUNK:
                 for lang, some in pending.items():
                     count(lang, some)
                 pending, size = {}, 0
-                if sum(x.size() for x in held) > LOOSE:
+                if sum(x.size() for x in held) > HELD:
                     yield from packed()
         for lang, some in pending.items():
             count(lang, some)
@@ -243,7 +248,7 @@ class _Language:
         words = b"\xff".join(texts).translate(PIECES).replace(b"\xff", b" \xff ").split()
         # Two words more than are counted, for the phrases that begin at the last ones.
         for at in range(0, len(words), WORDS):
-            if len(self.numbers) > WORDS or sum(x.size() for x in self.held) > LOOSE:
+            if len(self.numbers) > WORDS:
                 yield from self.rows()
             some = words[at : at + WORDS + 2]
             self._count(np.fromiter(map(self.numbers.__getitem__, some), np.int64, len(some)), may)
@@ -268,6 +273,9 @@ class _Language:
         self.held[1].add((u[pair] << shift) | u[pair + 1])
         self.held[2].add((((u[three] << shift) | u[three + 1]) << shift) | u[three + 2])
 
+    def size(self) -> int:
+        return sum(x.size() for x in self.held)
+
     def rows(self) -> Iterator[pa.RecordBatch]:
         words = pa.array(list(self.numbers)[1:], pa.binary())
         mask = np.uint64((1 << NUMBERS) - 1)
@@ -295,6 +303,9 @@ def _phrase_counts(may: Broadcast):
                 if size[lang] > CHUNK:
                     yield from languages.setdefault(lang, _Language(lang)).count(pending.pop(lang), may.value)
                     size[lang] = 0
+                    if sum(len(x.numbers) for x in languages.values()) > WORDS or sum(x.size() for x in languages.values()) > HELD:
+                        for held in languages.values():
+                            yield from held.rows()
         for lang, some in pending.items():
             yield from languages.setdefault(lang, _Language(lang)).count(some, may.value)
         for held in languages.values():
