@@ -21,9 +21,9 @@ from . import neighbours as Nb
 from . import select as P
 from . import solvers as So
 from . import targets as T
-from .folds import predict, predict_by, predict_many
+from .folds import predict, predict_by, predict_many, solve
 from .groups import centroids
-from .moments import Gram, gram, held_out, spectra_matrix
+from .moments import Gram, gram, gram_table, spectra_matrix
 from .ordered import join_on, quantile_values
 
 # ---- one band --------------------------------------------------------------------------
@@ -429,11 +429,11 @@ def routed_fit(
         placed = model.transform(vectors(T.scores(part, z, "__z").withColumn("__x", F.col("x")).withColumn("x", F.col("__z"))))
         return placed.withColumn("x", F.col("__x")).drop("features", "__x", "__z")
 
-    grams = gram(label(fit), "cluster")
-    whole = rule(M.total(grams))
-    models = {str(c): whole for c in range(clusters)}
-    models.update({k: rule(g) for k, g in grams.items() if g.n >= min_rows})
-    return predict_by(label(df), models, "cluster", name)
+    table = gram_table(label(fit), "cluster")
+    models = solve(table, {"": rule}, min_rows=min_rows)
+    # A cluster without fit rows has no matrix; it gets the global model too.
+    whole = rule(table.total())
+    return predict_by(label(df), models, "cluster", "__own").transform(lambda d: predict(d, whole, "__all")).withColumn(name, F.coalesce("__own", "__all")).drop("__own", "__all")
 
 
 def routed_selection(
@@ -443,21 +443,10 @@ def routed_selection(
     """Per cluster the rule with the lowest rmse + 0.02 max |group bias| over inner folds. Errors of
     all rules come from one scan; matrices from another."""
     key = F.concat_ws("|", F.col(cluster_col).cast("string"), F.col(inner).cast("string"))
-    grams = gram(fit.withColumn("__k", key), "__k")
-    by_cluster: dict[str, dict[str, Gram]] = {}
-    for k, g in grams.items():
-        c, f = k.split("|")
-        by_cluster.setdefault(c, {})[f] = g
-    whole = {c: M.total(parts) for c, parts in by_cluster.items()}
-    everything = M.total(whole)
-    models: dict[str, dict] = {}
-    for name, rule in rules.items():
-        models[name] = {}
-        for c, parts in by_cluster.items():
-            for f in parts:
-                rest = whole[c] - parts[f]
-                models[name][f"{c}|{f}"] = rule(rest if rest.n >= min_rows else everything - parts[f])
-    long = predict_many(fit.withColumn("__k", key), models, "__k", [cluster_col, group, "y"])
+    keyed = fit.withColumn("__k", key)
+    parts = gram_table(keyed, "__k")
+    models = _inner_models(parts, rules, min_rows)
+    long = predict_many(keyed, models, "__k", [cluster_col, group, "y"])
     long = long.withColumnsRenamed({"spec": "rule", "y_pred": "p"})
     e = F.col("p") - F.col("y")
     per = long.groupBy(cluster_col, "rule", group).agg(F.sum(e * e).alias("sse"), F.sum(e).alias("se"), F.count("*").alias("n"))
@@ -465,9 +454,41 @@ def routed_selection(
         (F.sqrt(F.sum("sse") / F.sum("n")) + F.max(F.abs(F.col("se") / F.col("n"))) * 0.02).alias("penalty")
     )
     best = table.groupBy(cluster_col).agg(F.min_by("rule", F.struct("penalty", "rule")).alias("rule"))
-    return {
-        str(r[cluster_col]): (r["rule"], rules[r["rule"]](whole[str(r[cluster_col])])) for r in best.collect()
-    }
+    # One row per cluster: its chosen rule, and the models of all rules on all its rows.
+    whole = solve(gram_table(fit, cluster_col), rules)
+    chosen = best.join(whole, best[cluster_col].cast("string") == whole["k"]).select(F.col("k"), "rule", F.filter("m", lambda m: m["spec"] == F.col("rule"))[0].alias("m"))
+    return {r["k"]: (r["rule"], So.Linear(np.asarray(r["m"]["w"]), r["m"]["b"])) for r in chosen.collect()}
+
+
+def _inner_models(parts: M.GramTable, rules: dict[str, Callable[[Gram], So.Linear]], min_rows: int) -> DataFrame:
+    """Models for every (cluster | fold) key: on the cluster's other folds, or, where these have fewer than
+    ``min_rows`` rows, on all other rows. A cluster's folds are solved in one task: their number is that of inner folds."""
+    everything = parts.total()
+    about, targets = parts.about, parts.targets
+    held = parts.rows.sparkSession.sparkContext.broadcast(everything)
+
+    def of_cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("spec", pa.string()), ("w", pa.list_(pa.float64())), ("b", pa.float64()), ("info", pa.string())]))
+
+        def solved(group: list[tuple[str, Gram]]) -> Iterator[pa.RecordBatch]:
+            whole = M.total(dict(group))
+            for k, own in group:
+                rest = whole - own
+                g = rest if rest.n >= min_rows else held.value - own
+                made = [{"spec": name, "w": (m := rule(g)).coef.tolist(), "b": float(m.intercept), "info": None} for name, rule in rules.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([g.n]), pa.array([made], kind)], names=["k", "n", "m"])
+
+        group: list[tuple[str, Gram]] = []
+        for k, g in M.each_gram(batches, about, targets):
+            if group and group[0][0].split("|")[0] != k.split("|")[0]:
+                yield from solved(group)
+                group = []
+            group.append((k, g))
+        if group:
+            yield from solved(group)
+
+    cluster_of = F.substring_index("k", "|", 1)
+    return parts.rows.repartition(cluster_of).sortWithinPartitions(cluster_of, "k").mapInArrow(of_cluster, "k string, n double, m array<struct<spec: string, w: array<double>, b: double, info: string>>")
 
 
 def soft_clusters(
@@ -477,9 +498,9 @@ def soft_clusters(
     z = T.fit_pca(fit, comps, scale=True)
     km = KMeans(k=clusters, seed=42, featuresCol="features", predictionCol="cluster").fit(vectors(T.scores(fit, z)))
     placed = km.transform(vectors(T.scores(fit, z, "__z").withColumn("__x", F.col("x")).withColumn("x", F.col("__z"))))
-    grams = gram(placed.withColumn("x", F.col("__x")).drop("features"), "cluster")
-    whole = rule(M.total(grams))
-    models = [rule(grams[str(c)]) if str(c) in grams and grams[str(c)].n >= min_rows else whole for c in range(clusters)]
+    table = gram_table(placed.withColumn("x", F.col("__x")).drop("features"), "cluster")
+    own = {r["k"]: So.Linear(np.asarray(r["m"][0]["w"]), r["m"][0]["b"]) for r in solve(table, {"": rule}, min_rows=min_rows).collect()}
+    models = [own[str(c)] if str(c) in own else rule(table.total()) for c in range(clusters)]
     scored = T.scores(df, z, "__z")
     centres = [[float(v) for v in c] for c in km.clusterCenters()]
     dist = F.array(*[-F.sqrt(A.total(F.zip_with("__z", A.doubles(c), lambda a, b: (a - b) * (a - b)))) for c in centres])
@@ -499,5 +520,6 @@ def noise_average(
         part = fit if s == 0 else fit.withColumn("x", X.perturb(F.col("x"), F.col("id"), s, k))
         part = part.select("x", "y", F.lit(str(k)).alias("copy"))
         copies = part if copies is None else copies.unionByName(part)
-    models = [rule(g) for g in gram(copies, "copy").values()]
+    # One row per scale.
+    models = [So.Linear(np.asarray(r["m"][0]["w"]), r["m"][0]["b"]) for r in solve(gram_table(copies, "copy"), {"": rule}).orderBy("k").collect()]
     return predict(df, average(models), name)

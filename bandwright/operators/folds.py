@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from . import solvers as So
-from .moments import Gram, gram, held_out
+from .moments import Gram, GramTable, each_gram, gram_table
 from .ordered import join_on, ordinal
 
 
@@ -98,23 +100,51 @@ def predict(df: DataFrame, model: So.Linear, name: str = "y_pred", x: str = "x")
     return df.withColumn(name, A.dot(F.col(x), A.doubles(model.coef)) + float(model.intercept))
 
 
-def predict_by(df: DataFrame, models: dict, key: str, name: str = "y_pred", x: str = "x") -> DataFrame:
-    """Score each row with the model of its key; the models are one row per key."""
-    rows = [(str(k), [float(v) for v in m.coef], float(m.intercept)) for k, m in models.items()]
-    table = df.sparkSession.createDataFrame(rows, "__mk string, __w array<double>, __b double")
+MODELS = "k string, n double, m array<struct<spec: string, w: array<double>, b: double, info: string>>"
+
+
+def solve(
+    table: GramTable, fits: Mapping[str, Callable[[Gram], So.Linear]], others: bool = False, min_rows: float = 0, fallback: bool = True
+) -> DataFrame:
+    """``k, n, m``: for each key of a table of matrices, the models of all ``fits`` on its matrix, or with
+    ``others`` on the total less its own. Each matrix is solved in the task that reads it; of the keys nothing but
+    this table remains. A matrix of fewer than ``min_rows`` rows gives the models of the total, or none."""
+    whole = table.total() if others or min_rows else None
+    about, targets = table.about, table.targets
+    held = table.rows.sparkSession.sparkContext.broadcast(whole)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("spec", pa.string()), ("w", pa.list_(pa.float64())), ("b", pa.float64()), ("info", pa.string())]))
+        of_all: list[dict] = []
+
+        def models(g: Gram) -> list[dict]:
+            made = [(name, fit(g)) for name, fit in fits.items()]
+            return [{"spec": name, "w": m.coef.tolist(), "b": float(m.intercept), "info": json.dumps(m.info, default=float)} for name, m in made]
+
+        for k, own in each_gram(batches, about, targets):
+            g = held.value - own if others else own
+            if g.n >= max(min_rows, 1e-12):
+                m = models(g)
+            elif fallback and held.value is not None:
+                of_all = of_all or models(held.value)
+                m = of_all
+            else:
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.string()), pa.array([g.n]), pa.array([m], kind)], names=["k", "n", "m"])
+
+    return table.rows.mapInArrow(run, MODELS)
+
+
+def predict_by(df: DataFrame, models: DataFrame, key: str, name: str = "y_pred", x: str = "x") -> DataFrame:
+    """Score each row with the (first) model of its key, from a table of ``solve``."""
+    table = models.select(F.col("k").alias("__mk"), F.get("m", F.lit(0)).alias("__m"))
     joined = df.join(table, df[key].cast("string") == table["__mk"], "left")
-    return joined.withColumn(name, A.dot(F.col(x), F.col("__w")) + F.col("__b")).drop("__mk", "__w", "__b")
-
-
-def predict_many(df: DataFrame, models: dict[str, dict], key: str, keep: Sequence[str], x: str = "x") -> DataFrame:
-    """Rows (keep.., spec, y_pred): every row scored by the models of its key under all specs. One
-    row per key holds the coefficients of all specs."""
-    rows: dict[str, list] = {}
-    for spec, by_key in models.items():
-        for k, m in by_key.items():
-            rows.setdefault(str(k), []).append((spec, [float(v) for v in m.coef], float(m.intercept)))
-    ddl = "__mk string, __m array<struct<spec: string, w: array<double>, b: double>>"
-    table = df.sparkSession.createDataFrame(list(rows.items()), ddl)
+    return joined.withColumn(name, A.dot(F.col(x), F.col("__m.w")) + F.col("__m.b")).drop("__mk", "__m")
+
+
+def predict_many(df: DataFrame, models: DataFrame, key: str, keep: Sequence[str], x: str = "x") -> DataFrame:
+    """Rows (keep.., spec, y_pred): every row scored by the models of its key under all specs."""
+    table = models.select(F.col("k").alias("__mk"), F.col("m").alias("__m"))
     joined = df.join(table, df[key].cast("string") == table["__mk"], "left")
     scored = F.transform(
         "__m", lambda m: F.struct(m["spec"].alias("spec"), (A.dot(F.col(x), m["w"]) + m["b"]).alias("y_pred"))
@@ -125,11 +155,10 @@ def predict_many(df: DataFrame, models: dict[str, dict], key: str, keep: Sequenc
 def out_of_fold(
     df: DataFrame, fit: Callable[[Gram], So.Linear], fold: str = "fold_id", name: str = "y_pred", y: str | Sequence[str] = "y"
 ) -> DataFrame:
-    """Every fold predicted by a model of the others. One pass gives a matrix per fold; the train side
-    of a fold is the total less its own matrix, so no row is read or stored twice."""
+    """Every fold predicted by a model of the others. One pass gives a matrix per fold; the train side of a fold is
+    the total less its own matrix, so no row is read or stored twice. A fold that holds all rows has no model."""
     targets = [y] if isinstance(y, str) else list(y)
-    models = {k: fit(g) for k, g in held_out(gram(df, fold, targets)).items()}
-    return predict_by(df, models, fold, name)
+    return predict_by(df, solve(gram_table(df, fold, targets), {"": fit}, others=True, fallback=False), fold, name)
 
 
 def out_of_fold_refit(

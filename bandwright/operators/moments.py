@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Tasks that each produce one partial matrix per key; more input partitions are read by fewer tasks.
-MAX_PARTIALS = 4096
-# Bytes of matrices the driver may receive.
-DRIVER_MATRIX_BYTES = 4 << 30
+from ..session import cut
+
+# Bytes of rows and matrices a task holds before it passes its partial sums on.
+HELD_BYTES = 64 << 20
+# Parts of a key that are added up separately before their sums meet, so that no task adds all partial sums of one
+# key, and the most that reach the driver for the sum over all keys.
+SALTS = 64
 
 SUMS = ("n", "sx", "sy", "sxx", "sxy", "syy")
 
@@ -146,79 +149,203 @@ def spectra_matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(flat, dtype=float).reshape(len(column), -1)
 
 
-def gram(
-    df: DataFrame,
-    key: str | Column | None = None,
-    targets: Sequence[str] = ("y",),
-    weight: str | None = None,
-) -> dict[str | None, Gram]:
-    """MOM-2: one Gram per value of ``key``; rows without a spectrum or a target are left out. Each task adds up its rows; the partial matrices are
-    shuffled by (key, matrix row) and added again, and the driver receives one matrix per key."""
-    about = np.asarray(any_spectrum(df))
-    d, t = len(about), len(targets)
-    p = 1 + d + t
-    key_col = F.lit("") if key is None else (F.col(key) if isinstance(key, str) else key)
-    usable = F.col("x").isNotNull()
-    for c in targets:
-        usable = usable & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    src = df.where(usable).select(
-        key_col.cast("string").alias("k"),
-        (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("w"),
-        F.array(*[F.col(c) for c in targets]).cast("array<double>").alias("t"),
-        F.col("x").alias("x"),
-    ).coalesce(MAX_PARTIALS)
-
-    schema = pa.schema([("k", pa.string()), ("i", pa.int32()), ("row", pa.list_(pa.float64()))])
-
-    def emit(acc: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for k, m in acc.items():
-            yield pa.RecordBatch.from_pydict(
-                {"k": [k] * len(m), "i": list(range(len(m))), "row": list(m)}, schema=schema
-            )
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[str, np.ndarray] = {}
+PARTIAL = pa.schema([("k", pa.string()), ("q", pa.int32()), ("v", pa.list_(pa.float64()))])
+
+
+def _lower(m: np.ndarray) -> np.ndarray:
+    return m[np.tril_indices(len(m))]
+
+
+def _square(v: np.ndarray, p: int) -> np.ndarray:
+    m = np.zeros((p, p))
+    m[np.tril_indices(p)] = v
+    return m + np.tril(m, -1).T
+
+
+def _partial_sums(about: np.ndarray, p: int):
+    """Rows to partial sums of their products. A key with few rows in a task is passed on as these rows, which are
+    smaller than a matrix: ``q`` is their number, or -1 for the lower half of a matrix."""
+    half = p * (p + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[str | None, list[np.ndarray]] = {}
+        sums: dict[str | None, np.ndarray] = {}
+        count: dict[str | None, int] = {}
+        held = 0
+
+        def fold(k) -> None:
+            block = np.vstack(rows.pop(k))
+            part = _lower(block[:, 1:].T @ (block[:, 1:] * block[:, :1]))
+            sums[k] = sums[k] + part if k in sums else part
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for k in list(rows):
+                if k in sums or count[k] * p >= half:
+                    fold(k)
+            out = [(k, -1, v) for k, v in sums.items()] + [(k, count[k], np.vstack(b).ravel()) for k, b in rows.items()]
+            for at in range(0, len(out), 256):
+                k, q, v = zip(*out[at : at + 256])
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(q, pa.int32()), pa.array(v, pa.list_(pa.float64()))], schema=PARTIAL)
+            rows.clear()
+            sums.clear()
+            count.clear()
+
         for b in batches:
             if b.num_rows == 0:
                 continue
             x = spectra_matrix(b.column("x")) - about
-            rows = np.hstack([np.ones((len(x), 1)), x, spectra_matrix(b.column("t"))])
             w = b.column("w").to_numpy(zero_copy_only=False)
-            ks = np.asarray(b.column("k").to_pylist(), dtype=object)
-            for k in set(ks):
-                at = ks == k
-                part = (rows[at] * w[at][:, None]).T @ rows[at]
-                acc[k] = acc[k] + part if k in acc else part
-        yield from emit(acc)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[tuple[str, int], np.ndarray] = {}
+            block = np.hstack([w[:, None], np.ones((len(x), 1)), x, spectra_matrix(b.column("t"))])
+            codes = b.column("k").dictionary_encode("encode")
+            at = codes.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(at, kind="stable")
+            edges = np.append(np.flatnonzero(np.append(True, np.diff(at[order]) != 0)), len(at))
+            names = codes.dictionary.to_pylist()
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                k = names[at[order[lo]]]
+                rows.setdefault(k, []).append(block[order[lo:hi]])
+                count[k] = count.get(k, 0) + int(hi - lo)
+                held += (hi - lo) * (p + 1) * 8
+                if count[k] > 4 * p:
+                    held -= count[k] * (p + 1) * 8 - (0 if k in sums else half * 8)
+                    count[k] = 0
+                    fold(k)
+            if held > HELD_BYTES:
+                yield from emit()
+                held = 0
+        yield from emit()
+
+    return run
+
+
+def _added(p: int, keep_rows: bool):
+    """Partial sums sorted by key to one row per key; with ``keep_rows`` a key that has few rows stays as rows."""
+    half = p * (p + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, blocks, total, n, started = None, [], None, 0, False
+
+        def fold() -> None:
+            nonlocal total, blocks, n
+            block = np.vstack(blocks)
+            part = _lower(block[:, 1:].T @ (block[:, 1:] * block[:, :1]))
+            total = part if total is None else total + part
+            blocks, n = [], 0
+
+        def done() -> pa.RecordBatch:
+            nonlocal total
+            if blocks and not (keep_rows and total is None and n * (p + 1) < half):
+                fold()
+            q, v = (-1, total) if total is not None else (n, np.vstack(blocks).ravel())
+            total = None
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([q], pa.int32()), pa.array([v], pa.list_(pa.float64()))], schema=PARTIAL)
+
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            rows = spectra_matrix(b.column("row"))
-            for k, j, r in zip(b.column("k").to_pylist(), b.column("i").to_pylist(), rows):
-                acc[k, j] = acc[k, j] + r if (k, j) in acc else r.copy()
-        if acc:
-            yield pa.RecordBatch.from_pydict(
-                {"k": [a[0] for a in acc], "i": [a[1] for a in acc], "row": list(acc.values())},
-                schema=schema,
-            )
-
-    ddl = "k string, i int, row array<double>"
-    merged = src.mapInArrow(partial, ddl).repartition("k", "i").mapInArrow(merge, ddl)
-    limit = DRIVER_MATRIX_BYTES // (p * 8)
-    held = merged.limit(limit + 1).toArrow()
-    if held.num_rows > limit:
-        raise ValueError("too many keys for matrices of this width; fit fewer groups at a time")
-    out: dict[str, np.ndarray] = {}
-    for batch in held.to_batches():
-        rows = spectra_matrix(batch.column("row"))
-        for k, j, r in zip(batch.column("k").to_pylist(), batch.column("i").to_pylist(), rows):
-            out.setdefault(k, np.zeros((p, p)))[j] = r
-    if key is None:
-        return {None: Gram(out[""], about, t)}
-    return {k: Gram(m, about, t) for k, m in sorted(out.items())}
+            offsets, flat = b.column("v").offsets.to_numpy(), b.column("v").values.to_numpy(zero_copy_only=False)
+            for i, (k, q) in enumerate(zip(b.column("k").to_pylist(), b.column("q").to_pylist())):
+                if started and k != key:
+                    yield done()
+                    blocks, n = [], 0
+                key, started = k, True
+                v = flat[offsets[i] : offsets[i + 1]]
+                if q < 0:
+                    total = v.copy() if total is None else total + v
+                else:
+                    blocks.append(v.reshape(q, p + 1).copy())
+                    n += q
+                    if n > 4 * p:
+                        fold()
+        if started:
+            yield done()
+
+    return run
+
+
+@dataclass
+class GramTable:
+    """MOM-2 as a table: ``k``, ``q``, ``v`` with the lower half of one matrix per key."""
+
+    rows: DataFrame
+    about: np.ndarray
+    targets: int
+
+    @property
+    def p(self) -> int:
+        return 1 + len(self.about) + self.targets
+
+    def total(self) -> Gram:
+        """Sum over all keys: sums of at most SALTS parts reach the driver, whatever the number of keys."""
+        parts = self.rows.select(F.lit("").alias("k"), "q", "v", F.pmod(F.xxhash64("k"), F.lit(SALTS)).alias("salt"))
+        held = parts.repartition("salt").select("k", "q", "v").mapInArrow(_added(self.p, False), DDL).select("v").toArrow().column("v").to_pylist()
+        m = np.sum([_square(np.asarray(v), self.p) for v in held], axis=0) if held else np.zeros((self.p, self.p))
+        return Gram(m, self.about, self.targets)
+
+    def centred(self) -> DataFrame:
+        """``k, i, j, v``: upper half of the centred X'X of every key."""
+        about, targets, p = self.about, self.targets, self.p
+        schema = pa.schema([("k", pa.string()), ("i", pa.int64()), ("j", pa.int64()), ("v", pa.float64())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            a, b = np.triu_indices(p - 1 - targets)
+            for k, g in each_gram(batches, about, targets):
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(a), pa.string()), pa.array(a), pa.array(b), pa.array(g.sxx[a, b])], schema=schema)
+
+        return self.rows.mapInArrow(run, "k string, i long, j long, v double")
+
+
+def each_gram(batches: Iterator[pa.RecordBatch], about: np.ndarray, targets: int) -> Iterator[tuple[str | None, Gram]]:
+    """(key, matrix) of the rows of a GramTable, one at a time."""
+    p = 1 + len(about) + targets
+    for b in batches:
+        offsets, flat = b.column("v").offsets.to_numpy(), b.column("v").values.to_numpy(zero_copy_only=False)
+        for i, k in enumerate(b.column("k").to_pylist()):
+            yield k, Gram(_square(flat[offsets[i] : offsets[i + 1]], p), about, targets)
+
+
+DDL = "k string, q int, v array<double>"
+
+
+def _salted_sums(df: DataFrame, key: Column, targets: Sequence[str], weight: str | None, keep_rows: bool) -> tuple[DataFrame, np.ndarray]:
+    """Partial sums of every key, added up within SALTS parts of the tasks; and the point they are taken about."""
+    about = np.asarray(any_spectrum(df))
+    p = 1 + len(about) + len(targets)
+    usable = F.col("x").isNotNull()
+    for c in targets:
+        usable = usable & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    src = df.where(usable).select(
+        key.cast("string").alias("k"), (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("w"),
+        F.array(*[F.col(c) for c in targets]).cast("array<double>").alias("t"), F.col("x").alias("x"),
+    )
+    parts = src.mapInArrow(_partial_sums(about, p), DDL).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    return parts.repartition("salt", "k").sortWithinPartitions("salt", "k").select("k", "q", "v").mapInArrow(_added(p, keep_rows), DDL), about
+
+
+def gram_table(df: DataFrame, key: str | Column, targets: Sequence[str] = ("y",), weight: str | None = None) -> GramTable:
+    """MOM-2: one Gram per value of ``key``, written as a table; rows without a spectrum or a target are left out.
+
+    Partial sums are added in two levels: first within a key and one of SALTS parts of the tasks, then within a
+    key, so that neither many tasks nor a key with most rows meet in one task at once. A task adds one matrix at a
+    time. A null key has a matrix of its own.
+    """
+    once, about = _salted_sums(df, F.col(key) if isinstance(key, str) else key, targets, weight, True)
+    p = 1 + len(about) + len(targets)
+    whole = once.repartition("k").sortWithinPartitions("k").mapInArrow(_added(p, False), DDL)
+    return GramTable(cut(whole), about, len(targets))
+
+
+def gram(
+    df: DataFrame, key: str | Column | None = None, targets: Sequence[str] = ("y",), weight: str | None = None
+) -> dict[str | None, Gram]:
+    """One matrix of all rows, under the key None: SALTS partial sums reach the driver. With a ``key`` the matrices of
+    its values are fetched one after the other, for a look at a few; operators keep them in a ``gram_table``."""
+    if key is not None:
+        table = gram_table(df, key, targets, weight)
+        held = ((r["k"], Gram(_square(np.asarray(r["v"]), table.p), table.about, table.targets)) for r in table.rows.toLocalIterator())
+        return dict(sorted(held, key=lambda r: (r[0] is not None, r[0])))
+    once, about = _salted_sums(df, F.lit(""), targets, weight, False)
+    p = 1 + len(about) + len(targets)
+    sums = [_square(np.asarray(v), p) for v in once.select("v").toArrow().column("v").to_pylist()]
+    return {None: Gram(np.sum(sums, axis=0) if sums else np.zeros((p, p)), about, len(targets))}
 
 
 def total(grams: dict) -> Gram:

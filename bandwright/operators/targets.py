@@ -15,6 +15,7 @@ from ..functions import arrays as A
 from ..functions import features as X
 from ..functions import scalars as S
 from . import solvers as So
+from .groups import centroids
 from .moments import Gram, gram, spectra_matrix
 from .ordered import ordinal, with_stats
 
@@ -252,32 +253,29 @@ def orthogonal_directions(g: Gram, k: int, drop: int) -> np.ndarray:
     return z.loadings[:, np.argsort(corr, kind="stable")[:drop]]
 
 
-def domain_directions(by_group: dict, train: set, k: int, drop: int, mode: str = "shift") -> np.ndarray:
-    """Components by domain shift, by shift over target correlation, by spread of group centroids, or
-    the domain mean direction itself. ``by_group`` holds one matrix per group key."""
-    tr = [g for key, g in by_group.items() if key in train]
-    te = [g for key, g in by_group.items() if key not in train]
-
-    def add(parts):
-        return Gram(sum(p.m for p in parts), parts[0].about, parts[0].targets)
-
-    a, b = add(tr), add(te)
+def domain_directions(df: DataFrame, known: Column, k: int, drop: int, mode: str = "shift", group: str = "grp") -> tuple[np.ndarray, np.ndarray]:
+    """(Directions, mean of all rows): components by domain shift between the rows that are ``known`` and the others,
+    by shift over target correlation, by spread of group centroids, or the domain mean direction itself."""
+    sides = gram(df, known)
+    a, b = sides["true"], sides["false"]
     gap = b.mean - a.mean
     if mode == "mean":
-        return (gap / max(np.linalg.norm(gap), 1e-12))[:, None]
-    z = So.pca(add([a, b]), k)
+        return (gap / max(np.linalg.norm(gap), 1e-12))[:, None], (a + b).mean
+    z = So.pca(a + b, k)
     sd = np.sqrt(np.maximum(z.variance, 1e-12))
     shift = np.abs(gap @ z.loadings) / sd
     if mode == "ratio":
         score = shift / np.maximum(np.abs(So.band_corr(So.latent_gram(a, z))), 1e-3)
     elif mode == "centroid":
-        cents = np.vstack([g.mean for g in by_group.values()]) @ z.loadings
-        score = cents.std(axis=0) / sd
+        # Centroids are scored where they are; their spread is one number per component.
+        scored = scores(centroids(df, [group]), z)
+        spread = scored.select(F.posexplode("x").alias("c", "v")).groupBy("c").agg(F.stddev_pop("v").alias("s")).collect()
+        score = np.asarray([r["s"] for r in sorted(spread, key=lambda r: r["c"])]) / sd
     elif mode == "shift":
         score = shift
     else:
         raise ValueError(f"unknown mode {mode}")
-    return z.loadings[:, np.argsort(-score, kind="stable")[:drop]]
+    return z.loadings[:, np.argsort(-score, kind="stable")[:drop]], (a + b).mean
 
 
 # ---- random features -------------------------------------------------------------------

@@ -12,7 +12,7 @@ from ..functions.preprocessors import get_preprocessor
 from ..operators import folds as Cv
 from ..operators import groups as G
 from ..operators.compare import composite
-from ..operators.moments import gram, held_out
+from ..operators.moments import gram_table
 from ..session import cut
 from .predictors import LEFT_OUT, get_predictor
 
@@ -264,8 +264,7 @@ def grid(train: DataFrame, names: Sequence[str], fold: str = "fold_id") -> DataF
     out = None
     for pre, specs in by_pre.items():
         rows = get_preprocessor(pre).transform(train)
-        rest = held_out(gram(rows, fold))
-        models = {s.name: {k: get_predictor(s.predictor).rule(g) for k, g in rest.items()} for s in specs}
+        models = Cv.solve(gram_table(rows, fold), {s.name: get_predictor(s.predictor).rule for s in specs}, others=True, fallback=False)
         long = Cv.predict_many(rows.withColumn("y_true", F.col("y")), models, fold, ["y_true"]).withColumnRenamed("spec", "experiment")
         part = G.metrics(long, ["experiment"])
         out = part if out is None else out.unionByName(part)

@@ -49,11 +49,7 @@ SELECT grp, {i('i', 'i')}, {i('j', 'j')}, {d('v', 'v', 5)} FROM m""",
 )
 def mom_2(spark, sf):
     """Centred X'X per group, upper half."""
-    rows = []
-    for k, g in M.gram(spectra(spark, sf), "grp").items():
-        s = g.sxx
-        rows += [(int(k), a, b, float(s[a, b])) for a in range(g.d) for b in range(a, g.d)]
-    return spark.createDataFrame(rows, "grp long, i long, j long, v double")
+    return M.gram_table(spectra(spark, sf), "grp").centred().select(F.col("k").cast("long").alias("grp"), "i", "j", "v")
 
 
 # ---- MOD: one band ---------------------------------------------------------------------
@@ -390,9 +386,8 @@ def tgt_12(spark, sf):
 @query("TGT-13")
 def tgt_13(spark, sf):
     df = spectra(spark, sf)
-    by = M.gram(df, "grp")
-    dirs = T.domain_directions(by, {str(k) for k in range(7)}, 10, 2, "ratio")
-    return unroll(T.remove(df, dirs, M.total(by).mean))
+    dirs, mean = T.domain_directions(df, F.col("grp") <= 6, 10, 2, "ratio")
+    return unroll(T.remove(df, dirs, mean))
 
 
 @query(
@@ -404,9 +399,8 @@ SELECT id, {i('unnest(range(64))', 'k')}, {d('unnest(list_transform(range(1, 65)
 )
 def tgt_13_mean(spark, sf):
     df = spectra(spark, sf)
-    by = M.gram(df, "grp")
-    dirs = T.domain_directions(by, {str(k) for k in range(7)}, 10, 1, "mean")
-    return unroll(T.remove(df, dirs, M.total(by).mean))
+    dirs, mean = T.domain_directions(df, F.col("grp") <= 6, 10, 1, "mean")
+    return unroll(T.remove(df, dirs, mean))
 
 
 def latent(spark, sf):
@@ -525,10 +519,8 @@ GRID_MODELS = {
 def grid_scores(df, fold="fold_id"):
     """Every (feature set, model) pair by group folds; all fits share one matrix per fold and all
     predictions one scan."""
-    rest = M.held_out(M.gram(df, fold))
-    models = {
-        f"{s}__{m}": {k: fit(g, pick(g)) for k, g in rest.items()} for s, pick in GRID_SETS.items() for m, fit in GRID_MODELS.items()
-    }
+    fits = {f"{s}__{m}": (lambda g, fit=fit, pick=pick: fit(g, pick(g))) for s, pick in GRID_SETS.items() for m, fit in GRID_MODELS.items()}
+    models = Cv.solve(M.gram_table(df, fold), fits, others=True, fallback=False)
     long = Cv.predict_many(df.withColumn("y_true", F.col("y")), models, fold, ["grp", "y_true"])
     whole = G.metrics(long, ["spec"]).select("spec", "rmse")
     scored = whole.join(G.worst_group(long, ["spec"]), "spec")
