@@ -6,10 +6,14 @@ group with a third of all rows is spread over many tasks. Everything else builds
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from ..session import cut
 
@@ -97,32 +101,101 @@ def running_sum(df: DataFrame, keys: Sequence[str], rank: str, value: str, name:
 # ---- quantiles -------------------------------------------------------------------------
 
 
+# Right shifts of the three rounds of a quantile: 20, 22 and 22 bits of a value are told apart.
+SHIFTS = (44, 22, 0)
+
+
+@F.pandas_udf(LongType())
+def _ordered_bits(v: pd.Series) -> pd.Series:
+    """Doubles as whole numbers in the same order; both zeros are one value and NaN is the largest."""
+    x = v.to_numpy(np.float64) + 0.0
+    bits = np.where(np.isnan(x), np.nan, x).view(np.int64)
+    return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))
+
+
+@F.pandas_udf(DoubleType())
+def _from_bits(b: pd.Series) -> pd.Series:
+    bits = b.to_numpy(np.int64)
+    return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits).view(np.float64))
+
+
 def quantiles(
     df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), prefix: str = "q"
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, as columns ``q0, q1, ..``. Rows at the needed
-    ranks are picked out of a distributed sort, so no task holds the values of a group."""
-    present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__ord_v"))
-    ranked = ordinal(present, keys, ["__ord_v"], "__ord_r")
-    sized = with_stats(ranked, keys, F.count("*").alias("__ord_n"))
-    where = [((F.col("__ord_n") - 1) * p, j) for j, p in enumerate(probs)]
-    hit = None
-    for h, _ in where:
-        c = (F.col("__ord_r") == F.floor(h)) | (F.col("__ord_r") == F.ceil(h))
-        hit = c if hit is None else hit | c
+    """Exact linearly interpolated quantiles per group, as columns ``q0, q1, ..``, without a sort of the values.
+
+    Three rounds of counts: of the leading bits of the ordered doubles, then of the next bits of those classes that
+    hold a wanted rank, then of single values in those that still do. Counts add up on the map side, so a value that
+    most rows have is one row per task. What is put in order is a group's classes of one round.
+    """
+    src = cut(df.where(F.col(value).isNotNull()).select(*keys, _ordered_bits(F.col(value).cast("double")).alias("__v")))
+    ranks = lambda n: F.array_distinct(F.flatten(F.array(*[F.array(f((n - 1) * p)) for p in probs for f in (F.floor, F.ceil)])))
+    wanted, last = None, 64
+    for shift in SHIFTS:
+        rows = src.withColumn("__b", F.shiftright("__v", shift))
+        if wanted is None:
+            counts = rows.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
+        else:
+            rows = rows.withColumn("__c", F.shiftright("__v", last))
+            near = join_on(rows, wanted.withColumnRenamed("__b", "__c"), [*keys, "__c"], "inner")
+            counts = near.groupBy(*keys, "__c", "__b").agg(F.count("*").alias("__n"), F.first("__r").alias("__r"), F.first("__t").alias("__t"))
+        inside = Window.partitionBy(*(keys if wanted is None else [*keys, "__c"]), F.lit(0))
+        before = F.coalesce(F.sum("__n").over(inside.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.withColumn("__f", before)
+        if wanted is None:
+            counts = counts.withColumn("__t", F.sum("__n").over(inside))
+            counts = counts.withColumn("__r", F.transform(ranks(F.col("__t")), lambda r: F.struct(r.alias("rank"), r.alias("at"))))
+        held = F.filter("__r", lambda r: (r["at"] >= F.col("__f")) & (r["at"] < F.col("__f") + F.col("__n")))
+        wanted = counts.withColumn("__r", F.transform(held, lambda r: F.struct(r["rank"].alias("rank"), (r["at"] - F.col("__f")).alias("at"))))
+        wanted = wanted.where(F.size("__r") > 0).select(*keys, "__b", "__r", "__t")
+        last = shift
+    found = wanted.withColumn("__x", _from_bits("__b")).select(*keys, "__t", "__x", F.explode("__r.rank").alias("__r"))
     aggs = []
-    for h, j in where:
-        lo = F.max(F.when(F.col("__ord_r") == F.floor(h), F.col("__ord_v")))
-        hi = F.max(F.when(F.col("__ord_r") == F.ceil(h), F.col("__ord_v")))
-        part = F.max(h - F.floor(h))
-        aggs.append((lo + (hi - lo) * part).alias(f"{prefix}{j}"))
-    return sized.where(hit).groupBy(*keys).agg(*aggs)
+    for j, p in enumerate(probs):
+        h = (F.col("__t") - 1) * p
+        lo, hi = (F.max(F.when(F.col("__r") == f(h), F.col("__x"))) for f in (F.floor, F.ceil))
+        aggs.append((lo + (hi - lo) * F.max(h - F.floor(h))).alias(f"{prefix}{j}"))
+    return found.groupBy(*keys).agg(*aggs)
+
+
+def _order_values(coded: DataFrame, ranks: Callable[[int], list[int]]) -> tuple[int, dict[int, int]]:
+    """(Number of values, rank to ordered bits) of one column of ordered bits, by rounds of 16 bits: at most 65,536
+    counts a round and wanted class reach the driver."""
+    total, want = 0, {}
+    for shift in (48, 32, 16, 0):
+        rows = coded.withColumn("__b", F.shiftright("__v", shift))
+        if shift < 48:
+            rows = rows.where(F.shiftright("__v", shift + 16).isin(list(want)))
+        counts = sorted((r["__b"], r["count"]) for r in rows.groupBy("__b").count().collect())
+        if shift == 48:
+            total = sum(n for _, n in counts)
+            want = {None: [(r, r) for r in ranks(total)] if total else []}
+        found: dict[int, list[tuple[int, int]]] = {}
+        for outer, inner in want.items():
+            before = 0
+            for b, n in counts:
+                if outer is not None and b >> 16 != outer:
+                    continue
+                for rank, at in inner:
+                    if before <= at < before + n:
+                        found.setdefault(b, []).append((rank, at - before))
+                before += n
+        want = found
+        if not want:
+            break
+    return total, {rank: b for b, held in want.items() for rank, _ in held}
 
 
 def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[float]:
     """The same for the whole frame, as numbers for use in literals."""
-    row = quantiles(df, value, probs).first()
-    return [row[f"q{j}"] for j in range(len(probs))]
+    coded = cut(df.where(F.col(value).isNotNull()).select(_ordered_bits(F.col(value).cast("double")).alias("__v")))
+    places = lambda n: [(n - 1) * p for p in probs]
+    n, found = _order_values(coded, lambda n: sorted({f(h) for h in places(n) for f in (math.floor, math.ceil)}))
+    if not n:
+        return [None] * len(probs)
+    bits = np.asarray(list(found.values()), np.int64)
+    x = dict(zip(found, np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits).view(np.float64)))
+    return [float(x[math.floor(h)] + (x[math.ceil(h)] - x[math.floor(h)]) * (h - math.floor(h))) for h in places(n)]
 
 
 def with_quantiles(
