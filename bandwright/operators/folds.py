@@ -10,35 +10,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..session import cut
 from . import solvers as So
 from .moments import Gram, GramTable, each_gram, gram_table
 from .ordered import join_on, ordinal
 
 
-# Groups the greedy assignment accepts.
-MAX_GROUPS = 1_000_000
-
-
-def _attach(df: DataFrame, table: list[tuple], group: str) -> DataFrame:
-    kind = df.schema[group].dataType.simpleString()
-    small = df.sparkSession.createDataFrame(table, f"`{group}` {kind}, fold_id long")
-    return join_on(df, small, [group])
+def _deal(sizes: list[int], step: int, groups: int) -> list[int]:
+    """How many of ``groups`` equal groups of ``step`` rows each fold gets, when every one goes to the smallest fold
+    so far (lowest number first). A fold's groups come when its size is s, s + step, ..: the groups that are given
+    out are those of the smallest such sizes."""
+    below = lambda level: [max(0, -(-(level - s) // step)) for s in sizes]
+    lo, hi = min(sizes), max(sizes) + step * groups + 1
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if sum(below(mid)) <= groups else (lo, mid)
+    got = below(lo)
+    # The rest come at the size ``lo`` itself, by fold number.
+    left = groups - sum(got)
+    for f, s in enumerate(sizes):
+        if left and s <= lo and (lo - s) % step == 0:
+            got[f] += 1
+            left -= 1
+    return got
 
 
 def group_kfold(df: DataFrame, n: int = 5, group: str = "grp", seen: str = "id") -> DataFrame:
-    """Groups by size (largest first, then first seen) into the smallest fold so far (lowest number). The
-    assignment is sequential over group counts, so their number is checked."""
-    counts = df.groupBy(group).agg(F.count("*").alias("c"), F.min(seen).alias("s")).limit(MAX_GROUPS + 1).collect()
-    if len(counts) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups; number them by hash instead")
-    counts.sort(key=lambda r: (-r["c"], r["s"]))
-    sizes = [0] * min(n, len(counts))
-    table = []
-    for r in counts:
-        f = min(range(len(sizes)), key=lambda k: (sizes[k], k))
-        sizes[f] += r["c"]
-        table.append((r[group], f))
-    return _attach(df, table, group)
+    """Groups by size (largest first, then first seen) into the smallest fold so far (lowest number).
+
+    What reaches the driver is the number of groups of each size. The groups of one size are dealt in closed form:
+    the j-th one of fold f has the place in the class that counts the turns of all folds before it, and the k-th
+    group of the class, by ``seen``, takes the place k.
+    """
+    groups = cut(df.groupBy(group).agg(F.count("*").alias("__size"), F.min(seen).alias("__seen")))
+    classes = sorted(((r["__size"], r["count"]) for r in groups.groupBy("__size").count().collect()), reverse=True)
+    sizes = [0] * min(n, max(1, sum(m for _, m in classes)))
+    turns = []
+    for size, m in classes:
+        turns += [(size, f, sizes[f], got, list(sizes)) for f, got in enumerate(_deal(sizes, size, m)) if got]
+        for t in turns[-len(sizes):]:
+            if t[0] == size:
+                sizes[t[1]] += size * t[3]
+    table = df.sparkSession.createDataFrame(turns, "__size long, fold_id long, __from long, __got long, __all array<long>")
+    table = table.withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__got") - 1)))
+    gap = lambda s: F.col("__from") + F.col("__j") * F.col("__size") - s
+    # Turns of a fold g before this one: those at a smaller size, and one at the same size if g is a lower number.
+    turns_of = F.transform(
+        "__all", lambda s, g: F.when(gap(s) >= 0, F.ceil(gap(s) / F.col("__size")) + ((gap(s) % F.col("__size") == 0) & (g < F.col("fold_id"))).cast("long")).otherwise(F.lit(0).cast("long")),
+    )
+    table = table.select("__size", F.aggregate(turns_of, F.lit(0).cast("long"), lambda a, b: a + b).alias("__k"), "fold_id")
+    numbered = ordinal(groups, ["__size"], ["__seen"], "__k")
+    placed = numbered.join(table, ["__size", "__k"]).select(group, "fold_id")
+    return join_on(df, placed, [group])
 
 
 def leave_one_group(df: DataFrame, group: str = "grp") -> DataFrame:

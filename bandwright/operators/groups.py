@@ -494,17 +494,52 @@ def bucket_summary(df: DataFrame, keys: Sequence[str], pred: str, score: str, ch
     )
 
 
+# The draw of shares is exact below this many rows in a node of the tree; above it numpy has none, and a rounded
+# normal draw with the same mean and variance stands in, which differs by less than the noise of the repeats.
+EXACT_ROWS = 1_000_000_000
+
+
+def subset_share(before: np.ndarray, at: int, m: int, reps: int, seed: int) -> np.ndarray:
+    """Rows of part ``at`` in each of ``reps`` subsets of ``m`` rows; ``before`` holds the parts' cumulative sizes."""
+    lo, hi, node = 0, len(before) - 1, 1
+    share = np.full(reps, m, np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left, right = int(before[mid] - before[lo]), int(before[hi] - before[mid])
+        rng = np.random.default_rng([seed, node])
+        if left + right < EXACT_ROWS:
+            got = rng.hypergeometric(left, right, share)
+        else:
+            n = left + right
+            mean = share * (left / n)
+            sd = np.sqrt(np.maximum(mean * (right / n) * ((n - share) / (n - 1)), 0))
+            got = np.clip(np.rint(rng.normal(mean, sd)).astype(np.int64), np.maximum(0, share - right), np.minimum(share, left))
+        lo, hi, node, share = (lo, mid, 2 * node, got) if at < mid else (mid, hi, 2 * node + 1, share - got)
+    return share
+
+
+def subset_null_moments(df: DataFrame, value: str, marked: str) -> DataFrame:
+    """What the draws of ``subset_null`` tend to: mean and deviation of the mean of a random subset without replacement."""
+    v = F.col(value).cast("double")
+    sums = df.where(v.isNotNull()).agg(
+        F.avg(F.when(F.col(marked), v)).alias("observed"), F.avg(v).alias("null_mean"), F.var_samp(v).alias("s"), F.count("*").alias("n"), F.sum(F.col(marked).cast("bigint")).alias("m"),
+    )
+    sd = F.sqrt(F.col("s") / F.col("m") * (1 - F.col("m") / F.col("n")))
+    return sums.select("observed", "null_mean", sd.alias("null_sd"), ((F.col("observed") - F.col("null_mean")) / sd).alias("z"))
+
+
 def subset_null(df: DataFrame, value: str, marked: str, tie: str = "id", reps: int = 2000, seed: int = 42) -> DataFrame:
     """Mean over the marked rows against ``reps`` random subsets of the same size. How many rows of a subset lie in
-    each partition is a hypergeometric draw from the partitions' row counts, which every task repeats from the
-    seed; a task then draws its own share and returns one sum per repeat. Rows never leave their partition."""
+    a partition is found by halving the range of partitions: at each of log2(partitions) steps the share of the
+    left half is a hypergeometric draw, made from the seed and the place in the tree, so all tasks below agree.
+    A task then draws its own rows and returns one sum per repeat. Rows never leave their partition."""
     # Written, so that partitions hold the same rows when they are counted and when they are drawn from.
     base = cut(df.select(F.col(value).cast("double").alias("v"), F.col(marked).alias("m")).where("v IS NOT NULL"))
     counts = {r.p: r.n for r in base.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
     head = base.agg(F.count("*").alias("n"), F.sum(F.col("m").cast("bigint")).alias("m"), F.avg(F.when(F.col("m"), F.col("v"))).alias("observed")).first()
     m = head["m"] or 0
     parts = sorted(counts)
-    sizes = np.array([counts[p] for p in parts], dtype=np.int64)
+    before = np.concatenate([[0], np.cumsum([counts[p] for p in parts])]).astype(np.int64)
 
     def draw(batches):
         from pyspark import TaskContext
@@ -514,11 +549,11 @@ def subset_null(df: DataFrame, value: str, marked: str, tie: str = "id", reps: i
         if not held or p not in counts:
             return
         v = np.concatenate(held)
+        share = subset_share(before, parts.index(p), m, reps, seed)
         sums = np.empty(reps)
         for rep in range(reps):
-            share = np.random.default_rng([seed, rep]).multivariate_hypergeometric(sizes, m, method="marginals")[parts.index(p)]
             own = np.random.default_rng([seed, rep, p])
-            sums[rep] = v[own.choice(len(v), size=share, replace=False, shuffle=False)].sum()
+            sums[rep] = v[own.choice(len(v), size=share[rep], replace=False, shuffle=False)].sum()
         yield pd.DataFrame({"rep": np.arange(reps), "s": sums})
 
     means = base.mapInPandas(draw, "rep long, s double").groupBy("rep").agg((F.sum("s") / max(m, 1)).alias("m"))

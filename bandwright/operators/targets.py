@@ -53,25 +53,41 @@ class PowerTarget:
         return POWER_FAMILIES[self.family][1](t * self.sd + self.mean, self.lam)
 
 
-def best_lambda(df: DataFrame, y: str, family: str, lo: float = -2.0, hi: float = 4.0, rounds: int = 5) -> float:
-    """Likelihood on a grid of lambdas in one aggregate, narrowed around the best a few times."""
+def best_lambda(df: DataFrame, y: str, family: str, lo: float = -2.0, hi: float = 4.0, rounds: int = 5, reach: float = 512.0) -> float:
+    """The lambda of the highest likelihood: a grid in one aggregate per round. While the best one lies at an end of
+    the interval, the interval doubles beyond that end, up to ``reach``; then it narrows around the best."""
     forward = POWER_FAMILIES[family][0]
     c = F.col(y)
     jac = F.signum(c) * F.log1p(F.abs(c)) if family == "yeo_johnson" else F.log(c)
-    for _ in range(rounds):
+    narrowed = 0
+    while True:
         grid = np.linspace(lo, hi, 13)
         row = df.agg(
             F.count(y).alias("n"),
             F.sum(jac).alias("j"),
             *[F.var_pop(forward(c, float(v))).alias(f"v{k}") for k, v in enumerate(grid)],
         ).first()
-        like = [
-            -0.5 * row["n"] * math.log(max(row[f"v{k}"], 1e-300)) + (v - 1) * row["j"] for k, v in enumerate(grid)
-        ]
-        best = int(np.argmax(like))
+        like = [_likelihood(row["n"], row["j"], row[f"v{k}"], v) for k, v in enumerate(grid)]
+        best, width = int(np.argmax(like)), hi - lo
+        if not narrowed and best == 12 and hi < reach:
+            lo, hi = hi - width / 12, min(hi + 2 * width, reach)
+            continue
+        if not narrowed and best == 0 and lo > -reach:
+            lo, hi = max(lo - 2 * width, -reach), lo + width / 12
+            continue
+        narrowed += 1
+        # A wider interval takes more rounds to come down to the same step.
+        if narrowed >= rounds and width / 12 <= 6.0 / 12 / 6 ** (rounds - 1) * 1.001:
+            return float(grid[best])
         step = grid[1] - grid[0]
         lo, hi = grid[best] - step, grid[best] + step
-    return float(grid[best])
+
+
+def _likelihood(n: int, jacobian: float, variance: float | None, lam: float) -> float:
+    """Profile likelihood; a transform that overflows, or that leaves no spread, cannot be the best."""
+    if variance is None or not math.isfinite(variance) or variance <= 0:
+        return -math.inf
+    return -0.5 * n * math.log(variance) + (lam - 1) * jacobian
 
 
 def log_target(y: Column) -> Column:

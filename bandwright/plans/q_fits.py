@@ -435,7 +435,14 @@ def cv_1(spark, sf):
     return per.where("f = 1").agg(F.sum("c").alias("n"), F.count("*").alias("groups"))
 
 
-@query("CV-1-folds")
+@query(
+    "CV-1-folds",
+    f"""WITH RECURSIVE {SPECTRA_SQL}, c AS (SELECT grp, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, min(id)) AS rn FROM spectra GROUP BY grp),
+g AS (SELECT 0::BIGINT AS rn, NULL::BIGINT AS grp, NULL::BIGINT AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS sizes
+  UNION ALL SELECT c.rn, c.grp, list_position(sizes, list_min(sizes)) - 1, list_transform(sizes, lambda v, k: v + CASE WHEN k = list_position(sizes, list_min(sizes)) THEN c.c ELSE 0 END)
+  FROM g JOIN c ON c.rn = g.rn + 1)
+SELECT id, {i('fold', 'fold_id')} FROM spectra JOIN g USING (grp)""",
+)
 def cv_1_folds(spark, sf):
     return Cv.group_kfold(spectra(spark, sf), 5).select("id", "fold_id")
 

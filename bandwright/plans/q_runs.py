@@ -82,6 +82,26 @@ def src_3_groups(spark, sf):
     return spectra_csv.profile_groups(train(spark, sf), test(spark, sf))
 
 
+@query(
+    "SRC-3-profile",
+    f"""WITH {SPECTRA_SQL}, a AS (SELECT grp, count(*) AS n FROM spectra WHERE grp <= 6 GROUP BY grp), b AS (SELECT grp, count(*) AS n FROM spectra WHERE grp >= 5 GROUP BY grp)
+SELECT 'train_rows' AS measure, {i('sum(n)', 'n')}, NULL::DOUBLE AS value FROM a UNION ALL SELECT 'test_rows', sum(n), NULL FROM b
+UNION ALL SELECT 'train_columns', 68, NULL UNION ALL SELECT 'test_columns', 67, NULL UNION ALL SELECT 'wavelengths', 64, NULL
+UNION ALL SELECT 'wavelength_first', NULL, 10000 UNION ALL SELECT 'wavelength_last', NULL, 10000 - 25 * 63
+UNION ALL SELECT 'shared:樹' || a.grp, a.n + b.n, NULL FROM a JOIN b ON a.grp = b.grp""",
+)
+def src_3_profile(spark, sf):
+    """Two stored datasets with the groups 5 and 6 in both; the second has no target column."""
+    sides = []
+    for name, keep in (("train", F.col("grp") <= 6), ("test", F.col("grp") >= 5)):
+        path = scratch_path(spark, f"profile-{name}")
+        df = spectra(spark, sf).where(keep).withColumn("grp_no", F.col("grp")).withColumn("grp", F.concat(F.lit("樹"), F.col("grp").cast("string")))
+        spectra_csv.write_spectra(df if name == "train" else df.drop("y"), path, WAVELENGTHS)
+        sides.append((spectra_csv.read_spectra(spark, path), spectra_csv.raw_scan(spark, path).columns))
+    (train_, a), (test_, b) = sides
+    return spectra_csv.profile_dataset(train_, test_, a, b)
+
+
 @query("SRC-4", f"WITH {PAIR_SQL} SELECT id, {d('y_pred', 'pred')} FROM pair")
 def src_4(spark, sf):
     """A file with every id twice: the last line counts."""

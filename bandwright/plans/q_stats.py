@@ -110,9 +110,8 @@ def _one(spark, sf, name):
 
 @query(
     "JN-1",
-    f"""WITH {CAND_SQL}
-SELECT a.id, {d('b.pred - a.pred', 'diff')} FROM cand a JOIN cand b ON a.id = b.id
-WHERE a.candidate = 'same' AND b.candidate = 'both'""",
+    f"""WITH {PAIR_SQL}
+SELECT id, {d("(y_pred * 0.98::DOUBLE + 100) - y_pred", 'diff')} FROM pair""",
 )
 def jn_1(spark, sf):
     both = U.align(_one(spark, sf, "same"), _one(spark, sf, "both"))
@@ -778,6 +777,18 @@ def agg_30(spark, sf):
     return G.subset_null(df, "y_true", "marked")
 
 
+@query(
+    "AGG-30-exact",
+    f"""WITH {CAND_SQL}, w AS (SELECT id, any_value(y_true) AS v, any_value(anchor) >= 74000 AS m FROM cand GROUP BY id),
+s AS (SELECT avg(v) FILTER (m) AS observed, avg(v) AS null_mean, sqrt(var_samp(v) / count(*) FILTER (m) * (1 - count(*) FILTER (m) / count(*)::DOUBLE)) AS null_sd FROM w)
+SELECT {d('observed', 'observed', 4)}, {d('null_mean', 'null_mean', 4)}, {d('null_sd', 'null_sd', 4)}, {d('(observed - null_mean) / null_sd', 'z', 4)} FROM s""",
+    digits=4,
+)
+def agg_30_exact(spark, sf):
+    df = wide(spark, sf).withColumn("marked", F.col("anchor") >= 74000)
+    return G.subset_null_moments(df, "y_true", "marked")
+
+
 @query(
     "AGG-31",
     f"""WITH {CAND_SQL}, s AS (SELECT id, stddev_pop(pred) AS s FROM cand GROUP BY id)

@@ -109,3 +109,18 @@ def profile_groups(train: DataFrame, test: DataFrame, group: str = "grp") -> Dat
     names = train.sparkSession.createDataFrame([(n,) for n in ("train_groups", "test_groups", "shared_groups")], "s string")
     counts = sizes.groupBy("s").agg(F.count("*").alias("n"))
     return names.join(counts, "s", "left").select(F.col("s").alias("measure"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def profile_dataset(train: DataFrame, test: DataFrame, columns: Sequence[str], test_columns: Sequence[str], group: str = "grp") -> DataFrame:
+    """measure, n, value: rows and columns of both sides, the number of wavelength columns with the first and the last,
+    and the shared groups by name (one row each, with their rows on both sides)."""
+    bands = spectral_columns(columns)
+    spark = train.sparkSession
+    facts = [("train_columns", len(columns), None), ("test_columns", len(test_columns), None), ("wavelengths", len(bands), None), ("wavelength_first", None, float(bands[0])), ("wavelength_last", None, float(bands[-1]))]
+    out = spark.createDataFrame(facts, "measure string, n long, value double")
+    for side, df in (("train_rows", train), ("test_rows", test)):
+        out = out.unionByName(df.agg(F.count("*").alias("n")).select(F.lit(side).alias("measure"), "n", F.lit(None).cast("double").alias("value")))
+    sizes = lambda df, name: df.groupBy(group).agg(F.count("*").alias(name))
+    both = sizes(train, "a").join(sizes(test, "b"), group)
+    shared = both.select(F.concat(F.lit("shared:"), F.col(group).cast("string")).alias("measure"), (F.col("a") + F.col("b")).alias("n"), F.lit(None).cast("double").alias("value"))
+    return out.unionByName(shared)
