@@ -105,20 +105,27 @@ def running_sum(df: DataFrame, keys: Sequence[str], rank: str, value: str, name:
 SHIFTS = (44, 22, 0)
 
 
-@F.pandas_udf(LongType())
-def _ordered_bits(v: pd.Series) -> pd.Series:
-    """Doubles as whole numbers in the same order; both zeros are one value and NaN is the largest."""
+def _bits(v: pd.Series) -> pd.Series:
     x = v.to_numpy(np.float64) + 0.0
     bits = np.where(np.isnan(x), np.nan, x).view(np.int64)
     return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))
 
 
-@F.pandas_udf(DoubleType())
-def _from_bits(b: pd.Series) -> pd.Series:
+def _values(b: pd.Series) -> pd.Series:
     bits = b.to_numpy(np.int64)
     return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits).view(np.float64))
 
 
+# Made at each use: a function object of Spark's that has been used cannot travel with the package's code.
+def _ordered_bits(v: Column) -> Column:
+    """Doubles as whole numbers in the same order; both zeros are one value and NaN is the largest."""
+    return F.pandas_udf(_bits, LongType())(v)
+
+
+def _from_bits(b: Column) -> Column:
+    return F.pandas_udf(_values, DoubleType())(b)
+
+
 def quantiles(
     df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), prefix: str = "q"
 ) -> DataFrame:
@@ -149,7 +156,7 @@ def quantiles(
         wanted = counts.withColumn("__r", F.transform(held, lambda r: F.struct(r["rank"].alias("rank"), (r["at"] - F.col("__f")).alias("at"))))
         wanted = wanted.where(F.size("__r") > 0).select(*keys, "__b", "__r", "__t")
         last = shift
-    found = wanted.withColumn("__x", _from_bits("__b")).select(*keys, "__t", "__x", F.explode("__r.rank").alias("__r"))
+    found = wanted.withColumn("__x", _from_bits(F.col("__b"))).select(*keys, "__t", "__x", F.explode("__r.rank").alias("__r"))
     aggs = []
     for j, p in enumerate(probs):
         h = (F.col("__t") - 1) * p
@@ -193,8 +200,7 @@ def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[f
     n, found = _order_values(coded, lambda n: sorted({f(h) for h in places(n) for f in (math.floor, math.ceil)}))
     if not n:
         return [None] * len(probs)
-    bits = np.asarray(list(found.values()), np.int64)
-    x = dict(zip(found, np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits).view(np.float64)))
+    x = dict(zip(found, _values(pd.Series(list(found.values()), dtype=np.int64))))
     return [float(x[math.floor(h)] + (x[math.ceil(h)] - x[math.floor(h)]) * (h - math.floor(h))) for h in places(n)]
 
 

@@ -56,3 +56,13 @@ def test_whole_numbers_and_no_sort(spark, table):
     assert quantile_values(ints, "v", [0.25, 0.5]) == [expected(np.arange(100) % 10, 0.25), 4.5]
     plan = quantiles(table[0], "v", [0.5], ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan
+
+
+def test_the_package_still_travels_after_a_quantile(table):
+    """Models are sent to executors with this package's modules, whatever ran before."""
+    from pyspark import cloudpickle
+
+    from bandwright.operators import fits
+
+    quantile_values(table[0], "v", [0.5])
+    assert cloudpickle.dumps(lambda g: fits.So.one_band(g))
