@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_column
+from .common import slices, text_column
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -59,21 +59,24 @@ class OpenBins:
 
 
 class Encoder:
-    """Ids of a byte-level BPE, from its file of ranks, as little-endian 32-bit bytes. Strings of special tokens in
-    a text are ordinary text."""
+    """Ids of a byte-level BPE, from its file of ranks, as little-endian 32-bit bytes. The string of a special token
+    in a text is that token, as the vocabulary's own tokenizer reads it by default."""
 
     # Fixed value: the pre-token pattern that belongs to the vocabulary.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+    # Fixed value: the special token of the vocabulary.
+    SPECIAL = {"<|endoftext|>": 50256}
+
     def __init__(self, path: str) -> None:
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=self.SPECIAL)
 
     def __call__(self, text: str) -> bytes:
-        ids = array("I", self.encoding.encode_ordinary(text))
+        ids = array("I", self.encoding.encode(text, allowed_special="all"))
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
@@ -87,7 +90,7 @@ def pieces(tokens: int, size: int) -> list[tuple[int, int]]:
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, open_bins: int = 16_384, end_id: int = 2) -> DataFrame:
     """One row per piece of every document: ``SCHEMA``. A null text is empty and becomes the end id alone.
-    ``tokenizer_path`` names a file of ranks. Longer documents are cut, others stay whole; repeated rows and ids are packed like any other. An empty
+    ``tokenizer_path`` names a file of ranks. The string of a special token in a text is one id. Longer documents are cut, others stay whole; repeated rows and ids are packed like any other. An empty
     table gives no rows. Other columns are not read.
     """
     end = end_id.to_bytes(4, "little")
@@ -97,11 +100,12 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, open_bins: int
         task = TaskContext.get()
         bins = OpenBins(size, open_bins, (task.partitionId() if task else 0) << 36)
         for batch in batches:
-            ids, todo = batch.column(0).to_pylist(), []
-            for doc, text in zip(ids, batch.column(1).to_pylist()):
-                row = encoder(text) + end
-                for k, (start, length) in enumerate(pieces(len(row) // 4, size)):
-                    todo.append((length, doc, k, start, zlib.crc32(row[4 * start : 4 * (start + length)])))
+            todo = []
+            for part in slices([batch]):
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    row = encoder(text) + end
+                    for k, (start, length) in enumerate(pieces(len(row) // 4, size)):
+                        todo.append((length, doc, k, start, zlib.crc32(row[4 * start : 4 * (start + length)])))
             todo.sort(key=lambda x: -x[0])
             put = [bins.put(x[0]) for x in todo]
             if todo:

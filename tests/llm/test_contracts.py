@@ -119,9 +119,7 @@ def whole_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_ranks_give_the_tokenizers_ids():
@@ -135,6 +133,11 @@ def test_ranks_give_the_tokenizers_ids():
     assert [struct.pack(f"<{len(i)}I", *i) for i in (plain.encode(c, add_special_tokens=False).ids for c in cases)] == [ranks(c) for c in cases]
 
 
+def test_a_special_token_in_a_text_is_one_id():
+    ids = packing.Encoder(queries.tokenizer_path())("a <|endoftext|> b")
+    assert struct.unpack("<4I", ids) == (64, 220, 50256, 275)
+
+
 def test_packing(docs):
     path = queries.tokenizer_path()
     plain = whole_tokenizer()
