@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -268,22 +268,23 @@ def event_features(x: Column, n: int) -> Column:
     )
 
 
+# Segments as (first, end) quarters of the axis, and what is added to both sides of a ratio.
+CONTRAST_QUARTERS = ((0, 1), (1, 2), (2, 3), (3, 4), (0, 2), (2, 4))
+CONTRAST_OFFSET = 1e-6
+
+
 def contrast_features(x: Column, n: int) -> Column:
-    """Means of four quarters and two halves, with all pairwise differences and ratios."""
-    spans = [
-        (0, n // 4), (n // 4, n // 2), (n // 2, 3 * n // 4), (3 * n // 4, n), (0, n // 2), (n // 2, n),
-    ]
-    spans = [(s, e) for s, e in spans if e > s]
+    """Segment means, then difference and ratio of each mean with every later one."""
+    bounds = [(n * first // 4, n * end // 4) for first, end in CONTRAST_QUARTERS]
+    segments = F.array(*[F.struct(F.lit(first + 1).alias("at"), F.lit(end - first).alias("size")) for first, end in bounds if end > first])
+    means = F.transform(segments, lambda s: A.mean(F.slice(x, s["at"], s["size"])))
 
-    def row(m: Column) -> Column:
-        at = [F.get(m, F.lit(k)) for k in range(len(spans))]
-        pairs = []
-        for a in range(len(spans)):
-            for b in range(a + 1, len(spans)):
-                pairs += [at[a] - at[b], (at[a] + 1e-6) / (at[b] + 1e-6)]
-        return F.concat(m, F.array(*pairs))
+    def against_later(m: Column) -> Column:
+        later = lambda place: F.slice(m, place + 2, F.size(m))
+        pair = lambda a, b: F.array(a - b, (a + CONTRAST_OFFSET) / (b + CONTRAST_OFFSET))
+        return F.flatten(F.flatten(F.transform(m, lambda a, place: F.transform(later(place), lambda b: pair(a, b)))))
 
-    return A.let(A.let(x, lambda r: F.array(*[A.mean(A.band_interval(r, s, e)) for s, e in spans])), row)
+    return A.let(means, lambda m: F.concat(m, against_later(m)))
 
 
 def segment_features(x: Column, n: int) -> Column:
@@ -337,37 +338,51 @@ SEARCH_VIEWS = (
 )
 
 
-# Views used by name in the searches. Views that need a reference spectrum take ``reference``.
+def _snv(x: Column) -> Column:
+    return A.snv(x, ddof=0, zero="one")
+
+
+def _smooth(x: Column, width: int) -> Column:
+    return A.moving_average(x, width, edge="replicate")
+
+
+def _corrected(x: Column, width: int, reference: Sequence[float] | None) -> Column:
+    """Smoothed spectrum brought onto the mean smoothed spectrum of the fit rows."""
+    if reference is None:
+        raise ValueError("a scatter-corrected view needs the mean smoothed spectrum of the fit rows")
+    return A.scatter_correct(A.savgol(x, width), A.doubles(reference), tiny=1.0)
+
+
+# Views used by name in the searches, from a spectrum and, where one is needed, a reference spectrum.
+VIEWS: dict[str, Callable[[Column, Sequence[float] | None], Column]] = {
+    "raw": lambda x, _: x,
+    "center": lambda x, _: A.centre(x),
+    "snv": lambda x, _: _snv(x),
+    "detrend_snv": lambda x, _: A.detrend(_snv(x)),
+    "smooth5": lambda x, _: _smooth(x, 5),
+    "smooth11": lambda x, _: _smooth(x, 11),
+    "diff1": lambda x, _: A.difference(x, 1),
+    "diff2": lambda x, _: A.difference(x, 2),
+    "snv_diff1": lambda x, _: A.difference(_snv(x), 1),
+    "snv_diff2": lambda x, _: A.difference(_snv(x), 2),
+    "smooth5_diff1": lambda x, _: A.difference(_smooth(x, 5), 1),
+    "sg7_snv": lambda x, _: _sg_snv(x, 7),
+    "sg9_snv": lambda x, _: _sg_snv(x, 9),
+    "sg11_snv": lambda x, _: _sg_snv(x, 11),
+    "sg9_snv_d1": lambda x, _: A.savgol(_snv(x), 11, 2, 1),
+    "sg9_snv_d2": lambda x, _: A.savgol(_snv(x), 11, 2, 2),
+    "sg9_snv_stack_d1": lambda x, _: F.concat(_sg_snv(x, 9), A.savgol(_snv(x), 11, 2, 1)),
+    "sg9_snv_stack_d2": lambda x, _: F.concat(_sg_snv(x, 9), A.savgol(_snv(x), 11, 2, 2)),
+    "msc_sg7": lambda x, reference: _corrected(x, 7, reference),
+    "msc_sg9": lambda x, reference: _corrected(x, 9, reference),
+    "msc_sg11": lambda x, reference: _corrected(x, 11, reference),
+}
+
+
 def view(x: Column, name: str, reference: Sequence[float] | None = None) -> Column:
-    snv0 = A.snv(x, ddof=0, zero="one")
-    if name == "raw":
-        return x
-    if name == "snv":
-        return snv0
-    if name in ("sg7_snv", "sg9_snv", "sg11_snv"):
-        return _sg_snv(x, int(name[2:].split("_")[0]))
-    if name == "detrend_snv":
-        return A.detrend(snv0)
-    if name == "sg9_snv_d1":
-        return A.savgol(snv0, 11, 2, 1)
-    if name == "sg9_snv_d2":
-        return A.savgol(snv0, 11, 2, 2)
-    if name in ("sg9_snv_stack_d1", "sg9_snv_stack_d2"):
-        return F.concat(_sg_snv(x, 9), A.savgol(snv0, 11, 2, int(name[-1])))
-    if name in ("msc_sg7", "msc_sg9", "msc_sg11"):
-        if reference is None:
-            raise ValueError(f"{name} needs the mean smoothed spectrum of the fit rows")
-        return A.scatter_correct(A.savgol(x, int(name[6:])), A.doubles(reference), tiny=1.0)
-    if name == "center":
-        return A.centre(x)
-    if name in ("diff1", "diff2", "snv_diff1", "snv_diff2", "smooth5_diff1"):
-        base = {"s": snv0 if name.startswith("snv") else A.moving_average(x, 5, edge="replicate"), "d": x}
-        return A.difference(base[name[0]], int(name[-1]))
-    if name == "smooth5":
-        return A.moving_average(x, 5, edge="replicate")
-    if name == "smooth11":
-        return A.moving_average(x, 11, edge="replicate")
-    raise ValueError(f"unknown view {name}")
+    if name not in VIEWS:
+        raise ValueError(f"unknown view {name}")
+    return VIEWS[name](x, reference)
 
 
 def feature_set(x: Column, n: int, name: str, reference: Sequence[float] | None = None) -> Column:
