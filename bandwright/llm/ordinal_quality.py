@@ -131,7 +131,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, l1: float = 2.0, rounds: int
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Model:
     """A model from at most ``fit_rows`` labelled documents. Rows of labels without an id or both ratings are not
-    used; a missing rating counts as fine. Of several labels of one id the lowest grade counts."""
+    used; a missing rating counts as fine. Of several labels of one id the lowest grade counts; of several rows of
+    one id in ``docs`` the one whose text has the smallest hash."""
     toxic, good = F.coalesce(F.col("toxic").cast("int"), F.lit(0)) == 1, F.coalesce(F.col("quality").cast("int"), F.lit(1)) == 1
     rated = labels.where("doc_id IS NOT NULL AND (toxic IS NOT NULL OR quality IS NOT NULL)")
     rated = rated.select(F.col("doc_id").alias("rated_id"), F.when(toxic, 0).when(good, 2).otherwise(1).alias("grade"))
@@ -143,10 +144,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Model:
         slots = _Slots()
         for batch in slices(batches):
             found = [features(t or b"", slots) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("rated_id"), pa.array(found, pa.list_(pa.int32()))], names=["grade", "id", "items"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("grade", "rated_id", "h")), pa.array(found, pa.list_(pa.int32()))], names=["grade", "id", "h", "items"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.select("grade", F.col("rated_id").cast(kind).alias("rated_id"), "text").mapInArrow(run, f"grade int, id {kind}, items array<int>").toArrow()
+    read = rows.select("grade", F.col("rated_id").cast(kind).alias("rated_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"grade int, id {kind}, h long, items array<int>")
+    got = read.groupBy("id").agg(F.min(F.struct("h", "grade", "items")).alias("one")).select("one.grade", "id", "one.items").toArrow()
     got = got.sort_by("id").combine_chunks()
     grades = got.column("grade").to_numpy().astype(np.int64)
     items = got.column("items")

@@ -36,7 +36,7 @@ def shard(docs: DataFrame, shards: int = 40, grain: int = 256, overhead: int = 1
 
     A null text is the empty text. Rows with the same doc_id, or with none, are placed like any other; equal
     rows share their text's shard and get slots of their own. A group larger than a fair share fills a shard
-    by itself. An empty table gives no rows. Other columns are not read.
+    by itself. Slots are gapless; which row has which may differ between runs. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     body = text_column()
@@ -45,7 +45,7 @@ def shard(docs: DataFrame, shards: int = 40, grain: int = 256, overhead: int = 1
         docs.select(
             "doc_id", (F.octet_length(body) + overhead).cast("long").alias("size"),
             F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.md5(body).alias("grp"),
-        ).withColumn("bundle", F.pmod(F.xxhash64("grp"), F.lit(shards * grain)))
+        ).withColumns({"bundle": F.pmod(F.xxhash64("grp"), F.lit(shards * grain)), "no": F.monotonically_increasing_id()})
     )
     held = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
     least = max(1, (held.bytes or 0) // (shards * grain))
@@ -67,10 +67,11 @@ def shard(docs: DataFrame, shards: int = 40, grain: int = 256, overhead: int = 1
 
 def _slots(put: DataFrame, shards: int, n: int) -> DataFrame:
     """Gapless numbers per shard: rows are numbered inside buckets of a bounded size, then moved by the counts
-    of the buckets before. No task sees a whole shard."""
+    of the buckets before. Rows are dealt into buckets by their written number, so neither a shard nor the rows of
+    one id, or without any, meet in one task."""
     buckets = 16 + n // (shards * SLOT_ROWS)
-    put = put.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32")
+    put = put.withColumn("part", F.pmod(F.xxhash64("no"), F.lit(buckets)))
+    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "no")
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = put.groupBy("shard", "part").agg(F.count("*").alias("c"))
     starts = counts.select("shard", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))

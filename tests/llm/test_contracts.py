@@ -276,6 +276,29 @@ def test_sharding(docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_shards_of_rows_without_ids_are_even_and_gapless(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(None if i % 3 else 5, "word " * rng.randrange(1, 60) + str(i)) for i in range(4000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), shards=8, grain=64).collect()
+    load, slots = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(load) == 8 and max(load.values()) - min(load.values()) < 0.02 * sum(load.values()) / 8
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_classifier_reads_one_row_of_an_id(spark):
+    """Repeats of a labelled id with other texts change neither the number of rows nor the model."""
+    rows = [(i, "bad spam words" if i % 2 else "fine clean prose") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    once = ordinal_quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    many = ordinal_quality.train(spark.createDataFrame(rows * 4, "doc_id long, text string").repartition(5), labels)
+    assert (once.weights == many.weights).all() and once.thresholds == many.thresholds
+
+
 def test_schedule_is_longest_first():
     assert sharding.schedule([(1, 5), (2, 5), (3, 4), (4, 3), (5, 3)], 2) == {1: 0, 2: 1, 3: 0, 4: 1, 5: 1}
 
