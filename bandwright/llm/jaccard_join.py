@@ -33,7 +33,9 @@ def _set(text: bytes | None, k: int, hashes: WordHashes) -> np.ndarray:
 
 
 def _bytes(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
+    """Id, text, and a hash of both: rows of one id with different texts are told apart by it."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
+    return rows.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
 def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +93,7 @@ def prefix(items: np.ndarray, common: tuple[np.ndarray, np.ndarray], length: int
 
 
 def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``doc_id, n, f1, f2, keys``: size, fingerprint and first tokens of every row."""
+    """``doc_id, row, n, f1, f2, keys``: size, fingerprint and first tokens of every row."""
     common = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,16 +103,16 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             f1, f2 = zip(*map(fingerprint, sets)) if sets else ((), ())
             keys = [prefix(s, common.value, 2 * needed(len(s), num, den)).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "f1", "f2", "keys"],
+                [batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "row", "n", "f1", "f2", "keys"],
             )
 
-    return cut(_bytes(docs).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>"))
+    return cut(_bytes(docs).mapInArrow(run, "doc_id long, row long, n long, f1 long, f2 long, keys array<long>"))
 
 
 def _shared_keys(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``key, id, n, pos``: those of the first p tokens that occur twice or more, of sets with enough shared ones
-    among their first 2p. Equal sets are one, by their smallest id."""
+    """``key, id, doc, n, pos``: those of the first p tokens that occur twice or more, of sets with enough shared
+    ones among their first 2p. Equal sets are one: ``id`` is the hash of the row with their smallest doc_id, ``doc``."""
     twice = cut(sets.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"))
     held = sets.sparkSession.sparkContext.broadcast(bitmap(twice, "key"))
 
@@ -128,28 +130,27 @@ def _shared_keys(sets: DataFrame, num: int, den: int) -> DataFrame:
             take = np.flatnonzero(hit & (enough[owner]) & (pos < p[owner]))
             rows = pa.array(owner[take])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[take], pa.int64()), *(batch.column(c).take(rows) for c in ("doc_id", "n", "f1", "f2")), pa.array(pos[take], pa.int64())],
-                names=["key", "doc_id", "n", "f1", "f2", "pos"],
+                [pa.array(flat[take], pa.int64()), *(batch.column(c).take(rows) for c in ("doc_id", "row", "n", "f1", "f2")), pa.array(pos[take], pa.int64())],
+                names=["key", "doc_id", "row", "n", "f1", "f2", "pos"],
             )
 
-    rows = sets.mapInArrow(run, "key long, doc_id long, n long, f1 long, f2 long, pos long")
-    one = rows.groupBy("key", "f1", "f2").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("pos").alias("pos"))
-    return cut(one.where("id IS NOT NULL").select("key", "id", "n", "pos"))
+    rows = sets.where("doc_id IS NOT NULL").mapInArrow(run, "key long, doc_id long, row long, n long, f1 long, f2 long, pos long")
+    one = rows.groupBy("key", "f1", "f2").agg(F.min(F.struct("doc_id", "row")).alias("of"), F.min("n").alias("n"), F.min("pos").alias("pos"))
+    return cut(one.select("key", F.col("of.row").alias("id"), F.col("of.doc_id").alias("doc"), "n", "pos"))
 
 
 def _items(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, items`` of the wanted documents, and of a few others: texts stay where they are, a bitmap of the
-    ids picks the rows. Items are the compressed words, smaller than their hashes."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("id").alias("h")), "h"))
+    """``id, items`` of the wanted rows, and of a few others: texts stay where they are, a bitmap of the ids
+    picks the rows. Items are the compressed words, smaller than their hashes."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            own = batch.take(pa.array(np.flatnonzero(in_bitmap(held.value, batch.column("h").to_numpy(zero_copy_only=False)))))
+            own = batch.take(pa.array(np.flatnonzero(in_bitmap(held.value, batch.column("row").to_numpy(zero_copy_only=False)))))
             items = [zlib.compress(t or b"") for t in own.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(items, pa.binary())], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([own.column("row"), pa.array(items, pa.binary())], names=["id", "items"])
 
-    rows = _bytes(docs).where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id"))
-    return rows.mapInArrow(run, "id long, items binary")
+    return _bytes(docs).where("doc_id IS NOT NULL").mapInArrow(run, "id long, items binary")
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -157,16 +158,32 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     (Jaccard similarity of at least ``num / den``).
 
     Words are runs without white space, A-Z lower-cased. Fewer than ``k`` words are one shingle. A null or empty
-    text has an empty set and links with nothing. Rows that repeat a doc_id are one node of the graph; rows
-    without one have no component. Equal texts link by their equal sets. Columns other than doc_id and text
-    are not read.
+    text has an empty set and links with nothing. Rows that repeat a doc_id are one node of the graph, which all
+    their texts link; rows without one have no component. Equal texts link by their equal sets. Columns other than
+    doc_id and text are not read.
     """
     sets = _sets(docs, k, num, den)
-    edges = linking.links(_shared_keys(sets, num, den), lambda ids: _items(docs, ids), lambda b, seen=WordHashes(): _set(zlib.decompress(b), k, seen), num, den)
-    groups = linking.components(edges)
+    keys = _shared_keys(sets, num, den)
+    found = linking.links(keys.drop("doc"), lambda ids: _items(docs, ids), lambda b, seen=WordHashes(): _set(zlib.decompress(b), k, seen), num, den)
     # Copies: the smallest id of each set, then the component of that id.
     least = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
     known = sets.select("doc_id", "n", "f1", "f2").join(least, ["f1", "f2"], "left")
-    known = known.withColumn("least", F.when(F.col("n") > 0, F.coalesce("least", "doc_id")))
+    known = known.withColumn("least", F.when(F.expr("n > 0 AND doc_id IS NOT NULL"), F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")))
+    groups = linking.components(_by_document(found, keys).union(_of_repeated_ids(sets, known)))
     out = known.join(groups, known.least == groups.id, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "least", "doc_id").alias("component_id"))
+
+
+def _by_document(edges: DataFrame, keys: DataFrame) -> DataFrame:
+    """Edges between sets as edges between their smallest doc_ids."""
+    doc = cut(keys.select("id", "doc").distinct())
+    for end in ("a", "b"):
+        edges = edges.join(doc.select(F.col("id").alias(end), F.col("doc").alias(f"{end}_doc")), end)
+    return edges.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
+
+
+def _of_repeated_ids(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges from ids that have several sets to the smallest doc_id of each."""
+    f = F.struct("f1", "f2")
+    several = sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(f).alias("lo"), F.max(f).alias("hi")).where("lo <> hi").select("doc_id")
+    return known.join(several, "doc_id", "left_semi").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()

@@ -9,8 +9,8 @@ not link to its leader is compared further.
 
 Inside a comparison of blocks the sets are held once and each set's overlaps with all others are counted by
 index lists; where a set is highly similar to the one before, its counts are derived from those by the lists of
-the tokens in which the two differ. Lists are read whole; of the counts only those of sets whose size can reach
-the similarity are looked at.
+the tokens in which the two differ. Sets are in order of size, so a list is entered at the first set that is
+large enough for the similarity; what stands before that place is skipped, and stays so for all later sets.
 """
 
 from __future__ import annotations
@@ -30,6 +30,50 @@ def similar(common: int, a: int, b: int, num: int, den: int) -> bool:
     return den * common >= num * (a + b - common)
 
 
+class Lists:
+    """Index lists of tokens over sets in order of size: the places of a token are the numbers of its sets, rising.
+
+    ``place`` joins token and set in one rising number, so the part of a list from a given set on is found by a
+    search; blocks of ``BLOCK`` places are told apart first by their last numbers. ``read`` and ``skipped`` count
+    the places of the asked lists that were and were not looked at.
+    """
+
+    BLOCK = 64
+
+    def __init__(self, token: np.ndarray, owner: np.ndarray, tokens: int, sets: int):
+        by_token = np.argsort(token, kind="stable")
+        self.sets = sets
+        self.owner = owner[by_token]
+        self.place = token[by_token] * sets + self.owner
+        self.first = np.searchsorted(token[by_token], np.arange(tokens + 1))
+        self.last = self.place[self.BLOCK - 1 :: self.BLOCK]
+        self.read = self.skipped = 0
+
+    def entry(self, tokens: np.ndarray, low: int) -> np.ndarray:
+        """First place of each list whose set is ``low`` or later."""
+        if not low:
+            return self.first[tokens]
+        wanted = tokens * self.sets + low
+        at = np.searchsorted(self.last, wanted) * self.BLOCK
+        for step in (32, 16, 8, 4, 2, 1):
+            end = at + step
+            behind = self.place[np.minimum(end, len(self.place)) - 1] < wanted
+            at = np.where(behind & (end <= len(self.place)), end, at)
+        return at
+
+    def counted(self, tokens: np.ndarray, low: int) -> np.ndarray:
+        """How many of the tokens each set from ``low`` on holds; smaller numbers mean nothing."""
+        start = self.entry(tokens, low)
+        n = self.first[tokens + 1] - start
+        total = int(n.sum())
+        self.read += total
+        self.skipped += int((start - self.first[tokens]).sum())
+        if not total:
+            return np.zeros(self.sets, np.int64)
+        at = np.repeat(start - np.concatenate(([0], n.cumsum()[:-1])), n) + np.arange(total)
+        return np.bincount(self.owner[at], minlength=self.sets)
+
+
 def link_sets(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges of a forest that connects all linked sets. Pairs within a side are left out where there are two
     sides, and those of two ``joined`` sets, which are connected already. Sets hold distinct 64-bit values."""
@@ -43,21 +87,10 @@ def link_sets(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int, joi
     _, token, held = np.unique(token, return_inverse=True, return_counts=True)
     keep = held[token] > 1
     token, owner = token[keep], owner[keep]
-    by_token = np.argsort(token, kind="stable")
-    lists = owner[by_token]
-    first = np.searchsorted(token[by_token], np.arange(len(held) + 1))
+    lists = Lists(token, owner, len(held), m)
     bounds = np.searchsorted(owner, np.arange(m + 1))
     mine = [np.sort(token[bounds[y] : bounds[y + 1]]) for y in range(m)]
 
-    def counted(tokens: np.ndarray) -> np.ndarray:
-        """How many of the tokens each set holds."""
-        n = first[tokens + 1] - first[tokens]
-        total = int(n.sum())
-        if not total:
-            return np.zeros(m, np.int64)
-        at = np.repeat(first[tokens] - np.concatenate(([0], n.cumsum()[:-1])), n) + np.arange(total)
-        return np.bincount(lists[at], minlength=m)
-
     up = list(range(m))
     done = np.zeros(m, bool) if joined is None else joined[order]
     if done.any():
@@ -79,9 +112,10 @@ def link_sets(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int, joi
             continue
         gone, new = np.setdiff1d(before, mine[y], True), np.setdiff1d(mine[y], before, True)
         if len(gone) + len(new) < len(mine[y]):
-            counts = counts - counted(gone) + counted(new)
+            # The bound never falls, so what was skipped for a set before is not asked for again.
+            counts = counts - lists.counted(gone, low) + lists.counted(new, low)
         else:
-            counts = counted(mine[y])
+            counts = lists.counted(mine[y], low)
         before = mine[y]
         common = counts[low:y]
         hit = den * common >= num * (sizes[low:y] + sizes[y] - common)
