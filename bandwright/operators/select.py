@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions import arrays as A
+from ..session import scratch_path
 from . import moments as M
 from .ordered import half_even, join_on, ordinal, with_stats
 
@@ -149,42 +153,137 @@ def top_overlap(df: DataFrame, a: str, b: str, tie: str, n: int) -> DataFrame:
     return both.agg((F.count("*") / F.lit(n)).alias("overlap"))
 
 
-def farthest_points(df: DataFrame, k: int, x: str = "x", tie: str = "id", y: str | None = None, x_weight: float = 1.0) -> list:
-    """First k ids of the max-min order, starting from the row farthest from the centroid (ties: low
-    id). Every step is one pass that keeps only its best row; k points live on the driver."""
-    base = df.select(tie, F.col(x).alias("__x"), *([F.col(y).alias("__y")] if y else []))
+# Cells of the rows in a max-min order; their pivots, best rows and point numbers are what the driver holds.
+CELLS = 64
+
+
+def _distances(x: np.ndarray, y: np.ndarray, point: tuple, scale: float, y_scale: float, x_weight: float) -> np.ndarray:
+    """Distance of every row to one point; with a target part where ``x_weight`` is below 1."""
+    d = np.sqrt(((x - point[0]) ** 2).sum(1)) / scale
+    return d if x_weight == 1.0 else d * x_weight + np.abs(y - point[1]) / y_scale * (1 - x_weight)
+
+
+def _by_cells(base: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """The rows with the number of the nearest pivot, written in a folder per cell, and the pivots. Ranges of
+    (cell, hash) are written, so a cell with most rows is many files."""
+    held = base.orderBy(F.xxhash64("__t"), "__t").limit(CELLS).select("__x").collect()
+    pivots = np.unique(np.array([r["__x"] for r in held], float), axis=0)
+    shared = base.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = M.spectra_matrix(b.column("__x"))
+                near = np.stack([((x - p) ** 2).sum(1) for p in shared.value], 1).argmin(1)
+                yield b.append_column("cell", pa.array(near.astype(np.int32)))
+
+    placed = base.mapInArrow(run, StructType([*base.schema.fields, StructField("cell", IntegerType())]))
+    path = scratch_path(base.sparkSession, "cells")
+    placed.repartitionByRange("cell", F.xxhash64("__t")).write.partitionBy("cell").parquet(path)
+    return base.sparkSession.read.schema(placed.schema).parquet(path), pivots
+
+
+def _best_of_cells(table: DataFrame, cells: list[int], state: dict) -> dict[int, dict]:
+    """The row of each asked cell with the largest smallest distance to the cell's points (ties: low id), and the
+    cell's radius around its pivot. One row per task and cell leaves the tasks."""
+    shared = table.sparkSession.sparkContext.broadcast(state)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, dict] = {}
+        kind = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kind, now = b.column("__t").type, shared.value
+            of = b.column("cell").to_numpy()
+            for c in np.unique(of).tolist():
+                part = b.take(pa.array(np.flatnonzero(of == c)))
+                x, y = M.spectra_matrix(part.column("__x")), part.column("__y").to_numpy(zero_copy_only=False).astype(float)
+                score = np.full(len(x), np.inf)
+                for i in now["of"][c]:
+                    score = np.minimum(score, _distances(x, y, now["points"][i], *now["scales"]))
+                out = pc.is_in(part.column("__t"), value_set=pa.array(now["taken"], kind)).to_numpy(zero_copy_only=False)
+                score = np.where(out | np.isnan(score), -1.0, score)
+                at = np.flatnonzero(score == score.max())
+                ids = part.column("__t").take(pa.array(at))
+                i = int(at[pc.index(ids, pc.min(ids)).as_py()])
+                row = {"cell": c, "s": float(score[i]), "t": part.column("__t")[i].as_py(), "x": x[i].tolist(), "y": float(y[i])}
+                row["r"] = float(np.sqrt(((x - now["pivots"][c]) ** 2).sum(1)).max())
+                if c in best:
+                    r = max(row["r"], best[c]["r"])
+                    row = min(row, best[c], key=lambda v: (-v["s"], v["t"])) | {"r": r}
+                best[c] = row
+        if best:
+            kinds = [("cell", pa.int32()), ("s", pa.float64()), ("t", kind), ("x", pa.list_(pa.float64())), ("y", pa.float64()), ("r", pa.float64())]
+            yield pa.RecordBatch.from_pylist(list(best.values()), schema=pa.schema(kinds))
+
+    ddl = f"cell int, s double, t {table.schema['__t'].dataType.simpleString()}, x array<double>, y double, r double"
+    found = table.where(F.col("cell").isin(cells)).mapInArrow(run, ddl)
+    row = F.struct("s", "t", "x", "y")
+    top = found.groupBy("cell").agg(F.min_by(row, F.struct((-F.col("s")).alias("s"), "t")).alias("b"), F.max("r").alias("r"))
+    return {r["cell"]: r["b"].asDict() | {"r": r["r"]} for r in top.collect()}
+
+
+def farthest_points(
+    df: DataFrame, k: int, x: str = "x", tie: str = "id", y: str | None = None, x_weight: float = 1.0, read: list | None = None
+) -> list:
+    """First k ids of the max-min order, starting from the row farthest from the centroid (ties: low id). Rows
+    without a vector, or without a target where it counts, are not chosen; rows that repeat an id are taken together.
+
+    Rows are written once by cell. A cell's best row stays its best until a new point comes closer to it than its
+    distance, as the distances of all other rows only fall; till it is looked at again its old distance is an upper
+    bound. So a step reads only cells with an outdated best row whose bound reaches the best of the others, and of
+    the points a cell is compared with those near enough to matter (triangle inequality). ``read`` gets the cells
+    read for each point.
+    """
+    mixed = bool(y) and x_weight < 0.999
+    target = F.col(y) if y else F.lit(None)
+    base = df.where(F.col(x).isNotNull()).select(F.col(tie).alias("__t"), F.col(x).alias("__x"), target.cast("double").alias("__y"))
     centre = M.mean_spectrum(base.select(F.col("__x").alias("x")))
-
-    def dist(point) -> Column:
-        sq = F.zip_with("__x", A.doubles(point["__x"]), lambda p, q: (p - q) * (p - q))
-        d = F.sqrt(A.total(sq)) / scale
-        if y and x_weight < 0.999:
-            return d * x_weight + F.abs(F.col("__y") - point["__y"]) / y_scale * (1 - x_weight)
-        return d
-
-    scale, y_scale = 1.0, 1.0
-    to_centre = dist({"__x": centre, "__y": 0.0}) if not y else F.sqrt(
-        A.total(F.zip_with("__x", A.doubles(centre), lambda p, q: (p - q) * (p - q)))
-    )
-    row = F.struct(*base.columns)
-
-    def best(score: Column):
-        # highest score, lowest id on ties
-        return base.agg(F.min_by(row, F.struct((-score).alias("s"), F.col(tie).alias("t"))).alias("r"), F.max(score).alias("m")).first()
-
-    head = best(to_centre)
-    if y and x_weight < 0.999:
+    if not centre or k < 1:
+        return []
+    table, pivots = _by_cells(base)
+    state = {"pivots": pivots, "taken": [], "points": [(np.array(centre), 0.0)], "of": [[0]] * len(pivots), "scales": (1.0, 1.0, 1.0)}
+    best = _best_of_cells(table, list(range(len(pivots))), state)
+    first = lambda held: min(held, key=lambda b: (-b["s"], b["t"]), default=None)
+    step = first(best.values())
+    if mixed:
         span = base.agg((F.max("__y") - F.min("__y")).alias("s")).first()["s"]
-        scale, y_scale = 2.0 * head["m"] or 1.0, span or 1.0
-    chosen = [head["r"]]
-    while len(chosen) < k:
-        nearest = F.array_min(F.array(*[dist(p) for p in chosen]))
-        taken = F.col(tie).isin([p[tie] for p in chosen])
-        step = best(F.when(taken, F.lit(-1.0)).otherwise(nearest))
-        if step["r"] is None or step["m"] < 0:
+        state["scales"] = (2.0 * step["s"] or 1.0, span or 1.0, x_weight)
+    state |= {"points": [], "of": {c: [] for c in best}}
+    scale, _, weight = state["scales"]
+    outdated = set(best)
+    for b in best.values():
+        b["s"] = np.inf
+    chosen, seen = [], []
+    while True:
+        chosen.append(step["t"])
+        if len(chosen) == k:
+            break
+        point = (np.array(step["x"]), step["y"])
+        state["points"].append(point)
+        state["taken"].append(step["t"])
+        for c, b in best.items():
+            to_best = _distances(np.array([b["x"]]), np.array([b["y"]]), point, *state["scales"])[0]
+            if b["t"] == step["t"] or not to_best > b["s"] * (1 + 1e-12):
+                outdated.add(c)
+            nearest = (np.sqrt(((pivots[c] - point[0]) ** 2).sum()) - b["r"]) * weight / scale
+            if not nearest > b["s"] * (1 + 1e-9):
+                state["of"][c].append(len(chosen) - 1)
+        while True:
+            known = first(b for c, b in best.items() if c not in outdated)
+            again = sorted(c for c in outdated if known is None or best[c]["s"] >= known["s"])
+            if not again:
+                break
+            best |= _best_of_cells(table, again, state)
+            outdated -= set(again)
+            seen += again
+        if read is not None:
+            read.append(seen)
+        seen, step = [], known
+        if step["s"] < 0:
             break
-        chosen.append(step["r"])
-    return [p[tie] for p in chosen]
+    return chosen
 
 
 def replicate(df: DataFrame, weight: str, low: float, high: float) -> DataFrame:
