@@ -36,3 +36,23 @@ def test_quantile_rounds_never_send_the_rows_to_every_task(spark, monkeypatch):
     plans.append(plan(got))
     assert "Inner, BuildLeft" not in "".join(plans)
     assert {r["grp"]: (round(r["q0"], 6), round(r["q1"], 6)) for r in got.collect()}["g0"] == (4.5, 40.5)
+
+
+def test_target_scores_use_every_row_as_a_quantile(spark):
+    """More rows than the default number of quantiles, and a value with copies."""
+    df = spark.range(2500).select("id", F.least(F.col("id") * F.col("id"), F.lit(4_000_000)).cast("double").alias("y"))
+    got = {r["id"]: r["t"] for r in T.quantile_normal_target(df, "y", "t", None).collect()}
+    share = spark.createDataFrame([(1234 / 2499,)], "p double").select(T.S.normal_quantile(F.col("p"))).first()[0]
+    assert len(got) == 2500 and got[1234] == share
+    assert got[2000] == got[2499] == max(got.values()) and got[0] == min(got.values())
+
+
+def test_only_distinct_values_are_put_in_order(spark, monkeypatch):
+    sizes = []
+    ordinal = O.ordinal
+    monkeypatch.setattr(O, "ordinal", lambda df, *a: sizes.append(df.count()) or ordinal(df, *a))
+    df = spark.range(5000).select("id", (F.col("id") % 7).cast("double").alias("v"), (F.col("id") % 2).alias("k"))
+    pdf = df.toPandas()
+    pdf["want"] = pdf.groupby("k").v.rank(method="average")
+    got = O.tie_rank(df, "v", "id", "r", ["k"]).toPandas().merge(pdf, on="id")
+    assert (got.r == got.want).all() and sizes == [14]
