@@ -47,6 +47,16 @@ def test_target_scores_use_every_row_as_a_quantile(spark):
     assert got[2000] == got[2499] == max(got.values()) and got[0] == min(got.values())
 
 
+def test_stored_predictions_are_written_by_many_tasks(spark, monkeypatch):
+    held = []
+    read = predictions.read_predictions
+    monkeypatch.setattr(q_runs.predictions, "read_predictions", lambda s, path: held.append(path) or read(s, path))
+    sf = "/root/testdata/sf0.1"
+    got = q_runs.src_4(spark, sf)
+    assert len([f for f in os.listdir(held[0].removeprefix("file:")) if f.startswith("part-")]) > 1
+    assert got.where("pred < 0").count() == 0 and got.count() == pred_pair(spark, sf).count()
+
+
 def test_only_distinct_values_are_put_in_order(spark, monkeypatch):
     sizes = []
     ordinal = O.ordinal
