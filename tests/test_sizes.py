@@ -57,6 +57,12 @@ def test_stored_predictions_are_written_by_many_tasks(spark, monkeypatch):
     assert got.where("pred < 0").count() == 0 and got.count() == pred_pair(spark, sf).count()
 
 
+def test_no_task_sorts_rows_to_add_up_a_text(spark):
+    """The only sorts are those of an id's lines after they have been dealt."""
+    text = plan(q_stats.set_4(spark, SF))
+    assert text.count("- Sort ") == 1 and text.index("- Sort ") < text.index("Exchange hashpartitioning(id")
+
+
 def test_only_distinct_values_are_put_in_order(spark, monkeypatch):
     sizes = []
     ordinal = O.ordinal
