@@ -63,6 +63,19 @@ def test_no_task_sorts_rows_to_add_up_a_text(spark):
     assert text.count("- Sort ") == 1 and text.index("- Sort ") < text.index("Exchange hashpartitioning(id")
 
 
+def test_similarity_reads_the_rows_once_for_its_matrix(spark, monkeypatch):
+    calls = []
+    gram = D.gram
+    monkeypatch.setattr(D, "gram", lambda *a: calls.append(1) or gram(*a))
+    long = spark.createDataFrame(
+        [("a", k, 0.0, float(k)) for k in range(40)] + [("b", k, 0.0, float(k % 2)) for k in range(40)] + [("c", 1, 0.0, 1.0)],
+        "candidate string, id long, anchor double, pred double",
+    )
+    got = {(r["a"], r["b"]): r for r in D.candidate_similarity(long, ["a", "b", "c"], 5).collect()}
+    assert len(calls) == 1
+    assert got["a", "b"]["jaccard"] == 20 / 39 and got["b", "c"]["jaccard"] == 1 / 20
+
+
 def test_only_distinct_values_are_put_in_order(spark, monkeypatch):
     sizes = []
     ordinal = O.ordinal
