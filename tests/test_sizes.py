@@ -85,3 +85,12 @@ def test_only_distinct_values_are_put_in_order(spark, monkeypatch):
     pdf["want"] = pdf.groupby("k").v.rank(method="average")
     got = O.tie_rank(df, "v", "id", "r", ["k"]).toPandas().merge(pdf, on="id")
     assert (got.r == got.want).all() and sizes == [14]
+
+
+def test_error_audit_ranks_without_ids(spark):
+    rows = pred_pair(spark, SF)
+    got = {r["feature"]: r for r in G.error_audit(rows.drop("id"), ["discount", "tax"]).collect()}
+    pdf = rows.toPandas()
+    size = (pdf.y_pred - pdf.y_true).abs()
+    for f in ("discount", "tax"):
+        assert abs(got[f]["rho_abs_error"] - pdf[f].rank().corr(size.rank())) < 1e-9
