@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..session import scratch_path
+from ..session import cut, scratch_path
 from . import moments as M
 from .ordered import half_even, join_on, ordinal, with_stats
 
@@ -46,22 +46,52 @@ def quartile_contrast(df: DataFrame, low: float, high: float, y: str = "y") -> D
     )
 
 
+def _before(score: str, tie: str, last_score: Column, last_tie: Column) -> Column:
+    """Whether a row stands at or before another one in the order of falling scores (ties: higher id; nulls last)."""
+    s, t = F.col(score), F.col(tie)
+    higher = F.coalesce(s > last_score, s.isNotNull() & last_score.isNull())
+    return higher | (s.eqNullSafe(last_score) & (last_tie.isNull() | F.coalesce(t >= last_tie, F.lit(False))))
+
+
+def first_rows(df: DataFrame, score: str, tie: str, k: int) -> Column:
+    """Whether a row is among the k of ``df`` with the largest scores (ties: higher id). Only scores and ids are put in
+    order; rows are then compared with the k-th."""
+    by = [F.col(score).desc(), F.col(tie).desc()]
+    last = ordinal(df.select(score, tie), [], by, "__g").where(F.col("__g") == k - 1).first()
+    return F.lit(True) if last is None else _before(score, tie, F.lit(last[score]), F.lit(last[tie]))
+
+
 def top_fraction(df: DataFrame, score: str, tie: str, frac: float, name: str = "gate") -> DataFrame:
-    k = fraction_size(df.count(), frac)
-    ranked = ordinal(df, [], [F.col(score).desc(), F.col(tie).desc()], "__g")
-    return ranked.withColumn(name, F.col("__g") < k).drop("__g")
+    df = cut(df)
+    return df.withColumn(name, first_rows(df, score, tie, fraction_size(df.count(), frac)))
+
+
+def _within_cap(df: DataFrame, score: str, tie: str, label: str, cap: int, name: str, free: Column | None = None) -> DataFrame:
+    """Marks the ``cap`` rows of each label with the largest scores, of those that are ``free``, by comparison with the
+    last of them."""
+    free = F.lit(True) if free is None else F.coalesce(free, F.lit(False))
+    by = [F.col(score).desc(), F.col(tie).desc()]
+    ranked = ordinal(df.where(free).select(label, score, tie), [label], by, "__l").where(F.col("__l") == cap - 1)
+    last = ranked.select(label, F.col(score).alias("__ls"), F.col(tie).alias("__lt"), F.lit(True).alias("__full"))
+    inside = free & (F.col("__full").isNull() | _before(score, tie, F.col("__ls"), F.col("__lt")))
+    return join_on(df, last, [label]).withColumn(name, inside).drop("__ls", "__lt", "__full")
 
 
 def capped_top_fraction(
     df: DataFrame, score: str, tie: str, label: str, frac: float, cap: int, name: str = "gate", refill: bool = True
 ) -> DataFrame:
     """At most ``cap`` rows per label in score order; when that leaves room, the best of the rest."""
+    df = cut(df)
     k = fraction_size(df.count(), frac)
-    by = [F.col(score).desc(), F.col(tie).desc()]
-    ranked = ordinal(df, [label], by, "__l").withColumn("__over", (F.col("__l") >= cap).cast("int"))
-    ranked = ordinal(ranked, [], [F.col("__over").asc(), *by], "__g")
-    inside = F.col("__g") < k
-    return ranked.withColumn(name, inside if refill else inside & (F.col("__over") == 0)).drop("__l", "__g", "__over")
+    marked = _within_cap(df, score, tie, label, cap, "__in")
+    held = df.groupBy(label).count().agg(F.sum(F.least("count", F.lit(cap)))).first()[0] or 0
+    if held >= k:
+        chosen = F.col("__in") & first_rows(marked.where("__in"), score, tie, k)
+    elif refill:
+        chosen = F.col("__in") | first_rows(marked.where("NOT __in"), score, tie, k - held)
+    else:
+        chosen = F.col("__in")
+    return marked.withColumn(name, chosen).drop("__in")
 
 
 def cap_gate(df: DataFrame, gate: str, signal: str, tie: str, label: str, cap: int, name: str = "capped") -> DataFrame:
@@ -91,12 +121,10 @@ def balanced_selection(
 
 def _capped_pick(df: DataFrame, score: str, tie: str, label: str, cap: int, n: int, name: str) -> DataFrame:
     """Best n positive scores with at most ``cap`` per label."""
-    by = [F.col(score).desc(), F.col(tie).desc()]
-    ok = df.withColumn("__ok", F.col(score) > 0)
-    ranked = ordinal(ok, ["__ok", label], by, "__l")
-    ranked = ranked.withColumn("__in", F.col("__ok") & (F.col("__l") < cap))
-    ranked = ordinal(ranked, [], [F.col("__in").desc(), *by], "__g")
-    return ranked.withColumn(name, F.col("__in") & (F.col("__g") < n)).drop("__ok", "__l", "__in", "__g")
+    positive = F.col(score) > 0
+    marked = _within_cap(df, score, tie, label, cap, "__in", positive)
+    chosen = F.col("__in") & first_rows(marked.where("__in"), score, tie, n)
+    return marked.withColumn(name, chosen).drop("__in")
 
 
 def asymmetric_selection(
@@ -104,8 +132,6 @@ def asymmetric_selection(
     blend: float, clip: float, residual: str | None = None, banned: Column | None = None, name: str = "corr",
 ) -> DataFrame:
     """Different counts of raises and lowers; with a residual, only rows that agree with it."""
-    n_pos = fraction_size(df.count(), pos_frac)
-    n_neg = max(1, half_even(n_pos * neg_ratio))
     s = F.col(signal)
     if residual is None:
         up, down = F.greatest(s, F.lit(0.0)), F.greatest(-s, F.lit(0.0))
@@ -115,6 +141,9 @@ def asymmetric_selection(
         down = F.when((s < 0) & (r < 0), -s * F.abs(r)).otherwise(0.0)
     free = F.lit(True) if banned is None else ~banned
     base = df.withColumn("__up", F.when(free, up).otherwise(0.0)).withColumn("__down", F.when(free, down).otherwise(0.0))
+    base = cut(base)
+    n_pos = fraction_size(base.count(), pos_frac)
+    n_neg = max(1, half_even(n_pos * neg_ratio))
     base = _capped_pick(base, "__up", tie, label, cap, n_pos, "__a")
     base = _capped_pick(base, "__down", tie, label, cap, n_neg, "__b")
     chosen = F.col("__a") | F.col("__b")
