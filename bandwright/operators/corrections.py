@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import scalars as S
+from ..session import cut
 from . import fits as Fi
 from . import neighbours as Nb
 from . import targets as T
 from .groups import centroids, safe_corr
 from .moments import mean_spectrum
-from .ordered import join_on, ordinal, percent_rank, quantile_values, with_stats
-from .select import capped_top_fraction, fraction_size, top_fraction
+from .ordered import join_on, percent_rank, quantile_values, with_stats
+from .select import capped_top_fraction, first_rows, top_fraction
 
 
 def residual(true: str = "y", pred: str = "p") -> Column:
@@ -208,9 +209,9 @@ def gate_columns(df: DataFrame, anchor: str, signal: str, iso: str, high_q: floa
 
 def limit_gate(df: DataFrame, gate: str, priority: str, tie: str, max_frac: float) -> DataFrame:
     """Keep at most floor(n * max_frac) gated rows, largest priority first."""
-    most = max(1, int(df.count() * max_frac))
-    ranked = ordinal(df, [gate], [F.col(priority).desc(), F.col(tie).desc()], "__l")
-    return ranked.withColumn(gate, F.col(gate) & (F.col("__l") < most)).drop("__l")
+    df = cut(df)
+    first = first_rows(df.where(gate), priority, tie, max(1, int(df.count() * max_frac)))
+    return df.withColumn(gate, F.col(gate) & first)
 
 
 def gated_correction(
@@ -225,7 +226,7 @@ def gated_correction(
 
 def rank_product(df: DataFrame, cols: Sequence[str], tie: str = "id", name: str = "score") -> DataFrame:
     """Product of average-tie percentile ranks."""
-    out, value = df, None
+    out, value = cut(df), None
     for c in cols:
         out = percent_rank(out, c, tie, f"__k_{c}")
         value = F.col(f"__k_{c}") if value is None else value * F.col(f"__k_{c}")
@@ -301,7 +302,7 @@ def soft_correction(
     if agree and len(parts) > 1:
         signs = [F.signum(p) for p in parts]
         raw = raw * F.abs(sum(signs[1:], signs[0]) / len(parts))
-    out = df.withColumn("__raw", raw).withColumn("__size", F.abs(raw))
+    out = cut(df.withColumn("__raw", raw).withColumn("__size", F.abs(raw)))
     out = percent_rank(out, "__size", tie, "__w")
     weight = F.pow("__w", F.lit(signal_power))
     if detector:
@@ -319,7 +320,7 @@ def region_score(
     skip: Column | None = None, tie: str = "id", name: str = "score",
 ) -> DataFrame:
     """proximity^a x rank(|signal|)^b, times (1 - failed)^1.5 and the detector rank when given."""
-    out = percent_rank(df.withColumn("__size", F.abs(signal)), "__size", tie, "__r")
+    out = percent_rank(cut(df.withColumn("__size", F.abs(signal))), "__size", tie, "__r")
     value = F.pow(proximity, F.lit(prox_power)) * F.pow("__r", F.lit(signal_power))
     if failed:
         value = value * F.pow(1.0 - F.col(failed), F.lit(1.5))
@@ -377,8 +378,12 @@ def blend(base: Column, other: Column, weight: float, lo: float | None = None, h
     return S.clip(base + (other - base) * weight, lo, hi)
 
 
+def means_of_variants(long: DataFrame, weights: dict[str, str | None]) -> DataFrame:
+    """Rows (variant, id, pred): plain (None) and weighted means per id by name, in one aggregate."""
+    aggs = [F.avg("pred") if w is None else F.sum(F.col("pred") * F.col(w)) / F.sum(w) for w in weights.values()]
+    return long.groupBy("id").agg(*[a.alias(name) for name, a in zip(weights, aggs)])
+
+
 def mean_of_variants(long: DataFrame, weight: str | None = None, name: str = "pred") -> DataFrame:
     """Rows (variant, id, pred): plain or weighted mean per id."""
-    if weight is None:
-        return long.groupBy("id").agg(F.avg("pred").alias(name))
-    return long.groupBy("id").agg((F.sum(F.col("pred") * F.col(weight)) / F.sum(weight)).alias(name))
+    return means_of_variants(long, {name: weight})

@@ -11,6 +11,7 @@ from ..operators import folds as Cv
 from ..operators import neighbours as Nb
 from ..operators import solvers as So
 from ..operators.moments import gram
+from ..session import cut
 from .fixtures import CAND_SQL, CENTRE_BAND, PAIR_SQL, RADIUS, TRAIN_SQL, candidates, pred_pair, spectra, test, train
 from .q_arrays import unroll
 from .q_fits import LOGO_SQL, TR_LONG_SQL
@@ -183,7 +184,7 @@ SELECT id, {d('greatest(p + CASE WHEN kept THEN ' + _clip('0.5 * beta * s1', 300
     digits=4,
 )
 def cor_10(spark, sf):
-    df = base(spark, sf)
+    df = cut(base(spark, sf).select("id", "p", "r", "s1", "iso"))
     gates = C.gate_columns(df, "p", "s1", "iso", 0.5, 0.6, 0.5)
     return C.gated_correction(df, gates["high_disagree"], "p", "s1", "r", 0.5, 3000.0, 0.1, name="out_").select("id", "out_")
 
@@ -197,7 +198,7 @@ def _pct(v: str) -> str:
     f"""WITH {BASE_SQL}, k AS (SELECT *, abs(s1) AS a1 FROM base) SELECT id, {d(f"{_pct('det')} * {_pct('iso')} * {_pct('a1')}", 'score')} FROM k""",
 )
 def cor_11(spark, sf):
-    df = base(spark, sf).withColumnsRenamed({"det": "hard", "iso": "pos"})
+    df = base(spark, sf).select("id", "s1", F.col("det").alias("hard"), F.col("iso").alias("pos"))
     return C.gate_score(df, "hard_pos_impact", "s1").select("id", "score")
 
 
@@ -214,7 +215,8 @@ SELECT id, {d('(raw - m) * CASE WHEN cv < 0 THEN -1 ELSE 1 END', 'corr', 4)} FRO
     digits=4,
 )
 def cor_12(spark, sf):
-    out = C.capped_candidate(base(spark, sf), "s1", "r", "positive_signal_det40_cluster4", 0.003, 0.5, 4000.0, "lab", "det")
+    df = cut(base(spark, sf).select("id", "r", "s1", "lab", "det"))
+    out = C.capped_candidate(df, "s1", "r", "positive_signal_det40_cluster4", 0.003, 0.5, 4000.0, "lab", "det")
     return out.where("gate").select("id", "corr")
 
 
@@ -229,7 +231,8 @@ SELECT id, {d('c * CASE WHEN cv < 0 THEN -1 ELSE 1 END', 'corr', 4)} FROM ce, sg
     digits=4,
 )
 def cor_13(spark, sf):
-    return C.soft_correction(base(spark, sf), ["s1", "s2"], "r", 0.5, 3000.0, 2.0, "det", 1.0, agree=True).select("id", "corr")
+    df = cut(base(spark, sf).select("id", "r", "s1", "s2", "det"))
+    return C.soft_correction(df, ["s1", "s2"], "r", 0.5, 3000.0, 2.0, "det", 1.0, agree=True).select("id", "corr")
 
 
 @query(
@@ -263,7 +266,7 @@ def cor_15(spark, sf):
 SELECT id, {d(f"pow(det * 10, 0.5) * pow({_pct('a1')}, 2) * pow(1 - iso * 10, 1.5) * {_pct('det')}", 'score')} FROM k""",
 )
 def cor_16(spark, sf):
-    df = base(spark, sf).withColumn("prox", F.col("det") * 10).withColumn("failed", F.col("iso") * 10)
+    df = base(spark, sf).select("id", "s1", "det", "iso").withColumn("prox", F.col("det") * 10).withColumn("failed", F.col("iso") * 10)
     return C.region_score(df, "prox", "s1", 0.5, 2.0, "failed", "det").select("id", "score")
 
 
@@ -306,5 +309,4 @@ def bld_1(spark, sf):
 )
 def bld_2(spark, sf):
     long = candidates(spark, sf).withColumn("w", F.length("candidate").cast("double"))
-    plain = C.mean_of_variants(long, name="plain")
-    return plain.join(C.mean_of_variants(long, "w", "weighted"), "id")
+    return C.means_of_variants(long, {"plain": None, "weighted": "w"})

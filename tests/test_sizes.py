@@ -57,6 +57,12 @@ def test_stored_predictions_are_written_by_many_tasks(spark, monkeypatch):
     assert got.where("pred < 0").count() == 0 and got.count() == pred_pair(spark, sf).count()
 
 
+def test_pairs_are_moved_once(spark):
+    assert plan(q_stats.wide(spark, SF)).count("Exchange") == 1
+    assert plan(C.mean_of_variants(candidates(spark, SF))).count("Exchange") == 1
+    assert plan(q_corrections.bld_2(spark, SF)).count("Exchange") == 1
+
+
 def test_no_task_sorts_rows_to_add_up_a_text(spark):
     """The only sorts are those of an id's lines after they have been dealt."""
     text = plan(q_stats.set_4(spark, SF))
@@ -94,3 +100,27 @@ def test_error_audit_ranks_without_ids(spark):
     size = (pdf.y_pred - pdf.y_true).abs()
     for f in ("discount", "tax"):
         assert abs(got[f]["rho_abs_error"] - pdf[f].rank().corr(size.rank())) < 1e-9
+
+
+def test_gates_order_scores_and_ids_only(spark, monkeypatch):
+    columns = []
+    ordinal = P.ordinal
+    monkeypatch.setattr(P, "ordinal", lambda df, *a: columns.append(set(df.columns)) or ordinal(df, *a))
+    df = spark.range(3000).select(
+        "id", F.when(F.col("id") % 10 > 0, F.col("id") * 37 % 101).cast("double").alias("s"), (F.col("id") % 5).alias("lab"), F.lit("wide").alias("more")
+    )
+    pdf = df.toPandas().sort_values(["s", "id"], ascending=False, na_position="last")
+    best = set(pdf.head(300).id)
+    assert {r["id"] for r in P.top_fraction(df, "s", "id", 0.1).where("gate").collect()} == best
+    for cap, frac, refill in ((3, 0.1, True), (3, 0.1, False), (80, 0.1, True), (10**6, 0.1, True)):
+        inside = pdf.groupby("lab").cumcount() < cap
+        want = pdf[inside].head(300)
+        if refill:
+            want = [*want.id, *pdf[~inside].head(300 - len(want)).id]
+        else:
+            want = [*want.id]
+        got = P.capped_top_fraction(df, "s", "id", "lab", frac, cap, "gate", refill).where("gate").collect()
+        assert {r["id"] for r in got} == set(want)
+    assert all("more" not in c for c in columns)
+    gated = C.limit_gate(df.withColumn("g", F.col("id") % 2 == 0), "g", "s", "id", 0.02).where("g").collect()
+    assert {r["id"] for r in gated} == set(pdf[pdf.id % 2 == 0].head(60).id)
