@@ -69,6 +69,12 @@ def test_no_task_sorts_rows_to_add_up_a_text(spark):
     assert text.count("- Sort ") == 1 and text.index("- Sort ") < text.index("Exchange hashpartitioning(id")
 
 
+def test_no_task_holds_more_lines_of_a_larger_table(spark):
+    for sf in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        rows = pred_pair(spark, sf).groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+        assert rows < 200_000
+
+
 def test_similarity_reads_the_rows_once_for_its_matrix(spark, monkeypatch):
     calls = []
     gram = D.gram
