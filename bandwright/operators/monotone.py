@@ -119,11 +119,12 @@ def isotonic(
 
 
 def isotonic_by_group(
-    df: DataFrame, group: str, order: Sequence[str], value: str, name: str, increasing: bool = False, min_rows: int = 3
+    df: DataFrame, group: str, order: Sequence[str], value: str, name: str, increasing: bool = False, min_rows: int = 3,
+    rank: str | None = None,
 ) -> DataFrame:
-    """Groups under ``min_rows`` rows keep their values."""
-    ranked = ordinal(df, [group], order, "__k")
-    fitted = isotonic(ranked, [group], "__k", value, "__iso", increasing)
+    """Groups under ``min_rows`` rows keep their values; ``rank`` is their place in ``order`` where it is known."""
+    ranked = df if rank else ordinal(df, [group], order, "__k")
+    fitted = isotonic(ranked, [group], rank or "__k", value, "__iso", increasing)
     sized = with_stats(fitted, [group], F.count("*").alias("__n"))
     return sized.withColumn(
         name, F.when(F.col("__n") < min_rows, F.col(value)).otherwise(F.col("__iso"))
@@ -220,16 +221,17 @@ def curve_template(
         F.greatest(F.max(base) - F.min(base), F.lit(1e-12)).alias("__r"), F.avg(base).alias("__m"), F.avg("__c").alias("__cm"),
     )
     drawn = F.col("__m") + (F.col("__c") - F.col("__cm")) * F.greatest(F.col("__r"), F.lit(floor))
-    at = cut(at.withColumn("__o", drawn * blend + F.col(base) * (1 - blend)).drop("__c", "__r", "__m", "__cm"))
+    at = at.withColumn("__o", drawn * blend + F.col(base) * (1 - blend)).drop("__c", "__r", "__m", "__cm")
+    at = ordinal(at, [group], [position, tie], "__at_k")
 
     def clipped(c: str) -> Column:
         return F.greatest(F.least(F.col(c), F.lit(y_range[1])), F.lit(y_range[0]))
 
-    out = isotonic_by_group(at, group, [position, tie], "__o", "__f").withColumn("__f", clipped("__f"))
+    out = isotonic_by_group(at, group, [position, tie], "__o", "__f", rank="__at_k").withColumn("__f", clipped("__f"))
     if variant == "upper_anchor":
         out = with_stats(out, [group], (F.max("__f") - F.min("__f")).alias("__r"))
         missing = F.greatest(F.lit(ranges[1] * 0.8) - F.col("__r"), F.lit(0.0))
         lift = F.when(F.col(position) <= 0.45, missing * 0.35 * (1 - F.col(position) / 0.45)).otherwise(0.0)
         out = cut(out.withColumn("__u", F.col("__f") + lift).drop("__r", "__f"))
-        out = isotonic_by_group(out, group, [position, tie], "__u", "__f").drop("__u").withColumn("__f", clipped("__f"))
-    return out.withColumn(name, F.col("__f")).drop("__o", "__f")
+        out = isotonic_by_group(out, group, [position, tie], "__u", "__f", rank="__at_k").drop("__u").withColumn("__f", clipped("__f"))
+    return out.withColumn(name, F.col("__f")).drop("__o", "__f", "__at_k")
