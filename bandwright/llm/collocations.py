@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .common import LOWER, WordHashes, bitmap, in_bitmap, mix, slices, text_column
+from .packed import PACKED_DDL, TOP, Held, pack as _pack, packed_rows, reaching, unpack as _unpack  # noqa: F401
 
 # A-Z to a-z; ends of pieces become a byte that no UTF-8 text has.
 BREAK = 0xFF
@@ -34,11 +35,9 @@ PIECES = bytes(BREAK if chr(c) in ".,;:!?\n\x0b\x0c\r" else LOWER[c] for c in ra
 # Bits of a word's number in a task, so that three numbers fit 63 bits, and words that are numbered at a time: a
 # task passes its counts on before it has more numbers than these bits hold.
 NUMBERS, WORDS = 21, 1 << 19
-# Bytes of text that are counted at a time; counts a task holds before it passes them on, and before it merges the
-# latest into the others. A task needs about 100 bytes for each count it holds.
-CHUNK, HELD, LOOSE = 1 << 21, 2 << 20, 1 << 19
-# Bytes of a hash that are counted.
-KEY = 5
+# Bytes of text that are counted at a time; counts a task holds before it passes them on. A task needs about 100
+# bytes for each count it holds.
+CHUNK, HELD = 1 << 21, 2 << 20
 # Rows of a range of the sorted stream, and keys that are drawn to place the borders, per range.
 RANGE_ROWS, DRAWN = 200_000, 64
 
@@ -81,67 +80,11 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[b
         yield texts
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their counts."""
-    key, count = np.concatenate(keys), np.concatenate(counts)
-    keys.clear()
-    counts.clear()
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    count = count[order]
-    del order
-    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-    return key[at], np.add.reduceat(count, at) if len(at) else count
-
-
-class _Held:
-    """Keys with counts of one task, merged now and then."""
-
-    def __init__(self) -> None:
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.loose = 0
-
-    def add(self, keys: np.ndarray) -> None:
-        k, c = np.unique(keys, return_counts=True)
-        self.keys.append(k)
-        self.counts.append(c)
-        self.loose += len(k)
-        if self.loose > LOOSE:
-            self.merge()
-
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.keys) > 1:
-            k, c = _merged(self.keys, self.counts)
-            self.keys, self.counts = [k], [c]
-        self.loose = 0
-        return (self.keys[0], self.counts[0]) if self.keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
-
-    def size(self) -> int:
-        return sum(map(len, self.keys))
-
-
-PACKED = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("ones", pa.binary()), ("more", pa.binary()), ("n", pa.binary())])
-
-
-def _pack(keys: np.ndarray) -> bytes:
-    """The leading KEY bytes of 64-bit hashes."""
-    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY].tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // KEY, 8), np.uint8)
-    out[:, :KEY] = np.frombuffer(data, np.uint8).reshape(-1, KEY)
-    return out.view(">u8").ravel().astype(np.uint64)
-
-
 def _packed_counts(parts: int, enough: int, pairs: Broadcast | None):
     """Leading bytes of hashes with counts up to ``enough``, one packed row per task, kind and part of the hash range.
     Without ``pairs``: kind 0, every pair. With it: kind 0, triples of two such pairs; kind 1, words of such pairs."""
-    top = np.uint64((1 << 64) - (1 << (64 - 8 * KEY)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = WordHashes(), [_Held(), _Held()]
+        hashes, held = WordHashes(), [Held(), Held()]
         pending: dict[str, list[bytes]] = {}
         size = 0
 
@@ -152,27 +95,21 @@ def _packed_counts(parts: int, enough: int, pairs: Broadcast | None):
             at = np.flatnonzero(inside[1:] & inside[:-1])
             pair = _pair_hashes(h[at], h[at + 1], seed)
             if pairs is None:
-                held[0].add(pair & top)
+                held[0].add(pair & TOP)
                 return
             some = in_bitmap(pairs.value, pair)
             at, pair = at[some], pair[some]
             next_too = np.flatnonzero(at[1:] == at[:-1] + 1)
-            held[0].add(_triple_hashes(pair[next_too], h[at[next_too] + 2]) & top)
-            held[1].add(_word_hashes(np.append(h[at], h[at + 1]), seed) & top)
+            held[0].add(_triple_hashes(pair[next_too], h[at[next_too] + 2]) & TOP)
+            held[1].add(_word_hashes(np.append(h[at], h[at + 1]), seed) & TOP)
 
         def packed() -> Iterator[pa.RecordBatch]:
             for kind in range(2):
                 key, n = held[kind].merge()
                 # A word of a pair is wanted whatever its count in this task.
                 n = np.minimum(n, enough) if kind == 0 else np.full(len(n), enough)
-                edge = np.searchsorted(key >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
-                for p, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
-                    if b > a:
-                        once = n[a:b] == 1
-                        wide = np.uint8 if enough < 256 else np.int64
-                        row = [kind, p, _pack(key[a:b][once]), _pack(key[a:b][~once]), n[a:b][~once].astype(wide).tobytes()]
-                        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, PACKED)], schema=PACKED)
-                held[kind] = _Held()
+                yield from packed_rows(kind, key, n, parts, enough)
+                held[kind] = Held()
 
         for texts in _by_language(batches):
             for lang, some in texts.items():
@@ -191,32 +128,11 @@ def _packed_counts(parts: int, enough: int, pairs: Broadcast | None):
     return run
 
 
-def _reaching(enough: int):
-    """Packed rows of a part to the hashes that reach ``enough``."""
-    wide = np.uint8 if enough < 256 else np.int64
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: dict[tuple[int, int], list[np.ndarray]] = {}
-        counts: dict[tuple[int, int], list[np.ndarray]] = {}
-        for batch in batches:
-            for kind, part, ones, more, n in zip(*(c.to_pylist() for c in batch.columns)):
-                keys.setdefault((kind, part), []).extend((_unpack(ones), _unpack(more)))
-                counts.setdefault((kind, part), []).extend((np.ones(len(ones) // KEY, np.int64), np.frombuffer(n, wide).astype(np.int64)))
-        for at in list(keys):
-            key, n = _merged(keys.pop(at), counts.pop(at))
-            key = key[n >= enough].view(np.int64)
-            for i in range(0, len(key), 1 << 16):
-                some = key[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_pydict({"kind": np.full(len(some), at[0], np.int32), "h": some})
-
-    return run
-
-
 def _hashes(texts: DataFrame, enough: int, pairs: Broadcast | None) -> DataFrame:
     """Hashes that reach ``enough``, written. The range of hashes is cut into the session's shuffle partitions."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = texts.mapInArrow(_packed_counts(parts, enough, pairs), "kind int, part int, ones binary, more binary, n binary")
-    return cut(packed.repartition(parts, "kind", "part").mapInArrow(_reaching(enough), "kind int, h long"))
+    packed = texts.mapInArrow(_packed_counts(parts, enough, pairs), PACKED_DDL)
+    return cut(packed.repartition(parts, "kind", "part").mapInArrow(reaching(enough), "kind int, h long"))
 
 
 GRAMS = pa.schema([("lang", pa.string()), ("w1", pa.string()), ("w2", pa.string()), ("w3", pa.string()), ("n", pa.int64())])
@@ -230,7 +146,7 @@ class _Language:
         self.numbers = _Numbers()
         self.hashes = np.zeros(1 << 12, np.uint64)
         self.hashed = 1
-        self.held = [_Held(), _Held(), _Held()]
+        self.held = [Held(), Held(), Held()]
         self.words = 0
 
     def word_hashes(self) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -82,17 +83,102 @@ class WordHashes(dict):
         return h
 
 
+def shingled(h: np.ndarray, k: int) -> np.ndarray:
+    """One hash per window of ``k`` of the given word hashes, of which there are ``k`` or more."""
+    out = np.zeros(len(h) - k + 1, np.uint64)
+    for j in range(k):
+        out = mix(out + h[j : len(out) + j] + np.uint64(j + 1))
+    return out
+
+
 def shingles(words: list[bytes], k: int, hashes: WordHashes) -> np.ndarray:
     """One 64-bit hash per window of ``k`` words; fewer words make one window, none makes none."""
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    if n < k:
-        k = n
-    out = np.zeros(n - k + 1, np.uint64)
-    for j in range(k):
-        out = mix(out + h[j : n - k + 1 + j] + np.uint64(j + 1))
+    return shingled(np.fromiter(map(hashes.__getitem__, words), np.uint64, n), min(k, n))
+
+
+# Words as stretches of an array of bytes. A word's hash is the sum of its bytes' values times powers of an odd
+# number, counted from the word's start: the difference of two running sums over the whole array.
+SPACE = re.compile(rb"[ \t-\r]")
+IN_WORD = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
+BASE = 0x9E3779B97F4A7C15
+VALUES = mix(np.arange(1, 257, dtype=np.uint64))
+# Bytes of text that are hashed at a time.
+PIECE = 1 << 18
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """``BASE`` to the powers 0 to n - 1 and their inverses, modulo 2**64; kept, and made longer on demand."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 2 * PIECE)
+        tables = []
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            table = np.full(size, base, np.uint64)
+            table[0] = 1
+            tables.append(np.cumprod(table, dtype=np.uint64))
+        _powers[:] = tables
+    return _powers
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words between white space."""
+    b = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(b) + 2, bool)
+    inside[1:-1] = IN_WORD[b]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    power, inverse = _power_tables(len(b))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(VALUES[b] * power[: len(b)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inverse[start]), start
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text cut at white space into pieces of about ``PIECE`` bytes; no word is cut."""
+    at = 0
+    while len(text) - at > PIECE:
+        space = SPACE.search(text, at + PIECE)
+        if space is None:
+            break
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:]
+
+
+def hashed_words(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts in groups of about ``PIECE`` bytes: hashes of all their words (between white space), in order, and
+    the number of words of each text."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= PIECE):
+            size += len(texts[end]) + 1
+            end += 1
+        if end - at == 1:
+            h = np.concatenate([_word_hashes(piece)[0] for piece in _pieces(texts[at])])
+            yield h, np.array([len(h)])
+        else:
+            h, start = _word_hashes(b" ".join(texts[at:end]))
+            length = np.array([len(t) + 1 for t in texts[at:end]])
+            yield h, np.diff(np.searchsorted(start, np.concatenate(([0], length.cumsum()))))
+        at = end
+
+
+def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of ``k`` words of every text; fewer words are one shingle, none make none."""
+    out = []
+    for h, words in hashed_words(texts):
+        windows = shingled(h, k) if len(h) >= k else h
+        at = 0
+        for n in words.tolist():
+            if n >= k:
+                out.append(np.unique(windows[at : at + n - k + 1]))
+            else:
+                out.append(shingled(h[at : at + n], n) if n else np.empty(0, np.uint64))
+            at += n
     return out
 
 

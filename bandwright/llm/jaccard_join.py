@@ -21,15 +21,16 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import linking
-from .common import LOWER, WordHashes, bitmap, fingerprint, in_bitmap, shingles, slices
+from .common import LOWER, bitmap, fingerprint, in_bitmap, shingle_sets, slices
+from .packed import PACKED_DDL, TOP, Held, packed_rows, reaching
 
 # Tokens seen this often in one chunk of a task are counted; the most frequent are kept for the order.
 CHUNK, LOCAL_LEAST, ORDERED = 1 << 21, 4, 1 << 19
 
 
-def _set(text: bytes | None, k: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct shingles of the lower-cased words between white space."""
-    return np.unique(shingles(text.translate(LOWER).split(), k, hashes)) if text else np.empty(0, np.uint64)
+def _texts(column: pa.Array) -> list[bytes]:
+    """Lower-cased texts; null is empty."""
+    return [(t or b"").translate(LOWER) for t in column.to_pylist()]
 
 
 def _bytes(docs: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, sorted, and their ranks by count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n = WordHashes(), [], 0
+        held, n = [], 0
 
         def counted() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(held), return_counts=True)
@@ -50,9 +51,9 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], names=["h", "c"])
 
         for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
-                held.append(_set(text, k, hashes))
-                n += len(held[-1])
+            for own in shingle_sets(_texts(batch.column("text")), k):
+                held.append(own)
+                n += len(own)
                 if n >= CHUNK:
                     yield counted()
                     held, n = [], 0
@@ -97,9 +98,8 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     common = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in slices(batches):
-            sets = [_set(t, k, hashes) for t in batch.column("text").to_pylist()]
+            sets = shingle_sets(_texts(batch.column("text")), k)
             f1, f2 = zip(*map(fingerprint, sets)) if sets else ((), ())
             keys = [prefix(s, common.value, 2 * needed(len(s), num, den)).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -110,33 +110,56 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return cut(_bytes(docs).mapInArrow(run, "doc_id long, row long, n long, f1 long, f2 long, keys array<long>"))
 
 
-def _shared_keys(sets: DataFrame, num: int, den: int) -> DataFrame:
+def _twice(sets: DataFrame) -> DataFrame:
+    """``h``: leading bytes of the keys that occur twice or more. A task sends its keys packed, by part of their range."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held()
+        for batch in slices(batches):
+            held.add(batch.column("keys").flatten().to_numpy(zero_copy_only=False).view(np.uint64) & TOP)
+            if held.size() > CHUNK:
+                key, n = held.merge()
+                yield from packed_rows(0, key, np.minimum(n, 2), parts, 2)
+                held = Held()
+        key, n = held.merge()
+        yield from packed_rows(0, key, np.minimum(n, 2), parts, 2)
+
+    packed = sets.select("keys").mapInArrow(run, PACKED_DDL)
+    return cut(packed.repartition(parts, "part").mapInArrow(reaching(2), "kind int, h long")).select("h")
+
+
+def _shared_keys(sets: DataFrame, firsts: DataFrame, num: int, den: int) -> DataFrame:
     """``key, id, doc, n, pos``: those of the first p tokens that occur twice or more, of sets with enough shared
-    ones among their first 2p. Equal sets are one: ``id`` is the hash of the row with their smallest doc_id, ``doc``."""
-    twice = cut(sets.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"))
-    held = sets.sparkSession.sparkContext.broadcast(bitmap(twice, "key"))
+    ones among their first 2p. Equal sets are one: ``firsts`` names the row with their smallest doc_id, and only these
+    rows give keys (a few others may pass the bitmap: they are sets like any other). ``id`` is the hash of the row."""
+    held = sets.sparkSession.sparkContext.broadcast((bitmap(_twice(sets), "h"), bitmap(firsts, "row")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice, first = held.value
         for batch in slices(batches):
+            batch = batch.take(pa.array(np.flatnonzero(in_bitmap(first, batch.column("row").to_numpy(zero_copy_only=False)))))
             keys = batch.column("keys")
             flat = keys.flatten().to_numpy(zero_copy_only=False)
             length = keys.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             owner = np.repeat(np.arange(batch.num_rows), length)
             pos = np.arange(len(flat)) - (length.cumsum() - length)[owner]
-            hit = in_bitmap(held.value, flat) if len(flat) else np.empty(0, bool)
+            hit = in_bitmap(twice, flat) if len(flat) else np.empty(0, bool)
             n = batch.column("n").to_pylist()
             enough = np.bincount(owner[hit], minlength=batch.num_rows) >= np.array([max(1, least(x, num, den)) for x in n])
-            p = np.array([needed(x, num, den) for x in n])
+            p = np.array([needed(x, num, den) for x in n], np.int64)
             take = np.flatnonzero(hit & (enough[owner]) & (pos < p[owner]))
             rows = pa.array(owner[take])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[take], pa.int64()), *(batch.column(c).take(rows) for c in ("doc_id", "row", "n", "f1", "f2")), pa.array(pos[take], pa.int64())],
-                names=["key", "doc_id", "row", "n", "f1", "f2", "pos"],
+                [pa.array(flat[take], pa.int64()), *(batch.column(c).take(rows) for c in ("row", "doc_id", "n")), pa.array(pos[take], pa.int64())],
+                names=["key", "id", "doc", "n", "pos"],
             )
 
-    rows = sets.where("doc_id IS NOT NULL").mapInArrow(run, "key long, doc_id long, row long, n long, f1 long, f2 long, pos long")
-    one = rows.groupBy("key", "f1", "f2").agg(F.min(F.struct("doc_id", "row")).alias("of"), F.min("n").alias("n"), F.min("pos").alias("pos"))
-    return cut(one.select("key", F.col("of.row").alias("id"), F.col("of.doc_id").alias("doc"), "n", "pos"))
+    rows = sets.where("doc_id IS NOT NULL").select("row", "doc_id", "n", "keys")
+    keys = rows.mapInArrow(run, "key long, id long, doc long, n long, pos long")
+    # Rows that repeat id and text would count as two sets.
+    repeated = not rows.groupBy("row").count().where("count > 1").isEmpty()
+    return cut(keys.dropDuplicates(["key", "id"]) if repeated else keys)
 
 
 def _items(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -147,7 +170,7 @@ def _items(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             own = batch.take(pa.array(np.flatnonzero(in_bitmap(held.value, batch.column("row").to_numpy(zero_copy_only=False)))))
-            items = [zlib.compress(t or b"") for t in own.column("text").to_pylist()]
+            items = [zlib.compress(t) for t in _texts(own.column("text"))]
             yield pa.RecordBatch.from_arrays([own.column("row"), pa.array(items, pa.binary())], names=["id", "items"])
 
     return _bytes(docs).where("doc_id IS NOT NULL").mapInArrow(run, "id long, items binary")
@@ -163,10 +186,12 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     doc_id and text are not read.
     """
     sets = _sets(docs, k, num, den)
-    keys = _shared_keys(sets, num, den)
-    found = linking.links(keys.drop("doc"), lambda ids: _items(docs, ids), lambda b, seen=WordHashes(): _set(zlib.decompress(b), k, seen), num, den)
+    # Equal sets: the row with the smallest doc_id of each, and how many there are.
+    equal = cut(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "row")).alias("of"), F.count("*").alias("c")))
+    keys = _shared_keys(sets, equal.select("of.row"), num, den)
+    found = linking.links(keys.drop("doc"), lambda ids: _items(docs, ids), lambda b: shingle_sets([zlib.decompress(b)], k)[0], num, den)
     # Copies: the smallest id of each set, then the component of that id.
-    least = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
+    least = equal.where("c > 1").select("f1", "f2", F.col("of.doc_id").alias("least"))
     known = sets.select("doc_id", "n", "f1", "f2").join(least, ["f1", "f2"], "left")
     known = known.withColumn("least", F.when(F.expr("n > 0 AND doc_id IS NOT NULL"), F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")))
     groups = linking.components(_by_document(found, keys).union(_of_repeated_ids(sets, known)))

@@ -190,9 +190,12 @@ def links(keys: DataFrame, sets_of, decode, num: int, den: int, block_sets: int
         return pd.DataFrame([(ids[x], ids[y], None) for x, y in found], columns=["id", "other", "settled"])
 
     # Blocks of one home meet whole; of two homes only the sets that have a key in the other.
-    seen = cut(listed.select("key", "id").join(placed, "id").select("key", "id", "block", "leader", "under"))
-    other = seen.select("key", F.col("block").alias("block2"), F.col("leader").alias("leader2"), F.col("under").alias("under2")).distinct()
-    far = seen.join(other, "key").where("leader <> leader2 AND NOT coalesce(under = under2, false)").select("id", "block", "block2").distinct()
+    # And of those, the ones with which a set of a like size has that key: the smaller of two similar sets has at least
+    # ``num / den`` of the other's size.
+    seen = cut(listed.select("key", "id", "n").join(placed, "id").select("key", "id", "n", "block", "leader", "under"))
+    other = seen.groupBy("key", F.col("block").alias("block2"), F.col("leader").alias("leader2"), F.col("under").alias("under2")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    sized = f"{num} * n <= {den} * high AND {num} * low <= {den} * n"
+    far = seen.join(other, "key").where(f"leader <> leader2 AND NOT coalesce(under = under2, false) AND {sized}").select("id", "block", "block2").distinct()
     parts = placed.select("leader", "home", "block", "under").distinct()
     same = parts.join(parts.select("leader", F.col("home").alias("home2"), F.col("block").alias("block2"), F.col("under").alias("under2")), "leader")
     same = cut(same.where("home <> home2 AND NOT coalesce(under = under2, false)").select("block", "block2"))
