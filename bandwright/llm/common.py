@@ -123,17 +123,32 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words between white space."""
+def _word_places(data: bytes, in_word: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words, that is of runs of bytes of ``in_word``."""
     b = np.frombuffer(data, np.uint8)
     inside = np.zeros(len(b) + 2, bool)
-    inside[1:-1] = IN_WORD[b]
+    inside[1:-1] = in_word[b]
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
     power, inverse = _power_tables(len(b))
     sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(VALUES[b] * power[: len(b)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverse[start]), start
+    np.cumsum(values[b] * power[: len(b)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inverse[start]), start, end
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words between white space."""
+    return _word_places(data, IN_WORD, VALUES)[:2]
+
+
+def hashed_places(data: bytes, in_word: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of all words; white space must not be in words."""
+    out, at = [], 0
+    for piece in _pieces(data):
+        h, start, end = _word_places(piece, in_word, values)
+        out.append((h, start + at, end + at))
+        at += len(piece)
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:

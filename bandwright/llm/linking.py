@@ -15,8 +15,10 @@ large enough for the similarity; what stands before that place is skipped, and s
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ from ..session import cut
 
 # Sets and set elements in one block; what a task compares at once is two of these.
 BLOCK_SETS, BLOCK_ITEMS = 512, 1 << 19
+# So few sets are compared pair by pair.
+FEW = 8
 
 
 def similar(common: int, a: int, b: int, num: int, den: int) -> bool:
@@ -74,10 +78,31 @@ class Lists:
         return np.bincount(self.owner[at], minlength=self.sets)
 
 
+def _link_few(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int, joined: np.ndarray | None) -> list[tuple[int, int]]:
+    """``link_sets`` for a few sets."""
+    held, group, out = [set(x.tolist()) for x in sets], list(range(len(sets))), []
+    two = len(set(sides.tolist())) > 1
+    if joined is not None and joined.any():
+        first = int(np.flatnonzero(joined)[0])
+        group = [first if done else i for i, done in enumerate(joined.tolist())]
+    for y in range(len(sets)):
+        for x in range(y):
+            if group[x] == group[y] or two and sides[x] == sides[y]:
+                continue
+            a, b = len(held[x]), len(held[y])
+            if den * min(a, b) >= num * max(a, b) and similar(len(held[x] & held[y]), a, b, num, den):
+                gone = group[y]
+                group = [group[x] if g == gone else g for g in group]
+                out.append((x, y))
+    return out
+
+
 def link_sets(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges of a forest that connects all linked sets. Pairs within a side are left out where there are two
     sides, and those of two ``joined`` sets, which are connected already. Sets hold distinct 64-bit values."""
     m = len(sets)
+    if m <= FEW:
+        return _link_few(sets, sides, num, den, joined)
     order = sorted(range(m), key=lambda i: (len(sets[i]), sets[i][:1].tolist()))
     sizes = np.array([len(sets[i]) for i in order])
     side = sides[order]
@@ -146,7 +171,42 @@ def _homes(listed: DataFrame, block_sets: int, block_items: int) -> DataFrame:
     return cut(homes.join(size, "leader").select("id", "leader", F.xxhash64("leader", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")))
 
 
-FOUND = "id long, other long, settled boolean"
+FOUND = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("settled", pa.bool_())])
+
+
+def _grouped(rows: DataFrame, by: str, compare: Callable[..., list[tuple]]) -> DataFrame:
+    """Rows (id, other, settled) of ``compare``, which gets the columns of all rows of one ``by``. Groups are mostly of two or
+    three rows, so that they are told apart here and not sent to Python one by one."""
+    names = [by, *(c for c in rows.columns if c != by)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [[] for _ in names[1:]], []
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [(), (), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(map(kind, c)), f.type) for kind, c, f in zip((int, int, lambda x: x if x is None else bool(x)), columns, FOUND)], schema=FOUND)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            columns = [c.to_pylist() for c in batch.columns[1:]]
+            edge = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                if key is not None and keys[lo] != key:
+                    out += compare(*held)
+                    held = [[] for _ in names[1:]]
+                    if len(out) > 20_000:
+                        yield flush()
+                key = keys[lo]
+                for h, c in zip(held, columns):
+                    h += c[lo:hi]
+        if key is not None:
+            out += compare(*held)
+        yield flush()
+
+    return rows.select(names).repartition(by).sortWithinPartitions(by).mapInArrow(run, "id long, other long, settled boolean")
 
 
 def links(keys: DataFrame, sets_of, decode, num: int, den: int, block_sets: int = BLOCK_SETS, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -159,35 +219,32 @@ def links(keys: DataFrame, sets_of, decode, num: int, den: int, block_sets: int
     homes = _homes(listed, block_sets, block_items)
     sets = cut(sets_of(homes.select("id")))
 
-    def decoded(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[np.ndarray]]:
-        pdf = pdf.drop_duplicates("id")
-        return pdf, [decode(b) for b in pdf["items"]]
+    def decoded(ids: list[int], items: list[bytes]) -> tuple[list[int], list[np.ndarray]]:
+        one = dict(zip(ids, items))
+        return list(one), [decode(x) for x in one.values()]
 
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+    def within(leaders: list[int], ids: list[int], items: list[bytes], member: list[bool]) -> list[tuple]:
         """One block with its leader: who links to the leader, and all other links inside."""
-        own = set(pdf["id"][pdf["member"]])
-        pdf, held = decoded(pdf)
-        ids, leader = pdf["id"].to_numpy(), int(pdf["leader"].iloc[0])
-        lead = held[int(np.flatnonzero(ids == leader)[0])] if leader in ids else np.empty(0, np.uint64)
+        own, leader = {i for i, m in zip(ids, member) if m}, leaders[0]
+        ids, held = decoded(ids, items)
+        lead = held[ids.index(leader)] if leader in ids else np.empty(0, np.uint64)
         settled = np.array([i == leader or similar(len(np.intersect1d(x, lead, True)), len(x), len(lead), num, den) for i, x in zip(ids, held)])
         out = [(i, leader if s else i, s) for i, s in zip(ids, settled) if i in own]
         if not settled.all():
             out += [(ids[x], ids[y], None) for x, y in link_sets(held, np.zeros(len(held)), num, den, settled)]
-        return pd.DataFrame(out, columns=["id", "other", "settled"])
+        return out
 
     members = homes.join(sets, "id").select("block", "leader", "id", "items", F.lit(True).alias("member"))
     lead = homes.select("block", "leader").distinct().join(sets.withColumnRenamed("id", "leader"), "leader").select("block", "leader", F.col("leader").alias("id"), "items", F.lit(False).alias("member"))
-    inside = cut(members.union(lead).groupBy("block").applyInPandas(within, FOUND))
+    inside = cut(_grouped(members.union(lead), "block", within))
     known = inside.where("settled IS NOT NULL").groupBy("id").agg(F.max("settled").alias("settled"))
     placed = cut(homes.join(known, "id").select("id", "leader", F.col("block").alias("home"), F.xxhash64("block", "settled").alias("block"), F.when(F.col("settled"), F.col("leader")).alias("under")))
 
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+    def across(blocks: list[int], ids: list[int], items: list[bytes]) -> list[tuple]:
         """Two blocks: links between them."""
-        sides = dict(zip(pdf["id"], pdf["block"]))
-        pdf, held = decoded(pdf)
-        ids = pdf["id"].to_numpy()
-        found = link_sets(held, np.array([sides[i] for i in ids]), num, den)
-        return pd.DataFrame([(ids[x], ids[y], None) for x, y in found], columns=["id", "other", "settled"])
+        sides = dict(zip(ids, blocks))
+        ids, held = decoded(ids, items)
+        return [(ids[x], ids[y], None) for x, y in link_sets(held, np.array([sides[i] for i in ids]), num, den)]
 
     # Blocks of one home meet whole; of two homes only the sets that have a key in the other.
     # And of those, the ones with which a set of a like size has that key: the smaller of two similar sets has at least
@@ -201,21 +258,31 @@ def links(keys: DataFrame, sets_of, decode, num: int, den: int, block_sets: int
     same = cut(same.where("home <> home2 AND NOT coalesce(under = under2, false)").select("block", "block2"))
     near = placed.select("id", "block").join(same, "block").select("id", "block", "block2")
     named = cut(far.union(near).select(F.xxhash64(F.least("block", "block2"), F.greatest("block", "block2")).alias("pair"), "block", "id"))
-    apart = named.join(sets, "id").groupBy("pair").applyInPandas(across, FOUND)
+    apart = _grouped(named.join(sets, "id").select("pair", "block", "id", "items"), "pair", across)
     return cut(inside.union(apart).where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``id, component``: the smallest id reachable from each id of ``edges`` (``a, b``). Labels fall to the
-    smallest among neighbours and then to their label's label, so paths shorten by half a round; every round is
-    written, and the rounds end when no label changes."""
-    both = cut(edges.where("a <> b").union(edges.where("a <> b").select("b", "a")).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("id"), F.least("a", "l").alias("component")))
-    while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("l"))
-        low = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("was"), F.least("component", "l").alias("c"))
-        jump = labels.select(F.col("id").alias("j"), F.col("component").alias("jc"))
-        new = cut(low.join(jump, low.c == jump.j, "left").select("id", "was", F.least("c", F.coalesce("jc", "c")).alias("component")))
-        labels = new.select("id", "component")
-        if not new.where("component <> was").limit(1).count():
-            return labels
+    """``id, component``: the smallest id reachable from each id of ``edges`` (``a, b``). In each round every node follows
+    the least of its neighbours, in an order by hash, and that one's; the edges are then drawn between those that are
+    followed, so that a round has fewer than the one before. Rounds end when no edge is left; every one is written."""
+    known = edges.where("a <> b").select("a", "b")
+    rest = cut(known.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).distinct())
+    rounds = []
+    while not rest.isEmpty():
+        up = cut(rest.union(rest.select("b", "a")).groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("node"), F.least("a", "l").alias("up")))
+        above = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        up = cut(up.join(above, "up").select("node", F.col("next").alias("up")))
+        rounds.append(up)
+        for end in ("a", "b"):
+            rest = rest.join(up.select(F.col("node").alias(end), F.col("up").alias(f"{end}_up")), end)
+        rest = cut(rest.where("a_up <> b_up").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct())
+    ids = known.select(F.col("a").alias("id")).union(known.select("b")).distinct().withColumn("node", F.xxhash64("id"))
+    if not rounds:
+        return ids.select("id", F.col("id").alias("component"))
+    ends = rounds.pop()
+    while rounds:
+        last = ends.select(F.col("node").alias("up"), F.col("up").alias("end"))
+        ends = cut(rounds.pop().join(last, "up", "left").select("node", F.coalesce("end", "up").alias("up")))
+    ids = cut(ids.join(ends, "node").select("id", "up"))
+    return ids.join(ids.groupBy("up").agg(F.min("id").alias("component")), "up").select("id", "component")
