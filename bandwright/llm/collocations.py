@@ -21,6 +21,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,7 +136,11 @@ def _hashes(texts: DataFrame, enough: int, pairs: Broadcast | None) -> DataFrame
     return cut(packed.repartition(parts, "kind", "part").mapInArrow(reaching(enough), "kind int, h long"))
 
 
-GRAMS = pa.schema([("lang", pa.string()), ("w1", pa.string()), ("w2", pa.string()), ("w3", pa.string()), ("n", pa.int64())])
+# The counts of a task and part of the phrases, one row per language: phrases by line ends, their words by spaces, of
+# which there are always two; counts in as many bytes as the greatest needs. Neither stands in a word.
+GRAMS = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("phrases", pa.binary()), ("n", pa.binary())])
+# Counts that are merged into the others of a part at a time.
+LOOSE = 1 << 20
 
 
 class _Language:
@@ -160,12 +165,12 @@ class _Language:
             self.hashed = len(self.numbers)
         return self.hashes
 
-    def count(self, texts: list[bytes], may: "tuple[np.ndarray, ...]") -> Iterator[pa.RecordBatch]:
+    def count(self, texts: list[bytes], may: "tuple[np.ndarray, ...]", parts: int) -> Iterator[pa.RecordBatch]:
         words = b"\xff".join(texts).translate(PIECES).replace(b"\xff", b" \xff ").split()
         # Two words more than are counted, for the phrases that begin at the last ones.
         for at in range(0, len(words), WORDS):
             if len(self.numbers) > WORDS:
-                yield from self.rows()
+                yield from self.rows(parts)
             some = words[at : at + WORDS + 2]
             self._count(np.fromiter(map(self.numbers.__getitem__, some), np.int64, len(some)), may)
 
@@ -192,22 +197,65 @@ class _Language:
     def size(self) -> int:
         return sum(x.size() for x in self.held)
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        words = pa.array(list(self.numbers)[1:], pa.binary())
+    def rows(self, parts: int) -> Iterator[pa.RecordBatch]:
+        words = pa.array([b"", *list(self.numbers)[1:]], pa.binary())
+        h = self.word_hashes()
         mask = np.uint64((1 << NUMBERS) - 1)
+        # A phrase without words has the number of all words.
+        phrases, counts, hashes = [pa.array([b"  "], pa.binary())], [np.array([self.words])], [np.zeros(1, np.uint64)]
         for order, held in enumerate(self.held):
             key, n = held.merge()
-            for at in range(0, len(key), 50_000):
-                k, size = key[at : at + 50_000], len(key[at : at + 50_000])
-                cols = [words.take(pa.array(((k >> np.uint64(NUMBERS * j)) & mask).astype(np.int64) - 1)).cast(pa.string()) for j in range(order, -1, -1)]
-                cols += [pa.array([""] * size, pa.string())] * (2 - order)
-                yield pa.RecordBatch.from_arrays([pa.array([self.lang] * size, pa.string()), *cols, pa.array(n[at : at + 50_000], pa.int64())], schema=GRAMS)
-        # A row without words has the number of all words.
-        yield pa.RecordBatch.from_arrays([*(pa.array([x]) for x in (self.lang, "", "", "")), pa.array([self.words], pa.int64())], schema=GRAMS)
+            at = [((key >> np.uint64(NUMBERS * j)) & mask).astype(np.int64) for j in range(order, -1, -1)]
+            at += [np.zeros(len(key), np.int64)] * (2 - order)
+            phrases.append(pc.binary_join_element_wise(*(words.take(pa.array(x)) for x in at), b" "))
+            counts.append(n)
+            hashes.append(mix(mix(mix(h[at[0]]) + h[at[1]]) + h[at[2]]))
+        part = ((np.concatenate(hashes) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        order = np.argsort(part, kind="stable")
+        n = np.concatenate(counts)[order]
+        phrases = pa.concat_arrays(phrases).take(pa.array(order))
+        edge = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+        for p, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
+            if hi > lo:
+                some = n[lo:hi]
+                row = [self.lang, p, b"\n".join(phrases.slice(lo, hi - lo).to_pylist()), some.astype(np.min_scalar_type(some.max())).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, GRAMS)], schema=GRAMS)
         self.__init__(self.lang)
 
 
-def _phrase_counts(may: Broadcast):
+def _merged(enough: int):
+    """Phrases with ``enough`` occurrences of the parts that a task gets, and the numbers of all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[pa.Table]] = {}
+        loose: dict[str, int] = {}
+
+        def merge(lang: str) -> None:
+            held[lang] = [pa.concat_tables(held[lang]).group_by("phrase").aggregate([("n", "sum")]).rename_columns(["phrase", "n"])]
+            loose[lang] = 0
+
+        for batch in batches:
+            for lang, _, phrases, n in zip(*(c.to_pylist() for c in batch.columns)):
+                phrases = phrases.split(b"\n")
+                n = np.frombuffer(n, f"u{len(n) // len(phrases)}").astype(np.int64)
+                held.setdefault(lang, []).append(pa.table({"phrase": pa.array(phrases, pa.binary()), "n": n}))
+                loose[lang] = loose.get(lang, 0) + len(n)
+                if loose[lang] > LOOSE:
+                    merge(lang)
+        for lang in list(held):
+            merge(lang)
+            whole = held.pop(lang)[0]
+            whole = whole.filter(pc.or_(pc.greater_equal(whole.column("n"), enough), pc.equal(whole.column("phrase"), b"  ")))
+            for at in range(0, whole.num_rows, 50_000):
+                some = whole.slice(at, 50_000)
+                words = [x.decode().split(" ") for x in some.column("phrase").to_pylist()]
+                cols = [pa.array([w[j] for w in words], pa.string()) for j in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), *cols, some.column("n").combine_chunks()], names=["lang", "w1", "w2", "w3", "n"])
+
+    return run
+
+
+def _phrase_counts(may: Broadcast, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages: dict[str, _Language] = {}
         pending: dict[str, list[bytes]] = {}
@@ -217,15 +265,15 @@ def _phrase_counts(may: Broadcast):
                 pending.setdefault(lang, []).extend(some)
                 size[lang] = size.get(lang, 0) + sum(map(len, some))
                 if size[lang] > CHUNK:
-                    yield from languages.setdefault(lang, _Language(lang)).count(pending.pop(lang), may.value)
+                    yield from languages.setdefault(lang, _Language(lang)).count(pending.pop(lang), may.value, parts)
                     size[lang] = 0
                     if sum(len(x.numbers) for x in languages.values()) > WORDS or sum(x.size() for x in languages.values()) > HELD:
                         for held in languages.values():
-                            yield from held.rows()
+                            yield from held.rows(parts)
         for lang, some in pending.items():
-            yield from languages.setdefault(lang, _Language(lang)).count(some, may.value)
+            yield from languages.setdefault(lang, _Language(lang)).count(some, may.value, parts)
         for held in languages.values():
-            yield from held.rows()
+            yield from held.rows(parts)
 
     return run
 
@@ -238,8 +286,9 @@ def phrase_counts(docs: DataFrame, enough: int) -> DataFrame:
     pairs = bitmap(_hashes(texts, enough, None), "h")
     second = _hashes(texts, enough, spark.sparkContext.broadcast(pairs))
     may = spark.sparkContext.broadcast((bitmap(second.where("kind = 1"), "h"), pairs, bitmap(second.where("kind = 0"), "h")))
-    parts = texts.mapInArrow(_phrase_counts(may), "lang string, w1 string, w2 string, w3 string, n long")
-    return cut(parts.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")).where((F.col("w1") == "") | (F.col("n") >= enough)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = texts.mapInArrow(_phrase_counts(may, parts), "lang string, part int, phrases binary, n binary")
+    return cut(packed.repartition(parts, "part").mapInArrow(_merged(enough), "lang string, w1 string, w2 string, w3 string, n long"))
 
 
 # ---- the stream in one order -----------------------------------------------------------
