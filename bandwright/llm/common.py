@@ -182,19 +182,21 @@ def hashed_words(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = end
 
 
+def sets_of_words(h: np.ndarray, words: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """The set of every text of a group of ``hashed_words``."""
+    windows = shingled(h, k) if len(h) >= k else h
+    at = 0
+    for n in words.tolist():
+        if n >= k:
+            yield np.unique(windows[at : at + n - k + 1])
+        else:
+            yield shingled(h[at : at + n], n) if n else np.empty(0, np.uint64)
+        at += n
+
+
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Sorted distinct shingles of ``k`` words of every text; fewer words are one shingle, none make none."""
-    out = []
-    for h, words in hashed_words(texts):
-        windows = shingled(h, k) if len(h) >= k else h
-        at = 0
-        for n in words.tolist():
-            if n >= k:
-                out.append(np.unique(windows[at : at + n - k + 1]))
-            else:
-                out.append(shingled(h[at : at + n], n) if n else np.empty(0, np.uint64))
-            at += n
-    return out
+    return [s for h, words in hashed_words(texts) for s in sets_of_words(h, words, k)]
 
 
 def fingerprint(items: np.ndarray) -> tuple[int, int]:

@@ -4,8 +4,10 @@ A document is the set of its word shingles. Copies (equal sets) are one set. Tak
 common order of all tokens: as a similar set lacks at most p - 1 of a set's tokens, two similar sets share one of
 their first p tokens, and p + 1 (p of the smaller) of their first 2p. So a set is left out at once unless that many
 of its first 2p tokens occur in other sets; a count of those tokens over all sets tells. The order puts rare tokens first, from
-counts over all documents (tokens frequent in some task), so frequent passages hardly ever count; any order gives
-the same links. Rows are dropped by a bitmap of fixed size before they are moved, and exactly after it.
+counts over all documents, so frequent passages (tokens frequent in some task) hardly ever count, nor do windows of
+common words, more and more of which recur by chance as the table grows; any order gives
+the same links. Rows are dropped by a bitmap of fixed size before they are moved, and exactly after it: sets by a
+count of the tokens of those that passed, keys in ``linking``.
 ``linking`` compares the sets that are left, by keys among their first p tokens.
 """
 
@@ -13,19 +15,23 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 from . import linking
-from .common import LOWER, bitmap, fingerprint, in_bitmap, shingle_sets, slices
-from .packed import PACKED_DDL, TOP, Held, packed_rows, reaching
+from .common import LOWER, bitmap, fingerprint, hashed_words, in_bitmap, sets_of_words, shingle_sets, shingled, slices
+from .packed import CHUNK_KEYS, CHUNK_ROWS, LOOSE, OWNED_DDL, PACKED_DDL, TOP, Held, enough_repeated, owned_rows, packed_rows, reaching, repeated
 
 # Tokens seen this often in one chunk of a task are counted; the most frequent are kept for the order.
 CHUNK, LOCAL_LEAST, ORDERED = 1 << 21, 4, 1 << 19
+# Words are counted by so many leading bits of their hash, in so many parts.
+WORD_BITS, WORD_PARTS = 21, 16
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -39,32 +45,78 @@ def _bytes(docs: DataFrame) -> DataFrame:
     return rows.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
-def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, and their ranks by count."""
+class Order(NamedTuple):
+    """The common order of all tokens: those of ``often`` (sorted) last, by ``rank``; the others by the level of their
+    rarest word, then by hash."""
+
+    often: np.ndarray
+    rank: np.ndarray
+    level: np.ndarray
+
+
+def _slots(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+
+
+def _leveled(level: np.ndarray, k: int) -> np.ndarray:
+    """Level of each window of ``k`` words: that of its rarest word, as a window occurs no more often than any of them."""
+    out = level[: len(level) - k + 1]
+    for j in range(1, k):
+        out = np.minimum(out, level[j : len(out) + j])
+    return out
+
+
+def common_order(docs: DataFrame, k: int) -> Order:
+    """Frequent shingles by their count, and levels of words: two for each power of two of a word's count. Words are
+    counted by the leading bits of their hash; what a task counts leaves it packed."""
+    size = (1 << WORD_BITS) // WORD_PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, words, loose = [], 0, np.zeros(1 << WORD_BITS, np.int64), [np.empty(0, np.uint64)]
 
         def counted() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(held), return_counts=True)
             keep = c >= LOCAL_LEAST
-            return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], names=["h", "c"])
+            none = int(keep.sum())
+            return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep].astype(np.int64)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=["h", "c", "part", "words"])
 
         for batch in slices(batches):
-            for own in shingle_sets(_texts(batch.column("text")), k):
-                held.append(own)
-                n += len(own)
-                if n >= CHUNK:
-                    yield counted()
-                    held, n = [], 0
+            for h, count in hashed_words(_texts(batch.column("text"))):
+                loose.append(h)
+                if sum(map(len, loose)) >= LOOSE:
+                    words += np.bincount(_slots(np.concatenate(loose)), minlength=len(words))
+                    loose = loose[:1]
+                for own in sets_of_words(h, count, k):
+                    held.append(own)
+                    n += len(own)
+                    if n >= CHUNK:
+                        yield counted()
+                        held, n = [], 0
         if held:
             yield counted()
-
-    top = _bytes(docs).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(ORDERED).toArrow()
+        words += np.bincount(_slots(np.concatenate(loose)), minlength=len(words))
+        packed = [(None, None, i, zlib.compress(part.tobytes(), 1)) for i, part in enumerate(words.reshape(WORD_PARTS, size)) if part.any()]
+        if packed:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*packed), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))), names=["h", "c", "part", "words"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, words in zip(*(c.to_pylist() for c in batch.columns)):
+                total[part] = total.get(part, 0) + np.frombuffer(zlib.decompress(words), np.int64)
+        for part, n in total.items():
+            level = (2 * np.log2(n + 1)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["part", "level"])
+
+    rows = cut(_bytes(docs).mapInArrow(run, "h long, c long, part int, words binary"))
+    top = rows.where("part IS NULL").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(ORDERED).toArrow()
+    level = np.zeros((WORD_PARTS, size), np.uint8)
+    for row in rows.where("part IS NOT NULL").select("part", "words").repartition(WORD_PARTS, "part").mapInArrow(added, "part int, level binary").collect():
+        level[row.part] = np.frombuffer(bytes(row.level), np.uint8)
     h = top.column("h").to_numpy().view(np.uint64)
     rank = np.arange(len(h), 0, -1)
     order = np.argsort(h)
-    return h[order], rank[order]
+    return Order(h[order], rank[order], level.ravel())
 
 
 def needed(n: int, num: int, den: int) -> int:
@@ -80,30 +132,52 @@ def least(n: int, num: int, den: int) -> int:
     return min(2 * p, m) - p + 1
 
 
-def prefix(items: np.ndarray, common: tuple[np.ndarray, np.ndarray], length: int) -> np.ndarray:
-    """The first tokens in the common order: rare ones by hash, then frequent ones by count."""
-    if not len(items) or not len(common[0]):
-        return items[:length]
-    at = np.minimum(np.searchsorted(common[0], items), len(common[0]) - 1)
-    often = common[0][at] == items
-    rare = items[~often]
-    if len(rare) >= length:
-        return rare[:length]
-    rest = items[often][np.argsort(common[1][at[often]], kind="stable")]
-    return np.concatenate([rare, rest[: length - len(rare)]])
+def prefix(items: np.ndarray, level: np.ndarray, common: Order, length: int) -> np.ndarray:
+    """The first tokens of a sorted set in the common order."""
+    rare = np.ones(len(items), bool)
+    if len(items) and len(common.often):
+        at = np.minimum(np.searchsorted(common.often, items), len(common.often) - 1)
+        rare = common.often[at] != items
+    first = items[rare][np.argsort(level[rare], kind="stable")[:length]]
+    if len(first) == length or rare.all():
+        return first
+    rest = items[~rare][np.argsort(common.rank[at[~rare]], kind="stable")]
+    return np.concatenate([first, rest[: length - len(first)]])
+
+
+def _ordered_sets(texts: list[bytes], k: int, word_level: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of ``shingle_sets``, and the level of each token."""
+    for h, words in hashed_words(texts):
+        of = word_level[_slots(h)]
+        windows, least_of = (shingled(h, k), _leveled(of, k)) if len(h) >= k else (h, of)
+        at = 0
+        for n in words.tolist():
+            if n >= k:
+                own, level = windows[at : at + n - k + 1], least_of[at : at + n - k + 1]
+            else:
+                own, level = (shingled(h[at : at + n], n), of[at : at + n].min(keepdims=True)) if n else (h[:0], of[:0])
+            order = np.argsort(own)
+            own = own[order]
+            once = np.append(True, own[1:] != own[:-1])[: len(own)]
+            yield own[once], level[order[once]]
+            at += n
 
 
 def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``doc_id, row, n, f1, f2, keys``: size, fingerprint and first tokens of every row."""
-    common = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
+    common = docs.sparkSession.sparkContext.broadcast(tuple(common_order(docs, k)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = Order(*common.value)
         for batch in slices(batches):
-            sets = shingle_sets(_texts(batch.column("text")), k)
-            f1, f2 = zip(*map(fingerprint, sets)) if sets else ((), ())
-            keys = [prefix(s, common.value, 2 * needed(len(s), num, den)).view(np.int64) for s in sets]
+            n, f1, f2, keys = [], [], [], []
+            for s, level in _ordered_sets(_texts(batch.column("text")), k, order.level):
+                n.append(len(s))
+                for f, x in zip((f1, f2), fingerprint(s)):
+                    f.append(x)
+                keys.append(prefix(s, level, order, 2 * needed(len(s), num, den)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                [batch.column("doc_id"), batch.column("row"), *(pa.array(c, pa.int64()) for c in (n, f1, f2)), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "row", "n", "f1", "f2", "keys"],
             )
 
@@ -129,37 +203,80 @@ def _twice(sets: DataFrame) -> DataFrame:
     return cut(packed.repartition(parts, "part").mapInArrow(reaching(2), "kind int, h long")).select("h")
 
 
+class _Keys:
+    """Of a batch of sets: those that ``first`` names and that have enough shared ones among their first 2p tokens, as
+    far as the bitmap ``twice`` tells. ``flat, owner, pos``: all their keys, with the set and the place in it."""
+
+    def __init__(self, batch: pa.RecordBatch, twice: np.ndarray, first: np.ndarray, num: int, den: int):
+        batch = self._of(batch.take(pa.array(np.flatnonzero(in_bitmap(first, batch.column("row").to_numpy(zero_copy_only=False))))), twice)
+        need = np.array([max(1, least(x, num, den)) for x in batch.column("n").to_pylist()], np.int64)
+        enough = np.flatnonzero(np.bincount(self.owner[self.hit], minlength=batch.num_rows) >= need)
+        self.rows = self._of(batch.take(pa.array(enough)), twice) if len(enough) < batch.num_rows else batch
+        self.need = need[enough]
+
+    def _of(self, batch: pa.RecordBatch, twice: np.ndarray) -> pa.RecordBatch:
+        keys = batch.column("keys")
+        self.flat = keys.flatten().to_numpy(zero_copy_only=False)
+        length = keys.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.owner = np.repeat(np.arange(batch.num_rows), length)
+        self.pos = np.arange(len(self.flat)) - (length.cumsum() - length)[self.owner]
+        self.hit = in_bitmap(twice, self.flat) if len(self.flat) else np.empty(0, bool)
+        return batch
+
+
+def _enough(rows: DataFrame, held: Broadcast, num: int, den: int) -> DataFrame:
+    """``row`` of the sets that have enough shared ones among their first 2p tokens, by the count of each token in all
+    sets that the bitmaps let through. Similar sets both pass, so what they share is counted twice. The bitmaps fill
+    up as the table grows; this count does not."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The rows are read from a written table, so a task that runs again gives the same chunks.
+        chunk, kept, n, size = TaskContext.get().partitionId() << 32, [], 0, 0
+
+        def packed() -> pa.RecordBatch:
+            return owned_rows(chunk, *map(np.concatenate, zip(*kept)), parts)
+
+        for batch in slices(batches):
+            own = _Keys(batch, *held.value, num, den)
+            if kept and (n + own.rows.num_rows > CHUNK_ROWS or size + len(own.flat) > CHUNK_KEYS):
+                yield packed()
+                chunk, kept, n, size = chunk + 1, [], 0, 0
+            if own.rows.num_rows:
+                kept.append((own.flat[own.hit].view(np.uint64), own.owner[own.hit] + n, own.rows.column("row").to_numpy(zero_copy_only=False), own.need))
+                n += own.rows.num_rows
+                size += len(kept[-1][0])
+        if kept:
+            yield packed()
+
+    owners = rows.mapInArrow(run, OWNED_DDL).repartition(parts, "part").mapInArrow(repeated, OWNED_DDL)
+    return owners.repartition(parts, "chunk").mapInArrow(enough_repeated, "row long")
+
+
 def _shared_keys(sets: DataFrame, firsts: DataFrame, num: int, den: int) -> DataFrame:
     """``key, id, doc, n, pos``: those of the first p tokens that occur twice or more, of sets with enough shared
     ones among their first 2p. Equal sets are one: ``firsts`` names the row with their smallest doc_id, and only these
     rows give keys (a few others may pass the bitmap: they are sets like any other). ``id`` is the hash of the row."""
-    held = sets.sparkSession.sparkContext.broadcast((bitmap(_twice(sets), "h"), bitmap(firsts, "row")))
+    sc = sets.sparkSession.sparkContext
+    rows = sets.where("doc_id IS NOT NULL").select("row", "doc_id", "n", "keys")
+    twice = bitmap(_twice(sets), "h")
+    held = sc.broadcast((twice, bitmap(_enough(rows, sc.broadcast((twice, bitmap(firsts, "row"))), num, den), "row")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice, first = held.value
         for batch in slices(batches):
-            batch = batch.take(pa.array(np.flatnonzero(in_bitmap(first, batch.column("row").to_numpy(zero_copy_only=False)))))
-            keys = batch.column("keys")
-            flat = keys.flatten().to_numpy(zero_copy_only=False)
-            length = keys.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            owner = np.repeat(np.arange(batch.num_rows), length)
-            pos = np.arange(len(flat)) - (length.cumsum() - length)[owner]
-            hit = in_bitmap(twice, flat) if len(flat) else np.empty(0, bool)
-            n = batch.column("n").to_pylist()
-            enough = np.bincount(owner[hit], minlength=batch.num_rows) >= np.array([max(1, least(x, num, den)) for x in n])
-            p = np.array([needed(x, num, den) for x in n], np.int64)
-            take = np.flatnonzero(hit & (enough[owner]) & (pos < p[owner]))
-            rows = pa.array(owner[take])
+            own = _Keys(batch, *held.value, num, den)
+            p = np.array([needed(x, num, den) for x in own.rows.column("n").to_pylist()], np.int64)
+            take = np.flatnonzero(own.hit & (own.pos < p[own.owner]))
+            of = pa.array(own.owner[take])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[take], pa.int64()), *(batch.column(c).take(rows) for c in ("row", "doc_id", "n")), pa.array(pos[take], pa.int64())],
+                [pa.array(own.flat[take], pa.int64()), *(own.rows.column(c).take(of) for c in ("row", "doc_id", "n")), pa.array(own.pos[take], pa.int64())],
                 names=["key", "id", "doc", "n", "pos"],
             )
 
-    rows = sets.where("doc_id IS NOT NULL").select("row", "doc_id", "n", "keys")
     keys = rows.mapInArrow(run, "key long, id long, doc long, n long, pos long")
     # Rows that repeat id and text would count as two sets.
-    repeated = not rows.groupBy("row").count().where("count > 1").isEmpty()
-    return cut(keys.dropDuplicates(["key", "id"]) if repeated else keys)
+    again = not rows.groupBy("row").count().where("count > 1").isEmpty()
+    return cut(keys.dropDuplicates(["key", "id"]) if again else keys)
 
 
 def _items(docs: DataFrame, ids: DataFrame) -> DataFrame:
