@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from bandwright.llm import common, jaccard_join, packed
 
 
@@ -26,6 +27,19 @@ def test_a_full_bitmap_lets_no_other_set_through(spark, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in jaccard_join.join(docs, 4, 85, 100).collect()} == {(i, i % 100) for i, _ in rows}
 
 
+def test_near_duplicates_with_a_full_bitmap(spark, monkeypatch):
+    """The pipeline's stage: only texts with a near copy give keys, and one of each group stays."""
+    rng = random.Random(6)
+    texts = [[f"g{g}w{rng.randrange(10**6)}" for _ in range(80)] for g in range(60)]
+    rows = [(g, " ".join(t)) for g, t in enumerate(texts)] + [(100 + g, " ".join(texts[g][:78] + ["new"])) for g in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    real, links, seen = jaccard_join.bitmap, jaccard_join.linking.links, []
+    monkeypatch.setattr(jaccard_join, "bitmap", lambda df, key: np.full(1 << (common.BITMAP_BITS - 3), 255, np.uint8) if key == "h" else real(df, key))
+    monkeypatch.setattr(jaccard_join.linking, "links", lambda keys, *a: seen.append(keys.select("id").distinct().count()) or links(keys, *a))
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(range(60))
+    assert seen == [6]
+
+
 def test_windows_of_common_words_are_not_among_the_keys(spark):
     """Texts that share only windows of common words, most of their windows, in places chosen by chance."""
     rng = random.Random(4)
