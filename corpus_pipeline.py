@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandwright.llm import decontamination, jaccard_join, ordinal_quality, packing, queries, secrets
+from bandwright.llm.common import bitmap, in_bitmap
 from bandwright.session import cut
 
 
@@ -50,8 +52,17 @@ ORACLE_SQL = None
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not in a written table of ids; all columns as they were."""
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose doc_id is not in a written table of ids; all columns as they were. Texts stay where they are: a bitmap
+    of fixed size tells the rows that may go, and only these are moved for the exact join."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(F.xxhash64("doc_id").alias("h")), "h"))
+
+    @F.arrow_udf("boolean")
+    def may_go(h: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(held.value, h.to_numpy(zero_copy_only=False)))
+
+    marked = docs.withColumn("__may_go", may_go(F.xxhash64("doc_id")))
+    stay = marked.where("__may_go").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return marked.where("NOT __may_go").select(*docs.columns).unionAll(stay)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

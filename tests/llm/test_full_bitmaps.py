@@ -40,6 +40,25 @@ def test_near_duplicates_with_a_full_bitmap(spark, monkeypatch):
     assert seen == [6]
 
 
+def test_only_rows_that_may_go_are_moved(spark, tmp_path):
+    """Without a broadcast of the ids, rows that stay are not in the shuffle of the join."""
+    rows = [(i, f"text {i}") for i in range(2000)] + [(7, "again"), (None, "no id"), (5000, "again")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    gone = spark.createDataFrame([(i,) for i in range(0, 2000, 50)] + [(7,)], "doc_id long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = corpus_pipeline._without(docs, gone)
+        out = {(r.doc_id, r.text) for r in left.collect()}
+        plan = left._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    ids = set(range(0, 2000, 50)) | {7}
+    assert left.columns == docs.columns and out == {r for r in rows if r[0] not in ids}
+    assert plan.lstrip().startswith("Union")
+
+
 def test_windows_of_common_words_are_not_among_the_keys(spark):
     """Texts that share only windows of common words, most of their windows, in places chosen by chance."""
     rng = random.Random(4)
